@@ -5,7 +5,8 @@ for sure and once more with the fractional probability. Pivotal rounding pairs t
 probabilities and moves words of probability from one to the other, at random but with unchanged means, until one of
 them is taken for sure or not at all; the other goes on to the next pair. So a source's words differ from its target
 by less than one document. Documents are dealt into blocks by a hash of their rows; what a block leaves over (one
-document) goes up a tree of blocks, FAN at a time. All random numbers are hashes, so reruns agree.
+document) goes up a tree of blocks, FAN at a time; the last one of a source is rounded. Large documents are paired
+first, so that what is left over is mostly small. All random numbers are hashes, so reruns agree.
 
 Defined results: a null text has size 0; null sources are one source, ordered last; sources whose texts are all empty
 have target 0; documents of size 0 are taken target-ratio times like others, which adds no words. Repeated rows
@@ -79,14 +80,13 @@ def pair(p: float, s: float, q: float, t: float, u: float) -> tuple[float, float
 
 def _rounded(batches: Iterator[pa.RecordBatch], last: bool) -> Iterator[pa.RecordBatch]:
     """Rows come by source and block; the columns end with hash, size, place, block, p, extra (null: not yet known)."""
-    open_row, open_key, n = None, None, 0
-    names, schema, done = None, None, []
+    open_row, open_key, n, schema, done = None, None, 0, None, []
 
     def closed(row: list, p: float) -> None:
         row[-2] = p
         row[-1] = None if 0.0 < p < 1.0 else int(p)
         if last and row[-1] is None:
-            row[-2], row[-1] = None, int(_unit(row[-6], 0, 1) < p)
+            row[-1] = int(p >= 0.5)
         done.append(row)
 
     def flush() -> pa.RecordBatch:
@@ -95,7 +95,7 @@ def _rounded(batches: Iterator[pa.RecordBatch], last: bool) -> Iterator[pa.Recor
         return out
 
     for batch in batches:
-        names, schema = batch.schema.names, batch.schema
+        schema = batch.schema
         for row in map(list, zip(*(c.to_pylist() for c in batch.columns))):
             key, size, p = row[-4:-2], row[-5], row[-2]
             if key != open_key:
@@ -148,7 +148,7 @@ def mix(docs: DataFrame, keys: list[str] | None = None, source_col: str = "sourc
     levels = []
     while True:
         last = most <= 1
-        dealt = rows.repartition("place", "block").sortWithinPartitions("place", "block", "hash", *own, "size")
+        dealt = rows.repartition("place", "block").sortWithinPartitions("place", "block", F.desc("size"), "hash", *own)
         level = written(dealt.mapInArrow(partial(_rounded, last=last), schema), "rounded")
         levels.append(level.where("extra is not null"))
         if last:
