@@ -5,7 +5,8 @@ text. A generative label model estimates how often each voter is right, and how
 their votes; correlated voters share their weight. Its posterior labels train a linear classifier over words and
 votes, which scores every whole text.
 
-Learning reads at most SAMPLE labelled rows, taken by a hash of their ids, and a vocabulary of VOCABULARY words; its
+Learning reads at most SAMPLE labelled rows, taken by a hash of their ids, and a vocabulary of VOCABULARY words and
+stems of inflected words; its
 result is a table of weights that does not grow with the data. Scoring reads every text once and shuffles nothing.
 
 Defined results: a null text counts as the empty text, which gets the score of a text without any known word. A label
@@ -17,7 +18,8 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from functools import partial
 
 import numpy as np
@@ -50,12 +52,26 @@ PATTERNS = {
     "masked": r"(?i)\b[a-z]+[*@#$]{2,}[a-z]+\b",
 }
 WORD = re.compile(r"\w+")
+#: Letters of a stem; words of a text that have to share one for it to count as frequent there.
+STEMS, SEVERAL = (4, 5, 6, 7), 3
 #: Rounds of the label model and of the classifier; prior strength of accuracies and weights.
 ROUNDS, STEPS, STRENGTH, RIDGE = 30, 15, 2.0, 1.0
+HELD_WORDS, ANNOTATOR = 200_000, 0.98
 
 
-def words_of(text: str) -> set[str]:
-    return set(WORD.findall(text.lower()))
+def words_of(text: str, known: set[str] | None = None) -> set[str]:
+    """The words of a text, its stems (the first letters of longer words, marked ~), and stems of SEVERAL words (~~)."""
+    words = set(WORD.findall(text.lower()))
+    stems: Counter[str] = Counter()
+    for k in STEMS:
+        starts = [w[:k] for w in words if len(w) > k]
+        stems.update(starts if known is None else [s for s in starts if s in known])
+    found = words | {s + "~" for s in stems}
+    return found | {s + "~~" for s, n in stems.items() if n >= SEVERAL}
+
+
+def stems_in(features: Iterable[str]) -> set[str]:
+    return {f.rstrip("~") for f in features if f.endswith("~")}
 
 
 class Voters:
@@ -83,22 +99,23 @@ class Voters:
 class LabelModel:
     """P(toxic | votes) of a two-class model whose voters fire at a rate of their own in either class.
 
-    Rates are fitted by expectation and maximisation over distinct vote patterns. Correlation is what two voters
+    The annotator's label is one more voter, right with probability ANNOTATOR in either class. Rates are fitted by expectation and maximisation over distinct vote patterns. Correlation is what two voters
     agree beyond that: a voter's evidence is divided by one plus its correlations with the others.
     """
 
-    def __init__(self, votes: np.ndarray, prior: float):
-        patterns, counts = np.unique(votes, axis=0, return_counts=True) if len(votes) else (np.zeros((0, votes.shape[1])), np.zeros(0))
-        x = patterns.astype(float)
+    def __init__(self, votes: np.ndarray, gold: np.ndarray, prior: float):
+        every = np.hstack([votes, gold.reshape(-1, 1).astype(votes.dtype)])
+        patterns, counts = np.unique(every, axis=0, return_counts=True) if len(every) else (every, np.zeros(0))
+        x, gold = patterns[:, :-1].astype(float), patterns[:, -1]
         self.prior = min(max(prior, 1e-3), 0.5)
-        posterior = np.where(x.sum(axis=1) > 0, 0.9, self.prior / 4)
+        posterior = np.where(gold == 1, ANNOTATOR, 1 - ANNOTATOR)
         self.share = np.ones(votes.shape[1])
         for _ in range(ROUNDS):
             one, zero = counts * posterior, counts * (1 - posterior)
             self.toxic = (one @ x + STRENGTH * 0.3) / (one.sum() + STRENGTH)
             self.clean = np.minimum((zero @ x + STRENGTH * 0.003) / (zero.sum() + STRENGTH), self.toxic)
             self.share = self._shares(x, one, zero)
-            posterior = self.posterior(x)
+            posterior = self.posterior(x, gold)
 
     def _shares(self, x: np.ndarray, one: np.ndarray, zero: np.ndarray) -> np.ndarray:
         total = np.zeros((x.shape[1], x.shape[1]))
@@ -109,10 +126,11 @@ class LabelModel:
         np.fill_diagonal(correlation, 0)
         return 1 / (1 + np.where(correlation > 0.3, correlation, 0).sum(axis=1))
 
-    def posterior(self, votes: np.ndarray) -> np.ndarray:
+    def posterior(self, votes: np.ndarray, gold: np.ndarray) -> np.ndarray:
         x = votes.astype(float)
         fired, silent = np.log(self.toxic / self.clean), np.log((1 - self.toxic) / (1 - self.clean))
         evidence = math.log(self.prior / (1 - self.prior)) + x @ (self.share * fired) + (1 - x) @ (self.share * silent)
+        evidence = evidence + np.where(gold == 1, 1, -1) * math.log(ANNOTATOR / (1 - ANNOTATOR))
         return 1 / (1 + np.exp(-np.clip(evidence, -30, 30)))
 
 
@@ -139,15 +157,23 @@ def _word_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             for w in words_of(text):
                 found.setdefault(w, [0, 0])[toxic] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array([v[1] for v in found.values()], pa.int64()), pa.array([v[0] for v in found.values()], pa.int64())], names=["word", "toxic", "clean"])
+            if len(found) > HELD_WORDS:
+                yield _counts(found)
+                found = {}
+        yield _counts(found)
+
+
+def _counts(found: dict[str, list[int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([v[1] for v in found.values()], pa.int64()), pa.array([v[0] for v in found.values()], pa.int64())], names=["word", "toxic", "clean"])
 
 
 def _features(batches: Iterator[pa.RecordBatch], learned: list[list[str]], vocabulary: list[str]) -> Iterator[pa.RecordBatch]:
     voters, place = Voters(learned), {w: i for i, w in enumerate(vocabulary)}
+    stems = stems_in([*vocabulary, *(w for x in learned for w in x)])
     for batch in batches:
         votes, words = [], []
         for text in batch.column(0).to_pylist():
-            own = words_of(text)
+            own = words_of(text, stems)
             votes.append(voters.votes(text, own).tobytes())
             words.append(sorted(place[w] for w in own & place.keys()))
         yield pa.RecordBatch.from_arrays([pa.array(votes, pa.binary()), pa.array(words, pa.list_(pa.int32())), batch.column(1)], names=["votes", "words", "toxic"])
@@ -168,12 +194,13 @@ def learn(labelled: DataFrame) -> dict:
     found = rows.mapInArrow(partial(_features, learned=learned, vocabulary=vocabulary), "votes binary, words array<int>, toxic int").toArrow()
     voters = Voters(learned)
     votes = np.frombuffer(b"".join(found.column("votes").to_pylist()), np.int8).reshape(-1, voters.size)
-    label_model = LabelModel(votes, toxic / max(1, toxic + clean) or 0.05)
+    gold = found.column("toxic").to_numpy()
+    label_model = LabelModel(votes, gold, toxic / max(1, toxic + clean) or 0.05)
     x = np.zeros((len(votes), len(vocabulary) + voters.size), np.float32)
     for i, words in enumerate(found.column("words").to_pylist()):
         x[i, words] = 1
     x[:, len(vocabulary) :] = votes
-    y = label_model.posterior(votes)
+    y = label_model.posterior(votes, gold)
     if len(x) and y.max() > 0.5:
         w = fit_linear(x, y)
     else:  # nothing to learn from
@@ -185,10 +212,11 @@ def _scored(batches: Iterator[pa.RecordBatch], model: dict) -> Iterator[pa.Recor
     voters, weights = Voters(model["learned"]), np.array(model["weights"])
     of_word = dict(zip(model["vocabulary"], weights.tolist()))
     of_vote, constant = weights[len(of_word) : -1], float(weights[-1])
+    stems = stems_in([*model["vocabulary"], *(w for x in model["learned"] for w in x)])
     for batch in batches:
         out = []
         for text in batch.column(1).to_pylist():
-            own = words_of(text)
+            own = words_of(text, stems)
             total = constant + float(voters.votes(text, own) @ of_vote) + sum(of_word[w] for w in sorted(own & of_word.keys()))
             out.append(1 / (1 + math.exp(-min(30.0, max(-30.0, total)))))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], names=["k", "s"])
