@@ -1,4 +1,480 @@
-"""The registered queries and their SQL."""
+"""The registered queries over the test tables; their SQL is in oracles."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from segue.functions import text as fx
+from segue.functions.vectors import dot
+from segue.operators import analytics, catalog, corpus, coverage, match, pairs, playlist, recommend, search, train
+from segue.plans import bindings as b
+from segue.plans.oracles import ORACLES
+
+__all__ = ["ORACLES", "QUERIES"]
 
 QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+MIN_COUNT = 20
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+# -- text --------------------------------------------------------------------------------------------------------
+
+
+def _documents(spark: SparkSession, sf: str) -> DataFrame:
+    return b.table(spark, sf, "documents").select("doc_id", "text")
+
+
+@query
+def normalize_text(spark, sf):
+    return _documents(spark, sf).select("doc_id", F.md5(fx.normalize_text("text")).alias("normalized"))
+
+
+@query
+def split_artists(spark, sf):
+    return b.table(spark, sf, "part").select("p_partkey", F.array_join(fx.split_artists(F.concat_ws("", "p_brand", F.lit(" feat. "), "p_type", F.lit(" & "), "p_name")), ",").alias("artists"))
+
+
+@query
+def canonical_title(spark, sf):
+    return b.table(spark, sf, "part").select("p_partkey", fx.canonical_title(F.concat("p_name", F.lit(" (Live "), "p_brand", F.lit(" Remastered Version)"))).alias("title"))
+
+
+@query
+def script_filter(spark, sf):
+    docs = _documents(spark, sf)
+    return docs.where(docs.text.rlike("[éèñüöäß]")).select("doc_id", F.length("text").alias("n"))
+
+
+@query
+def track_links(spark, sf):
+    rows = b.table(spark, sf, "part").select("p_partkey", F.concat(F.when(F.col("p_partkey") % 2 == 0, "spotify:track:").otherwise("local:"), "p_partkey").alias("uri"))
+    return rows.select("p_partkey", fx.track_link("uri").alias("link"), fx.duration_text(F.col("p_partkey") * 37).alias("duration"), fx.percent(F.col("p_partkey") / 3000).alias("percent"))
+
+
+@query
+def markdown_cells(spark, sf):
+    return _documents(spark, sf).select("doc_id", F.md5(fx.markdown_cell("text")).alias("cell"))
+
+
+# -- corpus ------------------------------------------------------------------------------------------------------
+
+
+@query
+def sentence_build(spark, sf):
+    found = corpus.sentences(b.playlists(spark, sf))
+    return found.select("pid", F.array_join("uris", " ").alias("uris"))
+
+
+@query
+def corpus_statistics(spark, sf):
+    return corpus.corpus_statistics(b.playlists(spark, sf))
+
+
+@query
+def occurrence_count(spark, sf):
+    return corpus.occurrence_counts(b.occurrences(spark, sf))
+
+
+@query
+def first_seen_metadata(spark, sf):
+    found = corpus.first_seen(b.named_occurrences(spark, sf), order=b.ORDER)
+    return found.select("track_uri", "track_name", "artist_name", "album_name", F.col("first.pid").alias("first_pid"), F.col("first.pos").alias("first_pos"))
+
+
+@query
+def vocab_index(spark, sf):
+    return corpus.vocabulary(b.named_occurrences(spark, sf), 2, order=b.ORDER).select("track_uri", "track_name", "count", "idx")
+
+
+@query
+def min_count_filter(spark, sf):
+    return corpus.occurrence_counts(b.occurrences(spark, sf)).where(F.col("count") >= MIN_COUNT)
+
+
+@query
+def metadata_for_keys(spark, sf):
+    rows = b.named_occurrences(spark, sf)
+    keys = corpus.occurrence_counts(rows).where(F.col("count") >= MIN_COUNT)
+    return corpus.metadata_of(rows.withColumn("file_ord", F.lit(0)).withColumn("playlist_ord", F.col("pid")), keys).select("track_uri", "track_name", "artist_name", "album_name")
+
+
+@query
+def popularity_prior(spark, sf):
+    return b.tracks(spark, sf).select("idx", F.round("popularity", 6).alias("popularity"))
+
+
+@query
+def first_playlists(spark, sf):
+    return corpus.sentences(corpus.capped(b.playlists(spark, sf), 50)).select("pid", F.size("uris").alias("n"))
+
+
+@query
+def oov_removal(spark, sf):
+    rows = b.occurrences(spark, sf)
+    vocab = corpus.occurrence_counts(rows).where(F.col("count") >= MIN_COUNT).select("track_uri", F.substring_index("track_uri", ":", -1).cast("long").alias("idx"))
+    return corpus.in_vocabulary(rows, vocab).select("pid", F.array_join("ids", " ").alias("ids"))
+
+
+# -- pairs and training ------------------------------------------------------------------------------------------
+
+
+def _lists(spark: SparkSession, sf: str) -> DataFrame:
+    return b.occurrences(spark, sf).groupBy("pid").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "part"))), lambda e: e["part"]).alias("ids")).where(F.size("ids") >= 2)
+
+
+@query
+def skipgram_pairs(spark, sf):
+    return pairs.skipgram_pairs(_lists(spark, sf)).groupBy("center", "context").agg(F.count("*").alias("n"))
+
+
+@query
+def pair_cap(spark, sf):
+    return pairs.capped_pairs(pairs.skipgram_pairs(_lists(spark, sf)), 20)
+
+
+@query
+def context_windows(spark, sf):
+    return pairs.context_windows(b.occurrences(spark, sf), 2, item="part").select("pid", "pos", "part", F.array_join("context", " ").alias("context"))
+
+
+@query
+def negative_sampling_probs(spark, sf):
+    return corpus.sampling_distribution(corpus.occurrence_counts(b.occurrences(spark, sf))).select("track_uri", F.round("probability", 10).alias("probability"))
+
+
+@query
+def train_word2vec(spark, sf):
+    lists = corpus.sentences(b.playlists(spark, sf))
+    found = train.word2vec_vectors(lists, train.Config(vector_size=16, epochs=1, min_count=5))
+    return found.select("track_uri", F.size("embedding").alias("dim"), F.round(dot(F.col("embedding_norm"), F.col("embedding_norm")), 6).alias("length"))
+
+
+# -- catalogue and search ----------------------------------------------------------------------------------------
+
+
+@query
+def batch_lookup(spark, sf):
+    found, _ = catalog.batch_lookup(b.tracks(spark, sf), b.seeds(spark))
+    return found.select("ord", "track_uri", "track_name", "count")
+
+
+@query
+def missing_uris(spark, sf):
+    return catalog.batch_lookup(b.tracks(spark, sf), b.seeds(spark))[1]
+
+
+@query
+def point_lookup(spark, sf):
+    return catalog.lookup(b.tracks(spark, sf), "track:42").select("idx", "track_name", "artist_name")
+
+
+@query
+def token_index(spark, sf):
+    return catalog.index_sizes(catalog.token_postings(b.tracks(spark, sf)), "token")
+
+
+@query
+def artist_index(spark, sf):
+    return catalog.index_sizes(catalog.artist_postings(b.tracks(spark, sf)), "artist")
+
+
+@query
+def index_statistics(spark, sf):
+    return catalog.index_statistics(b.tracks(spark, sf))
+
+
+@query
+def title_index(spark, sf):
+    return catalog.title_index(b.tracks(spark, sf))
+
+
+@query
+def exact_index(spark, sf):
+    return catalog.exact_index(b.tracks(spark, sf))
+
+
+@query
+def prefix_match(spark, sf):
+    return catalog.prefix_postings(b.tracks(spark, sf), ["sm", "bo", "econ"])
+
+
+@query
+def search_rank(spark, sf):
+    return search.scored(b.tracks(spark, sf), "small ring").select("idx", "score", "count")
+
+
+@query
+def search_page(spark, sf):
+    return search.search(b.tracks(spark, sf), "Brand 2", 20, 10).select("idx", "score", "count")
+
+
+# -- matching ----------------------------------------------------------------------------------------------------
+
+
+@query
+def match_detailed(spark, sf):
+    return match.match_detailed(b.texts(spark), b.tracks(spark, sf))
+
+
+@query
+def match_uris(spark, sf):
+    return match.matched_seeds(match.match_detailed(b.texts(spark), b.tracks(spark, sf)))
+
+
+@query
+def match_summary(spark, sf):
+    return match.match_summary(match.match_detailed(b.texts(spark), b.tracks(spark, sf)))
+
+
+# -- recommendations ---------------------------------------------------------------------------------------------
+
+OPTIONS = recommend.Options(min_count=1, pool=100, top_n=20, recent_k=2)
+
+
+def _hybrid(preset: str):
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        found = recommend.hybrid(b.tracks(spark, sf), b.seeds(spark), recommend.weights(preset), OPTIONS)
+        parts = [F.round(c, 6).alias(c) for c in ("score", "recent", "whole", "support", "popularity", "affinity")]
+        return found.select("rank", "idx", "track_name", *parts, "explanation")
+
+    return run
+
+
+for _preset in ("balance", "more_recent", "favorite", "more_popular"):
+    QUERIES[f"hybrid_{_preset}"] = _hybrid(_preset)
+
+
+@query
+def simple_recommend(spark, sf):
+    found = recommend.simple(b.tracks(spark, sf), b.seeds(spark))
+    return found.select("rank", "idx", "track_name", F.round("score", 6).alias("score"))
+
+
+@query
+def hybrid_cli(spark, sf):
+    options = recommend.Options(side="last", min_count=5, pool=100, recent_k=2, overfetch="plain", duplicates=False)
+    found = recommend.hybrid(b.tracks(spark, sf), b.seeds(spark), recommend.Weights(), options)
+    return found.select("rank", "idx", F.round("score", 6).alias("score"))
+
+
+def _own(spark, sf):
+    tracks = b.tracks(spark, sf)
+    return tracks, recommend.known_seeds(tracks, b.seeds(spark))
+
+
+@query
+def candidate_pool(spark, sf):
+    tracks, own = _own(spark, sf)
+    return recommend.candidates(tracks, own, recommend.PRESETS["favorite"], OPTIONS).select("idx")
+
+
+@query
+def multi_seed_support(spark, sf):
+    tracks, own = _own(spark, sf)
+    return recommend.with_support(tracks, own).select("idx", F.round("support", 6).alias("support"))
+
+
+@query
+def artist_affinity(spark, sf):
+    tracks, own = _own(spark, sf)
+    return recommend.with_affinity(tracks, own).select("idx", F.round("affinity", 6).alias("affinity"))
+
+
+@query
+def favorite_pool(spark, sf):
+    tracks, own = _own(spark, sf)
+    rows = recommend.without_duplicates(recommend.without_seeds(recommend.with_affinity(tracks, own), own), own)
+    return recommend.favorite_pool(rows, 30).select("idx", F.round("affinity", 6).alias("affinity"), "count")
+
+
+@query
+def seed_duplicate_anti(spark, sf):
+    tracks, own = _own(spark, sf)
+    return recommend.without_duplicates(tracks, own).select("idx")
+
+
+@query
+def explanations(spark, sf):
+    tracks, own = _own(spark, sf)
+    rows = recommend.with_support(recommend.with_similarities(recommend.with_affinity(tracks, own), own, OPTIONS), own)
+    return rows.select("idx", fx.explanation(*[F.round(c, 6) for c in ("recent", "whole", "support", "popularity", "affinity")]).alias("explanation"))
+
+
+# -- coverage ----------------------------------------------------------------------------------------------------
+
+
+def _entries(spark, sf):
+    """Every part name with a brand, as a wanted song."""
+    rows = b.table(spark, sf, "part").select(F.col("p_partkey").alias("ord"), F.concat("p_brand", F.lit(" feat. "), "p_type", F.lit(" - "), F.when(F.col("p_partkey") % 7 == 0, F.concat("p_name", F.lit(" x"))).otherwise(F.upper("p_name"))).alias("raw"))
+    artist, title = fx.split_line("raw")
+    return coverage.entries(rows.select("ord", "raw", F.when(F.col("ord") % 3 == 0, "someone").otherwise(artist).alias("artist"), title.alias("title")))
+
+
+def _found(spark, sf):
+    return coverage.candidates(b.named_occurrences(spark, sf), _entries(spark, sf), b.ORDER)
+
+
+def _matches(spark, sf):
+    return coverage.choose_matches(_entries(spark, sf), _found(spark, sf))
+
+
+@query
+def coverage_candidates(spark, sf):
+    return _found(spark, sf).select("title_key", "track_uri", "occurrences", "playlist_count", F.array_join("example_pids", " ").alias("example_pids"))
+
+
+@query
+def coverage_match(spark, sf):
+    return _matches(spark, sf)
+
+
+@query
+def coverage_summary(spark, sf):
+    return coverage.summary(_matches(spark, sf))
+
+
+@query
+def coverage_methods(spark, sf):
+    return coverage.methods(_matches(spark, sf))
+
+
+@query
+def top_artists(spark, sf):
+    return coverage.top_artists(_matches(spark, sf))
+
+
+@query
+def uncertain_export(spark, sf):
+    return coverage.uncertain(_matches(spark, sf))
+
+
+@query
+def filtered_tracks(spark, sf):
+    found = coverage.filtered_tracks(b.named_occurrences(spark, sf), "^(small|red) ", order=b.ORDER)
+    return found.select("track_uri", "track_name", "artist_name", "occurrences", F.array_join("example_pids", " ").alias("example_pids"))
+
+
+@query
+def filtered_manifest(spark, sf):
+    return coverage.manifest(coverage.filtered_tracks(b.named_occurrences(spark, sf), "^(small|red) ", order=b.ORDER))
+
+
+# -- playlist editing --------------------------------------------------------------------------------------------
+
+
+@query
+def parse_import(spark, sf):
+    name, brand = F.col("p_name"), F.col("p_brand")
+    kinds = [F.concat(brand, F.lit(" – "), name), F.concat(F.lit('"'), brand, F.lit(', "";""x";'), name), F.concat(brand, F.lit(","), name, F.lit(",more")), name]
+    line = F.element_at(F.array(*kinds), (F.col("p_partkey") % 4 + 1).cast("int"))
+    return playlist.parse_import(b.table(spark, sf, "part").select(F.col("p_partkey").alias("ord"), line.alias("value")))
+
+
+def _two_lists(spark, sf):
+    rows = b.table(spark, sf, "part").select(F.col("p_partkey").alias("ord"), F.when(F.col("p_partkey") % 5 == 0, F.concat(F.lit("track:"), F.col("p_partkey") % 10)).otherwise("").alias("track_uri"), F.col("p_brand").alias("artist_name"), F.col("p_name").alias("track_name"))
+    return rows.where("ord % 2 = 0"), rows.where("ord % 2 = 1 or ord % 20 = 0")
+
+
+@query
+def playlist_dedupe(spark, sf):
+    return playlist.merged(*_two_lists(spark, sf))
+
+
+@query
+def playlist_duplicates(spark, sf):
+    return playlist.duplicates(*_two_lists(spark, sf))
+
+
+# -- analyses ----------------------------------------------------------------------------------------------------
+
+
+def _members(spark, sf):
+    rows = b.occurrences(spark, sf)
+    vectors = b.table(spark, sf, "embeddings").select(F.col("vec_id").alias("part"), F.col("embedding").cast("array<double>").alias("embedding"))
+    return rows.join(vectors, "part").select("pid", "pos", "embedding")
+
+
+@query
+def similar_items(spark, sf):
+    return analytics.similar(b.tracks(spark, sf), 42).select("idx", F.round("similarity", 6).alias("similarity"))
+
+
+@query
+def neighbor_table(spark, sf):
+    return analytics.neighbor_table(b.tracks(spark, sf), 5).select("idx", "rank", "neighbor", F.round("similarity", 6).alias("similarity"))
+
+
+@query
+def cohesion(spark, sf):
+    return analytics.cohesion(_members(spark, sf)).select("pid", F.round("cohesion", 6).alias("cohesion"), (F.round("diversity", 6) + 0.0).alias("diversity"))
+
+
+@query
+def centrality_outliers(spark, sf):
+    return analytics.centrality(_members(spark, sf)).select("pid", "pos", F.round("centrality", 6).alias("centrality"), (F.round("outlier", 6) + 0.0).alias("outlier"))
+
+
+@query
+def top_tags(spark, sf):
+    return analytics.top_tags(b.table(spark, sf, "part").select(F.col("p_type").alias("tag"), F.col("p_size").cast("long").alias("weight")))
+
+
+def _moves(spark, sf):
+    return analytics.transitions(b.table(spark, sf, "events"), "event_type", "user_id", ["ts", "event_id"])
+
+
+@query
+def transition_probs(spark, sf):
+    return _moves(spark, sf).select("prev", "next", "n", F.round("probability", 6).alias("probability"))
+
+
+@query
+def transition_probs_2(spark, sf):
+    return analytics.transitions_2(b.table(spark, sf, "events"), "event_type", "user_id", ["ts", "event_id"]).select("prev2", "prev", "next", "n", F.round("probability", 6).alias("probability"))
+
+
+@query
+def transition_entropy(spark, sf):
+    return analytics.transition_entropy(_moves(spark, sf)).select("prev", F.round("entropy", 6).alias("entropy"))
+
+
+def _items(spark, sf):
+    return b.occurrences(spark, sf).select("pid", F.col("part").alias("item"))
+
+
+@query
+def cooccurrence_ppmi(spark, sf):
+    return analytics.ppmi(_items(spark, sf)).select("a", "b", "n", F.round("pmi", 6).alias("pmi"), F.round("ppmi", 6).alias("ppmi"))
+
+
+@query
+def item_knn(spark, sf):
+    return analytics.item_knn(_items(spark, sf), 3).select("item", "rank", "neighbor", F.round("similarity", 6).alias("similarity"))
+
+
+@query
+def recall_ndcg_at_k(spark, sf):
+    """How well the most frequent tracks of a brand foretell an order's lines of that brand."""
+    rows = b.named_occurrences(spark, sf)
+    ranked = rows.groupBy(F.col("album_name").alias("query"), F.col("part").alias("item")).agg(F.count("*").alias("n"))
+    from pyspark.sql.window import Window
+
+    ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("n"), "item")))
+    relevant = rows.where("pid % 5 = 0").select(F.col("album_name").alias("query"), F.col("part").alias("item"))
+    found = analytics.ranking_metrics(ranked, relevant, 10)
+    return found.select("query", *[F.round(c, 6).alias(c) for c in ("recall", "precision", "ndcg", "ap", "rr")], "hit")
+
+
+@query
+def fuzzy_titles(spark, sf):
+    return analytics.fuzzy_titles(b.tracks(spark, sf), "smal rings").select("idx", F.round("similarity", 6).alias("similarity"))
+
+
+@query
+def item_clusters(spark, sf):
+    return analytics.clusters(b.tracks(spark, sf))
