@@ -83,7 +83,8 @@ def nearest(queries: np.ndarray, own: np.ndarray, ids: np.ndarray, vectors: np.n
             order = np.lexsort((ids[picked], ~exact), axis=1)[:, :k]
             top = np.take_along_axis(exact, order, 1)
             scores[rows, : top.shape[1]] = top
-            found[rows, : top.shape[1]] = ids[np.take_along_axis(picked, order, 1)]
+            # what has no bound is the query itself
+            found[rows, : top.shape[1]] = np.where(top == least, np.iinfo(np.int64).max, ids[np.take_along_axis(picked, order, 1)])
         if reads == n:
             break
         unread = part.copy()
