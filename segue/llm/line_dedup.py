@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from segue.llm.common import written
+from segue.llm.common import filter_words, may_be_held, spare_prefix, written
 
 MODULUS = 2
 
@@ -40,7 +40,9 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     parts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.explode(chunks_of(text_col)).alias("c")).select("id", "text_hash", "c.place", "c.lines", "c.chunk")
     parts = parts.where(r"lines > 1 AND chunk rlike '\\S'").select("id", "text_hash", "place", "chunk", F.xxhash64("chunk").alias("hash"))
     often = written(parts.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "repeated-hashes")
-    found = written(parts.join(often, "hash", "left_semi"), "repeated-chunks")
+    # a filter of bounded size keeps the bytes of single chunks out of the shuffle, the join is exact
+    likely = may_be_held(parts, "hash", filter_words(often, "hash"))
+    found = written(likely.join(often, "hash", "left_semi"), "repeated-chunks")
     first = found.groupBy("hash", "chunk").agg(F.min(F.struct("id", "text_hash", "place")).alias("first"))
     later = found.join(first, ["hash", "chunk"]).where(~F.struct("id", "text_hash", "place").eqNullSafe(F.col("first")))
     return later.groupBy("id", "text_hash").agg(F.collect_set("place").alias("gone"))
@@ -48,13 +50,15 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", removed_col: str | None = None) -> DataFrame:
     """The rows of docs without repeated chunks in their texts; removed_col counts the chunks that went."""
-    gone = repeated(docs, id_col, text_col).select(F.col("id").alias("__id"), F.col("text_hash").alias("__text_hash"), F.col("gone").alias("__gone"))
-    both = docs.withColumn("__hash", F.xxhash64(text_col)).join(gone, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__text_hash")), "left")
-    kept = F.array_join(F.transform(F.filter(chunks_of(text_col), lambda c: ~F.array_contains(F.col("__gone"), c["place"])), lambda c: c["chunk"]), "\n")
-    text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(kept).alias(text_col)
+    p = spare_prefix(docs)
+    gone = repeated(docs, id_col, text_col).select(F.col("id").alias(f"{p}id"), F.col("text_hash").alias(f"{p}text_hash"), F.col("gone").alias(f"{p}gone"))
+    both = docs.withColumn(f"{p}hash", F.xxhash64(text_col)).join(gone, F.col(id_col).eqNullSafe(F.col(f"{p}id")) & (F.col(f"{p}hash") == F.col(f"{p}text_hash")), "left")
+    places = F.col(f"{p}gone")
+    kept = F.array_join(F.transform(F.filter(chunks_of(text_col), lambda c: ~F.array_contains(places, c["place"])), lambda c: c["chunk"]), "\n")
+    text = F.when(places.isNull(), F.col(text_col)).otherwise(kept).alias(text_col)
     columns = [text if c == text_col else docs[c] for c in docs.columns]
     if removed_col:
-        columns.append(F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).alias(removed_col))
+        columns.append(F.when(places.isNull(), 0).otherwise(F.size(places)).alias(removed_col))
     return both.select(*columns)
 
 
