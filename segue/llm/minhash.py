@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from segue.llm.bpe import Slots, joined
-from segue.llm.common import text_of, written
+from segue.llm.common import filter_words, may_be_held, spare_prefix, text_of, written
 from segue.llm.components import components, popular_hubs
 
 WORDS, SIMILARITY = 5, 0.8
@@ -40,8 +40,6 @@ RARE, MOST_WORDS = 1e-3, 500_000
 #: Nodes of a bucket that one task holds, and that it compares them with.
 HELD_BLOCK, READ_BLOCK = 128, 512
 TABLE, CACHE_WORDS, SEED = 1 << 16, 200_000, 77
-#: Bits of the filter of ids that texts are looked up for.
-MOST_BITS = 1 << 26
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -200,23 +198,10 @@ def _signed(batches: Iterator[pa.RecordBatch], table) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.list_(pa.int64()))], names=["id", "same", "bands"])
 
 
-def id_filter(ids: DataFrame, column: str) -> np.ndarray:
-    """Bits by a hash of the ids, set in tasks and joined by word: 16 for each id, at most MOST_BITS in all."""
-    bits = 1 << max(10, min(MOST_BITS.bit_length() - 1, (16 * ids.count()).bit_length()))
-    place = F.pmod(F.xxhash64(column), F.lit(bits))
-    words = ids.select(place.alias("p")).select(F.expr("p div 32 AS w"), F.expr("shiftleft(1L, int(p % 32)) AS b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
-    found = np.zeros(bits // 32, np.uint32)
-    found[words.column("w").to_numpy()] = words.column("b").to_numpy().astype(np.uint32)
-    return found
-
-
-def _zipped(batches: Iterator[pa.RecordBatch], bits) -> Iterator[pa.RecordBatch]:
-    """Packed texts of the rows (id, text, hash) that the filter may hold."""
+def _zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import zlib
 
     for batch in batches:
-        at = batch.column(2).to_numpy() % (bits.value.size * 32)
-        batch = batch.filter(pa.array((bits.value[at // 32] >> (at % 32).astype(np.uint32)) & 1 == 1))
         packed = [zlib.compress(t.encode("utf-8", "surrogatepass"), 1) for t in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["node", "z"])
 
@@ -306,9 +291,9 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     nodes = pairs.select("node").union(pairs.select("hub")).distinct()
     nodes = written(nodes, "compared-nodes")
     # most texts are compared with no other: a filter of bounded size keeps them out of the shuffle, the join is exact
-    bits = spark.sparkContext.broadcast(id_filter(nodes, "node"))
-    packed = known.select("id", "t", F.xxhash64("id").alias("h")).mapInArrow(partial(_zipped, bits=bits), "node long, z binary")
-    texts = written(packed.join(nodes, "node", "left_semi"), "node-texts")
+    words = filter_words(nodes.select(F.xxhash64("node").alias("h")), "h")
+    wanted = may_be_held(known.withColumn("h", F.xxhash64("id")), "h", words)
+    texts = written(wanted.select("id", "t").mapInArrow(_zipped, "node long, z binary").join(nodes, "node", "left_semi"), "node-texts")
     # a hub with many nodes has several tasks; how many, by its largest bucket
     tasks = pairs.join(pairs.groupBy("hub").agg(F.count("*").alias("all")), "hub").select("hub", "node", F.struct("hub", F.pmod(F.xxhash64("node"), _blocks("all", READ_BLOCK)).alias("i"), F.lit(0).alias("j"), F.lit(-1).alias("band"), F.lit(0).cast("long").alias("k")).alias("task"))
     plain = [F.lit(-1).alias("band"), F.array(F.lit(0).cast("long")).alias("bands")]
@@ -343,6 +328,6 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """The rows of docs that stay: of each class the document with the smallest id, and rows without an id."""
     classes = near_classes(docs, id_col, text_col, similarity)
-    kept = classes.where(F.col(id_col) == F.col("class_id")).distinct().select(F.col(id_col).cast("long").alias("__kept"))
-    stay = docs.join(kept, docs[id_col].cast("long") == kept["__kept"], "left_semi").dropDuplicates([id_col])
+    kept = classes.where(F.col(id_col) == F.col("class_id")).distinct().select(F.col(id_col).cast("long").alias(f"{spare_prefix(docs)}kept"))
+    stay = docs.join(kept, docs[id_col].cast("long") == kept[kept.columns[0]], "left_semi").dropDuplicates([id_col])
     return stay.unionByName(docs.where(F.col(id_col).isNull()))
