@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from segue.llm.common import spare_prefix
+
 UNKNOWN = "und"
 #: Places of a profile; share of a language's n-grams below which an n-gram is none of its most frequent.
 PROFILE, LEAST_SHARE = 400, 1e-5
@@ -147,7 +149,7 @@ def predict(docs: DataFrame, learned: dict[str, list[int]], carry: list[str], te
     """The columns of carry, and lang_pred, score, distance, grams (behind a prefix) for every row."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema)
     schema += f", {prefix}lang_pred string, {prefix}score double, {prefix}distance double, {prefix}grams long"
-    return docs.select(*carry, F.col(text_col).alias("__text")).mapInArrow(partial(_predicted, learned=learned, places=places), schema)
+    return docs.select(*carry, F.col(text_col).alias(f"{spare_prefix(docs)}text")).mapInArrow(partial(_predicted, learned=learned, places=places), schema)
 
 
 def rejected(prefix: str = "") -> Column:
@@ -158,5 +160,6 @@ def rejected(prefix: str = "") -> Column:
 
 def accepted(docs: DataFrame, learned: dict[str, list[int]], text_col: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, that are not rejected."""
-    kept = predict(docs, learned, docs.columns, text_col, prefix="__").where(~rejected("__"))
+    p = spare_prefix(docs)
+    kept = predict(docs, learned, docs.columns, text_col, prefix=p).where(~rejected(p))
     return kept.select(*docs.columns)

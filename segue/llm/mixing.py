@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from segue.llm.common import written
+from segue.llm.common import spare_prefix, written
 
 #: Weights by a source's place in code point order; the mix's share of all sizes; most copies of a document.
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2.0
@@ -163,8 +163,10 @@ def mix(docs: DataFrame, keys: list[str] | None = None, source_col: str = "sourc
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """The rows of docs, each as often as the mix takes it. Repeated rows share their copies evenly, rounded up."""
-    columns = docs.columns
-    keyed = docs.withColumn("__hash", F.xxhash64(text_col))
-    taken = mix(keyed, [id_col, "__hash"], source_col, text_col).groupBy(F.col(id_col).alias("__id"), "__hash").agg(F.ceil(F.sum("copies") / F.count("*")).cast("int").alias("__copies")).where("__copies > 0")
-    both = keyed.join(taken, keyed[id_col].eqNullSafe(taken["__id"]) & (keyed["__hash"] == taken["__hash"]))
-    return both.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[keyed[c] for c in columns])
+    p = spare_prefix(docs)
+    keyed = docs.withColumn(f"{p}hash", F.xxhash64(text_col))
+    decided = mix(keyed, [id_col, f"{p}hash"], source_col, text_col).select(F.col(id_col).alias("i"), F.col(f"{p}hash").alias("h"), "copies")
+    copies = F.ceil(F.sum("copies") / F.count("*")).cast("int")
+    taken = decided.groupBy("i", "h").agg(copies.alias("c")).where("c > 0").toDF(*(f"{p}{n}" for n in ("i", "h", "c")))
+    both = keyed.join(taken, F.col(id_col).eqNullSafe(F.col(f"{p}i")) & (F.col(f"{p}hash") == F.col(f"{p}h")))
+    return both.withColumn(f"{p}n", F.explode(F.sequence(F.lit(1), F.col(f"{p}c")))).select(*[keyed[c] for c in docs.columns])

@@ -225,7 +225,7 @@ def _scored(batches: Iterator[pa.RecordBatch], model: dict) -> Iterator[pa.Recor
 def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score): how likely every whole text is toxic."""
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_of(text_col).alias("__text")).mapInArrow(partial(_scored, model=model), f"`{id_col}` {kind}, score double")
+    return docs.select(id_col, text_of(text_col).alias("t")).mapInArrow(partial(_scored, model=model), f"`{id_col}` {kind}, score double")
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> DataFrame:

@@ -25,6 +25,6 @@ def test_odd_rows(spark, odd, none):
     assert len(rows) == odd.count()
     assert {r["lang_pred"] for r in rows if r["doc_id"] in (1, 2, 3, 8)} == {"und"}
     kept = li.accepted(odd, learned)
-    assert kept.columns == odd.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == ["4", "5", "6", "6", "7", "None"]
+    assert kept.columns == odd.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == ["6", "6", "7", "None"]  # 4 and 5 are long and like no profile
     assert li.predict(none, {}, ["doc_id"]).count() == 0 and li.profiles(none) == {}
     assert {r["lang_pred"] for r in li.predict(odd, {}, ["doc_id"]).collect()} == {"und"}
