@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from segue.functions.text import CYRILLIC, markdown_cell, normalize_text, or_empty, split_artists, split_line
-from segue.operators.corpus import ORDINAL, ordinal
+from segue.operators.corpus import METADATA, ORDINAL, ordinal
 
 CONFIDENT = ("exact_title_same_artist_set", "exact_title_artist_overlap")
 
@@ -98,7 +98,7 @@ def filtered_tracks(occurrences: DataFrame, pattern: str = CYRILLIC, columns: tu
     for c in columns:
         hit = hit | F.coalesce(F.col(c).rlike(pattern), F.lit(False))
     found = occurrences.where(hit)
-    extra = [c for c in ("artist_uri", "album_uri", "duration_ms") if c in occurrences.columns]
+    extra = [c for c in METADATA if c in occurrences.columns and c not in columns]
     counted = found.groupBy("track_uri").agg(F.count("*").alias("occurrences"), F.min_by(F.struct(*columns, *extra), ordinal(order)).alias("m"), F.min(ordinal(order)).alias("first"))
     rows = counted.select("track_uri", *[F.col(f"m.{c}").alias(c) for c in (*columns, *extra)], "occurrences", "first")
     return rows.join(_first_pids(found, ["track_uri"], order), "track_uri")

@@ -16,6 +16,10 @@ from segue.operators.corpus import sampling_distribution
 from segue.operators.pairs import capped_pairs, skipgram_pairs
 
 
+#: Pairs of a gradient step.
+BLOCK = 64
+
+
 @dataclass(frozen=True)
 class Config:
     vector_size: int = 64
@@ -66,8 +70,8 @@ def _trained(frames: Iterator[pd.DataFrame], start: tuple[np.ndarray, np.ndarray
     rate = config.learning_rate * (1 - 0.75 * epoch / max(config.epochs, 1))
     seen, losses, pairs = np.zeros(len(vectors), bool), 0.0, 0
     for frame in frames:
-        for at in range(0, len(frame), 512):
-            center, context = frame["center"].to_numpy()[at : at + 512], frame["context"].to_numpy()[at : at + 512]
+        for at in range(0, len(frame), BLOCK):
+            center, context = frame["center"].to_numpy()[at : at + BLOCK], frame["context"].to_numpy()[at : at + BLOCK]
             negatives = np.searchsorted(cdf, rng.random((len(center), config.negative))).clip(0, len(vectors) - 1)
             losses += sgns_step(vectors, contexts, center, context, negatives, rate) * len(center)
             pairs += len(center)
@@ -102,5 +106,5 @@ def sgns(lists: DataFrame, vocab: DataFrame, config: Config = Config(), partitio
         parts = changed.drop_duplicates(["loss", "pairs"])
         losses.append(float(np.average(parts["loss"], weights=parts["pairs"])))
     dealt.unpersist()
-    rows = pd.DataFrame({"idx": np.arange(size), "embedding": list(vectors), "context": list(contexts)})
+    rows = pd.DataFrame({"idx": np.arange(size), "embedding": vectors.tolist(), "context": contexts.tolist()})
     return spark.createDataFrame(rows, "idx long, embedding array<double>, context array<double>"), losses
