@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from segue.llm.common import spare_prefix
+from segue.llm.common import spare_prefix, written
 
 UNKNOWN = "und"
 #: Places of a profile; share of a language's n-grams below which an n-gram is none of its most frequent.
@@ -100,7 +100,7 @@ def profiles(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text"
     The driver gets n-grams with at least LEAST_SHARE of their language's, so at most 1 / LEAST_SHARE a language.
     """
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(text_col, lang_col)
-    counts = rows.mapInArrow(_counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = written(rows.mapInArrow(_counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "gram-counts")
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     kept = counts.join(totals, "lang").where(F.col("n") >= F.col("total") * LEAST_SHARE).select("lang", "gram", "n")
     found: dict[str, list[tuple[int, int]]] = defaultdict(list)

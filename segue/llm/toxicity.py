@@ -185,10 +185,10 @@ def learn(labelled: DataFrame) -> dict:
     sizes = dict(rows.groupBy("toxic").count().collect())
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     counts = rows.mapInArrow(_word_texts, "word string, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    counts = written(counts.where(F.col("toxic") + F.col("clean") >= LEAST_TEXTS), "word-texts")
     lift = ((F.col("toxic") + 0.5) / (toxic + 1.0)) / ((F.col("clean") + 0.5) / (clean + 1.0))
     scored = counts.withColumn("lift", lift).withColumn("gain", F.abs(F.log("lift")) * F.sqrt(F.col("toxic") + F.col("clean")))
-    common = (F.col("toxic") + F.col("clean")) >= LEAST_TEXTS
-    vocabulary = sorted(r["word"] for r in scored.where(common).orderBy(F.desc("gain"), "word").limit(VOCABULARY).collect())
+    vocabulary = sorted(r["word"] for r in scored.orderBy(F.desc("gain"), "word").limit(VOCABULARY).collect())
     telling = [r["word"] for r in scored.where((F.col("toxic") >= LEAST_TEXTS) & (F.col("lift") >= LEAST_LIFT)).orderBy(F.desc("gain"), "word").limit(VOCABULARY).collect()]
     learned = [sorted(telling[i::LEARNED_VOTERS]) for i in range(LEARNED_VOTERS)]
     found = rows.mapInArrow(partial(_features, learned=learned, vocabulary=vocabulary), "votes binary, words array<int>, toxic int").toArrow()
