@@ -42,7 +42,7 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     often = written(parts.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "repeated-hashes")
     # a filter of bounded size keeps the bytes of single chunks out of the shuffle, the join is exact
     likely = may_be_held(parts, "hash", filter_words(often, "hash"))
-    found = written(likely.join(often, "hash", "left_semi"), "repeated-chunks")
+    found = written(likely.join(often, "hash").select(*parts.columns), "repeated-chunks")  # a semi-join would be pushed below the filter
     # written, so that the join deals both sides anew and can split a chunk that very many texts hold
     first = written(found.groupBy("hash", "chunk").agg(F.min(F.struct("id", "text_hash", "place")).alias("first")), "first-chunks")
     later = found.join(first, ["hash", "chunk"]).where(~F.struct("id", "text_hash", "place").eqNullSafe(F.col("first")))
