@@ -70,8 +70,11 @@ class NoSeeds(ValueError):
 
 
 def known_seeds(tracks: DataFrame, seeds: DataFrame) -> DataFrame:
-    """The tracks of seeds (ord, track_uri) in order; repeats stay, unknown uris go."""
-    return F.broadcast(seeds).join(tracks, "track_uri")
+    """The tracks of seeds (ord, track_uri) in order; repeats stay, unknown uris go.
+
+    These are MOST_SEEDS rows at most and are kept, as every later step meets the catalogue with them.
+    """
+    return F.broadcast(seeds).join(tracks, "track_uri").select("ord", "idx", "track_uri", "track_name", "artists", "embedding").coalesce(1).persist()
 
 
 def recent(seeds: DataFrame, k: int, side: str = "first") -> DataFrame:
@@ -85,6 +88,11 @@ def playlist_vector(seeds: DataFrame) -> DataFrame:
     return mean_vector(seeds).select(normalized(F.col("mean")).alias("mean"))
 
 
+def vector_column(one: DataFrame) -> Column:
+    """The vector of a one-row table (mean) as a constant."""
+    return F.array(*[F.lit(float(x)) for x in one.first()["mean"]])
+
+
 def artist_weights(seeds: DataFrame) -> DataFrame:
     """(artist, weight): seeds that name an artist, over the most of any artist."""
     counted = seeds.select(F.explode("artists").alias("artist")).groupBy("artist").agg(F.count("*").alias("n"))
@@ -122,10 +130,9 @@ def with_support(candidates: DataFrame, seeds: DataFrame, most: int = SUPPORT_SE
 
 def with_similarities(tracks: DataFrame, seeds: DataFrame, options: Options) -> DataFrame:
     """tracks with recent and whole: their products with the two query vectors."""
-    near = playlist_vector(recent(seeds, options.recent_k, options.side)).select(F.col("mean").alias("__r"))
-    far = playlist_vector(seeds).select(F.col("mean").alias("__w"))
-    both = near.crossJoin(far)
-    return tracks.crossJoin(F.broadcast(both)).withColumns({"recent": dot(F.col("embedding"), F.col("__r")), "whole": dot(F.col("embedding"), F.col("__w"))}).drop("__r", "__w")
+    near = vector_column(playlist_vector(recent(seeds, options.recent_k, options.side)))
+    far = vector_column(playlist_vector(seeds))
+    return tracks.withColumns({"recent": dot(F.col("embedding"), near), "whole": dot(F.col("embedding"), far)})
 
 
 def nearest(rows: DataFrame, by: str, n: int) -> DataFrame:
@@ -183,6 +190,7 @@ def hybrid(tracks: DataFrame, seeds: DataFrame, w: Weights = Weights(), options:
 def simple(tracks: DataFrame, seeds: DataFrame, top_n: int = 20) -> DataFrame:
     """The top_n tracks nearest to the mean of all seeds, without the seeds."""
     own = known_seeds(tracks, seeds)
-    query = playlist_vector(own).select(F.col("mean").alias("__q"))
-    rows = without_seeds(tracks, own).crossJoin(F.broadcast(query)).withColumn("score", dot(F.col("embedding"), F.col("__q"))).drop("__q")
+    if own.isEmpty():
+        raise NoSeeds("no seed is in the catalogue")
+    rows = without_seeds(tracks, own).withColumn("score", dot(F.col("embedding"), vector_column(playlist_vector(own))))
     return with_rank(rows.orderBy(F.desc("score"), "idx").limit(top_n), [F.desc("score"), F.col("idx")])
