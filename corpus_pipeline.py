@@ -21,8 +21,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes repeated multi-line chunks from texts; documents stay, n_chars follows."""
-    shorter = line_dedup.without_repeats(docs)
+    """Removes every line of repeated multi-line passages from texts; documents stay, n_chars follows."""
+    shorter = line_dedup.without_passages(docs)
     return shorter.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 

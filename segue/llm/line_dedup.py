@@ -5,6 +5,12 @@ MODULUS, so that boundaries depend on nearby lines only and move along with them
 all blank, that occurs more than once in all texts is removed everywhere but at its first place (by id, then place in
 the text). Chunks are found by hash, and are equal if their bytes are.
 
+`without_passages` is the same without the cut, so that no line of a repeated passage escapes: it compares every two
+neighbouring lines (a run of empty lines counts as one line), not all blank, in place of chunks. Of every pair that
+occurs more than once in all texts both lines go everywhere but at its first place; a repeated passage of any length
+is a run of such pairs. A line that belongs to a pair's first place and to another pair's later one goes, as it stands
+at the other's first place. Empty lines at the edge of a passage stay where their number differs.
+
 Defined results: a null text stays null, an empty one empty. Null ids come first. Rows with the same id and text are
 one document. Other columns are kept as they are. An empty table gives no rows.
 """
@@ -63,7 +69,45 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return both.select(*columns)
 
 
-#: The same in DuckDB's SQL.
+#: SQL for the lines of a text, a run of empty lines as one; joined by line feeds they give the text.
+UNITS = r"split(`{}`, '(?<!\\n)\\n|\\n(?!\\n)', -1)"
+
+
+def _pairs(docs: DataFrame, id_col: str, text_col: str, chunks: bool) -> DataFrame:
+    """(id, text_hash, place, hash) and, if asked for, chunk of every two neighbouring lines that are not all blank."""
+    chunk = ", concat(u[i], chr(10), u[i + 1]) AS chunk" if chunks else ""
+    pair = f"transform(sequence(0, size(u) - 2), i -> struct(i AS place, xxhash64(u[i], u[i + 1]) AS hash, u[i] rlike '\\\\S' OR u[i + 1] rlike '\\\\S' AS told{chunk}))"
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.expr(UNITS.format(text_col)).alias("u")).where("size(u) > 1")
+    return rows.select("id", "text_hash", F.explode(F.expr(pair)).alias("c")).where("c.told").select("id", "text_hash", "c.place", "c.hash", *["c.chunk"] * chunks)
+
+
+def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, text_hash, gone array<int>): the places of the lines to remove, of texts that have any."""
+    often = written(_pairs(docs, id_col, text_col, False).groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "repeated-hashes")
+    # as in repeated: a bounded filter first, then what is exact
+    found = written(may_be_held(_pairs(docs, id_col, text_col, True), "hash", filter_words(often, "hash")), "repeated-pairs")
+    first = written(found.groupBy("hash", "chunk").agg(F.min(F.struct("id", "text_hash", "place")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "first-pairs")
+    place, own = F.struct("id", "text_hash", "place"), F.struct("id", "text_hash").eqNullSafe(F.struct("first.id", "first.text_hash"))
+    later = found.join(first, ["hash", "chunk"]).where(~place.eqNullSafe(F.col("first")))
+    overlaps = own & (F.col("place") == F.col("first.place") + 1)  # equal lines in a row: the pair at the first place stays
+    both = F.when(overlaps, F.array(F.col("place") + 1)).otherwise(F.array(F.col("place"), F.col("place") + 1))
+    return later.select("id", "text_hash", F.explode(both).alias("line")).groupBy("id", "text_hash").agg(F.collect_set("line").alias("gone"))
+
+
+def without_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", removed_col: str | None = None) -> DataFrame:
+    """The rows of docs without the lines of repeated passages; removed_col counts the lines that went."""
+    p = spare_prefix(docs)
+    gone = repeated_lines(docs, id_col, text_col).select(F.col("id").alias(f"{p}id"), F.col("text_hash").alias(f"{p}text_hash"), F.col("gone").alias(f"{p}gone"))
+    both = docs.withColumn(f"{p}hash", F.xxhash64(text_col)).join(gone, F.col(id_col).eqNullSafe(F.col(f"{p}id")) & (F.col(f"{p}hash") == F.col(f"{p}text_hash")), "left")
+    kept = F.expr(_let("u", UNITS.format(text_col), f"array_join(transform(array_except(sequence(0, size(u) - 1), `{p}gone`), i -> u[i]), '\\n')"))
+    text = F.when(F.col(f"{p}gone").isNull(), F.col(text_col)).otherwise(kept).alias(text_col)
+    columns = [text if c == text_col else docs[c] for c in docs.columns]
+    if removed_col:
+        columns.append(F.coalesce(F.size(F.expr(f"coalesce(`{p}gone`, array())")), F.lit(0)).alias(removed_col))
+    return both.select(*columns)
+
+
+#: The same as without_repeats in DuckDB's SQL.
 ORACLE = f"""
 WITH lines AS (
     SELECT row_number() OVER () AS r, doc_id, text, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL

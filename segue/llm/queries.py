@@ -18,6 +18,12 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.without_repeats(docs, removed_col="chunks_removed")
 
 
+def op1_whole_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op1 without the cut: its SQL fixes which chunks op1_line_dedup compares, so the whole job is a query of its own."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.without_passages(docs, removed_col="lines_removed")
+
+
 def vocabulary_path() -> str:
     import public_tokenizers
 
@@ -71,7 +77,7 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, F.col("vec_id") % 50 == 0, 5)
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_byte_bpe, op3_fingerprints, op4_minhash, op5_language_id, op6_warc, op7_url_filter, op8_toxicity, op9_mixing, op10_exact_top_k)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_byte_bpe, op3_fingerprints, op4_minhash, op5_language_id, op6_warc, op7_url_filter, op8_toxicity, op9_mixing, op10_exact_top_k, op1_whole_passages)}
 
 ORACLES = {
     "op1_line_dedup": line_dedup.ORACLE,

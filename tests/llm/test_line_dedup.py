@@ -44,3 +44,42 @@ def test_odd_rows(spark, odd, none):
     found = ld.without_repeats(odd)
     assert found.columns == odd.columns and found.count() == odd.count()
     assert ld.without_repeats(none).count() == 0
+
+
+def test_no_line_of_a_repeated_passage_escapes(spark):
+    rng = random.Random(3)
+    rows, keep = [], {}
+    for n in range(2, 13):
+        for _ in range(4):
+            lines = [prose(rng, 8) for _ in range(n)]
+            if n > 4:
+                lines[2] = lines[3] = ""
+            for copy in range(3):
+                own = [prose(rng, 8) for _ in range(rng.randrange(2, 7))]
+                at = rng.randrange(len(own) + 1)
+                i = len(rows)
+                rows.append((i, "\n".join(own[:at] + lines + own[at:])))
+                keep[i] = "\n".join(own) if copy else rows[-1][1]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["text"] for r in ld.without_passages(docs).collect()} == keep
+    assert any(len(r["text"]) > len(keep[r["doc_id"]]) for r in ld.without_repeats(docs).collect())  # as chunks do
+
+
+def test_passages_by_brute_force(spark):
+    rng = random.Random(4)
+    texts = ["\n".join(rng.choice(["a", "b", "c", "d", "e", "f", " "]) for _ in range(rng.randrange(1, 7))) for _ in range(40)] + ["t\nt\nt\nt", "\n\n\n", "x\n"]
+    seen, want = {}, {}
+    for i, text in enumerate(texts):
+        lines, gone = text.split("\n"), set()
+        for k, pair in enumerate(zip(lines, lines[1:])):
+            if any(x.strip() for x in pair) and seen.setdefault(pair, (i, k)) != (i, k):
+                gone |= {k + 1} if seen[pair] == (i, k - 1) else {k, k + 1}
+        want[i] = ("\n".join(x for k, x in enumerate(lines) if k not in gone), len(gone))
+    got = ld.without_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), removed_col="n").collect()
+    assert {r["doc_id"]: (r["text"], r["n"]) for r in got} == want
+
+
+def test_odd_rows_of_passages(spark, odd, none):
+    found = ld.without_passages(odd)
+    assert found.columns == odd.columns and found.count() == odd.count()
+    assert ld.without_passages(none).count() == 0
