@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 
 from segue.llm import bpe, language_id, line_dedup, minhash, mixing
 from segue.llm.common import written
-from segue.llm.queries import learned_profiles, vocabulary_path
+from segue.llm.queries import learned_limits, learned_profiles, vocabulary_path
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts without letters, and long ones unlike the profile of any language."""
-    return language_id.accepted(docs, learned_profiles(docs))
+    """Drops texts without letters, and those unlike the profile of any language."""
+    learned = learned_profiles(docs)
+    return language_id.accepted(docs, learned, limits=learned_limits(docs, learned))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

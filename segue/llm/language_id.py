@@ -4,6 +4,9 @@ Each language's profile ranks its most frequent character n-grams (one to three
 blank). A document is given the language whose profile is nearest to the ranking of its own most frequent n-grams,
 by out-of-place distance: the sum of differences of rank, a missing n-gram counting as PROFILE places.
 
+Texts unlike every profile are rejected by a distance of their length, learned by `limits` from all labelled texts and
+their beginnings.
+
 Defined results: a null or letterless text is `und` with score 0. Ties between n-grams go by their characters, ties
 between languages by name. Without any labelled text every prediction is `und`. Texts are read whole; columns other
 than id and text are never read for a prediction. Repeated rows give equal rows.
@@ -25,8 +28,13 @@ from segue.llm.common import spare_prefix, written
 UNKNOWN = "und"
 #: Places of a profile; share of a language's n-grams below which an n-gram is none of its most frequent.
 PROFILE, LEAST_SHARE = 400, 1e-5
-#: Distance, as a share of the largest possible, beyond which a text of at least LEAST_GRAMS n-grams is rejected.
+#: Distance, as a share of the largest possible, beyond which a text of at least LEAST_GRAMS n-grams is rejected where
+#: no limits are learned, and no learned limit lies.
 FARTHEST, LEAST_GRAMS = 0.97, 300
+#: A learned limit is the own-language distance that this share of labelled texts of a length stays within, and a margin.
+WITHIN, MARGIN = 0.999, 1.15
+#: Steps of a distance that are counted; lengths are classes of n-grams by powers of two.
+STEPS, CLASSES = 1000, 64
 BITS = 21
 
 
@@ -120,15 +128,19 @@ class Classifier:
             self.rank[i, at] = np.arange(len(learned[name]))
             self.known[i, at] = True
 
+    def away(self, found: np.ndarray) -> np.ndarray:
+        """Distances of a text's n-grams from every language, as a share of the largest."""
+        own = ranked(found, self.places)
+        at = np.searchsorted(self.grams, own)
+        at[self.grams[np.minimum(at, self.grams.size - 1)] != own] = self.grams.size
+        return np.where(self.known[:, at], np.abs(self.rank[:, at] - np.arange(own.size)), self.places).sum(axis=1) / (own.size * self.places)
+
     def predict(self, text: str | None) -> tuple[str, float, float, int]:
         """Language, score, distance as a share of the largest, n-grams of the text."""
         found = grams(text) if text is not None else np.zeros(0, np.uint64)
         if not found.size or not self.names:
             return UNKNOWN, 0.0, 1.0, 0
-        own = ranked(found, self.places)
-        at = np.searchsorted(self.grams, own)
-        at[self.grams[np.minimum(at, self.grams.size - 1)] != own] = self.grams.size
-        away = np.where(self.known[:, at], np.abs(self.rank[:, at] - np.arange(own.size)), self.places).sum(axis=1) / (own.size * self.places)
+        away = self.away(found)
         best = int(away.argmin())
         others = np.delete(away, best)
         margin = 1.0 if not others.size or others.min() <= 0 else 1.0 - away[best] / others.min()
@@ -152,14 +164,54 @@ def predict(docs: DataFrame, learned: dict[str, list[int]], carry: list[str], te
     return docs.select(*carry, F.col(text_col).alias(f"{spare_prefix(docs)}text")).mapInArrow(partial(_predicted, learned=learned, places=places), schema)
 
 
-def rejected(prefix: str = "") -> Column:
-    """Of predict's rows: texts without a letter, and long ones unlike every profile."""
-    far = (F.col(f"{prefix}distance") > FARTHEST) & (F.col(f"{prefix}grams") >= LEAST_GRAMS)
+def _own_distances(batches: Iterator[pa.RecordBatch], learned: dict[str, list[int]], places: int) -> Iterator[pa.RecordBatch]:
+    """Counts by class of length and step of distance of texts, and of their beginnings of 1, 2, 4, .. characters."""
+    model = Classifier(learned, places)
+    own = {name: i for i, name in enumerate(model.names)}
+    held = np.zeros((CLASSES, STEPS + 1), np.int64)
+    for batch in batches:
+        for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if lang in own:
+                for size in [len(text), *(1 << k for k in range((len(text) - 1).bit_length()))]:
+                    found = grams(text[:size])
+                    if found.size:
+                        held[int(found.size).bit_length(), int(model.away(found)[own[lang]] * STEPS)] += 1
+    size, step = held.nonzero()
+    yield pa.RecordBatch.from_arrays([pa.array(size, pa.int32()), pa.array(step, pa.int32()), pa.array(held[size, step])], names=["size", "step", "n"])
+
+
+def limits(labelled: DataFrame, learned: dict[str, list[int]], lang_col: str = "lang", text_col: str = "text", places: int = PROFILE) -> list[float]:
+    """By class of length (binary digits of the number of n-grams), the distance beyond which a text is rejected.
+
+    Learned from all rows with a text and a language; the driver gets CLASSES * STEPS counts at most. A length that no
+    text has takes the limit of the next shorter one, as texts come nearer to their profile the longer they are.
+    """
+    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(text_col, lang_col)
+    counted = rows.mapInArrow(partial(_own_distances, learned=learned, places=places), "size int, step int, n long").groupBy("size", "step").agg(F.sum("n"))
+    held = np.zeros((CLASSES, STEPS + 1), np.int64)
+    for size, step, n in counted.collect():
+        held[size, step] = n
+    found, last = [], FARTHEST
+    for counts in held:
+        if counts.any():
+            step = int(np.searchsorted(counts.cumsum(), WITHIN * counts.sum()))
+            last = min(FARTHEST, MARGIN * (step + 1) / STEPS)
+        found.append(last)
+    return found
+
+
+def rejected(prefix: str = "", limits: list[float] | None = None) -> Column:
+    """Of predict's rows: texts without a letter, and those unlike every profile (without limits, only long ones)."""
+    grams = F.col(f"{prefix}grams")
+    if limits is None:
+        far = (F.col(f"{prefix}distance") > FARTHEST) & (grams >= LEAST_GRAMS)
+    else:
+        far = F.col(f"{prefix}distance") > F.get(F.array(*map(F.lit, limits)), F.length(F.bin(grams)))
     return (F.col(f"{prefix}lang_pred") == UNKNOWN) | far
 
 
-def accepted(docs: DataFrame, learned: dict[str, list[int]], text_col: str = "text") -> DataFrame:
+def accepted(docs: DataFrame, learned: dict[str, list[int]], text_col: str = "text", limits: list[float] | None = None) -> DataFrame:
     """The rows of docs, with all their columns, that are not rejected."""
     p = spare_prefix(docs)
-    kept = predict(docs, learned, docs.columns, text_col, prefix=p).where(~rejected(p))
+    kept = predict(docs, learned, docs.columns, text_col, prefix=p).where(~rejected(p, limits))
     return kept.select(*docs.columns)

@@ -42,8 +42,16 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_classes(_table(spark, sf_dir, "documents"))
 
 
+def _learning_folds(docs: DataFrame) -> DataFrame:
+    return docs.where(id_share("doc_id", 3) != 1).select("text", "lang")
+
+
 def learned_profiles(docs: DataFrame) -> dict[str, list[int]]:
-    return language_id.profiles(docs.where(id_share("doc_id", 3) != 1).select("text", "lang"))
+    return language_id.profiles(_learning_folds(docs))
+
+
+def learned_limits(docs: DataFrame, profiles: dict[str, list[int]]) -> list[float]:
+    return language_id.limits(_learning_folds(docs), profiles)
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

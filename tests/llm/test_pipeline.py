@@ -34,3 +34,20 @@ def test_odd_rows(spark, odd, none):
         for _, stage in cp.STAGES:
             docs = written(stage(spark, docs, ""), "test-odd")
         assert docs.columns[0] == "doc_id"
+
+
+def test_language_drops_gibberish_and_unseen_languages(spark, sf_dir):
+    import base64
+    import random
+
+    rng = random.Random(6)
+    polish = "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa. "
+    finnish = "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä. "
+    planted = [polish, polish * 9, finnish, finnish * 9, "Все люди", "Все люди рождаются свободными и равными " * 30, "日本"]
+    for n in (64, 256, 4000):
+        planted += ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz    ") for _ in range(n)), base64.b64encode(rng.randbytes(n)).decode(), rng.randbytes(n).hex()]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    first = 10_000_000  # no language: none is learned from them
+    rows = spark.createDataFrame([(first + i, t, None, "x", len(t)) for i, t in enumerate(planted)], docs.schema)
+    kept = {r["doc_id"] for r in cp.language(spark, docs.unionByName(rows), sf_dir).collect()}
+    assert [t[:40] for i, t in enumerate(planted) if first + i in kept] == [] and kept == {r["doc_id"] for r in docs.collect()}
