@@ -222,6 +222,12 @@ ORACLES: dict[str, str] = {
         f AS (SELECT query, count(*) AS found, sum(1 / log2(rank + 1)) AS dcg, sum(hits / rank) AS ps, min(rank) AS first FROM h GROUP BY 1)
         SELECT query, round(coalesce(found, 0) / total, 6) AS recall, round(coalesce(found, 0) / 10, 6) AS precision, round(coalesce(dcg, 0) / list_sum(list_transform(range(1, least(10, total) + 1), lambda i: 1 / log2(i + 1))), 6) AS ndcg,
         round(coalesce(ps, 0) / least(10, total), 6) AS ap, round(coalesce(1 / first, 0), 6) AS rr, (coalesce(found, 0) > 0)::INT AS hit FROM tot LEFT JOIN f USING (query)""",
+    "recall_ndcg_folds": f"""WITH {NAMED}, c AS (SELECT album_name AS query, part AS item, fold, count(*) AS n FROM named, range(5) AS t(fold) WHERE pid % 5 <> fold GROUP BY 1, 2, 3),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY query, fold ORDER BY n DESC, item) AS rank FROM c), rel AS (SELECT DISTINCT album_name AS query, part AS item, pid % 5 AS fold FROM named),
+        tot AS (SELECT query, fold, count(*) AS total FROM rel GROUP BY 1, 2), h AS (SELECT query, fold, rank, row_number() OVER (PARTITION BY query, fold ORDER BY rank) AS hits FROM ranked JOIN rel USING (query, fold, item) WHERE rank <= 10),
+        f AS (SELECT query, fold, count(*) AS found, sum(1 / log2(rank + 1)) AS dcg, sum(hits / rank) AS ps, min(rank) AS first FROM h GROUP BY 1, 2)
+        SELECT query, fold, round(coalesce(found, 0) / total, 6) AS recall, round(coalesce(found, 0) / 10, 6) AS precision, round(coalesce(dcg, 0) / list_sum(list_transform(range(1, least(10, total) + 1), lambda i: 1 / log2(i + 1))), 6) AS ndcg,
+        round(coalesce(ps, 0) / least(10, total), 6) AS ap, round(coalesce(1 / first, 0), 6) AS rr, (coalesce(found, 0) > 0)::INT AS hit FROM tot LEFT JOIN f USING (query, fold)""",
     "fuzzy_titles": f"""WITH {TRACKS}, g AS (SELECT idx, {grams("title_key")} AS a, {grams("'smal rings'")} AS b FROM tracks),
         s AS (SELECT idx, len(list_intersect(a, b)) / len(list_distinct(a || b)) AS p FROM g) SELECT idx, round(p, 6) AS similarity FROM s WHERE p >= 0.3""",
 }

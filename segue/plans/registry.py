@@ -475,6 +475,20 @@ def recall_ndcg_at_k(spark, sf):
     return found.select("query", *[F.round(c, 6).alias(c) for c in ("recall", "precision", "ndcg", "ap", "rr")], "hit")
 
 
+@query
+def recall_ndcg_folds(spark, sf):
+    """As recall_ndcg_at_k, over five folds of orders: each is foretold once, by a ranking that counts the other four."""
+    from pyspark.sql.window import Window
+
+    rows = b.named_occurrences(spark, sf).select("album_name", F.col("part").alias("item"), (F.col("pid") % 5).alias("fold"))
+    counts = rows.groupBy("album_name", "item", "fold").agg(F.count("*").alias("n"))
+    others = counts.withColumn("test", F.explode(F.sequence(F.lit(0), F.lit(4)))).where("test <> fold")
+    ranked = others.groupBy(F.struct("album_name", F.col("test").cast("long").alias("fold")).alias("query"), "item").agg(F.sum("n").alias("n"))
+    ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("n"), "item")))
+    found = analytics.ranking_metrics(ranked, counts.select(F.struct("album_name", "fold").alias("query"), "item"), 10)
+    return found.select(F.col("query.album_name").alias("query"), "query.fold", *[F.round(c, 6).alias(c) for c in ("recall", "precision", "ndcg", "ap", "rr")], "hit")
+
+
 @query
 def fuzzy_titles(spark, sf):
     return analytics.fuzzy_titles(b.tracks(spark, sf), "smal rings").select("idx", F.round("similarity", 6).alias("similarity"))

@@ -14,3 +14,9 @@ def test_query_gives_the_rows_of_its_sql(name, spark, sf_dir):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_query_without_sql_gives_rows(name, spark, sf_dir):
     assert QUERIES[name](spark, sf_dir).count() > 0
+
+
+def test_every_order_is_foretold_once(spark, sf_dir):
+    """recall_ndcg_at_k reads one order in five as relevant; the folds read all, each by itself."""
+    folds = QUERIES["recall_ndcg_folds"](spark, sf_dir).groupBy("fold").count().collect()
+    assert sorted(r["fold"] for r in folds) == [0, 1, 2, 3, 4]
