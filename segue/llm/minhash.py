@@ -1,10 +1,10 @@
 """Near-duplicate documents by consistent weighted sampling over TF-IDF shingles.
 
 A document is the weighted set of its shingles (runs of five words, in lower case). A shingle weighs its count times
-the mean IDF of its words; the IDF of a word runs from 1 (in every document) to 2 (in a RARE share of them or less),
-from its counts over all documents. Improved consistent weighted sampling draws BANDS x ROWS samples; two documents
-agree in a sample with a probability equal to their weighted Jaccard similarity, and are compared if they agree in
-all samples of a band. What is compared is verified by the exact similarity of the whole texts.
+the mean IDF of its words, 1 + ln(documents / documents with the word), which rises no further below a RARE share of
+all documents. Improved consistent weighted sampling draws BANDS x ROWS samples; two documents agree in a sample with
+a probability equal to their weighted Jaccard similarity, and are compared if they agree in all samples of a band.
+What is compared is verified by the exact similarity of the whole texts.
 
 Equal texts are one node from the start. In each band's bucket the node whose buckets have most members, the hub, is
 compared with all others. Buckets whose nodes are then not in one class are compared in blocks: every pair of nodes of
@@ -12,36 +12,43 @@ different classes, so that no link of the bands is lost; a pair that shares seve
 Buckets are dealt to tasks in blocks, so no task holds a whole bucket. Classes are connected components.
 
 Defined results: a null text counts as the empty text; texts without words only match equal texts; a text of fewer
-than five words has one shingle. Rows without an id are classes of their own (class_id null). Rows of one id are one
-document. An empty table gives no rows. Columns other than id and text are not read.
+than five words has one shingle. Rows without an id are compared like others; a class that has no id at all has a null
+class_id. Rows of one id are one document. An empty table gives no rows. Columns other than id and text are not read.
+Ids of 2**62 and above are kept for rows without one and are not supported.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 from functools import partial
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from segue.llm.bpe import Slots, joined
+from segue.llm.bpe import joined
 from segue.llm.common import filter_words, may_be_held, spare_prefix, text_of, written
 from segue.llm.components import components, popular_hubs
 
 WORDS, SIMILARITY = 5, 0.8
 #: At a similarity of 0.8 a pair shares a band with probability 0.9992.
 BANDS, ROWS = 10, 3
-#: Share of documents at which a word's IDF is largest; the most words with a smaller one (about: by count).
-RARE, MOST_WORDS = 1e-3, 500_000
-#: Nodes of a bucket that one task holds, and that it compares them with.
-HELD_BLOCK, READ_BLOCK = 128, 512
-TABLE, CACHE_WORDS, SEED = 1 << 16, 200_000, 77
+#: Share of documents below which a word's IDF rises no further.
+RARE = 1e-3
+#: Nodes of a bucket that one task holds, and that it compares them with; nodes that a task compares with a hub.
+HELD_BLOCK, READ_BLOCK, HUB_BLOCK = 128, 512, 64
+#: Characters that are hashed at once, and distinct words that a task counts before it hands them on.
+CHUNK_CHARS, HELD_WORDS = 400_000, 400_000
+SEED = 77
+#: Nodes of texts that have no id start here.
+NAMELESS = 1 << 62
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_SPACES = np.array([chr(c).isspace() for c in range(0x3002)])
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -50,79 +57,132 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _letter(code: np.ndarray, place: np.ndarray) -> np.ndarray:
+    return _mixed((code.astype(np.uint64) + np.uint64(1)) * _MIX + place.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+
+
+#: Hashes of the first 256 characters at the first 32 places of a word.
+_LETTERS = _letter(np.tile(np.arange(256), 32), np.repeat(np.arange(32), 256))
+
+
 def split(text: str) -> list[str]:
     return text.lower().split()
 
 
-class Words:
-    """Hashes of words, and their IDF by a table of those that are not rare."""
-
-    def __init__(self, hashes: np.ndarray | None = None, idf: np.ndarray | None = None):
-        self.table = (np.zeros(0, np.uint64), np.zeros(0)) if hashes is None else (hashes, idf)
-        self.forget()
-
-    def forget(self) -> None:
-        self.slots, self.hashes, self.idf = Slots(), np.zeros(0, np.uint64), np.zeros(0)
-
-    def slots_of(self, words: list[str]) -> np.ndarray:
-        """A slot for each word; call forget() only when no slots are held."""
-        from xxhash import xxh64_intdigest
-
-        found = np.fromiter(map(self.slots.__getitem__, words), np.int64, len(words))
-        if (new := len(self.slots) - self.hashes.size) > 0:
-            fresh = list(islice(reversed(self.slots), new))[::-1]
-            hashes = np.array([xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in fresh], np.uint64)
-            known, idf = self.table
-            values = np.full(new, 2.0)
-            if known.size:
-                at = np.minimum(np.searchsorted(known, hashes), known.size - 1)
-                values = np.where(known[at] == hashes, idf[at], values)
-            self.hashes, self.idf = np.concatenate([self.hashes, hashes]), np.concatenate([self.idf, values])
-        return found
-
-    def features(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """The hashes of the text's shingles in ascending order, and their weights."""
-        if len(self.slots) > CACHE_WORDS:
-            self.forget()
-        slots = self.slots_of(split(text))
-        if not slots.size:
-            return np.zeros(0, np.uint64), np.zeros(0)
-        hashes, idf = self.hashes[slots], self.idf[slots]
-        n, width = max(1, slots.size - WORDS + 1), min(WORDS, slots.size)
-        shingles, weight = np.zeros(n, np.uint64), np.zeros(n)
-        for i in range(width):
-            shingles = shingles * _MIX + hashes[i : i + n]
-            weight += idf[i : i + n]
-        shingles, first, counts = np.unique(_mixed(shingles), return_index=True, return_counts=True)
-        return shingles, counts * weight[first] / width
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the words of all texts in order, and how many each text has: a word's is the mixed sum over its letters and their places."""
+    low = [t.lower() for t in texts]
+    whole = "\n".join([*low, ""])
+    codes = np.frombuffer(whole.encode("ascii"), np.uint8) if whole.isascii() else np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
+    inside = ~_SPACES[codes if codes.itemsize == 1 else np.minimum(codes, 0x3001)]
+    edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    if inside.size and inside[0]:
+        edge = np.concatenate([[0], edge])
+    starts, ends = edge[::2], edge[1::2]
+    if not starts.size:
+        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
+    letters, lengths = codes[inside], ends - starts
+    before = np.cumsum(lengths) - lengths
+    place = np.arange(letters.size) - np.repeat(before, lengths)
+    found = _LETTERS[((place & 31) << 8) | (letters & 255)]
+    if lengths.max() > 32 or letters.itemsize > 1:
+        rest = np.flatnonzero((place > 31) | (letters > 255))
+        found[rest] = _letter(letters[rest], place[rest])
+    hashes = _mixed(np.add.reduceat(found, before))
+    sizes = np.cumsum([len(t) + 1 for t in low])
+    return hashes, np.diff(np.searchsorted(starts, sizes), prepend=0)
+
+
+def _grouped(owner: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order by owner, then hash; where in it each distinct (owner, hash) begins."""
+    order = np.argsort(hashes)
+    ordered = hashes[order]
+    rank = np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]]))
+    key = owner[order] * (rank[-1] + 1) + rank
+    again = np.argsort(key)
+    key = key[again]
+    return order[again], np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+
+
+class Shingles:
+    """Shingles and weights of texts, by a table of the hashes and IDF of words that are not rare."""
+
+    def __init__(self, hashes: np.ndarray | None = None, idf: np.ndarray | None = None, rarest: float = 1.0):
+        self.hashes, self.idf, self.rarest = np.zeros(0, np.uint64) if hashes is None else hashes, idf, rarest
+
+    def weights(self, words: np.ndarray) -> np.ndarray:
+        if not self.hashes.size:
+            return np.full(words.size, self.rarest)
+        at = np.minimum(np.searchsorted(self.hashes, words), self.hashes.size - 1)
+        return np.where(self.hashes[at] == words, self.idf[at], self.rarest)
+
+    def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes (ascending in each text) and weights of the distinct shingles of every text, and how many each has."""
+        words, sizes = word_hashes(texts)
+        if not words.size:
+            return words, np.zeros(0), sizes
+        idf = self.weights(words)
+        width = np.minimum(WORDS, sizes)
+        many = np.where(sizes > 0, sizes - width + 1, 0)
+        owner = np.repeat(np.arange(sizes.size), many)
+        first = joined(np.arange(words.size), np.cumsum(sizes) - sizes, many)
+        hashes, weight = np.zeros(first.size, np.uint64), np.zeros(first.size)
+        own_width = width[owner]
+        for i in range(WORDS):
+            if i and own_width.min() <= i:  # short texts have short shingles
+                longer = np.flatnonzero(own_width > i)
+                hashes[longer] = hashes[longer] * _MIX + words[first[longer] + i]
+                weight[longer] += idf[first[longer] + i]
+            else:
+                hashes = hashes * _MIX + words[first + i]
+                weight += idf[first + i]
+        hashes, weight = _mixed(hashes), weight / own_width
+        order, begin = _grouped(owner, hashes)
+        counts = np.diff(np.append(begin, order.size))
+        picked = order[begin]
+        return hashes[picked], counts * weight[picked], np.bincount(owner[picked], minlength=sizes.size)
 
 
 class Sampler:
-    """Improved consistent weighted sampling: r and c from Gamma(2, 1), beta uniform, by the hash of the element."""
+    """Improved consistent weighted sampling: r and c from Gamma(2, 1), beta uniform, all by the hash of the element.
+
+    Quantiles of the distributions are tabled; which ones an element takes is read from different bits of its hash.
+    """
+
+    C_BITS, R_BITS = 18, 14
 
     def __init__(self, samples: int = BANDS * ROWS):
         rng = np.random.default_rng(SEED)
-        self.r = rng.gamma(2.0, 1.0, TABLE).astype(np.float32)
+        self.r = self._gamma(self.R_BITS)
         self.inverse = (1 / self.r).astype(np.float32)
-        self.c = np.log(rng.gamma(2.0, 1.0, TABLE)).astype(np.float32)
-        self.beta = rng.random(TABLE).astype(np.float32)
+        self.c = np.log(self._gamma(self.C_BITS)).astype(np.float32)
         self.odd = rng.integers(0, 1 << 63, samples, np.uint64) * np.uint64(2) + np.uint64(1)
 
+    @staticmethod
+    def _gamma(bits: int) -> np.ndarray:
+        """The quantiles (i + 1/2) / 2**bits of Gamma(2, 1), whose distribution is 1 - (1 + x) exp(-x), by bisection."""
+        wanted = (np.arange(1 << bits) + 0.5) / (1 << bits)
+        low, high = np.zeros(wanted.size), np.full(wanted.size, 64.0)
+        for _ in range(60):
+            middle = (low + high) / 2
+            under = -np.expm1(-middle) - middle * np.exp(-middle) < wanted
+            low, high = np.where(under, middle, low), np.where(under, high, middle)
+        return high.astype(np.float32)
+
     def samples(self, hashes: np.ndarray, weights: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """For each set, of sizes elements of the joined hashes, one number for every sample. No set may be empty."""
         starts = np.cumsum(sizes) - sizes
-        owner = np.repeat(np.arange(sizes.size), sizes)
         log_weight = np.log(weights).astype(np.float32)
         out = np.zeros((sizes.size, self.odd.size), np.uint64)
         for k, odd in enumerate(self.odd):
-            at = (hashes * odd) >> np.uint64(48)
-            r, beta = self.r[at], self.beta[at]
+            x = hashes * odd
+            at = (x >> np.uint64(32)).astype(np.int64) & ((1 << self.R_BITS) - 1)
+            beta = (x >> np.uint64(16)).astype(np.uint16).astype(np.float32) * np.float32(2.0**-16)
+            r = self.r[at]
             t = np.floor(log_weight * self.inverse[at] + beta)
-            key = self.c[at] - r * (t - beta + np.float32(1))
-            least = np.minimum.reduceat(key, starts)
-            hits = np.flatnonzero(key == least[owner])[::-1]
-            first = np.zeros(sizes.size, np.int64)
-            first[owner[hits]] = hits
+            key = self.c[(x >> np.uint64(64 - self.C_BITS)).astype(np.int64)] - r * (t - beta + np.float32(1))
+            hits = np.flatnonzero(key == np.repeat(np.minimum.reduceat(key, starts), sizes))
+            first = hits[np.searchsorted(hits, starts)]
             out[:, k] = _mixed(hashes[first] + t[first].astype(np.int64).astype(np.uint64) * _MIX)
         return out
 
@@ -134,83 +194,83 @@ class Sampler:
         return key
 
 
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents that hold each word, as far as counted; how many documents there are, under the hash 0 of no word."""
-    words, counts, docs = Words(), np.zeros(0, np.int64), 0
+def _chunks(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """Slices of batches with about CHUNK_CHARS bytes in a column, a row at least."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < batch.num_rows:
+            before = int(ends[at - 1]) if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, before + CHUNK_CHARS, "right")))
+            yield batch.slice(at, to - at)
+            at = to
 
-    def out():
-        nonlocal counts
-        counts = np.pad(counts, (0, len(words.slots) - counts.size))
-        made = pa.RecordBatch.from_arrays([pa.array(words.hashes.view(np.int64)), pa.array(counts)], names=["word", "n"])
-        words.forget()
-        counts = np.zeros(0, np.int64)
-        return made
 
-    for batch in batches:
-        docs += batch.num_rows
-        for text in batch.column(0).to_pylist():
-            slots = np.unique(words.slots_of(split(text)))
-            if counts.size < len(words.slots):
-                counts = np.pad(counts, (0, len(words.slots) * 2 - counts.size))
-            counts[slots] += 1
-            if len(words.slots) > CACHE_WORDS:
-                counts = counts[: len(words.slots)]
-                yield out()
-    counts = counts[: len(words.slots)]
-    yield out()
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents that hold each word, as far as counted; how many documents there are, without a word."""
+    held, size, docs = [], 0, 0
+
+    def summed() -> tuple[np.ndarray, np.ndarray]:
+        words = np.concatenate([w for w, _ in held])
+        values, where = np.unique(words, return_inverse=True)
+        return values, np.bincount(where, np.concatenate([n for _, n in held])).astype(np.int64)
+
+    for chunk in _chunks(batches, 0):
+        docs += chunk.num_rows
+        words, sizes = word_hashes(chunk.column(0).to_pylist())
+        if not words.size:
+            continue
+        order, begin = _grouped(np.repeat(np.arange(sizes.size), sizes), words)
+        held.append(np.unique(words[order[begin]], return_counts=True))
+        size += held[-1][0].size
+        if size > 3 * HELD_WORDS:
+            held = [summed()]
+            size = held[0][0].size
+            if size > HELD_WORDS:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (held[0][0].view(np.int64), held[0][1])], names=["word", "n"])
+                held, size = [], 0
+    if held:
+        values, counts = summed()
+        yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts)], names=["word", "n"])
     yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([docs], pa.int64())], names=["word", "n"])
 
 
-def word_idf(texts: DataFrame, text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
-    """Hashes, ascending, and IDF of the words in more than a RARE share of all documents.
+def word_idf(texts: DataFrame, text_col: str = "text") -> tuple[np.ndarray, np.ndarray, float]:
+    """Hashes, ascending, and IDF of the words in more than a RARE share of all documents; the IDF of all others.
 
-    These are at most the mean number of a document's words / RARE; if that is over MOST_WORDS, the share is raised
-    so that they are fewer. So the table's size has a bound that does not depend on the number of documents.
+    These are at most the mean number of a document's distinct words / RARE, whatever the number of documents.
     """
     counts = written(texts.select(text_of(text_col).alias("t")).mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
     docs = counts.where("word is null").agg(F.sum("n")).first()[0] or 0
-    held = counts.where("word is not null").agg(F.sum("n")).first()[0] or 0
-    least = max(docs * RARE, held / MOST_WORDS, 1.0)
+    least = max(docs * RARE, 1.0)
     table = counts.where("word is not null").where(F.col("n") > least).toArrow()
     hashes = table.column("word").to_numpy().view(np.uint64)
     order = np.argsort(hashes)
-    share = table.column("n").to_numpy() / max(1, docs)
-    idf = 1.0 + np.minimum(1.0, np.log(1.0 / np.minimum(share, 1.0)) / math.log(1.0 / RARE))
-    return hashes[order], idf[order]
+    share = np.minimum(table.column("n").to_numpy() / max(1, docs), 1.0)
+    return hashes[order], (1.0 - np.log(share))[order], 1.0 + math.log(max(1.0, docs / least))
 
 
 def _signed(batches: Iterator[pa.RecordBatch], table) -> Iterator[pa.RecordBatch]:
-    words, sampler = Words(*table.value), Sampler()
-    for batch in batches:
-        texts = batch.column(2).to_pylist()
-        keys: list = [None] * len(texts)
-        held, size = [], 0
-        for i, text in enumerate(texts):
-            hashes, weights = words.features(text)
-            if hashes.size:
-                held.append((i, hashes, weights))
-                size += hashes.size
-            if held and (size > 60_000 or i + 1 == len(texts)):
-                found = sampler.bands(np.concatenate([h for _, h, _ in held]), np.concatenate([w for *_, w in held]), np.array([h.size for _, h, _ in held]))
-                for (j, *_), row in zip(held, found.view(np.int64)):
-                    keys[j] = row
-                held, size = [], 0
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.list_(pa.int64()))], names=["id", "same", "bands"])
+    shingles, sampler = Shingles(*table.value), Sampler()
+    for chunk in _chunks(batches, 2):
+        hashes, weights, sizes = shingles.of(chunk.column(2).to_pylist())
+        keys: list = [None] * chunk.num_rows
+        if hashes.size:
+            full = np.flatnonzero(sizes)
+            for i, row in zip(full.tolist(), sampler.bands(hashes, weights, sizes[full]).view(np.int64)):
+                keys[i] = row
+        yield pa.RecordBatch.from_arrays([chunk.column(0), chunk.column(1), pa.array(keys, pa.list_(pa.int64()))], names=["id", "same", "bands"])
 
 
 def _zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import zlib
-
-    for batch in batches:
-        packed = [zlib.compress(t.encode("utf-8", "surrogatepass"), 1) for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["node", "z"])
+    for chunk in _chunks(batches, 1):
+        packed = [zlib.compress(t.encode("utf-8", "surrogatepass"), 1) for t in chunk.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([chunk.column(0), pa.array(packed, pa.binary())], names=["node", "z"])
 
 
 def _compared(batches: Iterator[pa.RecordBatch], table, similarity: float) -> Iterator[pa.RecordBatch]:
     """Rows (task, band, side, node, class, bands, packed text) come by task and side; side 0 is held, side 1 compared with it."""
-    import zlib
-
-    words = Words(*table.value)
+    shingles = Shingles(*table.value)
     task, held, index = None, [], None
     left, right = [], []
 
@@ -224,30 +284,35 @@ def _compared(batches: Iterator[pa.RecordBatch], table, similarity: float) -> It
         return hashes[order], weights[order], owner[order], sums, np.array([c for _, c, *_ in held]), np.array([b for _, _, b, *_ in held], np.int64)
 
     for batch in batches:
-        for now, band, side, node, own, bands, packed in zip(*(c.to_pylist() for c in batch.columns)):
-            if now != task:
-                task, held, index = now, [], None
-            hashes, weights = words.features(zlib.decompress(packed).decode("utf-8", "surrogatepass"))
-            if side == 0:
-                held.append((node, own, bands, hashes, weights))
-                continue
-            if not held:
-                continue
-            index = index or build()
-            known, known_weights, owner, sums, classes, their = index
-            wanted = classes != own
-            if band >= 0:  # each pair in the first bucket that it shares
-                shared = their == np.array(bands, np.int64)
-                wanted &= shared.any(axis=1) & (shared.argmax(axis=1) == band)
-            if not wanted.any():
-                continue
-            lo, hi = np.searchsorted(known, hashes, "left"), np.searchsorted(known, hashes, "right")
-            at = joined(np.arange(known.size), lo, hi - lo)
-            common = np.bincount(owner[at], np.minimum(known_weights[at], np.repeat(weights, hi - lo)), len(held))
-            alike = wanted & (common >= (similarity - 1e-9) * (sums + weights.sum() - common))
-            for i in np.flatnonzero(alike).tolist():
-                left.append(held[i][0])
-                right.append(node)
+        for at in range(0, batch.num_rows, 32):
+            part = batch.slice(at, 32)
+            texts = [zlib.decompress(z).decode("utf-8", "surrogatepass") for z in part.column(6).to_pylist()]
+            every, every_weight, sizes = shingles.of(texts)
+            ends = np.cumsum(sizes)
+            for (now, band, side, node, own, bands), end, size in zip(zip(*(c.to_pylist() for c in part.columns[:6])), ends, sizes):
+                if now != task:
+                    task, held, index = now, [], None
+                hashes, weights = every[end - size : end], every_weight[end - size : end]
+                if side == 0:
+                    held.append((node, own, bands, hashes, weights))
+                    continue
+                if not held:
+                    continue
+                index = index or build()
+                known, known_weights, owner, sums, classes, their = index
+                wanted = classes != own
+                if band >= 0:  # each pair in the first bucket that it shares
+                    shared = their == np.array(bands, np.int64)
+                    wanted &= shared.any(axis=1) & (shared.argmax(axis=1) == band)
+                if not wanted.any():
+                    continue
+                lo, hi = np.searchsorted(known, hashes, "left"), np.searchsorted(known, hashes, "right")
+                place = joined(np.arange(known.size), lo, hi - lo)
+                common = np.bincount(owner[place], np.minimum(known_weights[place], np.repeat(weights, hi - lo)), len(held))
+                alike = wanted & (common >= (similarity - 1e-9) * (sums + weights.sum() - common))
+                for i in np.flatnonzero(alike).tolist():
+                    left.append(held[i][0])
+                    right.append(node)
         if left:
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
             left, right = [], []
@@ -266,20 +331,41 @@ def _verified(sides: list[DataFrame], texts: DataFrame, table, similarity: float
     return dealt.mapInArrow(partial(_compared, table=table, similarity=similarity), "a long, b long")
 
 
-def _blocks(count: str, size: int):
+def _blocks(count: str, size: int) -> Column:
     return F.ceil(F.col(count) / size).cast("int")
 
 
+def _nameless(text: Column | str) -> Column:
+    """The node of a text that no row with an id has."""
+    return F.lit(NAMELESS) + F.xxhash64(F.sha1(text)).bitwiseAND(F.lit(NAMELESS - 1))
+
+
+def _node_texts(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, z): the packed texts of nodes, from rows (node, t, named).
+
+    Most texts are compared with no other: a filter of bounded size keeps them out of the shuffle, the join is exact.
+    """
+    words = filter_words(nodes.select(F.xxhash64("node").alias("h")), "h")
+    wanted = may_be_held(rows.withColumn("h", F.xxhash64("node")), "h", words)
+    packed = lambda named: wanted.where(F.col("named") == named).select("node", "t").mapInArrow(_zipped, "node long, z binary").join(nodes, "node", "left_semi")
+    return packed(True).union(packed(False).groupBy("node").agg(F.min("z").alias("z")))
+
+
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """(id, class_id): every document with the smallest id of its class."""
+    return _classed(docs, id_col, text_col, similarity).select(F.col("id").alias(id_col), F.when(F.col("component") < NAMELESS, F.col("component")).alias("class_id"))
+
+
+def _classed(docs: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
+    """(id, node, component) of every row; rows without an id have the nodes of their texts."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("t"))
-    table = spark.sparkContext.broadcast(word_idf(rows, "t"))  # MOST_WORDS words at most
-    known = rows.where("id is not null")
-    signed = written(known.select("id", F.unhex(F.sha1("t")).alias("same"), "t").mapInArrow(partial(_signed, table=table), "id long, same binary, bands array<long>"), "signatures")
-    reps = written(signed.groupBy("same").agg(F.min("id").alias("node"), F.max("bands").alias("bands")), "texts")
+    table = spark.sparkContext.broadcast(word_idf(rows, "t"))  # its size has a bound, see word_idf
+    signed = written(rows.select("id", F.unhex(F.sha1("t")).alias("same"), "t").mapInArrow(partial(_signed, table=table), "id long, same binary, bands array<long>"), "signatures")
+    nameless = F.lit(NAMELESS) + F.xxhash64(F.lower(F.hex("same"))).bitwiseAND(F.lit(NAMELESS - 1))
+    reps = written(signed.groupBy("same").agg(F.min("id").alias("node"), F.max("bands").alias("bands")).withColumn("node", F.coalesce("node", nameless)), "texts")
     named_nodes = written(signed.select("id", "same").join(reps.select("same", "node"), "same").select("id", "node"), "nodes-by-id")
-    several = named_nodes.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("id", "a")
+    several = named_nodes.where("id is not null").groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("id", "a")
     one_id = named_nodes.join(several, "id").select("a", F.col("node").alias("b"))
     every_node = reps.select("node").distinct()
 
@@ -288,14 +374,12 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     hubs = written(hubs, "hubs")
     wide = members.select("node", "key").join(hubs, "key")
     pairs = written(wide.where("node <> hub").groupBy("hub", "node").agg(F.max("members").alias("members")), "pairs")
-    nodes = pairs.select("node").union(pairs.select("hub")).distinct()
-    nodes = written(nodes, "compared-nodes")
-    # most texts are compared with no other: a filter of bounded size keeps them out of the shuffle, the join is exact
-    words = filter_words(nodes.select(F.xxhash64("node").alias("h")), "h")
-    wanted = may_be_held(known.withColumn("h", F.xxhash64("id")), "h", words)
-    texts = written(wanted.select("id", "t").mapInArrow(_zipped, "node long, z binary").join(nodes, "node", "left_semi"), "node-texts")
-    # a hub with many nodes has several tasks; how many, by its largest bucket
-    tasks = pairs.join(pairs.groupBy("hub").agg(F.count("*").alias("all")), "hub").select("hub", "node", F.struct("hub", F.pmod(F.xxhash64("node"), _blocks("all", READ_BLOCK)).alias("i"), F.lit(0).alias("j"), F.lit(-1).alias("band"), F.lit(0).cast("long").alias("k")).alias("task"))
+    nodes = written(pairs.select("node").union(pairs.select("hub")).distinct(), "compared-nodes")
+    known = rows.select(F.coalesce("id", _nameless("t")).alias("node"), "t", F.col("id").isNotNull().alias("named"))
+    texts = written(_node_texts(known, nodes), "node-texts")
+    # a hub of large buckets has many tasks; which of them a node is in depends on its own row alone
+    many = F.expr(f"int(pow(2, ceil(log2(ceil(members / {HUB_BLOCK})))))")
+    tasks = pairs.withColumn("j", many).select("hub", "node", F.struct("hub", F.pmod(F.xxhash64("node"), F.col("j")).alias("i"), "j", F.lit(-1).alias("band"), F.lit(0).cast("long").alias("k")).alias("task"))
     plain = [F.lit(-1).alias("band"), F.array(F.lit(0).cast("long")).alias("bands")]
     first = _verified(
         [
@@ -320,14 +404,13 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         read = open_rows.withColumn("j", j).withColumn("i", every("others", HELD_BLOCK)).select(named, F.col("key.band").alias("band"), F.lit(1).alias("side"), "node", "class", "bands")
         found = found.union(written(_verified([held, read], texts, table, similarity), "block-links"))
         classes = written(components(every_node, found), "classes")
-    done = named_nodes.join(classes, "node").select("id", F.col("component").alias("class_id"))
-    alone = rows.where("id is null").select("id", F.lit(None).cast("long").alias("class_id"))
-    return done.union(alone).select(F.col("id").alias(id_col), "class_id")
+    return named_nodes.join(classes, "node").select("id", "node", "component")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of docs that stay: of each class the document with the smallest id, and rows without an id."""
-    classes = near_classes(docs, id_col, text_col, similarity)
-    kept = classes.where(F.col(id_col) == F.col("class_id")).distinct().select(F.col(id_col).cast("long").alias(f"{spare_prefix(docs)}kept"))
-    stay = docs.join(kept, docs[id_col].cast("long") == kept[kept.columns[0]], "left_semi").dropDuplicates([id_col])
-    return stay.unionByName(docs.where(F.col(id_col).isNull()))
+    """The rows of docs that stay: of each class the document with the smallest id, or one without an id if none has one."""
+    p = spare_prefix(docs)
+    node = F.coalesce(F.col(id_col).cast("long"), _nameless(text_of(text_col)))
+    kept = _classed(docs, id_col, text_col, similarity).where(F.coalesce("id", "node") == F.col("component")).select(F.col("component").alias(f"{p}kept")).distinct()
+    stay = docs.withColumn(f"{p}node", node)
+    return stay.join(kept, F.col(f"{p}node") == F.col(f"{p}kept"), "left_semi").dropDuplicates([f"{p}node"]).select(*docs.columns)
