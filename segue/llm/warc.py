@@ -2,7 +2,7 @@
 
 An ARC file starts with a version block; each record has one header line, whose fields depend on the version, and as
 many bytes as the line declares. The converter parses those lines, and writes equivalent WARC records: identifiers
-derived from the record (uuid 5), timestamps in ISO 8601, types, and SHA-256 digests of block and payload. A record
+derived from url, date and block (uuid 5), timestamps in ISO 8601, types, and SHA-256 digests of block and payload. A record
 whose payload is known to be stored elsewhere becomes a revisit record with its HTTP headers only.
 
 Archives are files of one gzip member per record, in the folder that all executors share. A task writes a file of its
@@ -10,7 +10,8 @@ own under a new name; only the files named in the table that the job returns are
 no harm.
 
 Defined results: a null html is the empty payload; a null url is written as `urn:page:` and the page's id. Blanks and
-control characters in a url are percent-encoded. Repeated rows are records of their own; of equal payloads of at least
+control characters in a url are percent-encoded. Repeated rows are records of their own with one identifier, as they
+are the same in all that an archive holds; of equal payloads of at least
 SMALLEST bytes those with the smallest id are responses. Pages without an id are always responses. Extra columns are not read.
 """
 
@@ -123,8 +124,9 @@ def split_http(block: bytes) -> tuple[bytes, bytes]:
     return (b"", block) if at < 0 else (block[: at + 4], block[at + 4 :])
 
 
-def record_id(url: str, date: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{date} {url}')}>"
+def record_id(url: str, date: str, block: bytes) -> str:
+    name = f"{date} {hashlib.sha256(block).hexdigest()} {url}".encode("utf-8", "surrogatepass")
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>"
 
 
 def iso_date(date: str) -> str:
@@ -134,10 +136,10 @@ def iso_date(date: str) -> str:
 
 
 def warc_record(header: dict[str, str], block: bytes, stored_in: dict[str, str] | None = None) -> bytes:
-    """The WARC record of an ARC record; with stored_in (url, date), a revisit of the record of that url and date."""
+    """The WARC record of an ARC record; with stored_in (url, date, id), a revisit of that record."""
     http, payload = split_http(block)
     lines = {"WARC-Type": "revisit" if stored_in else "response" if http.startswith(b"HTTP/") else "resource"}
-    lines["WARC-Record-ID"] = record_id(header["url"], header["date"])
+    lines["WARC-Record-ID"] = record_id(header["url"], header["date"], block)
     lines["WARC-Date"] = iso_date(header["date"])
     lines["WARC-Target-URI"] = header["url"]
     lines["WARC-IP-Address"] = header["ip"]
@@ -145,7 +147,7 @@ def warc_record(header: dict[str, str], block: bytes, stored_in: dict[str, str]
     if stored_in:
         block = http
         lines["WARC-Profile"] = PROFILE
-        lines["WARC-Refers-To"] = record_id(stored_in["url"], stored_in["date"])
+        lines["WARC-Refers-To"] = stored_in["id"]
         lines["WARC-Refers-To-Target-URI"] = stored_in["url"]
         lines["WARC-Refers-To-Date"] = iso_date(stored_in["date"])
     lines["WARC-Block-Digest"] = "sha256:" + hashlib.sha256(block).hexdigest()
@@ -264,6 +266,12 @@ def _page_block(page_id: int | None, payload: bytes) -> bytes:
     return f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n{name}Content-Length: {len(payload)}\r\n\r\n".encode() + payload
 
 
+def _stored_page(url: str | None, page_id: int, payload: bytes) -> dict[str, str]:
+    """The record of another page with the same payload."""
+    url, date = page_url(url, page_id), page_date(page_id)
+    return {"url": url, "date": date, "id": record_id(url, date, _page_block(page_id, payload))}
+
+
 def _archived(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
     """Pages to ARC data, in either version by turns of the batch, and that to a WARC file."""
     stored: list[dict[str, str] | None] = []
@@ -273,8 +281,9 @@ def _archived(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.Rec
             version = 1 + n % 2
             yield arc_version_block(version)
             for page, url, html, first, first_url in zip(*(c.to_pylist() for c in batch.columns)):
-                stored.append(None if first is None else {"url": page_url(first_url, first), "date": page_date(first)})
-                yield arc_record(version, page_url(url, page), page_date(page), _page_block(page, html.encode("utf-8", "surrogatepass")))
+                payload = html.encode("utf-8", "surrogatepass")
+                stored.append(None if first is None else _stored_page(first_url, first, payload))
+                yield arc_record(version, page_url(url, page), page_date(page), _page_block(page, payload))
 
     def stored_in() -> Iterator[dict[str, str] | None]:
         while True:
@@ -323,9 +332,12 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_records(files: DataFrame) -> DataFrame:
-    """The records of the WARC files named in the column uri; sound says whether the digests fit what was read."""
+    """The records of the WARC files named in the column uri; sound says whether the digests fit what was read.
+
+    Every file is a task of its own.
+    """
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers string, record_id string, target_uri string, date string, sound boolean"
-    return files.select("uri").repartition(F.col("uri")).mapInArrow(_read, schema)
+    return files.select("uri").repartition(max(1, files.count())).mapInArrow(_read, schema)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
