@@ -1,7 +1,8 @@
 """Text functions as column expressions.
 
-normalize_text has two forms: a native one that is exact for ASCII, Latin-1 and Cyrillic text, and an Arrow function
-that also folds compatibility characters.
+Normalisation has two forms: native expressions that are exact for PLAIN text, and Arrow functions that fold
+compatibility characters and compose accents. The keys take the native one where that is exact and send only other
+values through the Arrow one.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from pyspark.sql import types as T
 # recommendation.
 VARIANT_WORDS = ("acoustic", "anniversary", "bonus", "demo", "edit", "explicit", "instrumental", "karaoke", "live", "mono", "radio", "remaster", "remastered", "remix", "single", "stereo", "version")
 ARTIST_SEPARATORS = r"(?iu)\s*(?:,|&| feat\.? | ft\.? | featuring | x |х|\+|/)\s*"
+# What a normalised text keeps, and the letters of the Cyrillic check.
+OTHER_CHARACTERS = "[^0-9a-zа-я]+"
 REASONS = {
     "favorite": "совпадает с любимыми артистами плейлиста",
     "recent": "похож на последние треки",
@@ -27,6 +30,8 @@ REASONS = {
     "default": "имеет близкий playlist-context в MPD",
 }
 CYRILLIC = "[А-Яа-яЁё]"
+#: Text whose native normalisation is exact: ASCII, Latin letters and Cyrillic without compatibility forms, punctuation.
+PLAIN = r"^[\x00-\x7F\u00A0-\u00A9\u00AB-\u00B1\u00B4-\u00B8\u00BB\u00BF-\u0130\u0134-\u013E\u0141-\u0148\u014A-\u017E\u0400-\u045F\u2010-\u2027]*$"
 
 
 def _col(c: Column | str) -> Column:
@@ -36,7 +41,18 @@ def _col(c: Column | str) -> Column:
 def _fold(c: Column) -> Column:
     for old, new in (("ё", "е"), ("ß", "ss")):
         c = F.replace(c, F.lit(old), F.lit(new))
-    return F.trim(F.regexp_replace(c, "[^0-9a-zа-я]+", " "))
+    return F.trim(F.regexp_replace(c, OTHER_CHARACTERS, " "))
+
+
+def strip(c: Column | str) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(_col(c), r"(?U)^[\s\uFEFF]+|[\s\uFEFF]+$", "")
+
+
+def folded(value: str | None) -> str:
+    """normalize_text of one value, with compatibility normalisation (NFKC) and full case folding."""
+    low = unicodedata.normalize("NFKC", value or "").casefold().replace("ё", "е")
+    return " ".join(re.sub(OTHER_CHARACTERS, " ", low, flags=re.I).split())
 
 
 def normalize_text(c: Column | str) -> Column:
@@ -46,14 +62,29 @@ def normalize_text(c: Column | str) -> Column:
 
 @F.pandas_udf(T.StringType())
 def normalize_text_full(values: pd.Series) -> pd.Series:
-    """normalize_text with compatibility normalisation (NFKC) and full case folding."""
-    other = re.compile("[^0-9a-zа-я]+", re.I)
+    """normalize_text of any text; null stays null."""
+    return values.map(folded, na_action="ignore")
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def split_artists_full(values: pd.Series) -> pd.Series:
+    """split_artists of any text; null stays null."""
+    cut = re.compile(ARTIST_SEPARATORS.replace("(?iu)", "(?i)"))
+    return values.map(lambda v: sorted({folded(p) for p in cut.split(v)} - {""}), na_action="ignore")
+
 
-    def one(value: str | None) -> str:
-        folded = unicodedata.normalize("NFKC", value or "").casefold().replace("ё", "е")
-        return " ".join(other.sub(" ", folded).split())
+def _not_plain(c: Column) -> Column:
+    return F.when(~c.rlike(PLAIN), c)
 
-    return values.map(one)
+
+def text_key(c: Column | str) -> Column:
+    """normalize_text, exact for every text."""
+    return F.coalesce(normalize_text_full(_not_plain(_col(c))), normalize_text(c))
+
+
+def artists_key(c: Column | str) -> Column:
+    """split_artists, exact for every text."""
+    return F.coalesce(split_artists_full(_not_plain(_col(c))), split_artists(c))
 
 
 def split_artists(c: Column | str) -> Column:
@@ -76,6 +107,10 @@ def has_cyrillic(*columns: Column | str) -> Column:
     return found
 
 
+# The rungs of the search score.
+RUNGS = {"equal": 100, "artist_starts": 92, "title_starts": 88, "artist_holds": 82, "title_holds": 78, "both_hold": 70, "every_word": 60, "some_words": 10}
+
+
 def search_score(query: str, artist_key: Column | str, title_key: Column | str) -> Column:
     """How well a normalised query fits an artist and a title, from 100 (equal) down to 0."""
     artist, title, tokens = _col(artist_key), _col(title_key), query.split()
@@ -86,10 +121,11 @@ def search_score(query: str, artist_key: Column | str, title_key: Column | str)
     every = found[0]
     for f in found[1:]:
         every = every & f
-    ladder = F.when((artist == query) | (title == query), 100).when(artist.startswith(query), 92).when(title.startswith(query), 88)
-    ladder = ladder.when(artist.contains(query), 82).when(title.contains(query), 78).when(F.concat_ws(" ", artist, title).contains(query), 70).when(every, 60)
+    ladder = F.when((artist == query) | (title == query), RUNGS["equal"]).when(artist.startswith(query), RUNGS["artist_starts"]).when(title.startswith(query), RUNGS["title_starts"])
+    ladder = ladder.when(artist.contains(query), RUNGS["artist_holds"]).when(title.contains(query), RUNGS["title_holds"])
+    ladder = ladder.when(F.concat_ws(" ", artist, title).contains(query), RUNGS["both_hold"]).when(every, RUNGS["every_word"])
     if len(tokens) > 1:
-        ladder = ladder.when(hits > 0, 10 + hits)
+        ladder = ladder.when(hits > 0, RUNGS["some_words"] + hits)
     return ladder.otherwise(0)
 
 
@@ -135,6 +171,11 @@ def percent(score: Column | str) -> Column:
     return F.round(_col(score) * 100).cast("int")
 
 
+def component(value: Column | str) -> Column:
+    """A component of a score with three decimals; 0 for null."""
+    return F.format_string("%.3f", F.coalesce(_col(value).cast("double"), F.lit(0.0)))
+
+
 def or_empty(c: Column | str) -> Column:
     """The column, empty for null."""
     return F.coalesce(_col(c), F.lit(""))

@@ -5,15 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from segue.functions.text import normalize_text, split_artists
+from segue.functions.text import artists_key, text_key
 
 
-def with_keys(tracks: DataFrame, full: bool = False) -> DataFrame:
-    """tracks with artist_key, title_key and the distinct normalised artists."""
-    from segue.functions.text import normalize_text_full
-
-    norm = normalize_text_full if full else normalize_text
-    return tracks.withColumns({"artist_key": norm("artist_name"), "title_key": norm("track_name"), "artists": split_artists("artist_name")})
+def with_keys(tracks: DataFrame) -> DataFrame:
+    """tracks with artist_key, title_key and the distinct normalised artists; to be stored, not made for each request."""
+    return tracks.withColumns({"artist_key": text_key("artist_name"), "title_key": text_key("track_name"), "artists": artists_key("artist_name")})
 
 
 def check_aligned(tracks: DataFrame, vectors: DataFrame) -> None:
@@ -52,6 +49,18 @@ def artist_postings(tracks: DataFrame) -> DataFrame:
     return tracks.select(F.explode("artists").alias("artist"), "idx")
 
 
+def posting_lists(postings: DataFrame, key: str, block: int = 10_000) -> DataFrame:
+    """(key, block, ids): the ordered idx of every key, a row for each block of idx, so that no list is without bound."""
+    return postings.groupBy(key, F.floor(F.col("idx") / block).alias("block")).agg(F.array_sort(F.collect_set("idx")).alias("ids"))
+
+
+def title_uris(tracks: DataFrame) -> DataFrame:
+    """(title_key, place, track_uri): the tracks of a title in order of idx, a row each."""
+    from pyspark.sql.window import Window
+
+    return tracks.select("title_key", (F.row_number().over(Window.partitionBy("title_key").orderBy("idx")) - 1).alias("place"), "track_uri")
+
+
 def index_sizes(postings: DataFrame, key: str) -> DataFrame:
     """(key, postings, first, last) of an inverted index."""
     return postings.groupBy(key).agg(F.count("*").alias("postings"), F.min("idx").alias("first_idx"), F.max("idx").alias("last_idx"))

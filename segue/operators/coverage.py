@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from segue.functions.text import CYRILLIC, markdown_cell, normalize_text, or_empty, split_artists, split_line
+from segue.functions.text import CYRILLIC, artists_key, markdown_cell, or_empty, split_line, text_key
 from segue.operators.corpus import METADATA, ORDINAL, ordinal
 
+# Methods of a match and their confidence; the first two count as sure.
+METHODS = {"exact_title_same_artist_set": 1.0, "exact_title_artist_overlap": 0.92, "unique_title_only": 0.55, "ambiguous_title": 0.0, "unmatched": 0.0}
 CONFIDENT = ("exact_title_same_artist_set", "exact_title_artist_overlap")
 
 
@@ -21,19 +23,22 @@ def _first_pids(occurrences: DataFrame, keys: list[str], order: tuple[str, ...],
 
 def entries(lines: DataFrame) -> DataFrame:
     """Input lines (ord, raw, artist, title) with keys."""
-    return lines.withColumns({"title_key": normalize_text("title"), "artist_tokens": split_artists("artist"), "has_cyrillic": F.coalesce(F.col("raw").rlike(CYRILLIC), F.lit(False))})
+    return lines.withColumns({"title_key": text_key("title"), "artist_tokens": artists_key("artist"), "has_cyrillic": F.coalesce(F.col("raw").rlike(CYRILLIC), F.lit(False))})
 
 
 def candidates(occurrences: DataFrame, wanted: DataFrame, order: tuple[str, ...] = ORDINAL) -> DataFrame:
     """Tracks whose normalised title is wanted, by title and uri: counts, first metadata, example playlists.
 
-    playlist_count counts occurrences too, as repeats in a playlist are not told apart.
+    playlist_count counts occurrences too, as repeats in a playlist are not told apart. Every distinct title is
+    normalised once; the corpus is cut down to the wanted ones before it is grouped.
     """
-    found = occurrences.withColumn("title_key", normalize_text("track_name")).join(wanted.select("title_key").distinct(), "title_key", "left_semi")
+    titles = occurrences.select("track_name").distinct().withColumn("title_key", text_key("track_name"))
+    titles = titles.join(wanted.select("title_key").distinct(), "title_key", "left_semi").select(F.col("track_name").alias("__name"), "title_key")
+    found = occurrences.join(titles, F.coalesce("track_name", F.lit("")) == F.coalesce("__name", F.lit(""))).drop("__name")
     keys = ["title_key", "track_uri"]
     counted = found.groupBy(*keys).agg(F.count("*").alias("occurrences"), F.min_by(F.struct("track_name", "artist_name"), ordinal(order)).alias("m"), F.min(ordinal(order)).alias("first"))
     rows = counted.select(*keys, "m.track_name", "m.artist_name", "occurrences", F.col("occurrences").alias("playlist_count"), "first")
-    return rows.withColumn("artist_tokens", split_artists("artist_name")).join(_first_pids(found, keys, order), keys)
+    return rows.withColumn("artist_tokens", artists_key("artist_name")).join(_first_pids(found, keys, order), keys)
 
 
 def choose_matches(lines: DataFrame, found: DataFrame) -> DataFrame:
@@ -42,7 +47,7 @@ def choose_matches(lines: DataFrame, found: DataFrame) -> DataFrame:
     Equal artist sets come first, then overlapping ones, then a title's only candidate; most occurrences win in each,
     ties by first occurrence.
     """
-    left = lines.select("ord", "raw", "title_key", F.col("artist_tokens").alias("want"), "has_cyrillic")
+    left = lines.select("ord", "raw", "artist", "title_key", F.col("artist_tokens").alias("want"), "has_cyrillic")
     both = left.join(found, "title_key")
     named = F.size("want") > 0
     tier = F.when(named & (F.col("want") == F.col("artist_tokens")), 0).when(named & F.coalesce(F.arrays_overlap("want", "artist_tokens"), F.lit(False)), 1).otherwise(2)
@@ -50,12 +55,12 @@ def choose_matches(lines: DataFrame, found: DataFrame) -> DataFrame:
     best = both.groupBy("ord").agg(F.min(fields).alias("b"), F.count("*").alias("candidate_count"))
     rows = left.join(best, "ord", "left").withColumn("candidate_count", F.coalesce("candidate_count", F.lit(0)))
     tier = F.col("b.tier")
-    method = F.when(tier == 0, CONFIDENT[0]).when(tier == 1, CONFIDENT[1]).when(F.col("candidate_count") == 1, "unique_title_only").when(F.col("candidate_count") == 0, "unmatched").otherwise("ambiguous_title")
+    method = F.when(tier == 0, "exact_title_same_artist_set").when(tier == 1, "exact_title_artist_overlap").when(F.col("candidate_count") == 1, "unique_title_only").when(F.col("candidate_count") == 0, "unmatched").otherwise("ambiguous_title")
     rows = rows.withColumn("method", method)
-    confidence = F.element_at(F.create_map(*[F.lit(x) for pair in ((CONFIDENT[0], 1.0), (CONFIDENT[1], 0.92), ("unique_title_only", 0.55), ("unmatched", 0.0), ("ambiguous_title", 0.0)) for x in pair]), F.col("method"))
+    confidence = F.element_at(F.create_map(*[F.lit(x) for pair in METHODS.items() for x in pair]), F.col("method"))
     known = F.col("confidence") > 0
     taken = [F.when(known, F.col(f"b.{c}")).alias(c) for c in ("track_uri", "track_name", "artist_name", "occurrences")]
-    return rows.withColumn("confidence", confidence).select("ord", F.col("raw").alias("input"), "has_cyrillic", "method", "confidence", "candidate_count", *taken)
+    return rows.withColumn("confidence", confidence).select("ord", F.col("raw").alias("input"), F.col("artist").alias("input_artist"), "has_cyrillic", "method", "confidence", "candidate_count", *taken)
 
 
 def summary(matches: DataFrame) -> DataFrame:
@@ -75,16 +80,16 @@ def methods(matches: DataFrame) -> DataFrame:
 
 
 def top_artists(matches: DataFrame, n: int = 20) -> DataFrame:
-    """The artists of matched entries, most frequent first, ties by first entry."""
-    counted = matches.where("track_uri is not null").groupBy("artist_name").agg(F.count("*").alias("n"), F.min("ord").alias("first_ord"))
-    return counted.orderBy(F.desc("n"), "first_ord").limit(n)
+    """(artist, n, first_ord): the artists that all entries name as given, most frequent first, ties by first entry."""
+    named = matches.where("coalesce(input_artist, '') <> ''").groupBy(F.col("input_artist").alias("artist"))
+    return named.agg(F.count("*").alias("n"), F.min("ord").alias("first_ord")).orderBy(F.desc("n"), "first_ord").limit(n)
 
 
 def uncertain(matches: DataFrame) -> DataFrame:
     """Rows matched by their title only, with the input cut into artist and title."""
     artist, title = split_line("input")
     rows = matches.where("track_uri is not null and method = 'unique_title_only'")
-    return rows.select("ord", artist.alias("input_artist"), title.alias("input_title"), F.col("track_name").alias("recognized_title"), F.col("artist_name").alias("recognized_artist"), "confidence", "candidate_count", F.col("occurrences").alias("mpd_occurrences"), "track_uri")
+    return rows.select("ord", artist.alias("input_artist"), title.alias("input_title"), F.col("track_name").alias("recognized_title"), F.col("artist_name").alias("recognized_artist"), "method", "confidence", "candidate_count", F.col("occurrences").alias("mpd_occurrences"), "track_uri")
 
 
 def markdown_rows(rows: DataFrame, columns: list[str]) -> DataFrame:

@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from segue.functions.text import normalize_text, or_empty, split_artists
+from segue.functions.text import artists_key, or_empty, text_key
 
-#: Tiers of a match: status, confidence, whether it counts as matched.
+# Tiers of a match: status, confidence, whether it counts as matched.
 TIERS = (("exact", 1.0, True), ("artist_title_fallback", 0.85, True), ("title_only_uncertain", 0.45, False), ("not_found", 0.0, False))
 
 
 def match_detailed(texts: DataFrame, tracks: DataFrame) -> DataFrame:
     """A row for every text: its best track, status and confidence. Within a tier the smallest idx wins."""
     asked = texts.select("ord", or_empty("artist").alias("input_artist"), or_empty("title").alias("input_title"))
-    asked = asked.withColumns({"ak": normalize_text("input_artist"), "tk": normalize_text("input_title"), "tokens": split_artists("input_artist")})
+    asked = asked.withColumns({"ak": text_key("input_artist"), "tk": text_key("input_title"), "tokens": artists_key("input_artist")})
     known = tracks.select("idx", "artist_key", "title_key", "artists")
     both = asked.join(known, asked["tk"] == known["title_key"])
     tier = F.when(F.col("ak") == F.col("artist_key"), 0).when(F.coalesce(F.arrays_overlap("tokens", "artists"), F.lit(False)), 1).otherwise(2)
@@ -40,8 +40,19 @@ def match_summary(matches: DataFrame) -> DataFrame:
 
 
 def merge_matches(playlist: DataFrame, matches: DataFrame) -> DataFrame:
-    """A playlist (ord, track_uri, track_name, artist_name) after matching: matched rows take the catalogue's fields."""
-    m = matches.select("ord", "status", "confidence", "matched", *[F.col(c).alias(f"m_{c}") for c in ("track_uri", "track_name", "artist_name")])
+    """A playlist of normalised rows (playlist.normalized) after matching some of them.
+
+    A matched row takes the catalogue's fields, as far as they say anything; of another only matched, status and
+    confidence change. Rows that were not asked about stay as they are.
+    """
+    told = ("track_name", "artist_name", "album_name", "count")
+    m = matches.select("ord", *[F.col(c).alias(f"m_{c}") for c in ("track_uri", *told, "status", "confidence", "matched")])
     rows = playlist.join(m, "ord", "left")
-    taken = [F.when(F.col("matched"), F.col(f"m_{c}")).otherwise(F.col(c)).alias(c) for c in ("track_uri", "track_name", "artist_name")]
-    return rows.select("ord", *taken, F.coalesce("status", F.lit("unverified")).alias("status"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
+    asked = F.col("m_status").isNotNull()
+    taken = asked & F.col("m_matched") & (or_empty("m_track_uri") != "")
+    said = lambda c: F.when(F.col(f"m_{c}") != (0 if c == "count" else ""), F.col(f"m_{c}")).otherwise(F.col(c))
+    fields = {"track_uri": F.when(taken, F.col("m_track_uri")).otherwise(F.col("track_uri"))}
+    fields |= {c: F.when(taken, said(c)).otherwise(F.col(c)) for c in told}
+    fields |= {"matched": F.when(asked, taken).otherwise(F.col("matched")), "status": F.coalesce("m_status", "status")}
+    fields |= {"confidence": F.when(asked, F.coalesce("m_confidence", F.lit(0.0))).otherwise(F.col("confidence"))}
+    return rows.select(*[fields.get(c, F.col(c)).alias(c) for c in playlist.columns])

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from segue.functions.text import or_empty, strip
+
 # Names of header cells.
 ARTIST_HEADERS = ("artist", "artist_name", "исполнитель")
 TITLE_HEADERS = ("title", "track", "track_name", "name", "трек", "название")
@@ -15,41 +17,66 @@ def cells(line: Column) -> Column:
     # a doubled quote is put aside; what is left in quotes is kept whole
     aside = F.replace(line, F.lit('""'), F.lit("\x00"))
     parts = F.split(aside, r'[,;](?=(?:[^"]*"[^"]*")*[^"]*$)')
-    return F.transform(parts, lambda p: F.trim(F.replace(F.replace(p, F.lit('"'), F.lit("")), F.lit("\x00"), F.lit('"'))))
+    return F.transform(parts, lambda p: strip(F.replace(F.replace(p, F.lit('"'), F.lit("")), F.lit("\x00"), F.lit('"'))))
 
 
 def parse_import(lines: DataFrame) -> DataFrame:
     """Artist and title of each line (ord, value) of an import, by its header, a dash, two cells, or as a title."""
-    rows = lines.select("ord", F.trim("value").alias("line")).where("line <> ''").withColumn("cells", cells(F.col("line")))
+    rows = lines.select("ord", strip("value").alias("line")).where("line <> ''").withColumn("cells", cells(F.col("line")))
     head = rows.agg(F.min_by(F.transform("cells", F.lower), "ord").alias("header"), F.min("ord").alias("first"))
     place = lambda names: F.least(*[F.when(F.array_position("header", n) > 0, F.array_position("header", n)) for n in names])
     head = head.select("first", place(ARTIST_HEADERS).alias("a"), place(TITLE_HEADERS).alias("t")).withColumn("headed", F.col("a").isNotNull() & F.col("t").isNotNull())
     rows = rows.crossJoin(F.broadcast(head)).where("not (headed and ord = first)")
-    dash = F.split("line", r"\s[-–—]\s")
+    dash = F.split("line", r"(?U)\s[-–—]\s")
     cell = lambda i: F.coalesce(F.get("cells", i), F.lit(""))
-    artist = F.when(F.col("headed"), cell((F.col("a") - 1).cast("int"))).when(F.size(dash) > 1, F.trim(F.get(dash, F.lit(0)))).when(F.size("cells") > 1, cell(F.lit(0))).otherwise("")
-    title = F.when(F.col("headed"), cell((F.col("t") - 1).cast("int"))).when(F.size(dash) > 1, F.trim(F.array_join(F.slice(dash, 2, 1 << 20), " - "))).when(F.size("cells") > 1, cell(F.lit(1))).otherwise(F.col("line"))
+    artist = F.when(F.col("headed"), cell((F.col("a") - 1).cast("int"))).when(F.size(dash) > 1, strip(F.get(dash, F.lit(0)))).when(F.size("cells") > 1, cell(F.lit(0))).otherwise("")
+    title = F.when(F.col("headed"), cell((F.col("t") - 1).cast("int"))).when(F.size(dash) > 1, strip(F.array_join(F.slice(dash, 2, 1 << 20), " - "))).when(F.size("cells") > 1, cell(F.lit(1))).otherwise(F.col("line"))
     return rows.select("ord", artist.alias("artist_name"), title.alias("track_name")).where("track_name <> ''")
 
 
 def identity() -> Column:
     """What makes two rows the same: the uri, or else artist and title."""
-    return F.when(F.coalesce("track_uri", F.lit("")) != "", F.col("track_uri")).otherwise(F.concat_ws("|", F.coalesce("artist_name", F.lit("")), F.coalesce("track_name", F.lit(""))))
+    return F.when(or_empty("track_uri") != "", F.col("track_uri")).otherwise(F.concat_ws("|", or_empty("artist_name"), or_empty("track_name")))
+
+
+def normalized(rows: DataFrame) -> DataFrame:
+    """Rows to be added as rows of a playlist: ord, and eight fields with their fallbacks.
+
+    Names may come as artist_name or artist, track_name or title; what is missing or empty falls back. A row with a
+    uri counts as matched, as a search result; others are unverified.
+    """
+    text = lambda *names: F.coalesce(*[F.nullif(F.col(n), F.lit("")) for n in names if n in rows.columns], F.lit(""))
+    uri = F.nullif(F.col("track_uri"), F.lit("")) if "track_uri" in rows.columns else F.lit(None).cast("string")
+    count = F.coalesce(F.col("count").cast("long"), F.lit(0)) if "count" in rows.columns else F.lit(0).cast("long")
+    known = uri.isNotNull()
+    return rows.select(
+        "ord", uri.alias("track_uri"), text("artist_name", "artist").alias("artist_name"), text("track_name", "title").alias("track_name"), text("album_name").alias("album_name"), count.alias("count"),
+        known.alias("matched"), F.when(known, "search_result").otherwise("unverified").alias("status"), known.cast("double").alias("confidence"),
+    )
+
+
+def _fresh(playlist: DataFrame, added: DataFrame) -> DataFrame:
+    """The added rows whose identity the playlist does not list, each identity once."""
+    listed = playlist.select(identity().alias("__identity")).distinct()
+    rest = added.columns
+    new = added.withColumn("__identity", identity()).join(listed, "__identity", "left_anti")
+    return new.groupBy("__identity").agg(F.min_by(F.struct(*rest), "ord").alias("r")).select("r.*")
 
 
 def merged(playlist: DataFrame, added: DataFrame, prepend: bool = False) -> DataFrame:
-    """Two lists in one, each identity at its first place; ord counts from 0."""
-    parts = [added, playlist] if prepend else [playlist, added]
-    both = parts[0].withColumn("src", F.lit(0)).unionByName(parts[1].withColumn("src", F.lit(1)))
+    """The playlist with the added rows behind or before it, but for those that are listed; ord counts from 0.
+
+    Rows of the playlist all stay, repeats among them too.
+    """
     rest = [c for c in playlist.columns if c != "ord"]
-    firsts = both.groupBy(identity().alias("identity")).agg(F.min(F.struct("src", "ord", *rest)).alias("r"))
-    return reordered(firsts.select("r.src", "r.ord", *[f"r.{c}" for c in rest]), ["src", "ord"]).select("ord", *rest)
+    both = playlist.withColumn("__src", F.lit(1)).unionByName(_fresh(playlist, added).withColumn("__src", F.lit(0 if prepend else 2)))
+    return reordered(both, ["__src", "ord"]).select("ord", *rest)
 
 
 def duplicates(playlist: DataFrame, added: DataFrame) -> DataFrame:
-    """One row: how many rows merged() leaves out."""
-    both = playlist.select(identity().alias("i")).union(added.select(identity().alias("i")))
-    return both.agg((F.count("*") - F.countDistinct("i")).alias("duplicates"))
+    """One row: how many added rows merged() leaves out."""
+    fresh = _fresh(playlist, added).agg(F.count("*").alias("fresh"))
+    return added.agg(F.count("*").alias("n")).crossJoin(F.broadcast(fresh)).select((F.col("n") - F.col("fresh")).alias("duplicates"))
 
 
 def reordered(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -71,13 +98,15 @@ def swapped(playlist: DataFrame, at: int) -> DataFrame:
 
 
 def status_counts(playlist: DataFrame) -> DataFrame:
-    return playlist.groupBy("status").agg(F.count("*").alias("n"))
+    """One row: rows, and how many are matched, uncertain and pending."""
+    return playlist.agg(F.count("*").alias("total"), F.count_if(F.col("matched") & (or_empty("track_uri") != "")).alias("matched"), F.count_if(F.col("status") == "title_only_uncertain").alias("uncertain"), F.count_if(F.col("status") == "unverified").alias("pending"))
 
 
 def seeds(playlist: DataFrame) -> DataFrame:
     """(ord, track_uri) of rows with a uri that are matched."""
-    return playlist.where("coalesce(track_uri, '') <> '' and status in ('exact', 'artist_title_fallback', 'catalog')").select("ord", "track_uri")
+    return playlist.where("matched and coalesce(track_uri, '') <> ''").select("ord", "track_uri")
 
 
 def unverified(playlist: DataFrame) -> DataFrame:
-    return playlist.where("status = 'unverified' or coalesce(track_uri, '') = ''")
+    """Rows that are to be matched: those without a status, and unverified ones."""
+    return playlist.where("coalesce(status, '') in ('', 'unverified')")

@@ -15,9 +15,11 @@ from segue.functions.text import canonical_title, explanation
 from segue.functions.vectors import dot, mean_vector, normalized
 from segue.operators.ranking import with_rank
 
+# Most seeds of a request, and seeds whose similarities are averaged.
 MOST_SEEDS, SUPPORT_SEEDS = 5000, 5
 
 
+# The defaults and ranges of weights and options.
 @dataclass(frozen=True)
 class Weights:
     recent: float = 0.45
@@ -26,6 +28,11 @@ class Weights:
     popularity: float = 0.10
     favorite: float = 0.0
 
+    def __post_init__(self) -> None:
+        for name in ("recent", "whole", "support", "popularity", "favorite"):
+            if not 0.0 <= getattr(self, name) <= 1.0:
+                raise ValueError(f"{name} must be 0 to 1")
+
 
 # The named presets.
 PRESETS = {
@@ -54,8 +61,9 @@ class Options:
     duplicates: bool = True
 
     def __post_init__(self) -> None:
-        for name, low, high in (("top_n", 1, 200), ("recent_k", 0, 100), ("min_count", 1, 1 << 31), ("pool", 1, 100_000)):
-            if not low <= getattr(self, name) <= high:
+        ranges = (("top_n", 1, 200), ("recent_k", 1, 100), ("min_count", 1, 1 << 31), ("pool", 100, 100_000))
+        for name, low, high in ranges:  # the command line took any number, and 0 recent seeds for all
+            if not (low if self.overfetch == "index" else 0) <= getattr(self, name) <= high:
                 raise ValueError(f"{name} must be {low} to {high}")
         if self.side not in ("first", "last") or self.overfetch not in ("index", "plain"):
             raise ValueError("side is first or last, overfetch index or plain")
@@ -69,11 +77,33 @@ class NoSeeds(ValueError):
     """None of the seeds is in the catalogue."""
 
 
+class NotLoaded(RuntimeError):
+    """There is no catalogue to recommend from."""
+
+
+def health(tracks: DataFrame | None, error: str | None = None) -> dict:
+    """The state of a service: ok with a catalogue, degraded with an empty one, error without one."""
+    if tracks is None:
+        return {"status": "error", "model_loaded": False, "vocab_size": 0, "error": error or "no catalogue"}
+    size = tracks.count()
+    return {"status": "ok" if size else "degraded", "model_loaded": size > 0, "vocab_size": size, "error": error}
+
+
+def loaded(tracks: DataFrame | None) -> DataFrame:
+    """The catalogue; NotLoaded if there is none or it is empty."""
+    if tracks is None or tracks.isEmpty():
+        raise NotLoaded("the catalogue is not loaded")
+    return tracks
+
+
 def known_seeds(tracks: DataFrame, seeds: DataFrame) -> DataFrame:
     """The tracks of seeds (ord, track_uri) in order; repeats stay, unknown uris go.
 
-    These are MOST_SEEDS rows at most and are kept, as every later step meets the catalogue with them.
+    These are MOST_SEEDS rows at most, which is looked at before they are sent to every task, and are kept, as every
+    later step meets the catalogue with them.
     """
+    if seeds.limit(MOST_SEEDS + 1).count() > MOST_SEEDS:
+        raise ValueError(f"more than {MOST_SEEDS} seeds")
     return F.broadcast(seeds).join(tracks, "track_uri").select("ord", "idx", "track_uri", "track_name", "artists", "embedding").coalesce(1).persist()
 
 
@@ -154,8 +184,6 @@ def candidates(tracks: DataFrame, seeds: DataFrame, w: Weights, options: Options
     seed_rows = seeds.agg(F.countDistinct("idx"), F.count("*")).first()
     if not seed_rows[1]:
         raise NoSeeds("no seed is in the catalogue")
-    if seed_rows[1] > MOST_SEEDS:
-        raise ValueError(f"more than {MOST_SEEDS} seeds")
     keep = keep_of(options, seed_rows[0])
     reach = max(2 * keep, keep + 1000) if options.overfetch == "index" else keep
     rows = with_similarities(with_affinity(tracks, seeds), seeds, options)

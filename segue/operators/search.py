@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from segue.functions.text import search_score
+from segue.functions.text import folded, search_score
 from segue.operators.ranking import page
 
 
@@ -13,18 +13,9 @@ def _order():
     return [F.desc("score"), F.desc("count"), F.col("idx")]
 
 
-def normalized_query(query: str) -> str:
-    """normalize_text of a query, on the driver."""
-    import re
-    import unicodedata
-
-    folded = unicodedata.normalize("NFKC", query).casefold().replace("ё", "е")
-    return " ".join(re.sub("[^0-9a-zа-я]+", " ", folded, flags=re.I).split())
-
-
 def scored(tracks: DataFrame, query: str) -> DataFrame:
     """Tracks (with keys) that fit the query at all, with their score."""
-    key = normalized_query(query)
+    key = folded(query)
     return tracks.withColumn("score", search_score(key, "artist_key", "title_key")).where("score > 0")
 
 

@@ -54,11 +54,11 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
 
 def read_playlist_lines(spark: SparkSession, path: str) -> DataFrame:
     """(ord, raw, artist, title) of a list of `artist - title` lines; blank lines go, lines without ` - ` are titles."""
-    from segue.functions.text import split_line
+    from segue.functions.text import split_line, strip
 
-    rows = _lines(spark, path).select("ord", F.trim("value").alias("raw")).where("raw <> ''")
+    rows = _lines(spark, path).select("ord", strip("value").alias("raw")).where("raw <> ''")
     artist, title = split_line("raw")
-    return rows.select(F.col("ord").cast("long"), "raw", F.trim(artist).alias("artist"), F.trim(title).alias("title"))
+    return rows.select(F.col("ord").cast("long"), "raw", strip(artist).alias("artist"), strip(title).alias("title"))
 
 
 def read_import(spark: SparkSession, path: str) -> DataFrame:

@@ -24,9 +24,17 @@ def test_ranks_scores_and_seeds(spark, tracks, preset):
 def test_unknown_seeds_and_bad_options(spark, tracks):
     with pytest.raises(recommend.NoSeeds):
         recommend.hybrid(tracks, spark.createDataFrame([(0, "track:-1")], "ord int, track_uri string"))
-    for bad in ({"top_n": 0}, {"pool": 0}, {"recent_k": 101}, {"side": "middle"}):
+    for bad in ({"top_n": 0}, {"pool": 99}, {"recent_k": 0}, {"recent_k": 101}, {"side": "middle"}):
         with pytest.raises(ValueError):
             recommend.Options(**bad)
+    for bad in ({"recent": 1.1}, {"popularity": -0.1}):
+        with pytest.raises(ValueError):
+            recommend.Weights(**bad)
+    assert recommend.health(None)["status"] == "error" and recommend.health(tracks.limit(0))["status"] == "degraded" and recommend.health(tracks)["status"] == "ok"
+    with pytest.raises(recommend.NotLoaded):
+        recommend.loaded(None)
+    with pytest.raises(ValueError, match="more than"):
+        recommend.known_seeds(tracks, spark.range(recommend.MOST_SEEDS + 1).selectExpr("int(id) ord", "'track:1' track_uri"))
     assert recommend.weights(None, recommend.Weights(favorite=0.9)).favorite == 0.0 and recommend.weights("favorite").favorite == 0.35
 
 

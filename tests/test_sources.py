@@ -58,12 +58,15 @@ def test_model_round_trip(spark, slices, tmp_path):
 
 
 def test_playlist_files(spark, tmp_path):
-    (tmp_path / "list.txt").write_text(" A - B - C \n\nonly\r\nX - Y\n")
+    (tmp_path / "list.txt").write_text(" A - B - C \n\t \n\u00a0only\t\r\nX - Y\n")
     rows = src.read_playlist_lines(spark, str(tmp_path / "list.txt")).orderBy("ord").collect()
     assert [(r["artist"], r["title"]) for r in rows] == [("A", "B - C"), ("", "only"), ("X", "Y")]
     (tmp_path / "in.csv").write_text('Название;Исполнитель\n"So; ng";"He said ""x"""\nlast;\n')
     rows = src.read_import(spark, str(tmp_path / "in.csv")).orderBy("ord").collect()
     assert [(r["artist_name"], r["track_name"]) for r in rows] == [('He said "x"', "So; ng"), ("", "last")]
+    (tmp_path / "odd.txt").write_text("\t\nX\u00a0-\u00a0Y\n\tZ\u2003\n")
+    rows = src.read_import(spark, str(tmp_path / "odd.txt")).orderBy("ord").collect()
+    assert [(r["artist_name"], r["track_name"]) for r in rows] == [("X", "Y"), ("", "Z")]
     assert src.stem("/a/b.c.txt") == "b.c" and src.frame(spark, [("u",), ("v",)], SEEDS).count() == 2 and src.frame(spark, [], TEXTS).count() == 0
 
 
@@ -72,18 +75,28 @@ def test_reports(spark, slices, tmp_path):
     lines = coverage.entries(spark.createDataFrame([(0, "Artist 1 - Song 1", "Artist 1", "Song 1"), (1, "Me - Song 5", "Me", "Song 5"), (2, "Ё - нет | x", "Ё", "нет | x")], "ord long, raw string, artist string, title string"))
     matches = coverage.choose_matches(lines, coverage.candidates(rows, lines))
     assert [r["method"] for r in matches.orderBy("ord").collect()] == ["exact_title_same_artist_set", "unique_title_only", "unmatched"]
-    sinks.write_coverage(matches, f"{tmp_path}/coverage")
+    assert [(r["artist"], r["n"]) for r in coverage.top_artists(matches).orderBy("first_ord").collect()] == [("Artist 1", 1), ("Me", 1), ("Ё", 1)]
+    sinks.write_coverage(matches, f"{tmp_path}/coverage", "list", "corpus")
     back = sinks.read_coverage(spark, f"{tmp_path}/coverage")
-    assert sorted(map(str, back.collect())) == sorted(map(str, matches.select(*back.columns).collect()))
-    assert spark.read.text(f"{tmp_path}/coverage/cyrillic_unmatched.md").first()["value"].startswith("| Ё - нет \\| x | unmatched")
+    assert sorted(map(str, back.select(*matches.columns).collect())) == sorted(map(str, matches.collect()))
+    report = spark.read.json(f"{tmp_path}/coverage/report").first()
+    assert report["all"]["entries"] == 3 and report["all"]["methods"]["unmatched"] == 1 and report["cyrillic_subset"]["entries"] == 1 and report["playlist"] == "list"
+    assert [(a["artist"], a["n"]) for a in report["top_cyrillic_playlist_artists"]] == [("Ё", 1)] and len(report["top_playlist_artists"]) == 3
+    text = "\n".join(r["value"] for r in spark.read.text(f"{tmp_path}/coverage/summary.md").collect())
+    assert "## Cyrillic unmatched examples\n- Ё - нет | x" in text and '"method":"unique_title_only"' in text
+    (tmp_path / "report.json").write_text(json.dumps({"matches": [{"input": "Me - Song 5", "mpd": {"track_uri": "t:5", "track_name": "Song 5", "artist_name": "b", "occurrences": 3}, "method": "unique_title_only", "confidence": 0.55, "candidate_count": 1}, {"input": "x", "mpd": None, "method": "unmatched", "confidence": 0, "candidate_count": 0}]}, indent=2))
+    read = sinks.read_report(spark, f"{tmp_path}/report.json")
+    assert coverage.uncertain(read).count() == 1 and read.orderBy("ord").collect()[1]["track_uri"] is None
     sinks.write_uncertain(coverage.uncertain(back), f"{tmp_path}/uncertain")
-    assert spark.read.option("header", True).csv(f"{tmp_path}/uncertain/csv").first()["recognized_title"] == "Song 5"
-    assert [r["value"][:14] for r in spark.read.text(f"{tmp_path}/uncertain/md").collect()][2] == "| Song 5 | Me "
+    sheet = spark.read.option("header", True).csv(f"{tmp_path}/uncertain/csv")
+    assert sheet.columns == sinks.UNCERTAIN and (sheet.first()["recognized_title"], sheet.first()["method"]) == ("Song 5", "unique_title_only")
+    assert any(r["value"].startswith("| Song 5 | Me ") for r in spark.read.text(f"{tmp_path}/uncertain/md").collect())
     found = coverage.filtered_tracks(rows, "Song [12]$", columns=("track_name",))
-    sinks.write_filtered(found, f"{tmp_path}/filtered")
+    sinks.write_filtered(found, f"{tmp_path}/filtered", "Song [12]$")
     first = spark.read.option("header", True).csv(f"{tmp_path}/filtered/tracks").first()
     assert (first["track_uri"], first["occurrences"], first["example_pids"]) == ("t:1", "2", "[1,1]")
-    assert spark.read.json(f"{tmp_path}/filtered/manifest").first()["total_occurrences"] == 3
+    told = spark.read.json(f"{tmp_path}/filtered/manifest").first()
+    assert (told["total_occurrences"], told["filter"]) == (3, "Song [12]$")
     best = spark.createDataFrame([(1, 0.5, "t:1", "n", "a", "b", 3)], "rank int, score double, track_uri string, track_name string, artist_name string, album_name string, count long")
     sinks.write_recommendations(best, f"{tmp_path}/best", components=True)
     assert spark.read.option("header", True).csv(f"{tmp_path}/best").columns == sinks.HYBRID
@@ -93,8 +106,29 @@ def test_editing(spark):
     rows = spark.createDataFrame([(i, f"t:{i}", "a", "b") for i in range(4)], "ord long, track_uri string, artist_name string, track_name string")
     order = lambda df: [r["track_uri"] for r in df.orderBy("ord").collect()]
     assert order(playlist.removed(rows, 1)) == ["t:0", "t:2", "t:3"] and order(playlist.swapped(rows, 1)) == ["t:0", "t:2", "t:1", "t:3"]
-    more = spark.createDataFrame([(0, "t:9", "a", "b"), (1, "t:2", "a", "b")], rows.schema)
-    assert order(playlist.merged(rows, more, prepend=True)) == ["t:9", "t:2", "t:0", "t:1", "t:3"]
+    twice = spark.createDataFrame([(0, "t:1", "a", "b"), (1, "t:1", "a", "b"), (2, "t:2", "a", "b")], rows.schema)
+    more = spark.createDataFrame([(0, "t:9", "a", "b"), (1, "t:2", "a", "b"), (2, "t:9", "a", "c")], rows.schema)
+    assert order(playlist.merged(twice, more, prepend=True)) == ["t:9", "t:1", "t:1", "t:2"]
+    assert order(playlist.merged(twice, more)) == ["t:1", "t:1", "t:2", "t:9"]
+    assert playlist.duplicates(twice, more).first()["duplicates"] == 2
+
+
+def test_added_rows_are_seeds_and_matching_leaves_others_alone(spark):
+    from segue.operators import match
+
+    added = spark.createDataFrame([(0, "t:1", None, "A", "", "T", 5), (1, None, "B", None, "U", None, None), (2, "", None, None, None, None, 0)], "ord long, track_uri string, artist_name string, artist string, track_name string, title string, count long")
+    rows = playlist.normalized(added)
+    assert [tuple(r) for r in rows.orderBy("ord").collect()] == [(0, "t:1", "A", "T", "", 5, True, "search_result", 1.0), (1, None, "B", "U", "", 0, False, "unverified", 0.0), (2, None, "", "", "", 0, False, "unverified", 0.0)]
+    assert [r["track_uri"] for r in playlist.seeds(rows).collect()] == ["t:1"]
+    assert sorted(r["ord"] for r in playlist.unverified(rows).collect()) == [1, 2]
+    found = spark.createDataFrame([(1, "title_only_uncertain", 0.45, False, "t:7", "U2", "B2", "L", 9)], "ord long, status string, confidence double, matched boolean, track_uri string, track_name string, artist_name string, album_name string, count long")
+    after = {r["ord"]: r for r in match.merge_matches(rows, found).collect()}
+    assert after[0]["status"] == "search_result" and after[0]["confidence"] == 1.0 and after[2]["status"] == "unverified"
+    assert (after[1]["track_uri"], after[1]["track_name"], after[1]["status"], after[1]["confidence"]) == (None, "U", "title_only_uncertain", 0.45)
+    sure = found.withColumns({"matched": found.matched | True, "status": found.status, "album_name": found.album_name, "track_name": found.track_name.substr(1, 0)})
+    one = match.merge_matches(rows, sure).where("ord = 1").first()
+    assert (one["track_uri"], one["track_name"], one["artist_name"], one["album_name"], one["count"], one["matched"]) == ("t:7", "U", "B2", "L", 9, True)
+    assert playlist.status_counts(match.merge_matches(rows, found)).first().asDict() == {"total": 3, "matched": 1, "uncertain": 1, "pending": 1}
 
 
 def test_training_lowers_the_loss(spark):
@@ -114,4 +148,4 @@ def test_stream_counts_go_on(spark, sf_dir, tmp_path):
         part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
         rows = counts.windowed_counts(counts.read_events(spark, f"{tmp_path}/in"), late="3650 days")
         counts.write_available(rows, f"{tmp_path}/out", f"{tmp_path}/state")
-    assert spark.read.schema("window_start timestamp, event_type string, n long").parquet(f"{tmp_path}/out").count() >= 0
+    assert spark.read.schema("window_start timestamp, event_type string, n long").parquet(f"{tmp_path}/out").groupBy("window_start", "event_type").count().where("count > 1").count() == 0

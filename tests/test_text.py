@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from segue.functions import text as fx
 from segue.functions.vectors import learning_rate, normalized, pair_loss, sigmoid
-from segue.operators.search import normalized_query
 
 #: Input, normalize_text, split_artists, whether the native form agrees with the full one.
 CASES = [
@@ -18,12 +17,29 @@ CASES = [
 
 def test_normalised_texts_and_artists(spark):
     df = spark.createDataFrame([(i, c[0]) for i, c in enumerate(CASES)] + [(99, None)], "i int, t string")
-    rows = {r["i"]: r for r in df.select("i", fx.normalize_text("t").alias("n"), fx.normalize_text_full("t").alias("f"), fx.split_artists("t").alias("a")).collect()}
+    rows = {r["i"]: r for r in df.select("i", fx.normalize_text("t").alias("n"), fx.normalize_text_full("t").alias("f"), fx.split_artists("t").alias("a"), fx.text_key("t").alias("k"), fx.artists_key("t").alias("ka")).collect()}
     for i, (_, norm, artists, agrees) in enumerate(CASES):
-        assert rows[i]["f"] == norm == normalized_query(CASES[i][0])
+        assert rows[i]["f"] == norm == fx.folded(CASES[i][0]) == rows[i]["k"]
+        assert rows[i]["ka"] == artists
         if agrees:
             assert rows[i]["n"] == norm and rows[i]["a"] == artists
-    assert rows[99]["n"] == "" and rows[99]["a"] == []
+    assert rows[99]["n"] == rows[99]["k"] == "" and rows[99]["a"] == rows[99]["ka"] == []
+
+
+def test_plain_text_is_normalised_exactly(spark):
+    """Every character that keys treat natively, by itself and between letters, as the full form has it."""
+    import re
+
+    plain = [chr(c) for c in range(0x3000) if re.match(fx.PLAIN, chr(c))]
+    df = spark.createDataFrame([(c,) for c in plain] + [(f"a{c}b",) for c in plain], "t string")
+    wrong = [r["t"] for r in df.select("t", fx.normalize_text("t").alias("n")).collect() if r["n"] != fx.folded(r["t"])]
+    assert len(plain) > 400 and wrong == []
+
+
+def test_keys_compose_accents(spark):
+    df = spark.createDataFrame([("Cafe\u0301", "Sigur Ro\u0301s feat. \ufb01re")], "t string, a string")
+    row = df.select(fx.text_key("t").alias("k"), fx.artists_key("a").alias("a"), fx.component(F.lit(0.12349)).alias("c")).first()
+    assert row["k"] == fx.folded("Café") == "caf" and row["a"] == ["fire", "sigur r s"] and row["c"] == "0.123"
 
 
 def test_canonical_titles_lines_and_formats(spark):
