@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import partial
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,20 +21,72 @@ def similar(tracks: DataFrame, idx: int, n: int = 10) -> DataFrame:
     return rows.orderBy(F.desc("similarity"), "idx").limit(n)
 
 
-def neighbor_table(tracks: DataFrame, n: int = 10, blocks: int | None = None) -> DataFrame:
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _block_best(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    """Rows (left block, right block, side, idx, vector) come by blocks and side; the best n of side 1 for each of side 0."""
+    held: list[pa.RecordBatch] = []
+    key = None
+
+    def done() -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        side, ids = rows.column(2).to_numpy(), rows.column(3).to_numpy()
+        matrix = _matrix(rows.column(4))
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        if not left.size or not right.size:
+            return
+        right = right[np.argsort(ids[right])]
+        for at in range(0, left.size, 512):
+            part = left[at : at + 512]
+            products = matrix[part] @ matrix[right].T
+            products[ids[part][:, None] == ids[right][None, :]] = -np.inf
+            best = np.argsort(-products, axis=1, kind="stable")[:, :n]  # ties by idx
+            values = np.take_along_axis(products, best, 1)
+            own, found = np.repeat(ids[part], best.shape[1]), ids[right][best].ravel()
+            keep = np.isfinite(values.ravel())
+            yield pa.RecordBatch.from_arrays([pa.array(own[keep]), pa.array(found[keep]), pa.array(values.ravel()[keep])], names=["idx", "neighbor", "similarity"])
+
+    for batch in batches:
+        blocks = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()], axis=1)
+        cuts = [0, *(np.flatnonzero((blocks[1:] != blocks[:-1]).any(axis=1)) + 1).tolist(), len(blocks)]
+        for lo, hi in zip(cuts, cuts[1:]):
+            if hi > lo:
+                if held and key != tuple(blocks[lo]):
+                    yield from done()
+                    held = []
+                key = tuple(blocks[lo])
+                held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield from done()
+
+
+def neighbor_table(tracks: DataFrame, n: int = 10, block: int = 4096) -> DataFrame:
     """(idx, rank, neighbor, similarity): the n nearest of every track.
 
-    All pairs are work without bound for a catalogue, so vectors meet block by block: each of the blocks is sent to
-    each other once, and every block keeps its best n before they meet by track.
+    All pairs are work that grows with the square of the catalogue, so it is dealt out: vectors are cut into blocks by
+    a hash, a task multiplies two blocks as matrices and keeps the best n of every row, and those meet by row. A task
+    holds two blocks, whatever the catalogue's size.
     """
-    blocks = blocks or max(1, tracks.sparkSession.sparkContext.defaultParallelism)
+    blocks = -(-tracks.count() // block) or 1
     rows = tracks.select("idx", F.col("embedding").cast("array<double>").alias("v")).withColumn("b", F.pmod(F.xxhash64("idx"), F.lit(blocks)).cast("int"))
-    left = rows.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = rows.select(F.col("idx").alias("neighbor"), F.col("v").alias("w"), F.col("b").alias("c"))
-    pairs = left.join(right, "c").where("idx <> neighbor").select("idx", "c", "neighbor", dot(F.col("v"), F.col("w")).alias("similarity"))
-    order = [F.desc("similarity"), F.col("neighbor")]
-    rank = F.row_number().over(Window.partitionBy("idx").orderBy(*order))
-    return pairs.withColumn("rank", rank).where(F.col("rank") <= n).select("idx", "rank", "neighbor", "similarity")
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    left = rows.select(F.col("b").alias("l"), other.alias("r"), F.lit(0).alias("side"), "idx", "v")
+    right = rows.select(other.alias("l"), F.col("b").alias("r"), F.lit(1).alias("side"), "idx", "v")
+    dealt = left.union(right).repartition("l", "r").sortWithinPartitions("l", "r")
+    best = dealt.mapInArrow(partial(_block_best, n=n), "idx long, neighbor long, similarity double")
+    rank = F.row_number().over(Window.partitionBy("idx").orderBy(F.desc("similarity"), "neighbor"))
+    return best.withColumn("rank", rank).where(F.col("rank") <= n).select("idx", "rank", "neighbor", "similarity")
+
+
+def _sums(members: DataFrame) -> DataFrame:
+    """(pid, n, s, q): how many vectors each playlist has, their sum, and the sum of their squared lengths, added up before the shuffle."""
+    first = members.select(F.size("embedding").alias("d")).first()
+    d = first["d"] if first else 0
+    x = lambda i: F.get("embedding", F.lit(i)).cast("double")
+    sums = members.groupBy("pid").agg(F.count("*").alias("n"), *[F.sum(x(i)).alias(f"s{i}") for i in range(d)], F.sum(dot(F.col("embedding"), F.col("embedding"))).alias("q"))
+    return sums.select("pid", "n", F.array(*[F.col(f"s{i}") for i in range(d)]).cast("array<double>").alias("s"), "q")
 
 
 def cohesion(members: DataFrame) -> DataFrame:
@@ -37,19 +94,17 @@ def cohesion(members: DataFrame) -> DataFrame:
 
     The sum over pairs is half of the squared length of the sum less the sum of squared lengths, so no pairs are made.
     """
-    parts = members.select("pid", "pos", F.posexplode("embedding").alias("d", "x")).withColumn("x", F.col("x").cast("double"))
-    sums = parts.groupBy("pid", "d").agg(F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"), F.count("*").alias("n"))
-    found = sums.groupBy("pid").agg(((F.sum(F.col("s") * F.col("s")) - F.sum("q")) / 2).alias("pairs"), F.max("n").alias("n")).where("n > 1")
-    mean = F.col("pairs") / (F.col("n") * (F.col("n") - 1) / 2)
+    found = _sums(members).where("n > 1")
+    mean = (dot(F.col("s"), F.col("s")) - F.col("q")) / 2 / (F.col("n") * (F.col("n") - 1) / 2)
     return found.select("pid", mean.alias("cohesion"), (1 - mean).alias("diversity"))
 
 
 def centrality(members: DataFrame) -> DataFrame:
     """(pid, pos, centrality, outlier): a track's mean product with the others of its playlist."""
-    parts = members.select("pid", "pos", F.posexplode("embedding").alias("d", "x")).withColumn("x", F.col("x").cast("double"))
-    sums = parts.groupBy("pid", "d").agg(F.sum("x").alias("s"), F.count("*").alias("n"))
-    found = parts.join(sums, ["pid", "d"]).where("n > 1").groupBy("pid", "pos").agg((F.sum(F.col("x") * (F.col("s") - F.col("x"))) / (F.max("n") - 1)).alias("centrality"))
-    return found.select("pid", "pos", "centrality", (1 - F.col("centrality")).alias("outlier"))
+    own = F.col("embedding")
+    both = members.join(_sums(members).where("n > 1").select("pid", "n", "s"), "pid")
+    mean = (dot(own, F.col("s")) - dot(own, own)) / (F.col("n") - 1)
+    return both.select("pid", "pos", mean.alias("centrality")).select("pid", "pos", "centrality", (1 - F.col("centrality")).alias("outlier"))
 
 
 def top_tags(tags: DataFrame, n: int = 10) -> DataFrame:
@@ -79,12 +134,19 @@ def transition_entropy(moves: DataFrame) -> DataFrame:
     return moves.groupBy("prev").agg((-F.sum(F.col("probability") * F.log2("probability"))).alias("entropy"))
 
 
-def cooccurrence(pairs: DataFrame) -> DataFrame:
-    """(a, b, n): playlists that hold both items; pairs are distinct (pid, item) rows, a < b."""
+def cooccurrence(pairs: DataFrame, block: int = 256) -> DataFrame:
+    """(a, b, n): playlists that hold both items; pairs are (pid, item) rows, a < b.
+
+    The items of a playlist are cut into blocks by a hash, and blocks of a playlist meet by twos, so that a very long
+    playlist is many tasks.
+    """
     items = pairs.select("pid", "item").distinct()
-    other = items.select("pid", F.col("item").alias("b"))
-    both = items.select("pid", F.col("item").alias("a")).join(other, "pid").where("a < b")
-    return both.groupBy("a", "b").agg(F.count("*").alias("n"))
+    sizes = items.groupBy("pid").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    rows = items.join(sizes, "pid").withColumn("own", F.pmod(F.xxhash64("item"), F.col("blocks")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    left = rows.select("pid", F.col("own").alias("i"), every.alias("j"), F.col("item").alias("a"))
+    right = rows.select("pid", every.alias("i"), F.col("own").alias("j"), F.col("item").alias("b"))
+    return left.join(right, ["pid", "i", "j"]).where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"))
 
 
 def ppmi(pairs: DataFrame) -> DataFrame:
@@ -122,6 +184,35 @@ def ranking_metrics(ranked: DataFrame, relevant: DataFrame, k: int = 10) -> Data
     )
 
 
+def metric_means(metrics: DataFrame) -> DataFrame:
+    """One row: queries, and the means of ranking_metrics over them (map and mrr are those of ap and rr)."""
+    names = {"recall": "recall", "precision": "precision", "ndcg": "ndcg", "ap": "map", "rr": "mrr", "hit": "hit_rate"}
+    return metrics.agg(F.count("*").alias("queries"), *[F.avg(old).alias(new) for old, new in names.items()])
+
+
+def catalogue_coverage(ranked: DataFrame, items: DataFrame, k: int = 10) -> DataFrame:
+    """One row: the share of all items (item) that some ranking (query, item, rank) holds among its first k."""
+    shown = ranked.where(F.col("rank") <= k).agg(F.countDistinct("item").alias("shown"))
+    return items.agg(F.countDistinct("item").alias("items")).crossJoin(F.broadcast(shown)).select("items", "shown", F.try_divide("shown", "items").alias("coverage"))
+
+
+def novelty(ranked: DataFrame, counts: DataFrame, k: int = 10) -> DataFrame:
+    """(query, novelty): the mean of -log2 of the share of occurrences (item, count) that its first k items have."""
+    total = counts.agg(F.sum("count").alias("total"))
+    own = counts.crossJoin(F.broadcast(total)).select("item", (-F.log2(F.col("count") / F.col("total"))).alias("bits"))
+    return ranked.where(F.col("rank") <= k).join(own, "item").groupBy("query").agg(F.avg("bits").alias("novelty"))
+
+
+# The weights of the first scores that were planned for recommendations.
+FIRST_SCORE = {"recent": 0.35, "whole": 0.25, "tag_match": 0.20, "novelty": 0.10, "trajectory": 0.10}
+PLAIN_SCORE = {"neighbor": 0.50, "tag_match": 0.30, "genre_match": 0.20}
+
+
+def weighted(rows: DataFrame, parts: dict[str, float], name: str = "score") -> DataFrame:
+    """rows with the weighted sum of some of their columns; a missing part counts as 0."""
+    return rows.withColumn(name, sum((F.coalesce(F.col(c), F.lit(0.0)) * w for c, w in parts.items()), F.lit(0.0)))
+
+
 def fuzzy_titles(tracks: DataFrame, query: str, least: float = 0.3, key: str = "title_key") -> DataFrame:
     """(idx, similarity): tracks whose title shares trigrams with the query (Jaccard)."""
     grams = lambda c: F.array_distinct(F.expr(f"transform(sequence(1, greatest(1, length({c}) - 2)), i -> substr({c}, i, 3))"))

@@ -30,14 +30,17 @@ class Config:
     learning_rate: float = 0.025
     max_pairs: int = 2000
     seed: int = 42
-    partitions: int = 1
+    #: Tasks of the MLlib trainer; None: as many as the cluster runs at once.
+    partitions: int | None = None
 
 
 def word2vec(lists: DataFrame, config: Config = Config(), column: str = "uris"):
     """A fitted MLlib model over lists of uris, the distributed trainer."""
     from pyspark.ml.feature import Word2Vec
 
-    trainer = Word2Vec(vectorSize=config.vector_size, windowSize=config.window, minCount=config.min_count, maxIter=config.epochs, seed=config.seed, numPartitions=config.partitions, inputCol=column, outputCol="mean", maxSentenceLength=10_000)
+    longest = lists.agg(F.max(F.size(column))).first()[0] or 1  # MLlib would cut a longer list
+    tasks = config.partitions or lists.sparkSession.sparkContext.defaultParallelism
+    trainer = Word2Vec(vectorSize=config.vector_size, windowSize=config.window, minCount=config.min_count, maxIter=config.epochs, stepSize=config.learning_rate, seed=config.seed, numPartitions=tasks, inputCol=column, outputCol="mean", maxSentenceLength=longest)
     return trainer.fit(lists)
 
 
@@ -66,7 +69,10 @@ def sgns_step(vectors: np.ndarray, contexts: np.ndarray, center: np.ndarray, con
 def _trained(frames: Iterator[pd.DataFrame], start: tuple[np.ndarray, np.ndarray], cdf: np.ndarray, config: Config, epoch: int) -> Iterator[pd.DataFrame]:
     """Each partition trains a copy of the vectors on its pairs, and returns the items it changed."""
     vectors, contexts = start[0].copy(), start[1].copy()
-    rng = np.random.default_rng([config.seed, epoch])
+    from pyspark import TaskContext
+
+    context_of = TaskContext.get()
+    rng = np.random.default_rng([config.seed, epoch, context_of.partitionId() if context_of else 0])
     rate = config.learning_rate * (1 - 0.75 * epoch / max(config.epochs, 1))
     seen, losses, pairs = np.zeros(len(vectors), bool), 0.0, 0
     for frame in frames:

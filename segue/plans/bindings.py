@@ -52,6 +52,22 @@ def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return popularity(with_keys(rows.withColumnRenamed("part", "idx")))
 
 
+def all_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every part as a track: vectors are dealt to parts in turn, so several parts share one and products tie."""
+    counts = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("part")).agg(F.count("*").alias("count"))
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    size = vectors.agg((F.max("vec_id") + 1).alias("size"))
+    rows = parts(spark, sf_dir).crossJoin(F.broadcast(size)).withColumn("vec_id", F.col("part") % F.col("size")).drop("size")
+    rows = rows.join(vectors, "vec_id").drop("vec_id").join(counts, "part").withColumn("track_uri", F.concat(F.lit("track:"), "part"))
+    return popularity(with_keys(rows.withColumnRenamed("part", "idx")))
+
+
+def covered_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """named_occurrences in which every eleventh part has a title of its own."""
+    own = F.when(F.col("part") % 11 == 0, F.concat_ws(" ", "track_name", "part")).otherwise(F.col("track_name"))
+    return named_occurrences(spark, sf_dir).withColumn("track_name", own)
+
+
 def seeds(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(o, f"track:{p}") for o, p in SEED_PARTS], "ord int, track_uri string")
 

@@ -91,15 +91,17 @@ matches AS (SELECT ord, input_artist, input_title, CASE tier WHEN 0 THEN 'exact'
     coalesce(track_name, '') AS track_name, coalesce(artist_name, '') AS artist_name, coalesce(album_name, '') AS album_name, coalesce(count, 0) AS count
     FROM texts LEFT JOIN best USING (ord) LEFT JOIN tracks USING (idx))"""
 
-ENTRIES = f"""{NAMED}, raw_entries AS (SELECT p_partkey AS ord, p_brand || ' feat. ' || p_type AS artist, CASE WHEN p_partkey % 7 = 0 THEN p_name || ' x' ELSE upper(p_name) END AS title FROM part),
-entries AS (SELECT ord, artist || ' - ' || title AS raw, {norm("title")} AS title_key, {artists("CASE WHEN ord % 3 = 0 THEN 'someone' ELSE artist END")} AS want FROM raw_entries),
+ENTRIES = f"""{NAMED}, heard AS (SELECT * REPLACE (CASE WHEN part % 11 = 0 THEN track_name || ' ' || part ELSE track_name END AS track_name) FROM named),
+raw_entries AS (SELECT p_partkey AS ord, CASE WHEN p_partkey % 17 = 0 THEN '' WHEN p_partkey % 13 = 0 THEN 'Ёлка' WHEN p_partkey % 3 = 0 THEN 'someone' WHEN p_partkey % 5 = 0 THEN p_brand ELSE p_brand || ' feat. ' || p_type END AS artist,
+    CASE WHEN p_partkey % 7 = 0 THEN p_name || ' x' WHEN p_partkey % 11 = 0 THEN upper(p_name) || ' ' || p_partkey ELSE upper(p_name) END AS title FROM part),
+entries AS (SELECT ord, artist, CASE WHEN artist = '' THEN title ELSE artist || ' - ' || title END AS raw, {norm("title")} AS title_key, {artists("artist")} AS want FROM raw_entries),
 found AS (SELECT {norm("track_name")} AS title_key, track_uri, any_value(track_name) AS track_name, any_value(artist_name) AS artist_name, count(*) AS occurrences, min((pid, pos)) AS first,
-    array_to_string(list(pid ORDER BY pid, pos)[1:5], ' ') AS example_pids FROM named WHERE {norm("track_name")} IN (SELECT title_key FROM entries) GROUP BY 1, 2)"""
+    array_to_string(list(pid ORDER BY pid, pos)[1:5], ' ') AS example_pids FROM heard WHERE {norm("track_name")} IN (SELECT title_key FROM entries) GROUP BY 1, 2)"""
 COVERED = f"""{ENTRIES}, both_rows AS (SELECT ord, found.*, CASE WHEN len(want) > 0 AND want = {artists("artist_name")} THEN 0 WHEN len(want) > 0 AND list_has_any(want, {artists("artist_name")}) THEN 1 ELSE 2 END AS tier FROM entries JOIN found USING (title_key)),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY ord ORDER BY tier, occurrences DESC, first) AS k, count(*) OVER (PARTITION BY ord) AS n FROM both_rows),
-tried AS (SELECT entries.ord, raw, tier, coalesce(n, 0) AS candidate_count, track_uri, track_name, artist_name, occurrences FROM entries LEFT JOIN (SELECT * FROM ranked WHERE k = 1) r USING (ord)),
+tried AS (SELECT entries.ord, artist, raw, tier, coalesce(n, 0) AS candidate_count, track_uri, track_name, artist_name, occurrences FROM entries LEFT JOIN (SELECT * FROM ranked WHERE k = 1) r USING (ord)),
 named_methods AS (SELECT *, CASE WHEN tier = 0 THEN 'exact_title_same_artist_set' WHEN tier = 1 THEN 'exact_title_artist_overlap' WHEN candidate_count = 1 THEN 'unique_title_only' WHEN candidate_count = 0 THEN 'unmatched' ELSE 'ambiguous_title' END AS method FROM tried),
-matches AS (SELECT ord, raw AS input, regexp_matches(raw, '[А-Яа-яЁё]') AS has_cyrillic, method, CASE method WHEN 'exact_title_same_artist_set' THEN 1.0::DOUBLE WHEN 'exact_title_artist_overlap' THEN 0.92::DOUBLE WHEN 'unique_title_only' THEN 0.55::DOUBLE ELSE 0::DOUBLE END AS confidence,
+matches AS (SELECT ord, raw AS input, artist AS input_artist, regexp_matches(raw, '[А-Яа-яЁё]') AS has_cyrillic, method, CASE method WHEN 'exact_title_same_artist_set' THEN 1.0::DOUBLE WHEN 'exact_title_artist_overlap' THEN 0.92::DOUBLE WHEN 'unique_title_only' THEN 0.55::DOUBLE ELSE 0::DOUBLE END AS confidence,
     candidate_count, CASE WHEN method IN ('unmatched', 'ambiguous_title') THEN NULL ELSE track_uri END AS track_uri, CASE WHEN method IN ('unmatched', 'ambiguous_title') THEN NULL ELSE track_name END AS track_name,
     CASE WHEN method IN ('unmatched', 'ambiguous_title') THEN NULL ELSE artist_name END AS artist_name, CASE WHEN method IN ('unmatched', 'ambiguous_title') THEN NULL ELSE occurrences END AS occurrences FROM named_methods)"""
 FILTERED = f"""{NAMED}, hits AS (SELECT * FROM named WHERE regexp_matches(track_name, '^(small|red) ') OR regexp_matches(artist_name, '^(small|red) ') OR regexp_matches(album_name, '^(small|red) ')),
@@ -110,8 +112,18 @@ MEMBERS = f"{OCC}, members AS (SELECT pid, pos, embedding::DOUBLE[] AS v FROM oc
 ITEMS = f"""{OCC}, items AS (SELECT DISTINCT pid, part AS item FROM occ), single AS (SELECT item, count(*) AS n FROM items GROUP BY 1),
 co AS (SELECT x.item AS a, y.item AS b, count(*) AS n FROM items x JOIN items y ON x.pid = y.pid AND x.item < y.item GROUP BY 1, 2)"""
 TWO = """rows AS (SELECT p_partkey AS ord, CASE WHEN p_partkey % 5 = 0 THEN 'track:' || p_partkey % 10 ELSE '' END AS track_uri, p_brand AS artist_name, p_name AS track_name FROM part),
-lists AS (SELECT 0 AS src, * FROM rows WHERE ord % 2 = 0 UNION ALL SELECT 1, * FROM rows WHERE ord % 2 = 1 OR ord % 20 = 0),
-named_rows AS (SELECT *, CASE WHEN track_uri <> '' THEN track_uri ELSE artist_name || '|' || track_name END AS identity FROM lists)"""
+known_rows AS (SELECT 0 AS src, *, CASE WHEN track_uri <> '' THEN track_uri ELSE artist_name || '|' || track_name END AS identity FROM rows),
+mine AS (SELECT * FROM known_rows WHERE ord % 2 = 0), added AS (SELECT * FROM known_rows WHERE ord % 2 = 1 OR ord % 20 = 0),
+fresh AS (SELECT * FROM added WHERE identity NOT IN (SELECT identity FROM mine) QUALIFY row_number() OVER (PARTITION BY identity ORDER BY ord) = 1)"""
+ADDED = """added_rows AS (SELECT p_partkey AS ord, CASE WHEN p_partkey % 5 = 0 THEN 'track:' || p_partkey END AS track_uri, p_brand || ' feat. ' || CASE WHEN p_partkey % 3 = 0 THEN 'No One' ELSE p_type END AS artist_name,
+    CASE WHEN p_partkey % 4 = 0 THEN '' ELSE upper(p_name) END AS track_name, CASE WHEN p_partkey % 2 = 0 THEN p_type ELSE '' END AS album_name, 0 AS count, p_partkey % 5 = 0 AS matched,
+    CASE WHEN p_partkey % 5 = 0 THEN 'search_result' ELSE 'unverified' END AS status, (p_partkey % 5 = 0)::INT::DOUBLE AS confidence FROM part WHERE p_partkey < 60)"""
+AFTER = f"""{TRACKS}, {ADDED}, texts AS (SELECT ord, artist_name AS input_artist, track_name AS input_title FROM added_rows WHERE status = 'unverified' AND ord < 40),
+{MATCHED[MATCHED.index("tiers AS"):]},
+after_matching AS (SELECT a.ord, CASE WHEN m.matched THEN m.track_uri ELSE a.track_uri END AS track_uri, CASE WHEN m.matched AND m.artist_name <> '' THEN m.artist_name ELSE a.artist_name END AS artist_name,
+    CASE WHEN m.matched AND m.track_name <> '' THEN m.track_name ELSE a.track_name END AS track_name, CASE WHEN m.matched AND m.album_name <> '' THEN m.album_name ELSE a.album_name END AS album_name,
+    CASE WHEN m.matched AND m.count <> 0 THEN m.count ELSE a.count END AS count, coalesce(m.matched, a.matched) AS matched, coalesce(m.status, a.status) AS status, coalesce(m.confidence, a.confidence) AS confidence
+    FROM added_rows a LEFT JOIN matches m USING (ord))"""
 GRAMS = "list_distinct(list_transform(range(1, greatest(1, length({c}) - 2) + 1), lambda i: substr({c}, i, 3)))"
 
 
@@ -127,14 +139,23 @@ def _ladder(query: str) -> str:
     WHEN contains(artist_key, '{query}') THEN 82 WHEN contains(title_key, '{query}') THEN 78 WHEN contains(artist_key || ' ' || title_key, '{query}') THEN 70 WHEN {" AND ".join(hit)} THEN 60 {some} ELSE 0 END"""
 
 
+METRICS = f"""{NAMED}, c AS (SELECT album_name AS query, part AS item, count(*) AS n FROM named GROUP BY 1, 2),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY n DESC, item) AS rank FROM c), rel AS (SELECT DISTINCT album_name AS query, part AS item FROM named),
+        tot AS (SELECT query, count(*) AS total FROM rel GROUP BY 1), h AS (SELECT query, rank, row_number() OVER (PARTITION BY query ORDER BY rank) AS hits FROM ranked JOIN rel USING (query, item) WHERE rank <= 10),
+        f AS (SELECT query, count(*) AS found, sum(1 / log2(rank + 1)) AS dcg, sum(hits / rank) AS ps, min(rank) AS first FROM h GROUP BY 1),
+metrics AS (SELECT query, coalesce(found, 0) / total AS recall, coalesce(found, 0) / 10 AS precision, coalesce(dcg, 0) / list_sum(list_transform(range(1, least(10, total) + 1), lambda i: 1 / log2(i + 1))) AS ndcg,
+    coalesce(ps, 0) / least(10, total) AS ap, coalesce(1 / first, 0) AS rr, (coalesce(found, 0) > 0)::INT AS hit FROM tot LEFT JOIN f USING (query))"""
+ALL_TRACKS = TRACKS.replace("JOIN embeddings ON vec_id = part", "JOIN embeddings ON vec_id = part % (SELECT max(vec_id) + 1 FROM embeddings)")
+
+
 ORACLES: dict[str, str] = {
     "normalize_text": f"SELECT doc_id, md5({norm('coalesce(text, chr(32))')}) AS normalized FROM documents",
     "split_artists": "SELECT p_partkey, array_to_string(" + artists("p_brand || ' feat. ' || p_type || ' & ' || p_name") + ", ',') AS artists FROM part",
     "canonical_title": "SELECT p_partkey, " + canonical("p_name || ' (Live ' || p_brand || ' Remastered Version)'") + " AS title FROM part",
-    "script_filter": "SELECT doc_id, length(text) AS n FROM documents WHERE regexp_matches(text, '[éèñüöäß]')",
+    "script_filter": "SELECT doc_id, length(text) AS n FROM documents WHERE regexp_matches(translate(text, 'éñü', 'ёяю'), '[А-Яа-яЁё]')",
     "track_links": """SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'https://open.spotify.com/track/' || p_partkey ELSE '' END AS link,
         CASE WHEN s >= 3600 THEN (s // 3600) || 'h ' ELSE '' END || CASE WHEN s >= 60 THEN (s % 3600 // 60) || 'm ' ELSE '' END || (s % 60) || 's' AS duration,
-        round(p_partkey / 3000 * 100)::INT AS percent FROM (SELECT p_partkey, p_partkey * 37 AS s FROM part)""",
+        round(p_partkey / 3000 * 100)::INT AS percent, printf('%.3f', p_partkey / 3000) AS component FROM (SELECT p_partkey, p_partkey * 37 AS s FROM part)""",
     "markdown_cells": r"SELECT doc_id, md5(replace(text, '|', '\|')) AS cell FROM documents",
     "sentence_build": f"WITH {OCC}, {PARTS} SELECT pid, array_to_string(list(track_uri ORDER BY pos), ' ') AS uris FROM occ JOIN parts USING (part) GROUP BY 1 HAVING count(*) >= 2",
     "corpus_statistics": f"WITH {LISTS} SELECT count(*) AS corpus_count, coalesce(sum(len(ids)), 0) AS corpus_total_words FROM lists",
@@ -189,16 +210,23 @@ ORACLES: dict[str, str] = {
         count(*) FILTER (confidence > 0.9) AS confident_matched_entries, count(*) - count(track_uri) AS unmatched_or_ambiguous_entries, round(count(track_uri) / count(*), 4) AS match_rate,
         round(count(*) FILTER (confidence > 0.9) / count(*), 4) AS confident_match_rate, coalesce(sum(occurrences), 0) AS total_occurrences_for_matched FROM matches""",
     "coverage_methods": f"WITH {COVERED} SELECT method, count(*) AS n FROM matches GROUP BY 1",
-    "top_artists": f"WITH {COVERED} SELECT artist_name, count(*) AS n, min(ord) AS first_ord FROM matches WHERE track_uri IS NOT NULL GROUP BY 1 ORDER BY n DESC, first_ord LIMIT 20",
-    "uncertain_export": f"""WITH {COVERED} SELECT ord, split_part(input, ' - ', 1) AS input_artist, split_part(input, ' - ', 2) AS input_title, track_name AS recognized_title, artist_name AS recognized_artist,
-        confidence, candidate_count, occurrences AS mpd_occurrences, track_uri FROM matches WHERE method = 'unique_title_only'""",
+    "top_artists": f"WITH {ENTRIES} SELECT artist, count(*) AS n, min(ord) AS first_ord FROM entries WHERE artist <> '' GROUP BY 1 ORDER BY n DESC, first_ord LIMIT 20",
+    "top_cyrillic_artists": f"WITH {ENTRIES} SELECT artist, count(*) AS n, min(ord) AS first_ord FROM entries WHERE artist <> '' AND regexp_matches(raw, '[А-Яа-яЁё]') GROUP BY 1 ORDER BY n DESC, first_ord LIMIT 30",
+    "uncertain_export": f"""WITH {COVERED} SELECT ord, CASE WHEN contains(input, ' - ') THEN split_part(input, ' - ', 1) ELSE '' END AS input_artist, CASE WHEN contains(input, ' - ') THEN split_part(input, ' - ', 2) ELSE input END AS input_title,
+        track_name AS recognized_title, artist_name AS recognized_artist, method, confidence, candidate_count, occurrences AS mpd_occurrences, track_uri FROM matches WHERE method = 'unique_title_only'""",
     "filtered_tracks": f"WITH {FILTERED} SELECT * FROM kept",
     "filtered_manifest": f"WITH {FILTERED} SELECT count(*) AS unique_tracks, coalesce(sum(occurrences), 0) AS total_occurrences FROM kept",
     "parse_import": """SELECT p_partkey AS ord, CASE p_partkey % 4 WHEN 0 THEN p_brand WHEN 1 THEN p_brand || ', ";"x' WHEN 2 THEN p_brand ELSE '' END AS artist_name,
         p_name AS track_name FROM part""",
-    "playlist_dedupe": f"""WITH {TWO}, k AS (SELECT *, row_number() OVER (PARTITION BY identity ORDER BY src, ord) AS n FROM named_rows)
-        SELECT row_number() OVER (ORDER BY src, ord) - 1 AS ord, track_uri, artist_name, track_name FROM k WHERE n = 1""",
-    "playlist_duplicates": f"WITH {TWO} SELECT count(*) - count(DISTINCT identity) AS duplicates FROM named_rows",
+    "playlist_dedupe": f"WITH {TWO} SELECT row_number() OVER (ORDER BY src, ord) - 1 AS ord, track_uri, artist_name, track_name FROM (SELECT * REPLACE (1 AS src) FROM mine UNION ALL SELECT * REPLACE (2 AS src) FROM fresh)",
+    "playlist_prepend": f"WITH {TWO} SELECT row_number() OVER (ORDER BY src, ord) - 1 AS ord, track_uri, artist_name, track_name FROM (SELECT * REPLACE (1 AS src) FROM mine UNION ALL SELECT * REPLACE (0 AS src) FROM fresh)",
+    "playlist_duplicates": f"WITH {TWO} SELECT (SELECT count(*) FROM added) - (SELECT count(*) FROM fresh) AS duplicates",
+    "playlist_rows": f"WITH {ADDED} SELECT * FROM added_rows",
+    "playlist_after_matching": f"WITH {AFTER} SELECT * FROM after_matching",
+    "playlist_seeds": f"WITH {AFTER} SELECT ord, track_uri FROM after_matching WHERE matched AND coalesce(track_uri, '') <> ''",
+    "playlist_status": f"""WITH {AFTER} SELECT count(*) AS total, count(*) FILTER (matched AND track_uri <> '') AS matched, count(*) FILTER (status = 'title_only_uncertain') AS uncertain,
+        count(*) FILTER (status = 'unverified') AS pending FROM after_matching""",
+    "playlist_pending": f"WITH {AFTER} SELECT ord, track_name FROM after_matching WHERE status = 'unverified'",
     "similar_items": f"WITH {TRACKS} SELECT t.idx, round(list_inner_product(t.v, o.v), 6) AS similarity FROM tracks t, tracks o WHERE o.idx = 42 AND t.idx <> 42 ORDER BY list_inner_product(t.v, o.v) DESC, t.idx LIMIT 10",
     "neighbor_table": f"""WITH {TRACKS}, s AS (SELECT t.idx, o.idx AS neighbor, list_inner_product(t.v, o.v) AS p FROM tracks t JOIN tracks o ON t.idx <> o.idx),
         k AS (SELECT *, row_number() OVER (PARTITION BY idx ORDER BY p DESC, neighbor) AS rank FROM s) SELECT idx, rank, neighbor, round(p, 6) AS similarity FROM k WHERE rank <= 5""",
@@ -216,12 +244,22 @@ ORACLES: dict[str, str] = {
     "item_knn": f"""WITH {ITEMS}, both_ways AS (SELECT a AS item, b AS neighbor, n FROM co UNION ALL SELECT b, a, n FROM co),
         s AS (SELECT both_ways.item, neighbor, both_ways.n / sqrt(x.n * y.n) AS p FROM both_ways JOIN single x ON x.item = both_ways.item JOIN single y ON y.item = neighbor),
         k AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY p DESC, neighbor) AS rank FROM s) SELECT item, rank, neighbor, round(p, 6) AS similarity FROM k WHERE rank <= 3""",
-    "recall_ndcg_at_k": f"""WITH {NAMED}, c AS (SELECT album_name AS query, part AS item, count(*) AS n FROM named GROUP BY 1, 2),
-        ranked AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY n DESC, item) AS rank FROM c), rel AS (SELECT DISTINCT album_name AS query, part AS item FROM named WHERE pid % 5 = 0),
-        tot AS (SELECT query, count(*) AS total FROM rel GROUP BY 1), h AS (SELECT query, rank, row_number() OVER (PARTITION BY query ORDER BY rank) AS hits FROM ranked JOIN rel USING (query, item) WHERE rank <= 10),
-        f AS (SELECT query, count(*) AS found, sum(1 / log2(rank + 1)) AS dcg, sum(hits / rank) AS ps, min(rank) AS first FROM h GROUP BY 1)
-        SELECT query, round(coalesce(found, 0) / total, 6) AS recall, round(coalesce(found, 0) / 10, 6) AS precision, round(coalesce(dcg, 0) / list_sum(list_transform(range(1, least(10, total) + 1), lambda i: 1 / log2(i + 1))), 6) AS ndcg,
-        round(coalesce(ps, 0) / least(10, total), 6) AS ap, round(coalesce(1 / first, 0), 6) AS rr, (coalesce(found, 0) > 0)::INT AS hit FROM tot LEFT JOIN f USING (query)""",
+    "recall_ndcg_at_k": f"WITH {METRICS} SELECT query, round(recall, 6) AS recall, round(precision, 6) AS precision, round(ndcg, 6) AS ndcg, round(ap, 6) AS ap, round(rr, 6) AS rr, hit FROM metrics",
+    "metric_means": f"WITH {METRICS} SELECT count(*) AS queries, round(avg(recall), 6) AS recall, round(avg(precision), 6) AS precision, round(avg(ndcg), 6) AS ndcg, round(avg(ap), 6) AS map, round(avg(rr), 6) AS mrr, round(avg(hit), 6) AS hit_rate FROM metrics",
+    "catalogue_coverage": f"WITH {METRICS}, s AS (SELECT count(DISTINCT item) AS shown FROM ranked WHERE rank <= 10), i AS (SELECT count(DISTINCT part) AS items FROM named) SELECT items, shown, round(shown / items, 6) AS coverage FROM s, i",
+    "novelty": f"""WITH {METRICS}, k AS (SELECT part AS item, -log2(count(*) / (SELECT count(*) FROM named)) AS bits FROM named GROUP BY 1)
+        SELECT query, round(avg(bits), 6) AS novelty FROM ranked JOIN k USING (item) WHERE rank <= 10 GROUP BY 1""",
+    "first_score": f"""WITH {rows_with("ord < 2")}, t AS (SELECT idx, recent, whole, popularity, (album_name IN (SELECT album_name FROM own))::INT::DOUBLE AS tag FROM rows)
+        SELECT idx, round(0.35 * recent + 0.25 * whole + 0.20 * tag + 0.10 * (1 - popularity) + 0.10 * recent * whole, 6) AS score, round(0.5 * recent + 0.3 * tag + 0.2 * tag, 6) AS plain_score FROM t""",
+    "cross_catalogue": f"""WITH {TRACKS} SELECT x.idx AS left_id, y.idx + 1000000 AS right_id FROM tracks x JOIN tracks y USING (title_key, artist_key) WHERE abs(x.idx * 1000 - (y.idx * 1000 + y.idx % 6 * 1000)) <= 3000""",
+    "search_has_more": f"WITH {TRACKS}, s AS (SELECT count(*) FILTER ({_ladder('brand 2')} > 0) AS n FROM tracks) SELECT o AS \"offset\", z AS size, n > o + z AS has_more FROM s, (VALUES (0, 20), (40, 100), (5000, 100)) p(o, z)",
+    "token_postings": f"WITH {TRACKS} SELECT DISTINCT unnest(string_split(artist_key || ' ' || title_key, ' ')) AS token, idx FROM tracks",
+    "artist_postings": f"WITH {TRACKS} SELECT unnest(artists) AS artist, idx FROM tracks",
+    "posting_lists": f"WITH {TRACKS}, t AS (SELECT DISTINCT idx, unnest(string_split(artist_key || ' ' || title_key, ' ')) AS token FROM tracks) SELECT token, idx // 100 AS block, array_to_string(list(idx ORDER BY idx), ' ') AS ids FROM t GROUP BY 1, 2",
+    "title_uris": f"WITH {TRACKS} SELECT title_key, row_number() OVER (PARTITION BY title_key ORDER BY idx) - 1 AS place, track_uri FROM tracks",
+    "hybrid_all_parts": "WITH " + pool_sql(True, 124, 1124, 30, "ord < 2", True).replace(TRACKS, ALL_TRACKS) + """, best AS (SELECT rows.*, 0.25 * recent + 0.20 * whole + 0.15 * support + 0.05 * popularity + 0.35 * affinity AS s FROM rows JOIN pool USING (idx) ORDER BY s DESC, idx LIMIT 20)
+        SELECT row_number() OVER (ORDER BY s DESC, idx) AS rank, idx, round(s, 6) AS score, round(recent, 6) AS recent, round(whole, 6) AS whole, round(support, 6) AS support, round(popularity, 6) AS popularity, round(affinity, 6) AS affinity FROM best""",
+    "candidate_pool_all_parts": "WITH " + pool_sql(False, 124, 1124, 30, "ord < 2", True).replace(TRACKS, ALL_TRACKS) + " SELECT idx FROM pool",
     "recall_ndcg_folds": f"""WITH {NAMED}, c AS (SELECT album_name AS query, part AS item, fold, count(*) AS n FROM named, range(5) AS t(fold) WHERE pid % 5 <> fold GROUP BY 1, 2, 3),
         ranked AS (SELECT *, row_number() OVER (PARTITION BY query, fold ORDER BY n DESC, item) AS rank FROM c), rel AS (SELECT DISTINCT album_name AS query, part AS item, pid % 5 AS fold FROM named),
         tot AS (SELECT query, fold, count(*) AS total FROM rel GROUP BY 1, 2), h AS (SELECT query, fold, rank, row_number() OVER (PARTITION BY query, fold ORDER BY rank) AS hits FROM ranked JOIN rel USING (query, fold, item) WHERE rank <= 10),

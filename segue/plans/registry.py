@@ -46,14 +46,14 @@ def canonical_title(spark, sf):
 
 @query
 def script_filter(spark, sf):
-    docs = _documents(spark, sf)
-    return docs.where(docs.text.rlike("[éèñüöäß]")).select("doc_id", F.length("text").alias("n"))
+    docs = _documents(spark, sf).withColumn("text", F.translate("text", "éñü", "ёяю"))
+    return docs.where(fx.has_cyrillic("text")).select("doc_id", F.length("text").alias("n"))
 
 
 @query
 def track_links(spark, sf):
     rows = b.table(spark, sf, "part").select("p_partkey", F.concat(F.when(F.col("p_partkey") % 2 == 0, "spotify:track:").otherwise("local:"), "p_partkey").alias("uri"))
-    return rows.select("p_partkey", fx.track_link("uri").alias("link"), fx.duration_text(F.col("p_partkey") * 37).alias("duration"), fx.percent(F.col("p_partkey") / 3000).alias("percent"))
+    return rows.select("p_partkey", fx.track_link("uri").alias("link"), fx.duration_text(F.col("p_partkey") * 37).alias("duration"), fx.percent(F.col("p_partkey") / 3000).alias("percent"), fx.component(F.col("p_partkey") / 3000).alias("component"))
 
 
 @query
@@ -150,7 +150,7 @@ def negative_sampling_probs(spark, sf):
 @query
 def train_word2vec(spark, sf):
     lists = corpus.sentences(b.playlists(spark, sf))
-    found = train.word2vec_vectors(lists, train.Config(vector_size=16, epochs=1, min_count=5))
+    found = train.word2vec_vectors(lists)
     return found.select("track_uri", F.size("embedding").alias("dim"), F.round(dot(F.col("embedding_norm"), F.col("embedding_norm")), 6).alias("length"))
 
 
@@ -183,6 +183,27 @@ def artist_index(spark, sf):
     return catalog.index_sizes(catalog.artist_postings(b.tracks(spark, sf)), "artist")
 
 
+@query
+def token_postings(spark, sf):
+    return catalog.token_postings(b.tracks(spark, sf))
+
+
+@query
+def artist_postings(spark, sf):
+    return catalog.artist_postings(b.tracks(spark, sf))
+
+
+@query
+def posting_lists(spark, sf):
+    found = catalog.posting_lists(catalog.token_postings(b.tracks(spark, sf)), "token", 100)
+    return found.select("token", "block", F.array_join("ids", " ").alias("ids"))
+
+
+@query
+def title_uris(spark, sf):
+    return catalog.title_uris(b.tracks(spark, sf))
+
+
 @query
 def index_statistics(spark, sf):
     return catalog.index_statistics(b.tracks(spark, sf))
@@ -213,6 +234,15 @@ def search_page(spark, sf):
     return search.search(b.tracks(spark, sf), "Brand 2", 20, 10).select("idx", "score", "count")
 
 
+@query
+def search_has_more(spark, sf):
+    """Whether there is a page behind one, for three pages of one search."""
+    tracks = b.tracks(spark, sf)
+    found = search.scored(tracks, "Brand 2").agg(F.count("*").alias("n"))
+    pages = spark.createDataFrame([(0, 20), (40, 100), (5000, 100)], "offset long, size long")
+    return pages.crossJoin(F.broadcast(found)).select("offset", "size", (F.col("n") > F.col("offset") + F.col("size")).alias("has_more"))
+
+
 # -- matching ----------------------------------------------------------------------------------------------------
 
 
@@ -231,6 +261,43 @@ def match_summary(spark, sf):
     return match.match_summary(match.match_detailed(b.texts(spark), b.tracks(spark, sf)))
 
 
+def _list(spark, sf):
+    """Parts that were added to a playlist: some by uri, most by names alone."""
+    rows = b.table(spark, sf, "part").where("p_partkey < 60").select(F.col("p_partkey").alias("ord"), F.when(F.col("p_partkey") % 5 == 0, F.concat(F.lit("track:"), "p_partkey")).alias("track_uri"), F.concat("p_brand", F.lit(" feat. "), F.when(F.col("p_partkey") % 3 == 0, "No One").otherwise(F.col("p_type"))).alias("artist"), F.when(F.col("p_partkey") % 4 == 0, "").otherwise(F.upper("p_name")).alias("title"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_type")).alias("album_name"))
+    return playlist.normalized(rows)
+
+
+def _after_matching(spark, sf):
+    rows = _list(spark, sf)
+    asked = playlist.unverified(rows).where("ord < 40").select("ord", F.col("artist_name").alias("artist"), F.col("track_name").alias("title"))
+    return match.merge_matches(rows, match.match_detailed(asked, b.tracks(spark, sf)))
+
+
+@query
+def playlist_rows(spark, sf):
+    return _list(spark, sf)
+
+
+@query
+def playlist_after_matching(spark, sf):
+    return _after_matching(spark, sf)
+
+
+@query
+def playlist_seeds(spark, sf):
+    return playlist.seeds(_after_matching(spark, sf))
+
+
+@query
+def playlist_status(spark, sf):
+    return playlist.status_counts(_after_matching(spark, sf))
+
+
+@query
+def playlist_pending(spark, sf):
+    return playlist.unverified(_after_matching(spark, sf)).select("ord", "track_name")
+
+
 # -- recommendations ---------------------------------------------------------------------------------------------
 
 OPTIONS = recommend.Options(min_count=1, pool=100, top_n=20, recent_k=2)
@@ -254,6 +321,23 @@ for _preset in ("balance", "more_recent", "favorite", "more_popular"):
     QUERIES[f"hybrid_{_preset}"] = _hybrid(_preset)
 
 
+WIDE = recommend.Options(min_count=30, pool=100, top_n=20, recent_k=2)
+
+
+@query
+def hybrid_all_parts(spark, sf):
+    """Over every part, so that the rankings are cut before they are filtered, and min_count drops some."""
+    found = recommend.hybrid(b.all_tracks(spark, sf).persist(), b.seeds(spark), recommend.weights("favorite"), WIDE)
+    return found.select("rank", "idx", *[F.round(c, 6).alias(c) for c in ("score", "recent", "whole", "support", "popularity", "affinity")])
+
+
+@query
+def candidate_pool_all_parts(spark, sf):
+    tracks = b.all_tracks(spark, sf).persist()
+    own = recommend.known_seeds(tracks, b.seeds(spark))
+    return recommend.candidates(tracks, own, recommend.PRESETS["balance"], WIDE).select("idx")
+
+
 @query
 def simple_recommend(spark, sf):
     found = recommend.simple(_catalogue(spark, sf), b.seeds(spark))
@@ -314,14 +398,16 @@ def explanations(spark, sf):
 
 
 def _entries(spark, sf):
-    """Every part name with a brand, as a wanted song."""
-    rows = b.table(spark, sf, "part").select(F.col("p_partkey").alias("ord"), F.concat("p_brand", F.lit(" feat. "), "p_type", F.lit(" - "), F.when(F.col("p_partkey") % 7 == 0, F.concat("p_name", F.lit(" x"))).otherwise(F.upper("p_name"))).alias("raw"))
-    artist, title = fx.split_line("raw")
-    return coverage.entries(rows.select("ord", "raw", F.when(F.col("ord") % 3 == 0, "someone").otherwise(artist).alias("artist"), title.alias("title")))
+    """Every part as a wanted song: some of unknown titles or artists, with one of two artists, with none, with Cyrillic."""
+    k = F.col("p_partkey")
+    title = F.when(k % 7 == 0, F.concat("p_name", F.lit(" x"))).when(k % 11 == 0, F.concat_ws(" ", F.upper("p_name"), k)).otherwise(F.upper("p_name"))
+    artist = F.when(k % 17 == 0, "").when(k % 13 == 0, "Ёлка").when(k % 3 == 0, "someone").when(k % 5 == 0, F.col("p_brand")).otherwise(F.concat("p_brand", F.lit(" feat. "), "p_type"))
+    rows = b.table(spark, sf, "part").select(k.alias("ord"), artist.alias("artist"), title.alias("title"))
+    return coverage.entries(rows.withColumn("raw", F.when(F.col("artist") == "", F.col("title")).otherwise(F.concat_ws(" - ", "artist", "title"))))
 
 
 def _found(spark, sf):
-    return coverage.candidates(b.named_occurrences(spark, sf), _entries(spark, sf), b.ORDER)
+    return coverage.candidates(b.covered_occurrences(spark, sf), _entries(spark, sf), b.ORDER)
 
 
 def _matches(spark, sf):
@@ -353,6 +439,11 @@ def top_artists(spark, sf):
     return coverage.top_artists(_matches(spark, sf))
 
 
+@query
+def top_cyrillic_artists(spark, sf):
+    return coverage.top_artists(_matches(spark, sf).where("has_cyrillic"), 30)
+
+
 @query
 def uncertain_export(spark, sf):
     return coverage.uncertain(_matches(spark, sf))
@@ -390,6 +481,11 @@ def playlist_dedupe(spark, sf):
     return playlist.merged(*_two_lists(spark, sf))
 
 
+@query
+def playlist_prepend(spark, sf):
+    return playlist.merged(*_two_lists(spark, sf), prepend=True)
+
+
 @query
 def playlist_duplicates(spark, sf):
     return playlist.duplicates(*_two_lists(spark, sf))
@@ -462,17 +558,72 @@ def item_knn(spark, sf):
     return analytics.item_knn(_items(spark, sf), 3).select("item", "rank", "neighbor", F.round("similarity", 6).alias("similarity"))
 
 
-@query
-def recall_ndcg_at_k(spark, sf):
-    """How well the most frequent tracks of a brand foretell an order's lines of that brand."""
+def _brand_ranking(spark, sf):
+    """(rows, ranked): the most frequent tracks of a type, and every order's lines as what is relevant to it."""
+    from pyspark.sql.window import Window
+
     rows = b.named_occurrences(spark, sf)
     ranked = rows.groupBy(F.col("album_name").alias("query"), F.col("part").alias("item")).agg(F.count("*").alias("n"))
-    from pyspark.sql.window import Window
+    return rows, ranked.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("n"), "item")))
 
-    ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("n"), "item")))
-    relevant = rows.where("pid % 5 = 0").select(F.col("album_name").alias("query"), F.col("part").alias("item"))
-    found = analytics.ranking_metrics(ranked, relevant, 10)
-    return found.select("query", *[F.round(c, 6).alias(c) for c in ("recall", "precision", "ndcg", "ap", "rr")], "hit")
+
+def _brand_metrics(spark, sf):
+    rows, ranked = _brand_ranking(spark, sf)
+    return analytics.ranking_metrics(ranked, rows.select(F.col("album_name").alias("query"), F.col("part").alias("item")), 10)
+
+
+@query
+def recall_ndcg_at_k(spark, sf):
+    """How many of all lines of a type its most frequent tracks are."""
+    return _brand_metrics(spark, sf).select("query", *[F.round(c, 6).alias(c) for c in ("recall", "precision", "ndcg", "ap", "rr")], "hit")
+
+
+@query
+def metric_means(spark, sf):
+    found = analytics.metric_means(_brand_metrics(spark, sf))
+    return found.select("queries", *[F.round(c, 6).alias(c) for c in ("recall", "precision", "ndcg", "map", "mrr", "hit_rate")])
+
+
+@query
+def catalogue_coverage(spark, sf):
+    rows, ranked = _brand_ranking(spark, sf)
+    found = analytics.catalogue_coverage(ranked, rows.select(F.col("part").alias("item")))
+    return found.select("items", "shown", F.round("coverage", 6).alias("coverage"))
+
+
+@query
+def novelty(spark, sf):
+    rows, ranked = _brand_ranking(spark, sf)
+    counts = rows.groupBy(F.col("part").alias("item")).agg(F.count("*").alias("count"))
+    return analytics.novelty(ranked, counts).select("query", F.round("novelty", 6).alias("novelty"))
+
+
+@query
+def first_score(spark, sf):
+    """The first planned score over every track: tags are types shared with seeds, a trajectory is nearness to the last seed."""
+    tracks, own = _own(spark, sf)
+    rows = recommend.with_similarities(tracks, own, OPTIONS)
+    tags = own.join(tracks.select("idx", "album_name"), "idx").select(F.col("album_name").alias("__tag")).distinct()
+    rows = rows.join(F.broadcast(tags), rows.album_name == F.col("__tag"), "left").withColumn("tag_match", F.col("__tag").isNotNull().cast("double"))
+    rows = rows.withColumns({"novelty": 1 - F.col("popularity"), "trajectory": F.col("recent") * F.col("whole")})
+    found = analytics.weighted(rows, analytics.FIRST_SCORE)
+    plain = analytics.weighted(found.withColumns({"neighbor": F.col("recent"), "genre_match": F.col("tag_match")}), analytics.PLAIN_SCORE, "plain_score")
+    return plain.select("idx", F.round("score", 6).alias("score"), F.round("plain_score", 6).alias("plain_score"))
+
+
+@query
+def cross_catalogue(spark, sf):
+    """Tracks against a second catalogue: the same parts by other ids, with durations that are off by up to five seconds."""
+    left = b.tracks(spark, sf).select(F.col("idx").alias("id"), "title_key", "artist_key", (F.col("idx") * 1000).alias("duration_ms"))
+    right = left.select((F.col("id") + 1_000_000).alias("id"), "title_key", "artist_key", (F.col("duration_ms") + F.col("id") % 6 * 1000).alias("duration_ms"))
+    return analytics.cross_match(left, right)
+
+
+@query
+def als_scores(spark, sf):
+    """How a factorisation of orders and parts scores each line it was fitted to."""
+    ratings = _items(spark, sf).groupBy(F.col("pid").cast("int").alias("pid"), F.col("item").cast("int").alias("item")).agg(F.count("*").cast("float").alias("rating"))
+    return analytics.als(ratings).transform(ratings).select("pid", "item", F.col("prediction").cast("double").alias("score"))
 
 
 @query
