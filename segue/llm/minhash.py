@@ -26,13 +26,13 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from segue.llm.bpe import joined
 from segue.llm.common import filter_words, may_be_held, spare_prefix, text_of, written
 from segue.llm.components import components, popular_hubs
+from segue.llm.letters import MIX, Words, chunks, grouped, mixed
 
 WORDS, SIMILARITY = 5, 0.8
 #: At a similarity of 0.8 a pair shares a band with probability 0.9992.
@@ -41,67 +41,21 @@ BANDS, ROWS = 10, 3
 RARE = 1e-3
 #: Nodes of a bucket that one task holds, and that it compares them with; nodes that a task compares with a hub.
 HELD_BLOCK, READ_BLOCK, HUB_BLOCK = 128, 512, 64
-#: Characters that are hashed at once, and distinct words that a task counts before it hands them on.
-CHUNK_CHARS, HELD_WORDS = 400_000, 400_000
+#: Distinct words that a task counts before it hands them on.
+HELD_WORDS = 400_000
 SEED = 77
 #: Nodes of texts that have no id start here.
 NAMELESS = 1 << 62
 
-_MIX = np.uint64(0x9E3779B97F4A7C15)
-_SPACES = np.array([chr(c).isspace() for c in range(0x3002)])
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def _letter(code: np.ndarray, place: np.ndarray) -> np.ndarray:
-    return _mixed((code.astype(np.uint64) + np.uint64(1)) * _MIX + place.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
-
-
-#: Hashes of the first 256 characters at the first 32 places of a word.
-_LETTERS = _letter(np.tile(np.arange(256), 32), np.repeat(np.arange(32), 256))
-
 
 def split(text: str) -> list[str]:
     return text.lower().split()
 
 
 def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of the words of all texts in order, and how many each text has: a word's is the mixed sum over its letters and their places."""
-    low = [t.lower() for t in texts]
-    whole = "\n".join([*low, ""])
-    codes = np.frombuffer(whole.encode("ascii"), np.uint8) if whole.isascii() else np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
-    inside = ~_SPACES[codes if codes.itemsize == 1 else np.minimum(codes, 0x3001)]
-    edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
-    if inside.size and inside[0]:
-        edge = np.concatenate([[0], edge])
-    starts, ends = edge[::2], edge[1::2]
-    if not starts.size:
-        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
-    letters, lengths = codes[inside], ends - starts
-    before = np.cumsum(lengths) - lengths
-    place = np.arange(letters.size) - np.repeat(before, lengths)
-    found = _LETTERS[((place & 31) << 8) | (letters & 255)]
-    if lengths.max() > 32 or letters.itemsize > 1:
-        rest = np.flatnonzero((place > 31) | (letters > 255))
-        found[rest] = _letter(letters[rest], place[rest])
-    hashes = _mixed(np.add.reduceat(found, before))
-    sizes = np.cumsum([len(t) + 1 for t in low])
-    return hashes, np.diff(np.searchsorted(starts, sizes), prepend=0)
-
-
-def _grouped(owner: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """An order by owner, then hash; where in it each distinct (owner, hash) begins."""
-    order = np.argsort(hashes)
-    ordered = hashes[order]
-    rank = np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]]))
-    key = owner[order] * (rank[-1] + 1) + rank
-    again = np.argsort(key)
-    key = key[again]
-    return order[again], np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    """The hashes of the words of all texts in order, and how many each text has."""
+    words = Words(texts)
+    return words.hashes(), words.sizes
 
 
 class Shingles:
@@ -131,13 +85,13 @@ class Shingles:
         for i in range(WORDS):
             if i and own_width.min() <= i:  # short texts have short shingles
                 longer = np.flatnonzero(own_width > i)
-                hashes[longer] = hashes[longer] * _MIX + words[first[longer] + i]
+                hashes[longer] = hashes[longer] * MIX + words[first[longer] + i]
                 weight[longer] += idf[first[longer] + i]
             else:
-                hashes = hashes * _MIX + words[first + i]
+                hashes = hashes * MIX + words[first + i]
                 weight += idf[first + i]
-        hashes, weight = _mixed(hashes), weight / own_width
-        order, begin = _grouped(owner, hashes)
+        hashes, weight = mixed(hashes), weight / own_width
+        order, begin = grouped(owner, hashes)
         counts = np.diff(np.append(begin, order.size))
         picked = order[begin]
         return hashes[picked], counts * weight[picked], np.bincount(owner[picked], minlength=sizes.size)
@@ -183,29 +137,17 @@ class Sampler:
             key = self.c[(x >> np.uint64(64 - self.C_BITS)).astype(np.int64)] - r * (t - beta + np.float32(1))
             hits = np.flatnonzero(key == np.repeat(np.minimum.reduceat(key, starts), sizes))
             first = hits[np.searchsorted(hits, starts)]
-            out[:, k] = _mixed(hashes[first] + t[first].astype(np.int64).astype(np.uint64) * _MIX)
+            out[:, k] = mixed(hashes[first] + t[first].astype(np.int64).astype(np.uint64) * MIX)
         return out
 
     def bands(self, hashes: np.ndarray, weights: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         found = self.samples(hashes, weights, sizes).reshape(sizes.size, BANDS, ROWS)
         key = np.zeros((sizes.size, BANDS), np.uint64)
         for i in range(ROWS):
-            key = _mixed(key * _MIX + found[:, :, i])
+            key = mixed(key * MIX + found[:, :, i])
         return key
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
-    """Slices of batches with about CHUNK_CHARS bytes in a column, a row at least."""
-    for batch in batches:
-        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
-        at = 0
-        while at < batch.num_rows:
-            before = int(ends[at - 1]) if at else 0
-            to = max(at + 1, int(np.searchsorted(ends, before + CHUNK_CHARS, "right")))
-            yield batch.slice(at, to - at)
-            at = to
-
-
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents that hold each word, as far as counted; how many documents there are, without a word."""
     held, size, docs = [], 0, 0
@@ -215,12 +157,12 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values, where = np.unique(words, return_inverse=True)
         return values, np.bincount(where, np.concatenate([n for _, n in held])).astype(np.int64)
 
-    for chunk in _chunks(batches, 0):
+    for chunk in chunks(batches, 0):
         docs += chunk.num_rows
         words, sizes = word_hashes(chunk.column(0).to_pylist())
         if not words.size:
             continue
-        order, begin = _grouped(np.repeat(np.arange(sizes.size), sizes), words)
+        order, begin = grouped(np.repeat(np.arange(sizes.size), sizes), words)
         held.append(np.unique(words[order[begin]], return_counts=True))
         size += held[-1][0].size
         if size > 3 * HELD_WORDS:
@@ -252,7 +194,7 @@ def word_idf(texts: DataFrame, text_col: str = "text") -> tuple[np.ndarray, np.n
 
 def _signed(batches: Iterator[pa.RecordBatch], table) -> Iterator[pa.RecordBatch]:
     shingles, sampler = Shingles(*table.value), Sampler()
-    for chunk in _chunks(batches, 2):
+    for chunk in chunks(batches, 2):
         hashes, weights, sizes = shingles.of(chunk.column(2).to_pylist())
         keys: list = [None] * chunk.num_rows
         if hashes.size:
@@ -263,7 +205,7 @@ def _signed(batches: Iterator[pa.RecordBatch], table) -> Iterator[pa.RecordBatch
 
 
 def _zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for chunk in _chunks(batches, 1):
+    for chunk in chunks(batches, 1):
         packed = [zlib.compress(t.encode("utf-8", "surrogatepass"), 1) for t in chunk.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([chunk.column(0), pa.array(packed, pa.binary())], names=["node", "z"])
 

@@ -70,8 +70,8 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    labels = _table(spark, sf_dir, "labels").where(id_share("doc_id", 5) != 0)
-    scored = toxicity.score(docs, toxicity.learn(toxicity.labelled_sample(docs, labels)))
+    permitted = id_share("doc_id", 5) != 0
+    scored = toxicity.score(docs, toxicity.learn(docs.where(permitted), _table(spark, sf_dir, "labels").where(permitted)))
     return scored.select("doc_id", (id_share("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
