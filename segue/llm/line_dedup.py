@@ -1,18 +1,20 @@
 """Removal of repeated multi-line chunks, in DataFrame expressions only.
 
-A text's lines are cut into chunks where a rolling hash over the hashes of the last two lines is divisible by
-MODULUS, so that boundaries depend on nearby lines only and move along with them. A chunk of two or more lines, not
-all blank, that occurs more than once in all texts is removed everywhere but at its first place (by id, then place in
-the text). Chunks are found by hash, and are equal if their bytes are.
-
-`without_passages` is the same without the cut, so that no line of a repeated passage escapes: it compares every two
-neighbouring lines (a run of empty lines counts as one line), not all blank, in place of chunks. Of every pair that
-occurs more than once in all texts both lines go everywhere but at its first place; a repeated passage of any length
-is a run of such pairs. A line that belongs to a pair's first place and to another pair's later one goes, as it stands
-at the other's first place. Empty lines at the edge of a passage stay where their number differs.
+A rolling hash over the hashes of two neighbouring lines slides over every text. Chunk boundaries lie where this hash
+begins or stops to be one that occurs more than once in all texts, so they depend on the lines around them only and
+move along with them: a repeated passage of two or more lines is one chunk, whatever surrounds it. A chunk's lines are
+removed everywhere but at their first place (by id, then place in the text), after their bytes have been compared, two
+lines at a time. A run of empty lines counts as one line; two neighbouring lines that are blank are no chunk. A line
+that belongs to the first place of one pair and to a later place of another goes, as it stands at the other's first
+place. Empty lines at the edge of a passage stay where their number differs. This is `without_passages`.
+
+`without_repeats` is the classic cut, where the same rolling hash is divisible by MODULUS. Its boundaries need no
+table of hashes, but a passage's first and last lines fall into chunks that are mixed with other lines, and a passage
+of few lines may have no chunk of its own.
 
 Defined results: a null text stays null, an empty one empty. Null ids come first. Rows with the same id and text are
-one document. Other columns are kept as they are. An empty table gives no rows.
+one document; texts of one id come in the order of a hash. Other columns are kept as they are. An empty table gives no
+rows.
 """
 
 from __future__ import annotations
@@ -107,8 +109,30 @@ def without_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return both.select(*columns)
 
 
+#: The same as without_passages in DuckDB's SQL.
+ORACLE = r"""
+WITH lines AS (
+    SELECT row_number() OVER () AS r, doc_id, text, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL
+), ends AS (
+    SELECT *, list_filter(range(1, len(l) + 1), lambda i: i = len(l) OR NOT (l[i] = '' AND i > 1 AND l[i + 1] = '' AND i + 1 < len(l))) AS e FROM lines
+), units AS MATERIALIZED (
+    SELECT r, doc_id, text, list_transform(range(1, len(e) + 1), lambda k: array_to_string(l[(CASE WHEN k > 1 THEN e[k - 1] ELSE 0 END) + 1 : e[k]], chr(10))) AS u FROM ends
+), pairs AS (
+    SELECT r, doc_id, md5(text) AS t, i AS place, u[i] AS a, u[i + 1] AS b FROM units, unnest(range(1, len(u))) AS p(i) WHERE regexp_matches(u[i], '\S') OR regexp_matches(u[i + 1], '\S')
+), firsts AS (
+    SELECT a, b, min((coalesce(doc_id, -9223372036854775808), t, place)) AS first FROM pairs GROUP BY a, b HAVING count(*) > 1
+), later AS (
+    SELECT r, place, (coalesce(doc_id, -9223372036854775808), t, place - 1) = first AS shared FROM pairs JOIN firsts USING (a, b) WHERE (coalesce(doc_id, -9223372036854775808), t, place) <> first
+), gone AS (
+    SELECT r, list(DISTINCT line) AS gone FROM (SELECT r, place + 1 AS line FROM later UNION ALL SELECT r, place FROM later WHERE NOT shared) GROUP BY r
+)
+SELECT doc_id, array_to_string(list_transform(list_filter(range(1, len(u) + 1), lambda i: NOT list_contains(coalesce(gone, []), i)), lambda i: u[i]), chr(10)) AS text, len(coalesce(gone, [])) AS lines_removed
+FROM units LEFT JOIN gone USING (r)
+UNION ALL SELECT doc_id, NULL, 0 FROM documents WHERE text IS NULL
+"""
+
 #: The same as without_repeats in DuckDB's SQL.
-ORACLE = f"""
+ORACLE_MODULUS = f"""
 WITH lines AS (
     SELECT row_number() OVER () AS r, doc_id, text, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL
 ), hashes AS (

@@ -15,13 +15,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return line_dedup.without_repeats(docs, removed_col="chunks_removed")
+    return line_dedup.without_passages(docs, removed_col="lines_removed")
 
 
-def op1_whole_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op1 without the cut: its SQL fixes which chunks op1_line_dedup compares, so the whole job is a query of its own."""
+def op1_modulus_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The classic cut at a divisible rolling hash, beside op1_line_dedup."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return line_dedup.without_passages(docs, removed_col="lines_removed")
+    return line_dedup.without_repeats(docs, removed_col="chunks_removed")
 
 
 def vocabulary_path() -> str:
@@ -85,10 +85,11 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, F.col("vec_id") % 50 == 0, 5)
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_byte_bpe, op3_fingerprints, op4_minhash, op5_language_id, op6_warc, op7_url_filter, op8_toxicity, op9_mixing, op10_exact_top_k, op1_whole_passages)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_byte_bpe, op3_fingerprints, op4_minhash, op5_language_id, op6_warc, op7_url_filter, op8_toxicity, op9_mixing, op10_exact_top_k, op1_modulus_chunks)}
 
 ORACLES = {
     "op1_line_dedup": line_dedup.ORACLE,
+    "op1_modulus_chunks": line_dedup.ORACLE_MODULUS,
     "op7_url_filter": url_filter.oracle(),
     "op10_exact_top_k": """
         WITH whole AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings

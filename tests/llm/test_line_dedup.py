@@ -16,7 +16,7 @@ def run(spark, rows):
     got = ld.without_repeats(docs, removed_col="chunks_removed").toPandas()
     con = duckdb.connect()
     con.register("documents", pd.DataFrame(rows, columns=["doc_id", "text"]).astype({"doc_id": "Int64", "text": "object"}))
-    return rows_of(got), rows_of(con.execute(ld.ORACLE).fetch_df())
+    return rows_of(got), rows_of(con.execute(ld.ORACLE_MODULUS).fetch_df())
 
 
 def test_shared_blocks_go_and_all_else_stays(spark):
@@ -77,9 +77,20 @@ def test_passages_by_brute_force(spark):
         want[i] = ("\n".join(x for k, x in enumerate(lines) if k not in gone), len(gone))
     got = ld.without_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), removed_col="n").collect()
     assert {r["doc_id"]: (r["text"], r["n"]) for r in got} == want
+    import duckdb
+    import pandas as pd
+
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(list(enumerate(texts)), columns=["doc_id", "text"]))
+    assert {i: (t, n) for i, t, n in con.execute(ld.ORACLE).fetchall()} == want
 
 
 def test_odd_rows_of_passages(spark, odd, none):
     found = ld.without_passages(odd)
     assert found.columns == odd.columns and found.count() == odd.count()
+    # null ids come first, rows of one id and text are one document, of one id's texts one comes first
+    rows = [(3, "a\nb\nc"), (None, "x\na\nb"), (3, "a\nb\nc"), (4, "p\nq"), (4, "q\n\np\nq"), (None, None), (5, None)]
+    got = sorted((str(r["doc_id"]), r["text"], r["n"]) for r in ld.without_passages(spark.createDataFrame(rows, "doc_id long, text string"), removed_col="n").collect() if r["text"] is not None)
+    assert got[:2] == [("3", "c", 2), ("3", "c", 2)] and got[4] == ("None", "x\na\nb", 0)
+    assert [n for i, _, n in got if i == "4"] in ([0, 2], [2, 0])
     assert ld.without_passages(none).count() == 0
