@@ -1,10 +1,11 @@
-"""Connected components and star-shaped candidate links, as joins and aggregations without any group held whole."""
+"""Connected components, and the classes of nodes that share bands, as joins and aggregations without any group held whole."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from segue.llm.common import written
@@ -51,31 +52,70 @@ def popular_hubs(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
     return members, members.join(fame, "node").groupBy("key").agg(F.max(F.struct("fame", (-F.col("node")).alias("minus"))).alias("best"), F.max("members").alias("members")).select("key", (-F.col("best.minus")).alias("hub"), "members")
 
 
-def star_links(keyed: DataFrame, verified: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Links (a, b) among the nodes (node, key) of a key, so that no two of its classes are left uncompared.
+#: Nodes of a bucket that one task holds, and that it compares them with; nodes that a task compares with a hub.
+HELD_BLOCK, READ_BLOCK, HUB_BLOCK = 128, 512, 64
+#: What tasks get: rows by task and side (0 is held, side 1 compared with it), with the node's class and bands and what is compared.
+ROW = ("task", "band", "side", "node", "class", "bands", "z")
 
-    In each round one node of every key, the hub, is compared with all its nodes of other classes, and then leaves
-    the key. Keys whose nodes are one class are done. No round makes more pairs than there are rows of keys.
+
+def first_shared(their: np.ndarray, bands: list[int], band: int) -> np.ndarray:
+    """Which held nodes (a row of bands each) are compared with a node in this band's bucket: those that share no earlier one. Without a band, all."""
+    if band < 0:
+        return np.ones(len(their), bool)
+    shared = their == np.array(bands, np.int64)
+    return shared.any(axis=1) & (shared.argmax(axis=1) == band)
+
+
+def _verified(sides: list[DataFrame], payload: DataFrame, compared: Callable) -> DataFrame:
+    """Links (a, b) of the tasks whose rows sides have, without what is compared yet."""
+    rows = sides[0]
+    for side in sides[1:]:
+        rows = rows.unionByName(side)
+    rows = rows.join(payload, "node").select(*ROW)
+    return rows.repartition("task").sortWithinPartitions("task", "side", "node").mapInArrow(compared, "a long, b long")
+
+
+def _blocks(count: str, size: int) -> Column:
+    return F.ceil(F.col(count) / size).cast("int")
+
+
+def bucket_classes(banded: DataFrame, every_node: DataFrame, payload_of: Callable[[DataFrame], DataFrame], compared: Callable, known_links: DataFrame | None = None) -> DataFrame:
+    """(node, component) of every node: components of the links that compared finds among nodes (node, bands array<long>) that share a band's key.
+
+    In each bucket the node whose buckets have most members, the hub, is compared with all others. Buckets whose nodes
+    are then not in one class are compared in blocks: every pair of nodes of different classes, so that no link is
+    lost; a pair that shares several buckets is compared in one. Buckets are dealt to tasks in blocks, so no task holds
+    a whole bucket. In a bucket of m nodes of which r are not in its largest class the work is r times m.
+
+    payload_of gives (node, z binary) of nodes (node); compared maps Arrow batches of ROW to links (a, b).
     """
+    keyed = banded.select("node", F.posexplode("bands").alias("band", "k")).select("node", F.struct("band", "k").alias("key")).distinct()
     members, hubs = popular_hubs(keyed)
-    members, found, done = members.select("node", "key"), None, None
-    while True:
-        hubs = written(hubs.select("key", "hub"), "hubs")
-        if hubs.isEmpty():
-            break
-        pairs = members.join(hubs, "key").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        done = pairs if done is None else done.union(pairs)
-        links = written(verified(pairs), "verified")
-        found = links if found is None else found.union(links)
-        classes = components(members.select("node").distinct(), found)
-        members = members.join(hubs, (members.key == hubs.key) & (members.node == hubs.hub), "left_anti")
-        mixed = members.join(classes, "node")
-        open_keys = mixed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-        members = written(members.join(open_keys, "key", "left_semi"), "open-members")
-        hubs = members.groupBy("key").agg(F.min("node").alias("hub"))
-    if found is None:
-        return keyed.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
-    return found
+    hubs = written(hubs, "hubs")
+    wide = members.select("node", "key").join(hubs, "key")
+    pairs = written(wide.where("node <> hub").groupBy("hub", "node").agg(F.max("members").alias("members")), "pairs")
+    nodes = written(pairs.select("node").union(pairs.select("hub")).distinct(), "compared-nodes")
+    payload = written(payload_of(nodes), "compared")
+    # a hub of large buckets has many tasks; which of them a node is in depends on its own row alone
+    many = F.expr(f"int(pow(2, ceil(log2(ceil(members / {HUB_BLOCK})))))")
+    tasks = pairs.withColumn("j", many).select("hub", "node", F.struct("hub", F.pmod(F.xxhash64("node"), F.col("j")).alias("i"), "j", F.lit(-1).alias("band"), F.lit(0).cast("long").alias("k")).alias("task"))
+    plain = [F.lit(-1).alias("band"), F.array(F.lit(0).cast("long")).alias("bands")]
+    side = lambda n, node: tasks.select("task", F.lit(n).alias("side"), F.col(node).alias("node")).distinct().withColumn("class", F.col("node")).select("task", "side", "node", "class", *plain)
+    first = _verified([side(0, "hub"), side(1, "node")], payload, compared)
+    found = written(first if known_links is None else first.union(known_links), "hub-links")
+    classes = written(components(every_node, found), "classes")
+
+    # buckets in which, without their hub, there is more than one class
+    rest = wide.where("node <> hub").select("key", "node").join(classes, "node").withColumnRenamed("component", "class")
+    sizes = rest.groupBy("key", "class").agg(F.count("*").alias("n"))
+    mixed = written(sizes.groupBy("key").agg(F.max(F.struct("n", "class")).alias("main"), F.sum("n").alias("members"), F.count("*").alias("classes")).where("classes > 1").select("key", F.col("main.class").alias("main"), "members", (F.col("members") - F.col("main.n")).alias("others")), "mixed-buckets")
+    if mixed.isEmpty():
+        return classes
+    open_rows = written(rest.join(mixed, "key").join(banded.groupBy("node").agg(F.max("bands").alias("bands")), "node"), "mixed-members")
+    i, j = F.pmod(F.xxhash64("node"), _blocks("others", HELD_BLOCK)), F.pmod(F.xxhash64("node", F.lit(1)), _blocks("members", READ_BLOCK))
+    every = lambda count, size: F.explode(F.sequence(F.lit(0), _blocks(count, size) - 1))
+    named = F.struct(F.lit(0).cast("long").alias("hub"), F.col("i").cast("long").alias("i"), F.col("j").cast("int").alias("j"), F.col("key.band").alias("band"), F.col("key.k").alias("k")).alias("task")
+    held = open_rows.where("class <> main").withColumn("i", i).withColumn("j", every("members", READ_BLOCK)).select(named, F.col("key.band").alias("band"), F.lit(0).alias("side"), "node", "class", "bands")
+    read = open_rows.withColumn("j", j).withColumn("i", every("others", HELD_BLOCK)).select(named, F.col("key.band").alias("band"), F.lit(1).alias("side"), "node", "class", "bands")
+    found = found.union(written(_verified([held, read], payload, compared), "block-links"))
+    return written(components(every_node, found), "classes")

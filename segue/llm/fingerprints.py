@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from segue.llm.common import text_of, written
-from segue.llm.components import components, star_links
+from segue.llm.common import spare_prefix, text_of, written
+from segue.llm.components import bucket_classes, first_shared
 
 #: Sampled positions, output steps after which the walk's random bits repeat, classes of characters.
 LANES, PERIOD, CLASSES = 128, 1 << 13, 256
@@ -146,26 +146,61 @@ def likeness(left: str, right: str) -> Column:
 
 
 def band_keys(fingerprint: str) -> Column:
-    """One key for each band: its number and its sampled lanes."""
-    return F.array(*[F.concat(F.lit(f"{i}:"), *[F.expr(f"substr({fingerprint}, {lane + 1}, 1)") for lane in lanes]) for i, lanes in enumerate(_tables()[4])])
+    """A hash for each band of its sampled lanes."""
+    return F.array(*[F.xxhash64(*[F.expr(f"substr({fingerprint}, {lane + 1}, 1)") for lane in lanes]) for lanes in _tables()[4]])
 
 
-def classes(prints: DataFrame, threshold: float = 0.8, id_col: str = "doc_id") -> DataFrame:
-    """(id, class_id): documents linked by fingerprints that share a band and agree in threshold of all lanes.
+def _lanes_of(packed: list[bytes]) -> np.ndarray:
+    both = np.frombuffer(b"".join(packed), np.uint8).reshape(-1, LANES // 2)
+    return np.stack([both >> 4, both & 15], axis=2).reshape(-1, LANES)
 
-    Equal fingerprints are one node, named by its smallest id. Each band's members are compared with the band's
-    representative, and what differs from it again with another, until no two classes of a band are left uncompared.
-    """
-    nodes = written(prints.where(F.col(id_col).isNotNull()).groupBy("fingerprint").agg(F.min(id_col).alias("node")), "fingerprint-nodes")
-    keyed = nodes.select("node", "fingerprint", F.explode(band_keys("fingerprint")).alias("key"))
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(nodes.select(F.col("node").alias("a"), F.col("fingerprint").alias("fa")), "a").join(nodes.select(F.col("node").alias("b"), F.col("fingerprint").alias("fb")), "b")
-        return both.where(likeness("fa", "fb") >= threshold).select("a", "b")
+def _alike(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """Links of fingerprints that agree in threshold of all lanes; rows as components.ROW has them."""
+    task, held, index = None, [], None
+    left, right = [], []
+    for batch in batches:
+        lanes = _lanes_of(batch.column(6).to_pylist())
+        for row, (now, band, side, node, own, bands) in enumerate(zip(*(c.to_pylist() for c in batch.columns[:6]))):
+            if now != task:
+                task, held, index = now, [], None
+            if side == 0:
+                held.append((node, own, bands, lanes[row]))
+            elif held:
+                index = index or (np.array([h[0] for h in held]), np.array([h[1] for h in held]), np.array([h[2] for h in held], np.int64), np.stack([h[3] for h in held]))
+                nodes, classes, their, known = index
+                near = (classes != own) & first_shared(their, bands, band)
+                near[near] = (known[near] == lanes[row]).mean(axis=1) >= threshold - 1e-9
+                left += nodes[near].tolist()
+                right += [node] * int(near.sum())
+        if left:
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+            left, right = [], []
+
 
-    links = star_links(keyed.select("node", "key"), verified)
-    found = components(nodes.select("node"), links)
-    return prints.where(F.col(id_col).isNotNull()).join(nodes, "fingerprint").join(found, "node").select(id_col, F.col("component").alias("class_id"))
+def classes(prints: DataFrame, threshold: float = 0.8, id_col: str = "doc_id") -> DataFrame:
+    """(id, fingerprint, class_id): documents linked by fingerprints that share a band and agree in threshold of all lanes.
+
+    Equal fingerprints are one node. A class is named by its smallest id; a row without an id has the class of its
+    fingerprint, if some row with an id has that fingerprint, else none. Ties do not matter, as links have no order.
+    Texts so short that they have no character have equal fingerprints. Nodes are linked as `components.bucket_classes`
+    says: no pair that shares a band is left out.
+    """
+    p = spare_prefix(prints)
+    nodes = written(prints.where(F.col(id_col).isNotNull()).groupBy("fingerprint").agg(F.min(F.col(id_col).cast("long")).alias("node")), "fingerprint-nodes")
+    banded = nodes.select("node", band_keys("fingerprint").alias("bands"))
+    payload = nodes.select("node", F.unhex("fingerprint").alias("z"))
+    found = bucket_classes(banded, nodes.select("node").distinct(), lambda wanted: payload.join(wanted, "node", "left_semi"), partial(_alike, threshold=threshold))
+    named = nodes.join(found, "node").select(F.col("fingerprint").alias(f"{p}fingerprint"), F.col("component").alias(f"{p}class"))
+    both = prints.join(named, F.col("fingerprint") == F.col(f"{p}fingerprint"), "left")
+    return both.select(F.col(id_col), "fingerprint", F.col(f"{p}class").alias("class_id"))
+
+
+def edit_classes(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """edit_probe, and the class of every document by its fingerprint."""
+    probe = written(edit_probe(docs, id_col, text_col), "fingerprints")
+    own = classes(probe.select(id_col, "fingerprint"), threshold, id_col).select(F.col("fingerprint").alias("__f"), "class_id").distinct()
+    return probe.join(own, F.col("fingerprint") == F.col("__f")).select(*probe.columns, "class_id")
 
 
 def _part(ids: pa.Array, bounds: np.ndarray) -> pa.Array:

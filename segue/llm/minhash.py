@@ -6,10 +6,8 @@ all documents. Improved consistent weighted sampling draws BANDS x ROWS samples;
 a probability equal to their weighted Jaccard similarity, and are compared if they agree in all samples of a band.
 What is compared is verified by the exact similarity of the whole texts.
 
-Equal texts are one node from the start. In each band's bucket the node whose buckets have most members, the hub, is
-compared with all others. Buckets whose nodes are then not in one class are compared in blocks: every pair of nodes of
-different classes, so that no link of the bands is lost; a pair that shares several buckets is compared in one.
-Buckets are dealt to tasks in blocks, so no task holds a whole bucket. Classes are connected components.
+Equal texts are one node from the start. Buckets are compared as `components.bucket_classes` says: no link of the
+bands is lost, no task holds a whole bucket. Classes are connected components.
 
 Defined results: a null text counts as the empty text; texts without words only match equal texts; a text of fewer
 than five words has one shingle. Rows without an id are compared like others; a class that has no id at all has a null
@@ -31,7 +29,7 @@ from pyspark.sql import functions as F
 
 from segue.llm.bpe import joined
 from segue.llm.common import filter_words, may_be_held, spare_prefix, text_of, written
-from segue.llm.components import components, popular_hubs
+from segue.llm.components import bucket_classes, first_shared
 from segue.llm.letters import MIX, Words, chunks, grouped, mixed
 
 WORDS, SIMILARITY = 5, 0.8
@@ -39,8 +37,6 @@ WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 10, 3
 #: Share of documents below which a word's IDF rises no further.
 RARE = 1e-3
-#: Nodes of a bucket that one task holds, and that it compares them with; nodes that a task compares with a hub.
-HELD_BLOCK, READ_BLOCK, HUB_BLOCK = 128, 512, 64
 #: Distinct words that a task counts before it hands them on.
 HELD_WORDS = 400_000
 SEED = 77
@@ -242,10 +238,7 @@ def _compared(batches: Iterator[pa.RecordBatch], table, similarity: float) -> It
                     continue
                 index = index or build()
                 known, known_weights, owner, sums, classes, their = index
-                wanted = classes != own
-                if band >= 0:  # each pair in the first bucket that it shares
-                    shared = their == np.array(bands, np.int64)
-                    wanted &= shared.any(axis=1) & (shared.argmax(axis=1) == band)
+                wanted = (classes != own) & first_shared(their, bands, band)
                 if not wanted.any():
                     continue
                 lo, hi = np.searchsorted(known, hashes, "left"), np.searchsorted(known, hashes, "right")
@@ -260,23 +253,6 @@ def _compared(batches: Iterator[pa.RecordBatch], table, similarity: float) -> It
             left, right = [], []
 
 
-_ROW = ("task", "band", "side", "node", "class", "bands", "z")
-
-
-def _verified(sides: list[DataFrame], texts: DataFrame, table, similarity: float) -> DataFrame:
-    """Links (a, b) of the tasks whose rows sides have, without their texts yet."""
-    rows = sides[0]
-    for side in sides[1:]:
-        rows = rows.unionByName(side)
-    rows = rows.join(texts, "node").select(*_ROW)
-    dealt = rows.repartition("task").sortWithinPartitions("task", "side", "node")
-    return dealt.mapInArrow(partial(_compared, table=table, similarity=similarity), "a long, b long")
-
-
-def _blocks(count: str, size: int) -> Column:
-    return F.ceil(F.col(count) / size).cast("int")
-
-
 def _nameless(text: Column | str) -> Column:
     """The node of a text that no row with an id has."""
     return F.lit(NAMELESS) + F.xxhash64(F.sha1(text)).bitwiseAND(F.lit(NAMELESS - 1))
@@ -311,41 +287,9 @@ def _classed(docs: DataFrame, id_col: str, text_col: str, similarity: float) ->
     one_id = named_nodes.join(several, "id").select("a", F.col("node").alias("b"))
     every_node = reps.select("node").distinct()
 
-    keyed = reps.where("bands is not null").select("node", F.posexplode("bands").alias("band", "k")).select("node", F.struct("band", "k").alias("key")).distinct()
-    members, hubs = popular_hubs(keyed)
-    hubs = written(hubs, "hubs")
-    wide = members.select("node", "key").join(hubs, "key")
-    pairs = written(wide.where("node <> hub").groupBy("hub", "node").agg(F.max("members").alias("members")), "pairs")
-    nodes = written(pairs.select("node").union(pairs.select("hub")).distinct(), "compared-nodes")
     known = rows.select(F.coalesce("id", _nameless("t")).alias("node"), "t", F.col("id").isNotNull().alias("named"))
-    texts = written(_node_texts(known, nodes), "node-texts")
-    # a hub of large buckets has many tasks; which of them a node is in depends on its own row alone
-    many = F.expr(f"int(pow(2, ceil(log2(ceil(members / {HUB_BLOCK})))))")
-    tasks = pairs.withColumn("j", many).select("hub", "node", F.struct("hub", F.pmod(F.xxhash64("node"), F.col("j")).alias("i"), "j", F.lit(-1).alias("band"), F.lit(0).cast("long").alias("k")).alias("task"))
-    plain = [F.lit(-1).alias("band"), F.array(F.lit(0).cast("long")).alias("bands")]
-    first = _verified(
-        [
-            tasks.select("task", F.lit(0).alias("side"), F.col("hub").alias("node")).distinct().withColumn("class", F.col("node")).select("task", "side", "node", "class", *plain),
-            tasks.select("task", F.lit(1).alias("side"), "node").withColumn("class", F.col("node")).select("task", "side", "node", "class", *plain),
-        ],
-        texts, table, similarity,
-    )
-    found = written(first.union(one_id), "hub-links")
-    classes = written(components(every_node, found), "classes")
-
-    # buckets in which, without their hub, there is more than one class
-    rest = wide.where("node <> hub").select("key", "node").join(classes, "node").withColumnRenamed("component", "class")
-    sizes = rest.groupBy("key", "class").agg(F.count("*").alias("n"))
-    mixed = written(sizes.groupBy("key").agg(F.max(F.struct("n", "class")).alias("main"), F.sum("n").alias("members"), F.count("*").alias("classes")).where("classes > 1").select("key", F.col("main.class").alias("main"), "members", (F.col("members") - F.col("main.n")).alias("others")), "mixed-buckets")
-    if not mixed.isEmpty():
-        open_rows = written(rest.join(mixed, "key").join(reps.groupBy("node").agg(F.max("bands").alias("bands")), "node"), "mixed-members")
-        i, j = F.pmod(F.xxhash64("node"), _blocks("others", HELD_BLOCK)), F.pmod(F.xxhash64("node", F.lit(1)), _blocks("members", READ_BLOCK))
-        every = lambda count, size: F.explode(F.sequence(F.lit(0), _blocks(count, size) - 1))
-        named = F.struct(F.lit(0).cast("long").alias("hub"), F.col("i").cast("long").alias("i"), F.col("j").cast("int").alias("j"), F.col("key.band").alias("band"), F.col("key.k").alias("k")).alias("task")
-        held = open_rows.where("class <> main").withColumn("i", i).withColumn("j", every("members", READ_BLOCK)).select(named, F.col("key.band").alias("band"), F.lit(0).alias("side"), "node", "class", "bands")
-        read = open_rows.withColumn("j", j).withColumn("i", every("others", HELD_BLOCK)).select(named, F.col("key.band").alias("band"), F.lit(1).alias("side"), "node", "class", "bands")
-        found = found.union(written(_verified([held, read], texts, table, similarity), "block-links"))
-        classes = written(components(every_node, found), "classes")
+    compared = partial(_compared, table=table, similarity=similarity)
+    classes = bucket_classes(reps.where("bands is not null"), every_node, lambda nodes: _node_texts(known, nodes), compared, one_id)
     return named_nodes.join(classes, "node").select("id", "node", "component")
 
 

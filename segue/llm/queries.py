@@ -35,7 +35,7 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints.edit_probe(_table(spark, sf_dir, "documents"))
+    return fingerprints.edit_classes(_table(spark, sf_dir, "documents"))
 
 
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -70,7 +70,42 @@ def test_classes_and_prints(spark, odd, none):
     rng = random.Random(6)
     words = prose(rng, 300).split()
     near = words[:150] + ["edit"] + words[151:]
-    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(words)), (4, prose(rng, 300)), (5, None), (6, "")], "doc_id long, text string")
-    prints = fp.fingerprints(docs)
-    assert {r["doc_id"]: r["class_id"] for r in fp.classes(prints, 0.7).collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 5}
-    assert fp.fingerprints(odd).count() == odd.count() and fp.classes(fp.fingerprints(none)).count() == 0
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(words)), (4, prose(rng, 300)), (5, None), (6, ""), (None, " ".join(near)), (None, "by itself")], "node long, text string")
+    prints = fp.fingerprints(docs, "node")
+    found = [(r["node"], r["class_id"]) for r in fp.classes(prints, 0.7, "node").collect()]
+    assert sorted(x for x in found if x[0] is not None) == [(1, 1), (2, 1), (3, 1), (4, 4), (5, 5), (6, 5)] and sorted(str(c) for i, c in found if i is None) == ["1", "None"]
+    assert fp.fingerprints(odd).count() == odd.count() == fp.edit_classes(odd).count() and fp.classes(fp.fingerprints(none)).count() == 0 == fp.edit_classes(none).count()
+
+
+def test_classes_are_brute_force(spark, monkeypatch):
+    """By all pairs: documents that share a band and agree in 0.6 of all lanes, in one group of near copies that is cut into blocks."""
+    from segue.llm import components as cc
+
+    monkeypatch.setattr(cc, "HELD_BLOCK", 4)
+    monkeypatch.setattr(cc, "READ_BLOCK", 8)
+    monkeypatch.setattr(cc, "HUB_BLOCK", 4)
+    rng = random.Random(7)
+    rows = []
+    for _ in range(6):
+        base = prose(rng, 60).split()
+        for _ in range(12):
+            words = list(base)
+            for _ in range(rng.randrange(0, 9)):
+                words[rng.randrange(len(words))] = "new" + str(rng.randrange(99))
+            rows.append((len(rows) * 3, " ".join(words)))
+    prints = fp.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    lanes = {r["doc_id"]: np.array(list(r["fingerprint"])) for r in prints}
+    parent = {i: i for i in lanes}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a in lanes:
+        for b in lanes:
+            if a < b and (lanes[a] == lanes[b]).mean() >= 0.6 and any((lanes[a][x] == lanes[b][x]).all() for x in fp._tables()[4]):
+                lo, hi = sorted((root(a), root(b)))
+                parent[hi] = lo
+    got = {r["doc_id"]: r["class_id"] for r in fp.classes(spark.createDataFrame(prints), 0.6).collect()}
+    assert got == {i: root(i) for i in lanes} and 6 <= len(set(got.values())) < 72
