@@ -276,7 +276,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     texts = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
     # a filter of bounded size keeps texts without a label out of the shuffle, the join is exact
     likely = may_be_held(texts.withColumn("h", F.xxhash64("id")), "h", filter_words(known.select(F.xxhash64("id").alias("h")), "h"))
-    labelled = likely.join(known, "id").select("text", "toxic")
+    labelled = likely.join(known.hint("merge"), "id").select("text", "toxic")  # labels grow with the texts: never sent to every task
     counts = written(labelled.mapInArrow(_feature_counts, "kind int, hash long, toxic long, clean long").groupBy("kind", "hash").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")), "feature-texts")
     sizes = dict(texts.select("id").join(known, "id").groupBy("toxic").count().collect())
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
