@@ -6,14 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from segue.sources.stored import written
+
 
 def with_index(df: DataFrame, order: list[Column], name: str = "idx") -> DataFrame:
     """df with the dense place (from 0) of each row in a total order.
 
-    Rows are sorted by range; each partition numbers its own, and partition sizes (one number each, added up on the
-    driver) give the offsets. order must be total, so that a rerun ranks alike.
+    Rows are sorted by range and written, with the number of their range; each range numbers its own rows, and the
+    sizes of ranges (one number each, added up on the driver) give the offsets. order must be total, so that a rerun
+    ranks alike.
     """
-    sorted_rows = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()).persist()
+    sorted_rows = written(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "ranges")
     before, offsets = 0, []
     for part, n in sorted(sorted_rows.groupBy("__part").count().collect()):
         offsets.append((part, before))

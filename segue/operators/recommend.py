@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from segue.functions.text import canonical_title, explanation
-from segue.functions.vectors import dot, mean_vector, normalized
+from segue.functions.vectors import FLOOR, dot, mean_vector, normalized
 from segue.operators.ranking import with_rank
 
 # Most seeds of a request, and seeds whose similarities are averaged.
@@ -99,12 +100,17 @@ def loaded(tracks: DataFrame | None) -> DataFrame:
 def known_seeds(tracks: DataFrame, seeds: DataFrame) -> DataFrame:
     """The tracks of seeds (ord, track_uri) in order; repeats stay, unknown uris go.
 
-    These are MOST_SEEDS rows at most, which is looked at before they are sent to every task, and are kept, as every
-    later step meets the catalogue with them.
+    A request has MOST_SEEDS seeds at most, which is looked at before they are sent to every task. Their tracks are a
+    table of the driver, so that what is made of them alone needs no job.
     """
-    if seeds.limit(MOST_SEEDS + 1).count() > MOST_SEEDS:
+    asked = seeds.limit(MOST_SEEDS + 1).toArrow()
+    if asked.num_rows > MOST_SEEDS:
         raise ValueError(f"more than {MOST_SEEDS} seeds")
-    return F.broadcast(seeds).join(tracks, "track_uri").select("ord", "idx", "track_uri", "track_name", "artists", "embedding").coalesce(1).persist()
+    spark = tracks.sparkSession
+    wanted = spark.createDataFrame(asked) if asked.num_rows else seeds
+    found = tracks.join(F.broadcast(wanted), "track_uri").select("ord", "idx", "track_uri", "track_name", "artists", "embedding")
+    rows = found.toArrow()
+    return spark.createDataFrame(rows.sort_by("ord")) if rows.num_rows else found.limit(0)
 
 
 def recent(seeds: DataFrame, k: int, side: str = "first") -> DataFrame:
@@ -118,9 +124,11 @@ def playlist_vector(seeds: DataFrame) -> DataFrame:
     return mean_vector(seeds).select(normalized(F.col("mean")).alias("mean"))
 
 
-def vector_column(one: DataFrame) -> Column:
-    """The vector of a one-row table (mean) as a constant."""
-    return F.array(*[F.lit(float(x)) for x in one.first()["mean"]])
+def _query_vector(rows: list, k: int = 0, side: str = "first") -> Column:
+    """The mean vector of the first or last k of the seeds' rows (all, if k is 0), scaled to length one, as a constant."""
+    rows = sorted(rows, key=lambda r: r["ord"], reverse=side == "last")
+    mean = np.mean([r["embedding"] for r in (rows[:k] if k > 0 else rows)], axis=0)
+    return F.array(*[F.lit(float(x)) for x in mean / max(float(np.linalg.norm(mean)), FLOOR)])
 
 
 def artist_weights(seeds: DataFrame) -> DataFrame:
@@ -160,8 +168,8 @@ def with_support(candidates: DataFrame, seeds: DataFrame, most: int = SUPPORT_SE
 
 def with_similarities(tracks: DataFrame, seeds: DataFrame, options: Options) -> DataFrame:
     """tracks with recent and whole: their products with the two query vectors."""
-    near = vector_column(playlist_vector(recent(seeds, options.recent_k, options.side)))
-    far = vector_column(playlist_vector(seeds))
+    rows = seeds.select("ord", "embedding").collect()
+    near, far = _query_vector(rows, options.recent_k, options.side), _query_vector(rows)
     return tracks.withColumns({"recent": dot(F.col("embedding"), near), "whole": dot(F.col("embedding"), far)})
 
 
@@ -181,12 +189,13 @@ def keep_of(options: Options, distinct_seeds: int) -> int:
 
 def candidates(tracks: DataFrame, seeds: DataFrame, w: Weights, options: Options) -> DataFrame:
     """Distinct candidates from the rankings by recent, whole and favourite artists, with popularity and affinity."""
-    seed_rows = seeds.agg(F.countDistinct("idx"), F.count("*")).first()
-    if not seed_rows[1]:
+    own = [r["idx"] for r in seeds.select("idx").collect()]  # MOST_SEEDS at most
+    if not own:
         raise NoSeeds("no seed is in the catalogue")
-    keep = keep_of(options, seed_rows[0])
+    keep = keep_of(options, len(set(own)))
     reach = max(2 * keep, keep + 1000) if options.overfetch == "index" else keep
-    rows = with_similarities(with_affinity(tracks, seeds), seeds, options)
+    # rankings carry only what filters need; vectors and names join what is left of them
+    rows = with_similarities(with_affinity(tracks, seeds), seeds, options).select("idx", "count", "artists", "track_name", "recent", "whole", "affinity", "popularity")
 
     def filtered(df: DataFrame) -> DataFrame:
         df = without_seeds(df, seeds)
@@ -201,7 +210,10 @@ def candidates(tracks: DataFrame, seeds: DataFrame, w: Weights, options: Options
     found = pools[0]
     for pool in pools[1:]:
         found = found.unionByName(pool)
-    return found.dropDuplicates(["idx"])
+    parts = ["recent", "whole", "affinity", "popularity"]
+    found = found.groupBy("idx").agg(*[F.max(c).alias(c) for c in parts])
+    rest = [c for c in tracks.columns if c not in ("idx", *parts)]
+    return tracks.select("idx", *rest).join(found, "idx")
 
 
 def hybrid(tracks: DataFrame, seeds: DataFrame, w: Weights = Weights(), options: Options = Options()) -> DataFrame:
@@ -220,5 +232,5 @@ def simple(tracks: DataFrame, seeds: DataFrame, top_n: int = 20) -> DataFrame:
     own = known_seeds(tracks, seeds)
     if own.isEmpty():
         raise NoSeeds("no seed is in the catalogue")
-    rows = without_seeds(tracks, own).withColumn("score", dot(F.col("embedding"), vector_column(playlist_vector(own))))
+    rows = without_seeds(tracks, own).withColumn("score", dot(F.col("embedding"), _query_vector(own.select("ord", "embedding").collect())))
     return with_rank(rows.orderBy(F.desc("score"), "idx").limit(top_n), [F.desc("score"), F.col("idx")])

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from segue.operators.catalog import with_keys
 from segue.operators.corpus import popularity
+from segue.sources.stored import kept
 
 #: Seeds of the registered recommendations: (ord, part); one twice, one unknown.
 SEED_PARTS = ((0, 7), (1, 11), (2, 42), (3, 99), (4, 7), (5, -1))
@@ -44,22 +45,28 @@ def playlists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("pid").agg(tracks.alias("tracks")).select(F.lit(0).alias("file_ord"), F.col("pid").alias("playlist_ord"), "pid", "tracks")
 
 
-def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The canonical track table: idx is the part's key."""
+def _catalogue(spark: SparkSession, sf_dir: str, vector_of) -> DataFrame:
+    """(idx, track_uri, names, keys, count, popularity, embedding) of the parts with lines and a vector; idx is the part's key."""
     counts = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("part")).agg(F.count("*").alias("count"))
-    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("part"), F.col("embedding").cast("array<double>").alias("embedding"))
-    rows = parts(spark, sf_dir).join(vectors, "part").join(counts, "part").withColumn("track_uri", F.concat(F.lit("track:"), "part"))
-    return popularity(with_keys(rows.withColumnRenamed("part", "idx")))
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    rows = vector_of(parts(spark, sf_dir), vectors).join(vectors, "vec_id").drop("vec_id").join(counts, "part")
+    return popularity(with_keys(rows.withColumn("track_uri", F.concat(F.lit("track:"), "part")).withColumnRenamed("part", "idx")))
+
+
+def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The canonical track table: parts whose key a vector has. Written once and read by every query, as a catalogue is."""
+    own = lambda rows, vectors: rows.withColumn("vec_id", F.col("part"))
+    return kept(spark, ("tracks", sf_dir), lambda: _catalogue(spark, sf_dir, own), "catalogue")
 
 
 def all_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every part as a track: vectors are dealt to parts in turn, so several parts share one and products tie."""
-    counts = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("part")).agg(F.count("*").alias("count"))
-    vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
-    size = vectors.agg((F.max("vec_id") + 1).alias("size"))
-    rows = parts(spark, sf_dir).crossJoin(F.broadcast(size)).withColumn("vec_id", F.col("part") % F.col("size")).drop("size")
-    rows = rows.join(vectors, "vec_id").drop("vec_id").join(counts, "part").withColumn("track_uri", F.concat(F.lit("track:"), "part"))
-    return popularity(with_keys(rows.withColumnRenamed("part", "idx")))
+
+    def dealt(rows: DataFrame, vectors: DataFrame) -> DataFrame:
+        size = vectors.agg((F.max("vec_id") + 1).alias("size"))
+        return rows.crossJoin(F.broadcast(size)).withColumn("vec_id", F.col("part") % F.col("size")).drop("size")
+
+    return kept(spark, ("all-tracks", sf_dir), lambda: _catalogue(spark, sf_dir, dealt), "catalogue")
 
 
 def covered_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -303,14 +303,9 @@ def playlist_pending(spark, sf):
 OPTIONS = recommend.Options(min_count=1, pool=100, top_n=20, recent_k=2)
 
 
-def _catalogue(spark: SparkSession, sf: str) -> DataFrame:
-    """The track table, kept while a recommendation ranks it several ways, as a stored catalogue would be."""
-    return b.tracks(spark, sf).persist()
-
-
 def _hybrid(preset: str):
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        found = recommend.hybrid(_catalogue(spark, sf), b.seeds(spark), recommend.weights(preset), OPTIONS)
+        found = recommend.hybrid(b.tracks(spark, sf), b.seeds(spark), recommend.weights(preset), OPTIONS)
         parts = [F.round(c, 6).alias(c) for c in ("score", "recent", "whole", "support", "popularity", "affinity")]
         return found.select("rank", "idx", "track_name", *parts, "explanation")
 
@@ -327,32 +322,32 @@ WIDE = recommend.Options(min_count=30, pool=100, top_n=20, recent_k=2)
 @query
 def hybrid_all_parts(spark, sf):
     """Over every part, so that the rankings are cut before they are filtered, and min_count drops some."""
-    found = recommend.hybrid(b.all_tracks(spark, sf).persist(), b.seeds(spark), recommend.weights("favorite"), WIDE)
+    found = recommend.hybrid(b.all_tracks(spark, sf), b.seeds(spark), recommend.weights("favorite"), WIDE)
     return found.select("rank", "idx", *[F.round(c, 6).alias(c) for c in ("score", "recent", "whole", "support", "popularity", "affinity")])
 
 
 @query
 def candidate_pool_all_parts(spark, sf):
-    tracks = b.all_tracks(spark, sf).persist()
+    tracks = b.all_tracks(spark, sf)
     own = recommend.known_seeds(tracks, b.seeds(spark))
     return recommend.candidates(tracks, own, recommend.PRESETS["balance"], WIDE).select("idx")
 
 
 @query
 def simple_recommend(spark, sf):
-    found = recommend.simple(_catalogue(spark, sf), b.seeds(spark))
+    found = recommend.simple(b.tracks(spark, sf), b.seeds(spark))
     return found.select("rank", "idx", "track_name", F.round("score", 6).alias("score"))
 
 
 @query
 def hybrid_cli(spark, sf):
     options = recommend.Options(side="last", min_count=5, pool=100, recent_k=2, overfetch="plain", duplicates=False)
-    found = recommend.hybrid(_catalogue(spark, sf), b.seeds(spark), recommend.Weights(), options)
+    found = recommend.hybrid(b.tracks(spark, sf), b.seeds(spark), recommend.Weights(), options)
     return found.select("rank", "idx", F.round("score", 6).alias("score"))
 
 
 def _own(spark, sf):
-    tracks = _catalogue(spark, sf)
+    tracks = b.tracks(spark, sf)
     return tracks, recommend.known_seeds(tracks, b.seeds(spark))
 
 
