@@ -36,6 +36,8 @@ WITHIN, MARGIN = 0.999, 1.15
 #: Steps of a distance that are counted; lengths are classes of n-grams by powers of two.
 STEPS, CLASSES = 1000, 64
 BITS = 21
+#: Marks of numbers of two and of three characters: the former have what is no character in front.
+PAIR, TRIPLE = np.uint64(((1 << BITS) - 1) << 2 * BITS), np.uint64(1 << 63)
 
 
 @lru_cache(1)
@@ -59,8 +61,7 @@ def grams(text: str) -> np.ndarray:
     one = marks[marks != 0]
     two = marks[:-1] << np.uint64(BITS) | marks[1:]
     three = two[:-1] << np.uint64(BITS) | marks[2:]
-    tag = np.uint64(1) << np.uint64(63)
-    return np.concatenate([one, two | tag, three[(marks[1:-1] != 0)] | tag])
+    return np.concatenate([one, two | PAIR, three[(marks[1:-1] != 0)] | TRIPLE])
 
 
 def ranked(found: np.ndarray, places: int = PROFILE) -> np.ndarray:

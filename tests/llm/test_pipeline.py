@@ -36,6 +36,76 @@ def test_odd_rows(spark, odd, none):
         assert docs.columns[0] == "doc_id"
 
 
+def test_stages_are_brute_force(spark):
+    """Lines, near-duplicates, mixing and tokens of a small table, each against a plain loop over what the stage before kept."""
+    import hashlib
+    import random
+
+    import public_tokenizers
+    import tiktoken
+    from test_minhash import brute
+    from texts import prose
+
+    from segue.llm import bpe, mixing
+
+    rng = random.Random(12)
+    passage = [prose(rng, 12) for _ in range(4)]
+    rows = []
+    for i in range(60):
+        lines = [prose(rng, 15) for _ in range(rng.randrange(2, 7))]
+        if i % 4 == 0:
+            lines[1:1] = passage
+        if i % 5 == 1 and rows:
+            lines = rows[-1][1].split("\n")
+            lines[-1] = " ".join([*lines[-1].split()[:-1], "other"])
+        rows.append((i, "\n".join(lines), "en", ["a", "b", "c", "d"][i % 7 % 4], 0))
+    rows += [(90, "", "en", "a", 0), (91, None, None, None, None), (92, rows[3][1], "en", "b", 0), (None, rows[3][1], "en", "b", 0), (None, prose(rng, 30), "en", "b", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+
+    lines = written(cp.lines(spark, docs, ""), "test-lines")
+    after = {(r["doc_id"], r["n_chars"]): r["text"] for r in lines.collect()}
+    seen, want = {}, {}
+    for i, text, *_ in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
+        if text is None:
+            want[(i, None)] = None
+            continue
+        parts, gone = text.split("\n"), set()
+        for k, pair in enumerate(zip(parts, parts[1:])):
+            if any(x.strip() for x in pair) and seen.setdefault(pair, (i, text, k)) != (i, text, k):
+                gone |= {k, k + 1}
+        left = "\n".join(x for k, x in enumerate(parts) if k not in gone)
+        want[(i, len(left))] = left
+    assert after == want
+
+    kept = written(cp.near_duplicates(spark, lines, ""), "test-near")
+    named = [(k[0], t) for k, t in after.items() if k[0] is not None]
+    classes = brute(named)
+    stay = {i for i in classes if classes[i] == i}
+    assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == sorted(stay)
+    texts = {t or "" for _, t in named}
+    assert sum(r["doc_id"] is None for r in kept.collect()) == len({t for k, t in after.items() if k[0] is None} - texts)
+
+    taken = {}
+    mix = written(cp.mix(spark, kept, ""), "test-mix")
+    for r in mix.collect():
+        taken[(r["doc_id"], r["text"])] = taken.get((r["doc_id"], r["text"]), 0) + 1
+    assert max(taken.values()) <= 2 and set(taken) <= {(r["doc_id"], r["text"]) for r in kept.collect()}
+    goal = {r["source"]: r["target"] for r in mixing.targets(kept.select("source", mixing.words().alias("size"))).collect()}
+    for source, target in goal.items():
+        own = [r for r in kept.collect() if r["source"] == source]
+        words = sum(taken.get((r["doc_id"], r["text"]), 0) * len((r["text"] or "").split()) for r in own)
+        assert abs(words - target) <= max(len((r["text"] or "").split()) for r in own)
+
+    name = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    plain = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(name), special_tokens={})
+    digest = lambda b: hashlib.sha256(b).hexdigest()
+    expect = []
+    for r in mix.collect():
+        ids = plain.encode_ordinary(r["text"] or "")
+        expect.append((str(r["doc_id"]), len(ids), digest(" ".join(map(str, ids)).encode()), digest((r["text"] or "").encode())))
+    assert sorted(expect) == sorted((str(r["doc_id"]), r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in cp.tokens(spark, mix, "").collect())
+
+
 def test_language_drops_gibberish_and_unseen_languages(spark, sf_dir):
     import base64
     import random
