@@ -23,9 +23,9 @@ def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_vocabulary(vocab: DataFrame, path: str) -> None:
-    """JSON lines in one file, in order of idx; a missing duration is an empty text."""
+    """JSON lines in files by ranges of idx, in its order; a missing duration is an empty text."""
     rows = vocab.select(*[F.coalesce(F.col("duration_ms").cast("string"), F.lit("")).alias(c) if c == "duration_ms" else F.col(c) for c in VOCABULARY.fieldNames() if c in vocab.columns])
-    rows.orderBy("idx").coalesce(1).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+    rows.orderBy("idx").write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
 def _matrix_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -63,6 +63,32 @@ def read_description(spark: SparkSession, path: str, **live) -> DataFrame:
     return found.withColumns({k: F.lit(v) for k, v in live.items()}) if live else found
 
 
+def export(model, lists: DataFrame, occurrences: DataFrame, path: str, config, order: tuple[str, ...] | None = None, max_files: int | None = None, max_playlists: int | None = None) -> None:
+    """A fitted word2vec model as a folder: the model itself, vectors, vocabulary with metadata, description.
+
+    The vocabulary is that of the model: its words by their count in lists, ties by first occurrence.
+    """
+    from dataclasses import asdict
+
+    from pyspark.ml.functions import vector_to_array
+
+    from segue.operators.corpus import ORDINAL, first_seen, metadata_defaults
+    from segue.operators.ranking import with_index
+
+    spark = lists.sparkSession
+    model.write().overwrite().save(f"{path}/word2vec.model")
+    words = model.getVectors().select(F.col("word").alias("track_uri"), vector_to_array("vector").alias("embedding"))
+    counts = lists.select(F.explode("uris").alias("track_uri")).groupBy("track_uri").agg(F.count("*").alias("count"))
+    seen = metadata_defaults(first_seen(occurrences, order=order or ORDINAL))
+    rows = with_index(words.join(counts, "track_uri").join(seen, "track_uri", "left"), [F.desc("count"), F.col("first"), F.col("track_uri")])
+    write_vectors(rows, f"{path}/item_vectors")
+    write_vocabulary(rows.drop("embedding", "first"), f"{path}/vocab")
+    sizes = lists.agg(F.count("*").alias("corpus_count"), F.coalesce(F.sum(F.size("uris")), F.lit(0)).alias("corpus_total_words"))
+    stats = {"vocab_size": rows.count(), **sizes.first().asDict(), "max_files": max_files, "max_playlists": max_playlists}
+    files = {"word2vec_model": "word2vec.model", "item_vectors": "item_vectors", "vocab": "vocab"}
+    write_description(spark, {"backend": "pyspark.ml.Word2Vec", "config": asdict(config), "stats": stats, "files": files}, f"{path}/model_meta")
+
+
 def catalogue(vocab: DataFrame, vectors: DataFrame) -> DataFrame:
     """The canonical track table; ValueError if vectors and vocabulary do not fit."""
     from segue.operators.catalog import check_aligned, with_keys

@@ -121,3 +121,8 @@ def write_uncertain(rows: DataFrame, path: str) -> None:
     cells = [F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("|"), F.lit("\\|")) for c in columns]
     lines = rows.select(F.col("ord").cast("long").alias("ord"), F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
     first.union(lines).orderBy("ord").select("line").write.mode("overwrite").text(f"{path}/md")
+
+
+def as_json(rows: DataFrame) -> DataFrame:
+    """(value): a JSON document for every row, with null fields, as a service answers."""
+    return rows.select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("value"))

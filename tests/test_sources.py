@@ -57,6 +57,24 @@ def test_model_round_trip(spark, slices, tmp_path):
     assert found["config"]["vector_size"] == 2 and found["loaded"] and found["files"] == {"a": "b"}
 
 
+def test_export_and_read_back(spark, slices, tmp_path):
+    from pyspark.ml.feature import Word2VecModel
+
+    rows = corpus.valid(src.occurrences(src.read_playlists(spark, slices)))
+    lists = corpus.sentences(src.read_playlists(spark, slices))
+    config = train.Config(vector_size=4, epochs=1, min_count=1, partitions=1)
+    fitted = train.word2vec(lists, config)
+    model.export(fitted, lists, rows, f"{tmp_path}/model", config, max_files=2)
+    vocab = model.read_vocabulary(spark, f"{tmp_path}/model/vocab")
+    assert [(r["track_uri"], r["count"]) for r in vocab.orderBy("idx").collect()] == [("t:1", 3), ("t:2", 2), ("t:4", 1), ("t:5", 1)]
+    tracks = model.catalogue(vocab, model.read_vectors(spark, f"{tmp_path}/model/item_vectors", normalized_rows=False))
+    own = {r["word"]: r["vector"] for r in Word2VecModel.load(f"{tmp_path}/model/word2vec.model").getVectors().collect()}
+    assert all(abs(a - b) < 1e-6 for r in tracks.collect() for a, b in zip(r["embedding"], own[r["track_uri"]])) and tracks.count() == 4
+    told = model.read_description(spark, f"{tmp_path}/model/model_meta").first()
+    assert (told["stats"]["vocab_size"], told["stats"]["corpus_count"], told["stats"]["corpus_total_words"], told["stats"]["max_files"]) == (4, 3, 7, 2) and told["config"]["vector_size"] == 4
+    assert json.loads(sinks.as_json(vocab.where("idx = 2").select("track_uri", "album_name", "duration_ms")).first()["value"]) == {"track_uri": "t:4", "album_name": "", "duration_ms": 4000}
+
+
 def test_playlist_files(spark, tmp_path):
     (tmp_path / "list.txt").write_text(" A - B - C \n\t \n\u00a0only\t\r\nX - Y\n")
     rows = src.read_playlist_lines(spark, str(tmp_path / "list.txt")).orderBy("ord").collect()
