@@ -1,4 +1,4 @@
-"""Item embeddings: MLlib's skip-gram, and skip-gram with negative sampling over blocks of playlists."""
+"""Item embeddings: MLlib's skip-gram, and skip-gram with negative sampling over blocks of items."""
 
 from __future__ import annotations
 
@@ -7,17 +7,17 @@ from dataclasses import dataclass
 from functools import partial
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from segue.functions.vectors import normalized
+from segue.functions.vectors import learning_rate, normalized
 from segue.operators.corpus import sampling_distribution
 from segue.operators.pairs import capped_pairs, skipgram_pairs
+from segue.sources.stored import written
 
-
-#: Pairs of a gradient step.
-BLOCK = 64
+#: Pairs of a gradient step, and items of a block.
+BLOCK, BLOCK_ITEMS = 64, 200_000
 
 
 @dataclass(frozen=True)
@@ -66,51 +66,103 @@ def sgns_step(vectors: np.ndarray, contexts: np.ndarray, center: np.ndarray, con
     return float(-(labels * np.log(scores + 1e-7) + (1 - labels) * np.log(1 - scores + 1e-7)).sum(axis=1).mean())
 
 
-def _trained(frames: Iterator[pd.DataFrame], start: tuple[np.ndarray, np.ndarray], cdf: np.ndarray, config: Config, epoch: int) -> Iterator[pd.DataFrame]:
-    """Each partition trains a copy of the vectors on its pairs, and returns the items it changed."""
-    vectors, contexts = start[0].copy(), start[1].copy()
-    from pyspark import TaskContext
-
-    context_of = TaskContext.get()
-    rng = np.random.default_rng([config.seed, epoch, context_of.partitionId() if context_of else 0])
-    rate = config.learning_rate * (1 - 0.75 * epoch / max(config.epochs, 1))
-    seen, losses, pairs = np.zeros(len(vectors), bool), 0.0, 0
-    for frame in frames:
-        for at in range(0, len(frame), BLOCK):
-            center, context = frame["center"].to_numpy()[at : at + BLOCK], frame["context"].to_numpy()[at : at + BLOCK]
-            negatives = np.searchsorted(cdf, rng.random((len(center), config.negative))).clip(0, len(vectors) - 1)
-            losses += sgns_step(vectors, contexts, center, context, negatives, rate) * len(center)
-            pairs += len(center)
-            seen[center] = seen[context] = True
-            seen[negatives.ravel()] = True
-    at = np.flatnonzero(seen)
-    if pairs:
-        yield pd.DataFrame({"idx": at, "v": list(vectors[at]), "c": list(contexts[at]), "loss": losses / pairs, "pairs": pairs})
-
-
-def sgns(lists: DataFrame, vocab: DataFrame, config: Config = Config(), partitions: int = 1) -> tuple[DataFrame, list[float]]:
-    """(idx, embedding, context) and the mean loss of each epoch, for vocabularies that fit a task.
-
-    lists hold (pid, ids). One partition trains in sequence; with several, each epoch averages what they changed.
+#: What a training task gets, in this order of kinds: center vectors, context vectors, pairs of their items.
+CENTERS, CONTEXTS, PAIRS = range(3)
+_ROWS = "kind int, idx long, v array<double>, loss double, pairs long"
+
+
+class _Block:
+    """The items of one block with their vectors."""
+
+    def __init__(self, parts: list[pa.RecordBatch]):
+        self.idx = np.concatenate([p.column("idx").to_numpy() for p in parts])
+        self.vectors = np.concatenate([p.column("v").flatten().to_numpy().reshape(p.num_rows, -1) for p in parts]).copy()
+        weights = np.concatenate([p.column("p").to_numpy(zero_copy_only=False) for p in parts])
+        self.cdf = np.cumsum(weights) / max(float(weights.sum()), 1e-300)
+
+    def slots(self, idx: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.idx, idx)
+
+    def rows(self, kind: int) -> pa.RecordBatch:
+        size = self.vectors.shape[1]
+        vectors = pa.ListArray.from_arrays(pa.array(np.arange(self.idx.size + 1) * size, pa.int32()), pa.array(self.vectors.ravel()))
+        none = pa.nulls(self.idx.size)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(self.idx.size, kind, np.int32)), pa.array(self.idx), vectors, none.cast(pa.float64()), none.cast(pa.int64())], names=["kind", "idx", "v", "loss", "pairs"])
+
+
+def _trained(batches: Iterator[pa.RecordBatch], config: Config, epoch: int, turn: int) -> Iterator[pa.RecordBatch]:
+    """Rows come by task and kind, vectors by idx and pairs in order; every task gives its vectors back, and its loss."""
+    rate = learning_rate(config.learning_rate, epoch, config.epochs)
+    task, held, blocks, rng, total, seen = None, {CENTERS: [], CONTEXTS: []}, {}, None, 0.0, 0
+
+    def done() -> Iterator[pa.RecordBatch]:
+        for kind in (CENTERS, CONTEXTS):
+            if kind in blocks or held[kind]:
+                yield (blocks.get(kind) or _Block(held[kind])).rows(kind)
+        one = [pa.array([PAIRS], pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.float64())), pa.array([total]), pa.array([seen], pa.int64())]
+        yield pa.RecordBatch.from_arrays(one, names=["kind", "idx", "v", "loss", "pairs"])
+
+    for batch in batches:
+        marks = np.stack([batch.column("task").to_numpy(), batch.column("kind").to_numpy()], axis=1)
+        cuts = [0, *(np.flatnonzero((marks[1:] != marks[:-1]).any(axis=1)) + 1).tolist(), len(marks)]
+        for lo, hi in zip(cuts, cuts[1:]):
+            if hi == lo:
+                continue
+            now, kind = marks[lo].tolist()
+            if now != task:
+                if task is not None:
+                    yield from done()
+                task, held, blocks, total, seen = now, {CENTERS: [], CONTEXTS: []}, {}, 0.0, 0
+                rng = np.random.default_rng([config.seed, epoch, turn, now])
+            part = batch.slice(lo, hi - lo)
+            if kind != PAIRS:
+                held[kind].append(part)
+                continue
+            blocks = blocks or {k: _Block(held[k]) for k in (CENTERS, CONTEXTS)}
+            left, right = blocks[CENTERS], blocks[CONTEXTS]
+            center, context = left.slots(part.column("idx").to_numpy()), right.slots(part.column("other").to_numpy())
+            for at in range(0, center.size, BLOCK):
+                c, o = center[at : at + BLOCK], context[at : at + BLOCK]
+                negatives = np.searchsorted(right.cdf, rng.random((c.size, config.negative))).clip(0, right.idx.size - 1)
+                total += sgns_step(left.vectors, right.vectors, c, o, negatives, rate) * c.size
+                seen += c.size
+    if task is not None:
+        yield from done()
+
+
+def sgns(lists: DataFrame, vocab: DataFrame, config: Config = Config(), partitions: int | None = None) -> tuple[DataFrame, list[float]]:
+    """(idx, embedding, context) and the mean loss of each epoch; lists hold (pid, ids), vocab (idx, count).
+
+    Items are cut into blocks of about BLOCK_ITEMS (or so many blocks as partitions says). In each turn of an epoch
+    every block of centers meets one block of contexts, another one each turn, with the pairs between them: no two
+    tasks change the same vector, and a task holds two blocks, whatever the vocabulary's size. Negatives come from the
+    block of contexts at hand. With one block all pairs train in sequence. Vectors are written after every turn.
     """
-    spark = lists.sparkSession
     size = vocab.count()
-    probability = sampling_distribution(vocab).orderBy("idx").select("probability").toPandas()["probability"].to_numpy()
-    cdf = np.cumsum(probability)
-    rng = np.random.default_rng(config.seed)
-    vectors, contexts = (rng.random((size, config.vector_size)) - 0.5) / config.vector_size, np.zeros((size, config.vector_size))
-    pairs = capped_pairs(skipgram_pairs(lists, config.window), config.max_pairs, config.seed)
-    dealt = pairs.repartition(partitions, "pid").sortWithinPartitions("pid", "center_pos", "context_pos").select("center", "context").persist()
+    blocks = partitions or -(-size // BLOCK_ITEMS) or 1
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
+    weights = sampling_distribution(vocab).select(F.col("idx").cast("long").alias("idx"), F.col("probability").alias("p"))
+    start = F.expr(f"transform(sequence(1, {config.vector_size}), i -> (pmod(xxhash64({config.seed}L, idx, i), 9007199254740992L) / 9007199254740992D - 0.5) / {config.vector_size})")
+    zero = F.array_repeat(F.lit(0.0), config.vector_size)
+    first = weights.select(F.lit(CENTERS).alias("kind"), "idx", start.alias("v")).union(weights.select(F.lit(CONTEXTS).alias("kind"), "idx", zero.alias("v")))
+    vectors, weights = written(first, "vectors"), written(weights, "weights")
+    found = capped_pairs(skipgram_pairs(lists, config.window), config.max_pairs, config.seed)
+    order = F.struct("pid", "center_pos", "context_pos")
+    pairs = written(found.select(order.alias("at"), F.col("center").cast("long").alias("idx"), F.col("context").cast("long").alias("other")).withColumns({"task": block("idx"), "to": block("other")}), "pairs")
+    none = F.lit(None)
     losses = []
     for epoch in range(config.epochs):
-        step = partial(_trained, start=(vectors, contexts), cdf=cdf, config=config, epoch=epoch)
-        changed = dealt.mapInPandas(step, "idx long, v array<double>, c array<double>, loss double, pairs long").toPandas()
-        if changed.empty:
-            break
-        for idx, group in changed.groupby("idx"):
-            vectors[idx], contexts[idx] = np.mean(np.stack(group["v"]), axis=0), np.mean(np.stack(group["c"]), axis=0)
-        parts = changed.drop_duplicates(["loss", "pairs"])
-        losses.append(float(np.average(parts["loss"], weights=parts["pairs"])))
-    dealt.unpersist()
-    rows = pd.DataFrame({"idx": np.arange(size), "embedding": vectors.tolist(), "context": contexts.tolist()})
-    return spark.createDataFrame(rows, "idx long, embedding array<double>, context array<double>"), losses
+        sums = np.zeros(2)
+        for turn in range(blocks):
+            own = vectors.join(weights, "idx").withColumn("b", block("idx"))
+            task = F.when(F.col("kind") == CENTERS, F.col("b")).otherwise(F.pmod(F.col("b") - turn, F.lit(blocks))).cast("int")
+            held = own.select(task.alias("task"), "kind", none.cast(pairs.schema["at"].dataType).alias("at"), "idx", none.cast("long").alias("other"), "p", "v")
+            met = pairs.where(F.pmod(F.col("to") - F.col("task"), F.lit(blocks)) == turn)
+            met = met.select("task", F.lit(PAIRS).alias("kind"), "at", "idx", "other", none.cast("double").alias("p"), none.cast("array<double>").alias("v"))
+            dealt = held.union(met).repartition(blocks, "task").sortWithinPartitions("task", "kind", "at", "idx").select("task", "kind", "idx", "other", "p", "v")
+            out = written(dealt.mapInArrow(partial(_trained, config=config, epoch=epoch, turn=turn), _ROWS), "trained")
+            vectors = out.where(F.col("kind") != PAIRS).select("kind", "idx", "v")
+            sums += np.array([x or 0.0 for x in out.where(F.col("kind") == PAIRS).agg(F.sum("loss"), F.sum("pairs")).first()])
+        losses.append(float(sums[0] / max(sums[1], 1.0)))
+    side = lambda kind, name: vectors.where(F.col("kind") == kind).select("idx", F.col("v").alias(name))
+    return side(CENTERS, "embedding").join(side(CONTEXTS, "context"), "idx"), losses

@@ -154,6 +154,15 @@ def train_word2vec(spark, sf):
     return found.select("track_uri", F.size("embedding").alias("dim"), F.round(dot(F.col("embedding_norm"), F.col("embedding_norm")), 6).alias("length"))
 
 
+@query
+def train_sgns(spark, sf):
+    """Negative sampling over all orders, and how long each vector is."""
+    rows = b.named_occurrences(spark, sf)
+    vocab = corpus.vocabulary(rows, 2, order=b.ORDER)
+    vectors, _ = train.sgns(corpus.in_vocabulary(rows, vocab), vocab.select("idx", "count"))
+    return vectors.select("idx", F.size("embedding").alias("dim"), F.round(dot(F.col("embedding"), F.col("embedding")), 9).alias("squared_length"))
+
+
 # -- catalogue and search ----------------------------------------------------------------------------------------
 
 

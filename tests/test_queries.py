@@ -45,6 +45,13 @@ def test_trained_vectors_place_neighbours_together(spark, sf_dir):
     assert sum(own) / len(own) > sum(other) / len(other) + 0.2
 
 
+def test_every_item_of_the_vocabulary_is_trained(spark, sf_dir):
+    rows = QUERIES["train_sgns"](spark, sf_dir)
+    assert rows.where("dim = 64 and squared_length > 0").count() == rows.count() == QUERIES["vocab_index"](spark, sf_dir).count()
+    again = {r["idx"]: r["squared_length"] for r in QUERIES["train_sgns"](spark, sf_dir).collect()}
+    assert again == {r["idx"]: r["squared_length"] for r in rows.collect()}
+
+
 def test_clusters_are_nearest_centres(spark, sf_dir):
     """Every track is in the cluster whose mean is nearest to it, as k-means ends."""
     import numpy as np

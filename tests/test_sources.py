@@ -154,10 +154,31 @@ def test_training_lowers_the_loss(spark):
     vocab = spark.createDataFrame([(i, 30) for i in range(20)], "idx long, count long")
     rows, losses = train.sgns(lists, vocab, train.Config(vector_size=8, window=2, epochs=4, learning_rate=0.05), partitions=2)
     assert rows.count() == 20 and losses[-1] < losses[0]
+    whole, sequence = train.sgns(lists, vocab, train.Config(vector_size=8, window=2, epochs=4, learning_rate=0.05))
+    assert sequence[-1] < losses[0] and whole.where("size(embedding) <> 8 or size(context) <> 8").count() == 0
     again = train.sgns(lists, vocab, train.Config(vector_size=8, window=2, epochs=4, learning_rate=0.05), partitions=2)[1]
     assert again == losses
 
 
+def test_a_step_is_its_pairs_gradients():
+    """A block of pairs without repeats, against the gradient pair by pair."""
+    rng = np.random.default_rng(5)
+    vectors, contexts = rng.normal(size=(6, 4)), rng.normal(size=(40, 4))
+    center, context, negatives = np.array([0, 2, 4]), np.array([1, 3, 5]), np.arange(10, 22).reshape(3, 4)
+    v, c, losses = vectors.copy(), contexts.copy(), []
+    for i, o, others in zip(center, context, negatives):
+        change, loss = np.zeros(4), 0.0
+        for target, label in [(o, 1.0), *((n, 0.0) for n in others)]:
+            p = 1 / (1 + np.exp(-vectors[i] @ contexts[target]))
+            loss -= np.log((p if label else 1 - p) + 1e-7)
+            change += (p - label) * contexts[target]
+            c[target] -= 0.1 * (p - label) * vectors[i]
+        v[i] -= 0.1 * change
+        losses.append(loss)
+    got = train.sgns_step(vectors, contexts, center, context, negatives, 0.1)
+    assert np.allclose(vectors, v) and np.allclose(contexts, c) and abs(got - np.mean(losses)) < 1e-9
+
+
 def test_stream_counts_go_on(spark, sf_dir, tmp_path):
     from segue.streaming import counts
 
