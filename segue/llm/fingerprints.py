@@ -178,8 +178,17 @@ def _alike(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.R
             left, right = [], []
 
 
+def print_classes(prints: DataFrame, threshold: float = 0.8, id_col: str = "doc_id") -> DataFrame:
+    """(fingerprint, class_id), a row for every fingerprint of a row with an id; written."""
+    nodes = written(prints.where(F.col(id_col).isNotNull()).groupBy("fingerprint").agg(F.min(F.col(id_col).cast("long")).alias("node")), "fingerprint-nodes")
+    banded = nodes.select("node", band_keys("fingerprint").alias("bands"))
+    payload = nodes.select("node", F.unhex("fingerprint").alias("z"))
+    found = bucket_classes(banded, nodes.select("node").distinct(), lambda wanted: payload.join(wanted, "node", "left_semi"), partial(_alike, threshold=threshold))
+    return written(nodes.join(found, "node").select("fingerprint", F.col("component").alias("class_id")), "fingerprint-classes")
+
+
 def classes(prints: DataFrame, threshold: float = 0.8, id_col: str = "doc_id") -> DataFrame:
-    """(id, fingerprint, class_id): documents linked by fingerprints that share a band and agree in threshold of all lanes.
+    """The rows of prints, and class_id: documents linked by fingerprints that share a band and agree in threshold of all lanes.
 
     Equal fingerprints are one node. A class is named by its smallest id; a row without an id has the class of its
     fingerprint, if some row with an id has that fingerprint, else none. Ties do not matter, as links have no order.
@@ -187,20 +196,13 @@ def classes(prints: DataFrame, threshold: float = 0.8, id_col: str = "doc_id") -
     says: no pair that shares a band is left out.
     """
     p = spare_prefix(prints)
-    nodes = written(prints.where(F.col(id_col).isNotNull()).groupBy("fingerprint").agg(F.min(F.col(id_col).cast("long")).alias("node")), "fingerprint-nodes")
-    banded = nodes.select("node", band_keys("fingerprint").alias("bands"))
-    payload = nodes.select("node", F.unhex("fingerprint").alias("z"))
-    found = bucket_classes(banded, nodes.select("node").distinct(), lambda wanted: payload.join(wanted, "node", "left_semi"), partial(_alike, threshold=threshold))
-    named = nodes.join(found, "node").select(F.col("fingerprint").alias(f"{p}fingerprint"), F.col("component").alias(f"{p}class"))
-    both = prints.join(named, F.col("fingerprint") == F.col(f"{p}fingerprint"), "left")
-    return both.select(F.col(id_col), "fingerprint", F.col(f"{p}class").alias("class_id"))
+    named = print_classes(prints, threshold, id_col).select(F.col("fingerprint").alias(f"{p}fingerprint"), "class_id")
+    return prints.join(named, F.col("fingerprint") == F.col(f"{p}fingerprint"), "left").select(*prints.columns, "class_id")
 
 
 def edit_classes(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """edit_probe, and the class of every document by its fingerprint."""
-    probe = written(edit_probe(docs, id_col, text_col), "fingerprints")
-    own = classes(probe.select(id_col, "fingerprint"), threshold, id_col).select(F.col("fingerprint").alias("__f"), "class_id").distinct()
-    return probe.join(own, F.col("fingerprint") == F.col("__f")).select(*probe.columns, "class_id")
+    return classes(written(edit_probe(docs, id_col, text_col), "fingerprints"), threshold, id_col)
 
 
 def _part(ids: pa.Array, bounds: np.ndarray) -> pa.Array:
