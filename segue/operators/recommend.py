@@ -6,9 +6,11 @@ it (query vectors, seeds' titles and artists) has a proven bound and is broadcas
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass, replace
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -128,30 +130,36 @@ def _query_vector(rows: list, k: int = 0, side: str = "first") -> Column:
     """The mean vector of the first or last k of the seeds' rows (all, if k is 0), scaled to length one, as a constant."""
     rows = sorted(rows, key=lambda r: r["ord"], reverse=side == "last")
     mean = np.mean([r["embedding"] for r in (rows[:k] if k > 0 else rows)], axis=0)
-    return F.array(*[F.lit(float(x)) for x in mean / max(float(np.linalg.norm(mean)), FLOOR)])
+    return F.expr("array(" + ", ".join(f"{float(x)!r}D" for x in mean / max(float(np.linalg.norm(mean)), FLOOR)) + ")")
 
 
-def artist_weights(seeds: DataFrame) -> DataFrame:
-    """(artist, weight): seeds that name an artist, over the most of any artist."""
-    counted = seeds.select(F.explode("artists").alias("artist")).groupBy("artist").agg(F.count("*").alias("n"))
-    most = counted.agg(F.max("n").alias("most"))
-    return counted.crossJoin(F.broadcast(most)).select("artist", (F.col("n") / F.col("most")).alias("weight"))
+def _one_row(df: DataFrame, **columns) -> DataFrame:
+    """A table of the driver with one row, of values (kind, value)."""
+    arrays = [pa.array([value], kind) for kind, value in columns.values()]
+    return df.sparkSession.createDataFrame(pa.Table.from_arrays(arrays, names=list(columns)))
+
+
+def artist_weights(seeds: DataFrame) -> dict[str, float]:
+    """Of every artist the seeds that name it, over the most of any artist."""
+    counted = Counter(a for r in seeds.select("artists").collect() for a in r["artists"])
+    most = max(counted.values(), default=1)
+    return {a: n / most for a, n in counted.items()}
 
 
 def with_affinity(tracks: DataFrame, seeds: DataFrame) -> DataFrame:
     """tracks with affinity: the largest weight of their artists, 0 if none is a favourite."""
-    table = artist_weights(seeds).agg(F.map_from_entries(F.collect_list(F.struct("artist", "weight"))).alias("__w"))
+    table = _one_row(tracks, __w=(pa.map_(pa.string(), pa.float64()), list(artist_weights(seeds).items())))
     found = F.array_max(F.transform("artists", lambda a: F.coalesce(F.col("__w")[a], F.lit(0.0))))
     return tracks.crossJoin(F.broadcast(table)).withColumn("affinity", F.coalesce(found, F.lit(0.0))).drop("__w")
 
 
 def without_seeds(candidates: DataFrame, seeds: DataFrame) -> DataFrame:
-    return candidates.join(F.broadcast(seeds.select("idx").distinct()), "idx", "left_anti")
+    return candidates.where(~F.col("idx").isin(sorted({r["idx"] for r in seeds.select("idx").collect()})))
 
 
 def without_duplicates(candidates: DataFrame, seeds: DataFrame) -> DataFrame:
     """Without tracks that have a seed's canonical title and share an artist with it (or either names none)."""
-    keys = seeds.select(canonical_title("track_name").alias("seed_title"), F.col("artists").alias("seed_artists")).distinct()
+    keys = seeds.select(canonical_title("track_name").alias("seed_title"), F.col("artists").alias("seed_artists"))
     rows = candidates.withColumn("__title", canonical_title("track_name"))
     same = (F.col("__title") == F.col("seed_title")) & (F.col("__title") != "")
     meet = (F.size("artists") == 0) | (F.size("seed_artists") == 0) | F.coalesce(F.arrays_overlap("artists", "seed_artists"), F.lit(False))
@@ -160,7 +168,8 @@ def without_duplicates(candidates: DataFrame, seeds: DataFrame) -> DataFrame:
 
 def with_support(candidates: DataFrame, seeds: DataFrame, most: int = SUPPORT_SEEDS) -> DataFrame:
     """candidates with support: the mean of their largest similarities to seeds, repeats included."""
-    held = seeds.agg(F.collect_list("embedding").alias("__seeds"))
+    vectors = [list(r["embedding"]) for r in seeds.select("embedding").collect()]
+    held = _one_row(candidates, __seeds=(pa.list_(pa.list_(pa.float64())), vectors))
     sims = F.sort_array(F.transform("__seeds", lambda s: dot(F.col("embedding"), s)), asc=False)
     mean = F.aggregate(F.slice(sims, 1, most), F.lit(0.0), lambda s, x: s + x) / F.least(F.lit(most), F.size("__seeds"))
     return candidates.crossJoin(F.broadcast(held)).withColumn("support", mean).drop("__seeds")
