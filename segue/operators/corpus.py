@@ -28,8 +28,15 @@ def metadata_defaults(df: DataFrame) -> DataFrame:
 
 
 def capped(playlists: DataFrame, most: int | None) -> DataFrame:
-    """The first playlists of the scan, before any is dropped for its length."""
-    return playlists if most is None else playlists.orderBy("file_ord", "playlist_ord").limit(most)
+    """The first playlists of the scan, before any is dropped for its length.
+
+    Only places are ordered, to find the last of them; the playlists themselves are filtered where they are.
+    """
+    if most is None:
+        return playlists
+    place = F.struct("file_ord", "playlist_ord")
+    last = playlists.select(place.alias("p")).orderBy("p").limit(most).agg(F.max("p").alias("__last"))
+    return playlists.crossJoin(F.broadcast(last)).where(place <= F.col("__last")).drop("__last")
 
 
 def sentences(playlists: DataFrame, least: int = 2) -> DataFrame:

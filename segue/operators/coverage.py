@@ -48,12 +48,13 @@ def choose_matches(lines: DataFrame, found: DataFrame) -> DataFrame:
     ties by first occurrence.
     """
     left = lines.select("ord", "raw", "artist", "title_key", F.col("artist_tokens").alias("want"), "has_cyrillic")
-    both = left.join(found, "title_key")
+    # entries that ask for the same are looked up once
+    both = left.select("title_key", "want").distinct().join(found, "title_key")
     named = F.size("want") > 0
     tier = F.when(named & (F.col("want") == F.col("artist_tokens")), 0).when(named & F.coalesce(F.arrays_overlap("want", "artist_tokens"), F.lit(False)), 1).otherwise(2)
     fields = F.struct(tier.alias("tier"), (-F.col("occurrences")).alias("minus"), "first", "track_uri", "track_name", "artist_name", "occurrences")
-    best = both.groupBy("ord").agg(F.min(fields).alias("b"), F.count("*").alias("candidate_count"))
-    rows = left.join(best, "ord", "left").withColumn("candidate_count", F.coalesce("candidate_count", F.lit(0)))
+    best = both.groupBy("title_key", "want").agg(F.min(fields).alias("b"), F.count("*").alias("candidate_count"))
+    rows = left.join(best, ["title_key", "want"], "left").withColumn("candidate_count", F.coalesce("candidate_count", F.lit(0)))
     tier = F.col("b.tier")
     method = F.when(tier == 0, "exact_title_same_artist_set").when(tier == 1, "exact_title_artist_overlap").when(F.col("candidate_count") == 1, "unique_title_only").when(F.col("candidate_count") == 0, "unmatched").otherwise("ambiguous_title")
     rows = rows.withColumn("method", method)
