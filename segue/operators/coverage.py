@@ -86,6 +86,16 @@ def top_artists(matches: DataFrame, n: int = 20) -> DataFrame:
     return named.agg(F.count("*").alias("n"), F.min("ord").alias("first_ord")).orderBy(F.desc("n"), "first_ord").limit(n)
 
 
+def examples(matches: DataFrame, n: int = 30) -> DataFrame:
+    """(kind, ord, input): the first n entries that matched, that did not, and that did not with Cyrillic letters."""
+    kinds = {"matched": "track_uri is not null", "unmatched": "track_uri is null", "cyrillic_unmatched": "track_uri is null and has_cyrillic"}
+    found = None
+    for kind, where in kinds.items():
+        rows = matches.where(where).orderBy("ord").limit(n).select(F.lit(kind).alias("kind"), "ord", "input")
+        found = rows if found is None else found.union(rows)
+    return found
+
+
 def uncertain(matches: DataFrame) -> DataFrame:
     """Rows matched by their title only, with the input cut into artist and title."""
     artist, title = split_line("input")

@@ -22,6 +22,11 @@ def capped_pairs(pairs: DataFrame, most: int, seed: int = 42, playlist: str = "p
     return pairs.withColumn("__n", F.row_number().over(Window.partitionBy(playlist).orderBy(*order))).where(F.col("__n") <= most).drop("__n")
 
 
+def pair_statistics(pairs: DataFrame, playlist: str = "pid") -> DataFrame:
+    """One row: how many pairs are trained, of how many playlists."""
+    return pairs.groupBy(playlist).agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("pairs"), F.count("*").alias("playlists"))
+
+
 def context_windows(occurrences: DataFrame, window: int = 5, playlist: str = "pid", item: str = "track_uri", pos: str = "pos") -> DataFrame:
     """Each occurrence with the items around it, by a sliding frame without the row itself."""
     ordered = Window.partitionBy(playlist).orderBy(pos)

@@ -171,6 +171,8 @@ ORACLES: dict[str, str] = {
     "oov_removal": f"""WITH {COUNTS} SELECT pid, array_to_string(list(part ORDER BY pos), ' ') AS ids FROM occ WHERE track_uri IN (SELECT track_uri FROM counts WHERE count >= 20) GROUP BY 1 HAVING count(*) >= 2""",
     "skipgram_pairs": f"""WITH {OCC}, l AS (SELECT * FROM occ WHERE pid IN (SELECT pid FROM occ GROUP BY 1 HAVING count(*) >= 2))
         SELECT x.part AS center, y.part AS context, count(*) AS n FROM l x JOIN l y ON x.pid = y.pid AND x.pos <> y.pos AND abs(x.pos - y.pos) <= 5 GROUP BY 1, 2""",
+    "pair_statistics": f"""WITH {OCC}, l AS (SELECT pid, count(*) AS m FROM occ GROUP BY 1 HAVING count(*) >= 2)
+        SELECT sum(list_sum(list_transform(range(0, m), lambda i: least(i, 5) + least(m - 1 - i, 5))))::BIGINT AS pairs, count(*) AS playlists FROM l""",
     "context_windows": f"""WITH {OCC} SELECT x.pid, x.pos, any_value(x.part) AS part, coalesce(array_to_string(list(y.part ORDER BY y.pos) FILTER (y.part IS NOT NULL), ' '), '') AS context
         FROM occ x LEFT JOIN occ y ON x.pid = y.pid AND x.pos <> y.pos AND abs(x.pos - y.pos) <= 2 GROUP BY 1, 2""",
     "negative_sampling_probs": f"WITH {COUNTS} SELECT track_uri, round(pow(count, 0.75) / (SELECT sum(pow(count, 0.75)) FROM counts), 10) AS probability FROM counts",
@@ -209,6 +211,12 @@ ORACLES: dict[str, str] = {
     "coverage_summary": f"""WITH {COVERED} SELECT count(*) AS entries, count(DISTINCT input) AS unique_entries, count(track_uri) AS matched_entries, count(DISTINCT track_uri) AS matched_unique_track_uris,
         count(*) FILTER (confidence > 0.9) AS confident_matched_entries, count(*) - count(track_uri) AS unmatched_or_ambiguous_entries, round(count(track_uri) / count(*), 4) AS match_rate,
         round(count(*) FILTER (confidence > 0.9) / count(*), 4) AS confident_match_rate, coalesce(sum(occurrences), 0) AS total_occurrences_for_matched FROM matches""",
+    "coverage_cyrillic": f"""WITH {COVERED} SELECT count(*) AS entries, count(DISTINCT input) AS unique_entries, count(track_uri) AS matched_entries, count(DISTINCT track_uri) AS matched_unique_track_uris,
+        count(*) FILTER (confidence > 0.9) AS confident_matched_entries, count(*) - count(track_uri) AS unmatched_or_ambiguous_entries, round(count(track_uri) / count(*), 4) AS match_rate,
+        round(count(*) FILTER (confidence > 0.9) / count(*), 4) AS confident_match_rate, coalesce(sum(occurrences), 0) AS total_occurrences_for_matched FROM matches WHERE has_cyrillic""",
+    "coverage_examples": f"""WITH {COVERED}, k AS (SELECT CASE WHEN track_uri IS NULL THEN 'unmatched' ELSE 'matched' END AS kind, ord, input FROM matches
+        UNION ALL SELECT 'cyrillic_unmatched', ord, input FROM matches WHERE track_uri IS NULL AND has_cyrillic)
+        SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY kind ORDER BY ord) <= 30""",
     "coverage_methods": f"WITH {COVERED} SELECT method, count(*) AS n FROM matches GROUP BY 1",
     "top_artists": f"WITH {ENTRIES} SELECT artist, count(*) AS n, min(ord) AS first_ord FROM entries WHERE artist <> '' GROUP BY 1 ORDER BY n DESC, first_ord LIMIT 20",
     "top_cyrillic_artists": f"WITH {ENTRIES} SELECT artist, count(*) AS n, min(ord) AS first_ord FROM entries WHERE artist <> '' AND regexp_matches(raw, '[А-Яа-яЁё]') GROUP BY 1 ORDER BY n DESC, first_ord LIMIT 30",
@@ -220,6 +228,8 @@ ORACLES: dict[str, str] = {
         p_name AS track_name FROM part""",
     "playlist_dedupe": f"WITH {TWO} SELECT row_number() OVER (ORDER BY src, ord) - 1 AS ord, track_uri, artist_name, track_name FROM (SELECT * REPLACE (1 AS src) FROM mine UNION ALL SELECT * REPLACE (2 AS src) FROM fresh)",
     "playlist_prepend": f"WITH {TWO} SELECT row_number() OVER (ORDER BY src, ord) - 1 AS ord, track_uri, artist_name, track_name FROM (SELECT * REPLACE (1 AS src) FROM mine UNION ALL SELECT * REPLACE (0 AS src) FROM fresh)",
+    "playlist_removed": "SELECT CASE WHEN p_partkey > 4 THEN p_partkey - 2 ELSE p_partkey - 1 END AS ord, p_name AS track_name FROM part WHERE p_partkey <> 4",
+    "playlist_swapped": "SELECT CASE p_partkey WHEN 6 THEN 6 WHEN 7 THEN 5 ELSE p_partkey - 1 END AS ord, p_name AS track_name FROM part",
     "playlist_duplicates": f"WITH {TWO} SELECT (SELECT count(*) FROM added) - (SELECT count(*) FROM fresh) AS duplicates",
     "playlist_rows": f"WITH {ADDED} SELECT * FROM added_rows",
     "playlist_after_matching": f"WITH {AFTER} SELECT * FROM after_matching",

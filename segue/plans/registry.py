@@ -132,6 +132,11 @@ def skipgram_pairs(spark, sf):
     return pairs.skipgram_pairs(_lists(spark, sf)).groupBy("center", "context").agg(F.count("*").alias("n"))
 
 
+@query
+def pair_statistics(spark, sf):
+    return pairs.pair_statistics(pairs.skipgram_pairs(_lists(spark, sf)))
+
+
 @query
 def pair_cap(spark, sf):
     return pairs.capped_pairs(pairs.skipgram_pairs(_lists(spark, sf)), 20)
@@ -433,6 +438,16 @@ def coverage_summary(spark, sf):
     return coverage.summary(_matches(spark, sf))
 
 
+@query
+def coverage_cyrillic(spark, sf):
+    return coverage.summary(_matches(spark, sf).where("has_cyrillic"))
+
+
+@query
+def coverage_examples(spark, sf):
+    return coverage.examples(_matches(spark, sf))
+
+
 @query
 def coverage_methods(spark, sf):
     return coverage.methods(_matches(spark, sf))
@@ -490,6 +505,20 @@ def playlist_prepend(spark, sf):
     return playlist.merged(*_two_lists(spark, sf), prepend=True)
 
 
+def _whole_list(spark, sf):
+    return b.table(spark, sf, "part").select((F.col("p_partkey") - 1).alias("ord"), F.col("p_name").alias("track_name"))
+
+
+@query
+def playlist_removed(spark, sf):
+    return playlist.removed(_whole_list(spark, sf), 3)
+
+
+@query
+def playlist_swapped(spark, sf):
+    return playlist.swapped(_whole_list(spark, sf), 5)
+
+
 @query
 def playlist_duplicates(spark, sf):
     return playlist.duplicates(*_two_lists(spark, sf))
