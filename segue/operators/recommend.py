@@ -206,19 +206,13 @@ def candidates(tracks: DataFrame, seeds: DataFrame, w: Weights, options: Options
     # rankings carry only what filters need; vectors and names join what is left of them
     rows = with_similarities(with_affinity(tracks, seeds), seeds, options).select("idx", "count", "artists", "track_name", "recent", "whole", "affinity", "popularity")
 
-    def filtered(df: DataFrame) -> DataFrame:
-        df = without_seeds(df, seeds)
-        often = F.col("count") >= options.min_count
-        df = df.where(often | (F.col("affinity") > 0)) if w.favorite > 0 else df.where(often)
-        return without_duplicates(df, seeds) if options.duplicates else df
-
-    pools = [filtered(nearest(rows, by, reach)) for by in ("recent", "whole")]
+    often = F.col("count") >= options.min_count
+    near = without_seeds(nearest(rows, "recent", reach).unionByName(nearest(rows, "whole", reach)), seeds)
+    near = near.where(often | (F.col("affinity") > 0)) if w.favorite > 0 else near.where(often)
+    found = without_duplicates(near, seeds) if options.duplicates else near
     if w.favorite > 0:
         pool = without_seeds(rows.where("affinity > 0"), seeds)
-        pools.append(favorite_pool(without_duplicates(pool, seeds) if options.duplicates else pool, max(options.pool, options.top_n + 100)))
-    found = pools[0]
-    for pool in pools[1:]:
-        found = found.unionByName(pool)
+        found = found.unionByName(favorite_pool(without_duplicates(pool, seeds) if options.duplicates else pool, max(options.pool, options.top_n + 100)))
     parts = ["recent", "whole", "affinity", "popularity"]
     found = found.groupBy("idx").agg(*[F.max(c).alias(c) for c in parts])
     rest = [c for c in tracks.columns if c not in ("idx", *parts)]
