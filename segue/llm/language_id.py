@@ -32,7 +32,7 @@ PROFILE, LEAST_SHARE = 400, 1e-5
 #: no limits are learned, and no learned limit lies.
 FARTHEST, LEAST_GRAMS = 0.97, 300
 #: A learned limit is the own-language distance that this share of labelled texts of a length stays within, and a margin.
-WITHIN, MARGIN = 0.999, 1.15
+WITHIN, MARGIN, LEAST_TEXTS = 0.999, 1.15, 100
 #: Steps of a distance that are counted; lengths are classes of n-grams by powers of two.
 STEPS, CLASSES = 1000, 64
 BITS = 21
@@ -184,20 +184,24 @@ def _own_distances(batches: Iterator[pa.RecordBatch], learned: dict[str, list[in
 def limits(labelled: DataFrame, learned: dict[str, list[int]], lang_col: str = "lang", text_col: str = "text", places: int = PROFILE) -> list[float]:
     """By class of length (binary digits of the number of n-grams), the distance beyond which a text is rejected.
 
-    Learned from all rows with a text and a language; the driver gets CLASSES * STEPS counts at most. A length that no
-    text has takes the limit of the next shorter one, as texts come nearer to their profile the longer they are.
+    Learned from all rows with a text and a language; the driver gets CLASSES * STEPS counts at most. A class
+    of fewer than LEAST_TEXTS texts says too little: it is taken together with the next shorter ones, until there are so
+    many. Texts come nearer to their profile the longer they are, so that this rejects none of them.
     """
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(text_col, lang_col)
     counted = rows.mapInArrow(partial(_own_distances, learned=learned, places=places), "size int, step int, n long").groupBy("size", "step").agg(F.sum("n"))
     held = np.zeros((CLASSES, STEPS + 1), np.int64)
     for size, step, n in counted.collect():
         held[size, step] = n
-    found, last = [], FARTHEST
-    for counts in held:
-        if counts.any():
-            step = int(np.searchsorted(counts.cumsum(), WITHIN * counts.sum()))
-            last = min(FARTHEST, MARGIN * (step + 1) / STEPS)
-        found.append(last)
+    found = []
+    for size in range(CLASSES):
+        counts = held[size]
+        for shorter in range(size - 1, -1, -1):
+            if counts.sum() >= LEAST_TEXTS:
+                break
+            counts = counts + held[shorter]
+        step = int(np.searchsorted(counts.cumsum(), WITHIN * counts.sum()))
+        found.append(min(FARTHEST, MARGIN * (step + 1) / STEPS) if counts.any() else FARTHEST)
     return found
 
 
