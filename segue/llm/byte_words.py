@@ -10,6 +10,8 @@ import pyarrow.compute as pc
 
 from segue.llm.letters import _LETTERS, _letter, mixed
 
+#: Words that are hashed at once.
+HASHED = 100_000
 LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 
 
@@ -56,17 +58,21 @@ class ByteWords:
         self.lengths = np.flatnonzero(last) + 1 - self.starts
         self.sizes = np.diff(np.searchsorted(self.starts, at))
         if breaks is not None:
-            passed = np.cumsum(breaks[self.low])[self.starts] if self.starts.size else np.zeros(0, np.int64)
+            passed = np.searchsorted(np.flatnonzero(breaks[self.low]), self.starts)
             self.piece = passed + np.repeat(np.arange(self.sizes.size), self.sizes)
 
     def hashes(self) -> np.ndarray:
-        if not self.starts.size:
-            return np.zeros(0, np.uint64)
-        before = np.cumsum(self.lengths) - self.lengths
-        place = spread(np.zeros_like(self.starts), self.lengths)
-        letters = self.low[place + np.repeat(self.starts, self.lengths)]
+        found = np.empty(self.starts.size, np.uint64)
+        for at in range(0, found.size, HASHED):
+            found[at : at + HASHED] = self._hashes(self.starts[at : at + HASHED], self.lengths[at : at + HASHED])
+        return found
+
+    def _hashes(self, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        before = np.cumsum(lengths) - lengths
+        place = spread(np.zeros_like(starts), lengths)
+        letters = self.low[place + np.repeat(starts, lengths)]
         value = _LETTERS[((place & 31) << 8) | letters]
-        if self.lengths.max() > 32:
+        if lengths.max() > 32:
             rest = np.flatnonzero(place > 31)
             value[rest] = _letter(letters[rest], place[rest])
         return mixed(np.add.reduceat(value, before))

@@ -42,7 +42,7 @@ LONGEST, LEAST, FIRST = 5, 100, 2000
 #: Counters of neighbouring words, and how many of them are sent as one row.
 BUCKETS, SENT = 1 << 25, 1 << 18
 #: Bytes of text whose words a task counts at once.
-HELD = 24_000_000
+HELD = 12_000_000
 #: Groups that are ranked apart before a language is ranked as a whole; edges of a path in one row.
 GROUPS, SEGMENT = 64, 1024
 BREAKS = table(*((ord(c), ord(c)) for c in ".,;:!?"), (0x0A, 0x0D))
