@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segue.llm import ball_tree, bpe, fingerprints, language_id, line_dedup, minhash, mixing, phrases, topk, toxicity, url_filter, warc
+from segue.llm import ball_tree, bpe, fingerprints, language_id, line_dedup, minhash, mixing, pages, phrases, topk, toxicity, url_filter, warc
 from segue.llm.common import id_share
 
 
@@ -89,11 +89,15 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ball_tree.ranked(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op12_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(_table(spark, sf_dir, "pages"))
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_byte_bpe, op3_fingerprints, op4_minhash, op5_language_id, op6_warc, op7_url_filter, op8_toxicity, op9_mixing, op10_exact_top_k, op11_ranked_search, op13_collocations, op1_modulus_chunks)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_byte_bpe, op3_fingerprints, op4_minhash, op5_language_id, op6_warc, op7_url_filter, op8_toxicity, op9_mixing, op10_exact_top_k, op11_ranked_search, op12_main_text, op13_collocations, op1_modulus_chunks)}
 
 ORACLES = {
     "op1_line_dedup": line_dedup.ORACLE,
