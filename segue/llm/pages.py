@@ -68,7 +68,8 @@ MAIN = frozenset(("article", "main"))
 
 _TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>=]+|=\s*(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))?)*)(?:>|\Z)|<(?:/[^A-Za-z>][^>]*(?:>|\Z)|/>)", re.S)
 _NAMED = re.compile(r"""(?:^|[\s"'])(class|id|role)\s*=\s*(?:"([^"]*)"?|'([^']*)'?|([^\s"'>]+))""", re.I)
-_WORD = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]*")
+#: Words of a name by its signs, and by its capitals.
+_WORDS = re.compile(r"[A-Za-z]+"), re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 class Element:
@@ -88,7 +89,7 @@ def named_no_article(tag: str, names: tuple[str, str, str], inside_main: bool) -
         return True
     if tag in ("html", "body", "main"):
         return False
-    words = {w.lower() for x in names[:2] for n in x.split() if not LAYOUT.match(n) for w in _WORD.findall(n)} | {tag} & HEADINGS
+    words = {w.lower() for x in names[:2] for n in x.split() if not LAYOUT.match(n) for found in _WORDS for w in found.findall(n)} | {tag} & HEADINGS
     return bool(words & NOT_MAIN_WORDS - HEADINGS) or bool(words & HEADINGS) and not inside_main  # an article's own header holds its heading
 
 
