@@ -1,8 +1,20 @@
-"""Item embeddings: MLlib's skip-gram, and skip-gram with negative sampling over blocks of items."""
+"""Item embeddings: MLlib's skip-gram, and skip-gram with negative sampling over a grid of blocks of items.
+
+The grid: items are dealt into blocks by a hash. A cell is a block of centers with a block of contexts; a task trains
+one cell, with the vectors of both blocks and the pairs between them. A turn trains a diagonal of cells, another
+one each time, so that no two of its tasks change the same vector; an epoch has as many turns as there are blocks.
+There are at least as many blocks as the cluster has cores, unless cells would be small, and as many as keep a cell's
+vectors and pairs within bounds.
+
+Negatives come from all items, whatever the blocks: of a center's draws, as many fall into a block as a binomial with
+the block's share of the distribution says, and there on its items by their own shares. So a cell draws its own, and
+no table of all items is needed anywhere.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import partial
 
@@ -13,13 +25,18 @@ from pyspark.sql import functions as F
 
 from segue.functions.vectors import learning_rate, normalized
 from segue.operators.corpus import sampling_distribution
-from segue.operators.pairs import capped_pairs, skipgram_pairs
-from segue.sources.stored import written
+from segue.operators.pairs import sampled_pairs, shrinking_pairs
+from segue.sources.stored import new_path, remove, written
 
-#: Pairs of a gradient step, and items of a block.
-BLOCK, BLOCK_ITEMS = 64, 200_000
+#: Pairs of a gradient step; items of a block at most; pairs of a cell at most, and at least where cores are to spare.
+BLOCK, BLOCK_ITEMS, CELL_MOST, CELL_LEAST = 64, 200_000, 2_000_000, 20_000
+#: Changes of one vector that a step adds up at most.
+STEPS = 16
+#: Fixed value: the rate that training ends with.
+LAST_RATE = 0.0001
 
 
+# The defaults of both trainers.
 @dataclass(frozen=True)
 class Config:
     vector_size: int = 64
@@ -29,6 +46,7 @@ class Config:
     epochs: int = 5
     learning_rate: float = 0.025
     max_pairs: int = 2000
+    sample: float = 1e-3
     seed: int = 42
     #: Tasks of the MLlib trainer; None: as many as the cluster runs at once.
     partitions: int | None = None
@@ -52,18 +70,32 @@ def word2vec_vectors(lists: DataFrame, config: Config = Config(), column: str =
     return found.withColumn("embedding_norm", normalized(F.col("embedding")))
 
 
+def _summed(target: np.ndarray, rows: np.ndarray, change: np.ndarray) -> None:
+    """Adds a change to rows of target. Rows that repeat add up, to as much as STEPS of them at most, as steps taken one
+    after another would turn back."""
+    order = np.argsort(rows, kind="stable")
+    ordered = rows[order]
+    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    many = np.diff(np.append(first, ordered.size))
+    target[ordered[first]] += np.add.reduceat(change[order], first, axis=0) * np.minimum(1, STEPS / many)[:, None]
+
+
+def labelled_step(vectors: np.ndarray, contexts: np.ndarray, center: np.ndarray, target: np.ndarray, label: np.ndarray, rate: float) -> float:
+    """One gradient step over labelled pairs; repeated items add up. The sum of losses before the step."""
+    v, u = vectors[center], contexts[target]
+    score = 1 / (1 + np.exp(-np.clip((v * u).sum(axis=1), -30, 30)))
+    slope = rate * (label - score)[:, None]
+    _summed(vectors, center, slope * u)
+    _summed(contexts, target, slope * v)
+    return float(-np.log(np.where(label > 0, score, 1 - score) + 1e-7).sum())
+
+
 def sgns_step(vectors: np.ndarray, contexts: np.ndarray, center: np.ndarray, context: np.ndarray, negatives: np.ndarray, rate: float) -> float:
-    """One gradient step over a block of pairs; repeated items add up. The mean loss before the step."""
-    v = vectors[center]
+    """One gradient step over pairs and the negatives of each. The mean loss of a pair before the step."""
     targets = np.concatenate([context[:, None], negatives], axis=1)
-    u = contexts[targets]
-    scores = 1 / (1 + np.exp(-np.clip(np.einsum("bd,bnd->bn", v, u), -30, 30)))
-    labels = np.zeros_like(scores)
-    labels[:, 0] = 1
-    slope = scores - labels
-    np.add.at(vectors, center, -rate * np.einsum("bn,bnd->bd", slope, u))
-    np.add.at(contexts, targets.ravel(), (-rate * slope[:, :, None] * v[:, None, :]).reshape(-1, v.shape[1]))
-    return float(-(labels * np.log(scores + 1e-7) + (1 - labels) * np.log(1 - scores + 1e-7)).sum(axis=1).mean())
+    label = np.zeros(targets.shape)
+    label[:, 0] = 1
+    return labelled_step(vectors, contexts, np.repeat(center, targets.shape[1]), targets.ravel(), label.ravel(), rate) / len(center)
 
 
 #: What a training task gets, in this order of kinds: center vectors, context vectors, pairs of their items.
@@ -72,13 +104,13 @@ _ROWS = "kind int, idx long, v array<double>, loss double, pairs long"
 
 
 class _Block:
-    """The items of one block with their vectors."""
+    """The items of one block: vectors, shares of the distribution of negatives, and pairs of the epoch as centers."""
 
     def __init__(self, parts: list[pa.RecordBatch]):
         self.idx = np.concatenate([p.column("idx").to_numpy() for p in parts])
         self.vectors = np.concatenate([p.column("v").flatten().to_numpy().reshape(p.num_rows, -1) for p in parts]).copy()
-        weights = np.concatenate([p.column("p").to_numpy(zero_copy_only=False) for p in parts])
-        self.cdf = np.cumsum(weights) / max(float(weights.sum()), 1e-300)
+        self.share = np.concatenate([p.column("p").to_numpy(zero_copy_only=False) for p in parts])
+        self.asked = np.concatenate([p.column("n").to_numpy(zero_copy_only=False) for p in parts]).astype(np.int64)
 
     def slots(self, idx: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.idx, idx)
@@ -90,15 +122,40 @@ class _Block:
         return pa.RecordBatch.from_arrays([pa.array(np.full(self.idx.size, kind, np.int32)), pa.array(self.idx), vectors, none.cast(pa.float64()), none.cast(pa.int64())], names=["kind", "idx", "v", "loss", "pairs"])
 
 
-def _trained(batches: Iterator[pa.RecordBatch], config: Config, epoch: int, turn: int) -> Iterator[pa.RecordBatch]:
-    """Rows come by task and kind, vectors by idx and pairs in order; every task gives its vectors back, and its loss."""
-    rate = learning_rate(config.learning_rate, epoch, config.epochs)
-    task, held, blocks, rng, total, seen = None, {CENTERS: [], CONTEXTS: []}, {}, None, 0.0, 0
+def drawn_negatives(asked: np.ndarray, share: np.ndarray, negative: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """(center, item) of the negatives that fall on a block: of `negative` for each pair asked of a center, by the items' shares among all."""
+    whole = min(float(share.sum()), 1.0)
+    many = rng.binomial(asked * negative, whole)
+    cdf = np.cumsum(share) / max(float(share.sum()), 1e-300)
+    return np.repeat(np.arange(asked.size), many), np.searchsorted(cdf, rng.random(int(many.sum()))).clip(0, share.size - 1)
+
+
+def _cell(left: _Block, right: _Block, center: np.ndarray, context: np.ndarray, config: Config, rate: float, rng: np.random.Generator) -> float:
+    """Trains a cell in a random order of its pairs and negatives. The sum of losses."""
+    others, items = drawn_negatives(left.asked, right.share, config.negative, rng)
+    label = np.repeat([1.0, 0.0], [center.size, others.size])
+    order = rng.permutation(label.size)
+    center, target, label = np.concatenate([center, others])[order], np.concatenate([context, items])[order], label[order]
+    step, total = BLOCK * (1 + config.negative), 0.0
+    for at in range(0, label.size, step):
+        part = slice(at, at + step)
+        total += labelled_step(left.vectors, right.vectors, center[part], target[part], label[part], rate)
+    return total
+
+
+def _trained(batches: Iterator[pa.RecordBatch], config: Config, epoch: int, turn: int, rate: float) -> Iterator[pa.RecordBatch]:
+    """Rows come by cell and kind, vectors by idx and pairs in order; every cell gives its vectors back, and its loss."""
+    task, held = None, {}
 
     def done() -> Iterator[pa.RecordBatch]:
-        for kind in (CENTERS, CONTEXTS):
-            if kind in blocks or held[kind]:
-                yield (blocks.get(kind) or _Block(held[kind])).rows(kind)
+        total, seen = 0.0, 0
+        blocks = {kind: _Block(held[kind]) for kind in (CENTERS, CONTEXTS) if held[kind]}
+        if len(blocks) == 2:
+            pairs = [blocks[kind].slots(np.concatenate([p.column(name).to_numpy() for p in held[PAIRS]] or [np.zeros(0, np.int64)])) for kind, name in ((CENTERS, "idx"), (CONTEXTS, "other"))]
+            seen = pairs[0].size
+            total = _cell(blocks[CENTERS], blocks[CONTEXTS], *pairs, config, rate, np.random.default_rng([config.seed, epoch, turn, task]))
+        for kind, block in blocks.items():
+            yield block.rows(kind)
         one = [pa.array([PAIRS], pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.float64())), pa.array([total]), pa.array([seen], pa.int64())]
         yield pa.RecordBatch.from_arrays(one, names=["kind", "idx", "v", "loss", "pairs"])
 
@@ -112,57 +169,97 @@ def _trained(batches: Iterator[pa.RecordBatch], config: Config, epoch: int, turn
             if now != task:
                 if task is not None:
                     yield from done()
-                task, held, blocks, total, seen = now, {CENTERS: [], CONTEXTS: []}, {}, 0.0, 0
-                rng = np.random.default_rng([config.seed, epoch, turn, now])
-            part = batch.slice(lo, hi - lo)
-            if kind != PAIRS:
-                held[kind].append(part)
-                continue
-            blocks = blocks or {k: _Block(held[k]) for k in (CENTERS, CONTEXTS)}
-            left, right = blocks[CENTERS], blocks[CONTEXTS]
-            center, context = left.slots(part.column("idx").to_numpy()), right.slots(part.column("other").to_numpy())
-            for at in range(0, center.size, BLOCK):
-                c, o = center[at : at + BLOCK], context[at : at + BLOCK]
-                negatives = np.searchsorted(right.cdf, rng.random((c.size, config.negative))).clip(0, right.idx.size - 1)
-                total += sgns_step(left.vectors, right.vectors, c, o, negatives, rate) * c.size
-                seen += c.size
+                task, held = now, {CENTERS: [], CONTEXTS: [], PAIRS: []}
+            held[kind].append(batch.slice(lo, hi - lo))
     if task is not None:
         yield from done()
 
 
-def sgns(lists: DataFrame, vocab: DataFrame, config: Config = Config(), partitions: int | None = None) -> tuple[DataFrame, list[float]]:
-    """(idx, embedding, context) and the mean loss of each epoch; lists hold (pid, ids), vocab (idx, count).
+def number_of_blocks(items: int, pairs: int, cores: int) -> int:
+    """Blocks of BLOCK_ITEMS items and cells of CELL_MOST pairs at most; as many as cores, if cells then have CELL_LEAST pairs."""
+    return max(1, -(-items // BLOCK_ITEMS), math.ceil(math.sqrt(pairs / CELL_MOST)), min(cores, math.ceil(math.sqrt(pairs / CELL_LEAST))))
+
 
-    Items are cut into blocks of about BLOCK_ITEMS (or so many blocks as partitions says). In each turn of an epoch
-    every block of centers meets one block of contexts, another one each turn, with the pairs between them: no two
-    tasks change the same vector, and a task holds two blocks, whatever the vocabulary's size. Negatives come from the
-    block of contexts at hand. With one block all pairs train in sequence. Vectors are written after every turn.
+def _on_grid(pairs_of: Callable[[int], DataFrame], vocab: DataFrame, config: Config, blocks: int, rates: Callable[[int, int], float]) -> tuple[DataFrame, list[float]]:
+    """(idx, embedding, context) and the mean loss of each epoch; pairs_of gives the pairs (at, idx, other) of an epoch.
+
+    Pairs are written by turn, so that a turn reads its own; vectors are written after each turn, and the table
+    before it is removed.
     """
-    size = vocab.count()
-    blocks = partitions or -(-size // BLOCK_ITEMS) or 1
+    spark = vocab.sparkSession
     block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
-    weights = sampling_distribution(vocab).select(F.col("idx").cast("long").alias("idx"), F.col("probability").alias("p"))
+    shares = sampling_distribution(vocab).select(F.col("idx").cast("long").alias("idx"), F.col("probability").alias("p"))
     start = F.expr(f"transform(sequence(1, {config.vector_size}), i -> (pmod(xxhash64({config.seed}L, idx, i), 9007199254740992L) / 9007199254740992D - 0.5) / {config.vector_size})")
     zero = F.array_repeat(F.lit(0.0), config.vector_size)
-    first = weights.select(F.lit(CENTERS).alias("kind"), "idx", start.alias("v")).union(weights.select(F.lit(CONTEXTS).alias("kind"), "idx", zero.alias("v")))
-    vectors, weights = written(first, "vectors"), written(weights, "weights")
-    found = capped_pairs(skipgram_pairs(lists, config.window), config.max_pairs, config.seed)
-    order = F.struct("pid", "center_pos", "context_pos")
-    pairs = written(found.select(order.alias("at"), F.col("center").cast("long").alias("idx"), F.col("context").cast("long").alias("other")).withColumns({"task": block("idx"), "to": block("other")}), "pairs")
+    first = shares.select(F.lit(CENTERS).alias("kind"), "idx", start.alias("v")).union(shares.select(F.lit(CONTEXTS).alias("kind"), "idx", zero.alias("v")))
+    path = new_path(spark, "vectors")
+    first.write.parquet(path)
     none = F.lit(None)
-    losses = []
+    losses, schema = [], "kind int, idx long, v array<double>"
     for epoch in range(config.epochs):
+        own = pairs_of(epoch).select("at", "idx", "other", block("idx").alias("task"), F.pmod(block("other") - block("idx"), F.lit(blocks)).alias("turn"))
+        dealt_path = new_path(spark, "pairs")
+        own.repartition("turn", "task").write.partitionBy("turn").parquet(dealt_path)
+        pairs = spark.read.schema(own.schema).parquet(dealt_path)
+        about = written(shares.join(pairs.groupBy("idx").agg(F.count("*").alias("n")), "idx", "left").select("idx", "p", F.coalesce("n", F.lit(0)).alias("n")), "items")
         sums = np.zeros(2)
         for turn in range(blocks):
-            own = vectors.join(weights, "idx").withColumn("b", block("idx"))
+            vectors = spark.read.schema(schema).parquet(path).where(F.col("kind") != PAIRS).join(about, "idx").withColumn("b", block("idx"))
             task = F.when(F.col("kind") == CENTERS, F.col("b")).otherwise(F.pmod(F.col("b") - turn, F.lit(blocks))).cast("int")
-            held = own.select(task.alias("task"), "kind", none.cast(pairs.schema["at"].dataType).alias("at"), "idx", none.cast("long").alias("other"), "p", "v")
-            met = pairs.where(F.pmod(F.col("to") - F.col("task"), F.lit(blocks)) == turn)
-            met = met.select("task", F.lit(PAIRS).alias("kind"), "at", "idx", "other", none.cast("double").alias("p"), none.cast("array<double>").alias("v"))
-            dealt = held.union(met).repartition(blocks, "task").sortWithinPartitions("task", "kind", "at", "idx").select("task", "kind", "idx", "other", "p", "v")
-            out = written(dealt.mapInArrow(partial(_trained, config=config, epoch=epoch, turn=turn), _ROWS), "trained")
-            vectors = out.where(F.col("kind") != PAIRS).select("kind", "idx", "v")
-            sums += np.array([x or 0.0 for x in out.where(F.col("kind") == PAIRS).agg(F.sum("loss"), F.sum("pairs")).first()])
+            held = vectors.select(task.alias("task"), "kind", none.cast(own.schema["at"].dataType).alias("at"), "idx", none.cast("long").alias("other"), "p", "n", "v")
+            met = pairs.where(F.col("turn") == turn).select("task", F.lit(PAIRS).alias("kind"), "at", "idx", "other", none.cast("double").alias("p"), none.cast("long").alias("n"), none.cast("array<double>").alias("v"))
+            dealt = held.union(met).repartition(blocks, "task").sortWithinPartitions("task", "kind", "at", "idx").select("task", "kind", "idx", "other", "p", "n", "v")
+            out = new_path(spark, "vectors")
+            dealt.mapInArrow(partial(_trained, config=config, epoch=epoch, turn=turn, rate=rates(epoch, turn)), _ROWS).write.parquet(out)
+            remove(spark, path)
+            path = out
+            told = spark.read.schema(_ROWS).parquet(path).where(F.col("kind") == PAIRS).agg(F.sum("loss"), F.sum("pairs")).first()
+            sums += np.array([x or 0.0 for x in told])
+        remove(spark, dealt_path)
         losses.append(float(sums[0] / max(sums[1], 1.0)))
-    side = lambda kind, name: vectors.where(F.col("kind") == kind).select("idx", F.col("v").alias(name))
+    side = lambda kind, name: spark.read.schema(schema).parquet(path).where(F.col("kind") == kind).select("idx", F.col("v").alias(name))
     return side(CENTERS, "embedding").join(side(CONTEXTS, "context"), "idx"), losses
+
+
+def _placed(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.struct("pid", "center_pos", "context_pos").alias("at"), F.col("center").cast("long").alias("idx"), F.col("context").cast("long").alias("other"))
+
+
+def sgns(lists: DataFrame, vocab: DataFrame, config: Config = Config(), partitions: int | None = None) -> tuple[DataFrame, list[float]]:
+    """(idx, embedding, context) and the mean loss of each epoch; lists hold (pid, ids), vocab (idx, count).
+
+    Windows are whole, a playlist gives max_pairs at most, the same in every epoch; the rate falls to a quarter.
+    `partitions` fixes the number of blocks, on which results depend; without it pairs, items and cores do.
+    """
+    pairs = written(_placed(sampled_pairs(lists, config.window, config.max_pairs, config.seed)), "all-pairs")
+    blocks = partitions or number_of_blocks(vocab.count(), pairs.count(), vocab.sparkSession.sparkContext.defaultParallelism)
+    return _on_grid(lambda epoch: pairs, vocab, config, blocks, lambda epoch, turn: learning_rate(config.learning_rate, epoch, config.epochs))
+
+
+def keep_probability(vocab: DataFrame, sample: float) -> DataFrame:
+    """vocab with keep: the share of an item's occurrences that is trained, 1 for all but frequent items. sample 0: all."""
+    if sample <= 0:
+        return vocab.withColumn("keep", F.lit(1.0))
+    total = vocab.agg(F.sum("count").cast("double").alias("__total"))
+    often = F.col("count") / (F.lit(sample) * F.col("__total"))
+    return vocab.crossJoin(F.broadcast(total)).withColumn("keep", F.least(F.lit(1.0), (F.sqrt(often) + 1) / often)).drop("__total")
+
+
+def kept_lists(occurrences: DataFrame, vocab: DataFrame, sample: float, playlist: str = "pid", key: str = "track_uri", pos: str = "pos") -> DataFrame:
+    """(playlist, ids, keep): the idx of each playlist's known tracks in order, and the share of each that is trained."""
+    known = occurrences.join(keep_probability(vocab, sample).select(key, "idx", "keep"), key)
+    lists = known.groupBy(F.col(playlist).alias("pid")).agg(F.array_sort(F.collect_list(F.struct(pos, "idx", "keep"))).alias("e"))
+    return lists.where(F.size("e") >= 2).select("pid", F.transform("e", lambda e: e["idx"]).alias("ids"), F.transform("e", lambda e: e["keep"]).alias("keep"))
+
+
+def skipgram(lists: DataFrame, vocab: DataFrame, config: Config = Config(), partitions: int | None = None) -> tuple[DataFrame, list[float]]:
+    """(idx, embedding, context) and the mean loss of each epoch, for lists (pid, ids, keep) of kept_lists.
+
+    Every epoch draws anew: which occurrences of frequent items are kept, how far a center's window reaches, and
+    negatives. The rate falls evenly to LAST_RATE.
+    """
+    lists = written(lists, "kept-lists")
+    most = lists.agg(F.sum(F.size("ids"))).first()[0] or 0
+    blocks = partitions or number_of_blocks(vocab.count(), most * (config.window + 1), vocab.sparkSession.sparkContext.defaultParallelism)
+    rates = lambda epoch, turn: config.learning_rate - (config.learning_rate - LAST_RATE) * (epoch + turn / blocks) / config.epochs
+    return _on_grid(lambda epoch: _placed(shrinking_pairs(lists, config.window, config.seed, epoch)), vocab, config, blocks, rates)

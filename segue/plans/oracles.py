@@ -157,6 +157,9 @@ ORACLES: dict[str, str] = {
         CASE WHEN s >= 3600 THEN (s // 3600) || 'h ' ELSE '' END || CASE WHEN s >= 60 THEN (s % 3600 // 60) || 'm ' ELSE '' END || (s % 60) || 's' AS duration,
         round(p_partkey / 3000 * 100)::INT AS percent, printf('%.3f', p_partkey / 3000) AS component FROM (SELECT p_partkey, p_partkey * 37 AS s FROM part)""",
     "markdown_cells": r"SELECT doc_id, md5(replace(text, '|', '\|')) AS cell FROM documents",
+    "subsampling_shares": f"""WITH {NAMED}, c AS (SELECT track_uri, count(*) AS count, min((pid, pos)) AS first FROM named GROUP BY 1 HAVING count(*) >= 2),
+        v AS (SELECT row_number() OVER (ORDER BY count DESC, first) - 1 AS idx, count / (0.0001 * sum(count) OVER ()) AS often FROM c)
+        SELECT idx, round(least(1, (sqrt(often) + 1) / often), 9) AS keep FROM v""",
     "sentence_build": f"WITH {OCC}, {PARTS} SELECT pid, array_to_string(list(track_uri ORDER BY pos), ' ') AS uris FROM occ JOIN parts USING (part) GROUP BY 1 HAVING count(*) >= 2",
     "corpus_statistics": f"WITH {LISTS} SELECT count(*) AS corpus_count, coalesce(sum(len(ids)), 0) AS corpus_total_words FROM lists",
     "occurrence_count": f"WITH {COUNTS} SELECT * FROM counts",

@@ -139,7 +139,7 @@ def pair_statistics(spark, sf):
 
 @query
 def pair_cap(spark, sf):
-    return pairs.capped_pairs(pairs.skipgram_pairs(_lists(spark, sf)), 20)
+    return pairs.sampled_pairs(_lists(spark, sf), most=20)
 
 
 @query
@@ -168,6 +168,22 @@ def train_sgns(spark, sf):
     return vectors.select("idx", F.size("embedding").alias("dim"), F.round(dot(F.col("embedding"), F.col("embedding")), 9).alias("squared_length"))
 
 
+@query
+def subsampling_shares(spark, sf):
+    """Of every track the share of its occurrences that skip-gram training keeps."""
+    vocab = corpus.vocabulary(b.named_occurrences(spark, sf), 2, order=b.ORDER)
+    return train.keep_probability(vocab.select("idx", "count"), 1e-4).select("idx", F.round("keep", 9).alias("keep"))
+
+
+@query
+def train_skipgram(spark, sf):
+    """Subsampling, shrinking windows and negatives from all items, over all orders, and how long each vector is."""
+    rows = b.named_occurrences(spark, sf)
+    vocab = corpus.vocabulary(rows, 2, order=b.ORDER)
+    vectors, _ = train.skipgram(train.kept_lists(rows, vocab, train.Config().sample), vocab.select("idx", "count"))
+    return vectors.select("idx", F.size("embedding").alias("dim"), F.round(dot(F.col("embedding"), F.col("embedding")), 9).alias("squared_length"))
+
+
 # -- catalogue and search ----------------------------------------------------------------------------------------
 
 

@@ -4,6 +4,7 @@ import json
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from segue.operators import corpus, coverage, playlist, train
 from segue.schemas import SEEDS, TEXTS
@@ -160,6 +161,107 @@ def test_training_lowers_the_loss(spark):
     assert again == losses
 
 
+def _groups(spark, train):
+    """Lists within twelve groups of six items each, their vocabulary, and how much nearer items of a group are."""
+    rng = np.random.default_rng(3)
+    rows = [(p, [(p % 12) * 6 + i for i in rng.integers(0, 6, 12).tolist()]) for p in range(720)]
+    lists = spark.createDataFrame(rows, "pid long, ids array<long>")
+    vocab = spark.createDataFrame([(i, 120) for i in range(72)], "idx long, count long")
+
+    def quality(vectors):
+        held = {r["idx"]: np.array(r["embedding"]) for r in vectors.collect()}
+        unit = np.stack([held[i] / np.linalg.norm(held[i]) for i in range(72)])
+        near = unit @ unit.T
+        same = np.arange(72)[:, None] // 6 == np.arange(72) // 6
+        np.fill_diagonal(near, -2)
+        return float(same[np.arange(72)[:, None], np.argsort(-near, axis=1)[:, :5]].mean())
+
+    return lists, vocab, quality
+
+
+def test_a_grid_trains_as_well_as_one_cell(spark):
+    import os
+    import re
+
+    lists, vocab, quality = _groups(spark, train)
+    config = train.Config(vector_size=12, window=3, epochs=2, learning_rate=0.05)
+    one, six = (train.sgns(lists, vocab, config, partitions=n) for n in (1, 5))
+    assert quality(one[0]) > 0.9 and quality(six[0]) > 0.95 * quality(one[0])
+    vectors = train.skipgram(lists.withColumn("keep", F.transform("ids", lambda x: F.lit(1.0))), vocab, config, partitions=4)[0]
+    assert quality(vectors) > 0.9
+    # only the last table of vectors is left of each training, and no pairs by turn
+    folder = re.sub("^file:", "", os.path.dirname(vectors.inputFiles()[0]).rsplit("/", 1)[0])
+    left = {f.rsplit("/", 2)[-2] for f in vectors.inputFiles()}
+    assert len(left) == 1 and not [x for x in os.listdir(folder) if x.startswith("pairs-")]
+
+
+def test_a_step_of_one_hot_item_stays_bounded():
+    vectors, contexts = np.full((1, 2), 0.5), np.full((3, 2), 0.5)
+    for _ in range(200):
+        train.labelled_step(vectors, contexts, np.zeros(384, np.int64), np.arange(384) % 3, (np.arange(384) % 3 == 0) * 1.0, 0.2)
+    assert np.abs(vectors).max() < 50 and np.abs(contexts).max() < 50
+    assert vectors[0] @ contexts[0] > 1 and vectors[0] @ contexts[1] < -1
+
+
+def test_blocks_by_items_pairs_and_cores():
+    assert train.number_of_blocks(100, 1000, 8) == 1 and train.number_of_blocks(2000, 1_000_000, 8) == 8
+    assert train.number_of_blocks(1_188_873, 600_000_000, 1000) == 174 and train.number_of_blocks(1_188_873, 600_000_000, 8) == 18 and train.number_of_blocks(0, 0, 8) == 1
+
+
+def test_negatives_fit_the_distribution():
+    """Over all blocks, every item is drawn as often as its share of all items says, for each center."""
+    rng = np.random.default_rng(1)
+    share = rng.random(40) ** 3
+    share /= share.sum()
+    asked, drawn = np.array([30_000, 0, 10_000]), np.zeros((3, 40))
+    for items in np.array_split(rng.permutation(40), 4):
+        center, item = train.drawn_negatives(asked, share[items], 5, rng)
+        np.add.at(drawn, (center, items[item]), 1)
+    assert not drawn[1].any()
+    for c in (0, 2):
+        wanted = asked[c] * 5 * share
+        assert (np.abs(drawn[c] - wanted) < 5 * np.sqrt(wanted) + 1).all() and abs(drawn[c].sum() - asked[c] * 5) < 5 * np.sqrt(asked[c] * 5)
+
+
+def test_occurrences_are_kept_as_often_as_their_share(spark):
+    from segue.operators import pairs as pr
+
+    rows = spark.createDataFrame([(p, i, f"u{0 if i < 8 else p * 2 + i}") for p in range(400) for i in range(10)], "pid long, pos int, track_uri string")
+    vocab = rows.groupBy("track_uri").agg(F.count("*").alias("count")).withColumn("idx", F.substring("track_uri", 2, 9).cast("long"))
+    lists = train.kept_lists(rows, vocab, 0.01)
+    keep = {r["idx"]: r["keep"] for r in train.keep_probability(vocab, 0.01).collect()}
+    often = 3200 / (0.01 * 4000)
+    assert abs(keep[0] - (often**0.5 + 1) / often) < 1e-9 and {k for i, k in keep.items() if i} == {1.0}
+    assert train.keep_probability(vocab, 0).where("keep < 1").count() == 0
+    seen = []
+    for epoch in range(3):
+        places = pr.shrinking_pairs(lists, 5, 42, epoch).groupBy("pid", "center_pos").agg(F.first("center").alias("center"), F.max(F.abs(F.col("context_pos") - F.col("center_pos"))).alias("far"), F.count("*").alias("n")).collect()
+        hot = sum(r["center"] == 0 for r in places)
+        assert abs(hot - 3200 * keep[0]) < 5 * (3200 * keep[0]) ** 0.5 and all(r["far"] <= 5 and r["n"] <= 2 * r["far"] for r in places)
+        seen.append({(r["pid"], r["center_pos"], r["center"]) for r in places})
+    assert seen[0] != seen[1] != seen[2] and len({r["far"] for r in places}) > 1
+
+
+def test_sampled_pairs(spark):
+    from collections import Counter
+
+    from segue.operators import pairs as pr
+
+    lists = spark.createDataFrame([(p, list(range(n))) for p, n in enumerate([0, 1, 2, 3, 4, 7, 11, 40])], "pid long, ids array<long>")
+    key = lambda df: Counter(map(tuple, df.collect()))
+    whole = key(pr.skipgram_pairs(lists, 3))
+    assert key(pr.sampled_pairs(lists, 3, 10_000)) == whole == key(pr.sampled_pairs(lists, 3, 0))
+    drawn = Counter()
+    for seed in range(60):
+        found = key(pr.sampled_pairs(lists, 3, 10, seed))
+        assert not found - whole and Counter(k[0] for k in found.elements()) == Counter({p: min(10, n) for p, n in Counter(k[0] for k in whole).items()})
+        drawn.update(k for k in found if k[0] == 6)
+    plan = pr.sampled_pairs(lists, 3, 10)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan
+    want = 60 * 10 / 54  # of the pairs of eleven items
+    assert len(drawn) == 54 and sum((n - want) ** 2 / want for n in drawn.values()) < 100
+
+
 def test_a_step_is_its_pairs_gradients():
     """A block of pairs without repeats, against the gradient pair by pair."""
     rng = np.random.default_rng(5)
