@@ -10,7 +10,7 @@ own under a new name; only the files named in the table that the job returns are
 no harm.
 
 Defined results: a null html is the empty payload; a null url is written as `urn:page:` and the page's id. Blanks and
-control characters in a url are percent-encoded. Repeated rows are records of their own with one identifier, as they
+control characters in a url are percent-encoded, and the colon of `filedesc:`, which marks version blocks. Repeated rows are records of their own with one identifier, as they
 are the same in all that an archive holds; of equal payloads of at least
 SMALLEST bytes those with the smallest id are responses. Pages without an id are always responses. Extra columns are not read.
 """
@@ -39,6 +39,8 @@ ARC_FIELDS = {
     2: ("url", "ip", "date", "type", "code", "checksum", "location", "offset", "filename", "length"),
 }
 ARC_NAMES = {1: "URL IP-address Archive-date Content-type Archive-length", 2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length"}
+#: The first line of a version block: version, a reserved number, who wrote it.
+VERSION_LINE = re.compile(rb"(\d+) \d+ [^\n]*\n")
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 FIRST_DATE = datetime(2000, 1, 1, tzinfo=timezone.utc)
 #: Bytes of archive that are read at a time.
@@ -102,13 +104,17 @@ def parse_arc(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]
         if not line:
             continue
         parts = line.decode("utf-8", "surrogatepass").split(" ")
-        if parts[0].startswith("filedesc://"):
+        if parts[0].startswith("filedesc://") and len(parts) in {len(x) for x in ARC_FIELDS.values()}:
             body = source.exactly(int(parts[-1]))
-            version = int(body.split(b" ", 1)[0])
-            if version not in ARC_FIELDS:
-                raise ValueError(f"unknown ARC version {version}")
-            fields = ARC_FIELDS[version]
-            continue
+            if stated := VERSION_LINE.match(body):
+                version = int(stated[1])
+                if version not in ARC_FIELDS:
+                    raise ValueError(f"unknown ARC version {version}")
+                fields = ARC_FIELDS[version]
+                continue
+            if fields is not None and len(parts) == len(fields):  # a page of that scheme
+                yield dict(zip(fields, parts)), body
+                continue
         if fields is None or len(parts) != len(fields):
             raise ValueError(f"not an ARC header line: {line[:80]!r}")
         header = dict(zip(fields, parts))
@@ -253,7 +259,8 @@ def convert_files(uris: DataFrame, folder: str) -> DataFrame:
 def page_url(url: str | None, page_id: int | None) -> str:
     if not url:
         return f"urn:page:{page_id}"
-    return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url)
+    url = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url)
+    return f"filedesc%3A{url[9:]}" if url.startswith("filedesc:") else url  # the scheme of version blocks
 
 
 def page_date(page_id: int | None) -> str:

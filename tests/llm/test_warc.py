@@ -48,3 +48,19 @@ def test_pages_come_back(spark):
         assert (rows[i]["payload_bytes"], rows[i]["payload_digest"]) == (len(raw), hashlib.sha256(raw).hexdigest())
     assert {i: (r["record_type"], r["refers_to"]) for i, r in rows.items()} == {i: ("revisit", 2) if i in (5, 9) else ("response", None) for i, *_ in pages}
     assert warc.round_trip(df.where("false")).count() == 0
+
+
+def test_odd_urls_and_repeated_rows(spark):
+    urls = ["filedesc://x/y", "filedesc:z", "FILEDESC://x", "http://a/\u00a0b\u2028c\x85d", "a\nb\rc\td", "WARC/1.0", "://", " "]
+    rows = [(i, u, f"page {i} " * 40) for i, u in enumerate(urls)] * 2 + [(50, "http://r", "s" * 200)] * 3
+    got = warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == len(rows) and all(r["sound"] for r in got)
+    assert sorted((r["page_id"], r["payload_digest"]) for r in got) == sorted((i, hashlib.sha256(h.encode()).hexdigest()) for i, _, h in rows)
+    assert {r["record_type"] for r in got} == {"response"}
+
+
+def test_a_record_of_the_scheme_of_version_blocks():
+    data = warc.arc_version_block(1) + warc.arc_record(1, "filedesc://own", "2001", b"HTTP/1.1 200 OK\r\n\r\nabc") + warc.arc_version_block(2) + warc.arc_record(2, "http://b", "2001", b"x")
+    assert [(h["url"], b) for h, b in warc.parse_arc(iter([data]))] == [("filedesc://own", b"HTTP/1.1 200 OK\r\n\r\nabc"), ("http://b", b"x")]
+    with pytest.raises(ValueError):
+        list(warc.parse_arc(iter([warc.arc_version_block(1).replace(b"1 0", b"7 0")])))
