@@ -93,10 +93,14 @@ def split_artists(c: Column | str) -> Column:
     return F.array_sort(F.array_distinct(F.filter(parts, lambda p: p != "")))
 
 
+def without_variants(title_key: Column | str) -> Column:
+    """A normalised title without words that mark a variant."""
+    return F.array_join(F.filter(F.split(_col(title_key), " "), lambda w: ~w.isin(*VARIANT_WORDS)), " ")
+
+
 def canonical_title(c: Column | str) -> Column:
-    """The normalised title without words that mark a variant."""
-    words = F.split(normalize_text(c), " ")
-    return F.array_join(F.filter(words, lambda w: ~w.isin(*VARIANT_WORDS)), " ")
+    """The normalised title without words that mark a variant, exact for every text."""
+    return without_variants(text_key(c))
 
 
 def has_cyrillic(*columns: Column | str) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from segue.functions.text import CYRILLIC, artists_key, markdown_cell, or_empty, split_line, text_key
 from segue.operators.corpus import METADATA, ORDINAL, ordinal
+from segue.sources.stored import written
 
 # Methods of a match and their confidence; the first two count as sure.
 METHODS = {"exact_title_same_artist_set": 1.0, "exact_title_artist_overlap": 0.92, "unique_title_only": 0.55, "ambiguous_title": 0.0, "unmatched": 0.0}
@@ -26,8 +27,8 @@ def entries(lines: DataFrame) -> DataFrame:
     return lines.withColumns({"title_key": text_key("title"), "artist_tokens": artists_key("artist"), "has_cyrillic": F.coalesce(F.col("raw").rlike(CYRILLIC), F.lit(False))})
 
 
-def candidates(occurrences: DataFrame, wanted: DataFrame, order: tuple[str, ...] = ORDINAL) -> DataFrame:
-    """Tracks whose normalised title is wanted, by title and uri: counts, first metadata, example playlists.
+def candidates(occurrences: DataFrame, wanted: DataFrame, order: tuple[str, ...] = ORDINAL, examples: bool = True) -> DataFrame:
+    """Tracks whose normalised title is wanted, by title and uri: counts, first metadata, and, if asked for, example playlists.
 
     playlist_count counts occurrences too, as repeats in a playlist are not told apart. Every distinct title is
     normalised once; the corpus is cut down to the wanted ones before it is grouped.
@@ -38,7 +39,8 @@ def candidates(occurrences: DataFrame, wanted: DataFrame, order: tuple[str, ...]
     keys = ["title_key", "track_uri"]
     counted = found.groupBy(*keys).agg(F.count("*").alias("occurrences"), F.min_by(F.struct("track_name", "artist_name"), ordinal(order)).alias("m"), F.min(ordinal(order)).alias("first"))
     rows = counted.select(*keys, "m.track_name", "m.artist_name", "occurrences", F.col("occurrences").alias("playlist_count"), "first")
-    return rows.withColumn("artist_tokens", artists_key("artist_name")).join(_first_pids(found, keys, order), keys)
+    rows = rows.withColumn("artist_tokens", artists_key("artist_name"))
+    return rows.join(_first_pids(found, keys, order), keys) if examples else rows
 
 
 def choose_matches(lines: DataFrame, found: DataFrame) -> DataFrame:
@@ -48,14 +50,20 @@ def choose_matches(lines: DataFrame, found: DataFrame) -> DataFrame:
     ties by first occurrence.
     """
     left = lines.select("ord", "raw", "artist", "title_key", F.col("artist_tokens").alias("want"), "has_cyrillic")
-    # entries that ask for the same are looked up once
-    both = left.select("title_key", "want").distinct().join(found, "title_key")
-    named = F.size("want") > 0
-    tier = F.when(named & (F.col("want") == F.col("artist_tokens")), 0).when(named & F.coalesce(F.arrays_overlap("want", "artist_tokens"), F.lit(False)), 1).otherwise(2)
-    fields = F.struct(tier.alias("tier"), (-F.col("occurrences")).alias("minus"), "first", "track_uri", "track_name", "artist_name", "occurrences")
-    best = both.groupBy("title_key", "want").agg(F.min(fields).alias("b"), F.count("*").alias("candidate_count"))
-    rows = left.join(best, ["title_key", "want"], "left").withColumn("candidate_count", F.coalesce("candidate_count", F.lit(0)))
-    tier = F.col("b.tier")
+    wants = left.select("title_key", "want").distinct()
+    best = F.struct((-F.col("occurrences")).alias("minus"), "first", "track_uri", "track_name", "artist_name", "occurrences")
+    # the best track of each title and artist set; what else is asked for follows from these
+    sets = written(found.groupBy("title_key", "artist_tokens").agg(F.min(best).alias("b"), F.count("*").alias("n")), "title-sets")
+    titles = sets.groupBy("title_key").agg(F.min("b").alias("any"), F.sum("n").alias("candidate_count"))
+    same = sets.where(F.size("artist_tokens") > 0).select("title_key", F.col("artist_tokens").alias("want"), F.col("b").alias("same"))
+    # a set that shares an artist is met by that artist: as many rows as wants name artists, however many tracks a title has
+    by_artist = sets.select("title_key", F.explode("artist_tokens").alias("a"), "b").groupBy("title_key", "a").agg(F.min("b").alias("b"))
+    shared = wants.select("title_key", "want", F.explode("want").alias("a")).join(by_artist, ["title_key", "a"]).groupBy("title_key", "want").agg(F.min("b").alias("shared"))
+    met = wants.join(titles, "title_key").join(same, ["title_key", "want"], "left").join(shared, ["title_key", "want"], "left")
+    level = F.when(F.col("same").isNotNull(), 0).when(F.col("shared").isNotNull(), 1).otherwise(2)
+    met = met.select("title_key", "want", "candidate_count", level.alias("tier"), F.coalesce("same", "shared", "any").alias("b"))
+    rows = left.join(met, ["title_key", "want"], "left").withColumn("candidate_count", F.coalesce("candidate_count", F.lit(0)))
+    tier = F.col("tier")
     method = F.when(tier == 0, "exact_title_same_artist_set").when(tier == 1, "exact_title_artist_overlap").when(F.col("candidate_count") == 1, "unique_title_only").when(F.col("candidate_count") == 0, "unmatched").otherwise("ambiguous_title")
     rows = rows.withColumn("method", method)
     confidence = F.element_at(F.create_map(*[F.lit(x) for pair in METHODS.items() for x in pair]), F.col("method"))

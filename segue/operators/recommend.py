@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from segue.functions.text import canonical_title, explanation
+from segue.functions.text import canonical_title, explanation, without_variants
 from segue.functions.vectors import FLOOR, dot, mean_vector, normalized
 from segue.operators.ranking import with_rank
 
@@ -110,7 +110,7 @@ def known_seeds(tracks: DataFrame, seeds: DataFrame) -> DataFrame:
         raise ValueError(f"more than {MOST_SEEDS} seeds")
     spark = tracks.sparkSession
     wanted = spark.createDataFrame(asked) if asked.num_rows else seeds
-    found = tracks.join(F.broadcast(wanted), "track_uri").select("ord", "idx", "track_uri", "track_name", "artists", "embedding")
+    found = tracks.join(F.broadcast(wanted), "track_uri").select("ord", "idx", "track_uri", "track_name", "artists", "embedding", *[c for c in ("title_key",) if c in tracks.columns])
     rows = found.toArrow()
     return spark.createDataFrame(rows.sort_by("ord")) if rows.num_rows else found.limit(0)
 
@@ -157,10 +157,15 @@ def without_seeds(candidates: DataFrame, seeds: DataFrame) -> DataFrame:
     return candidates.where(~F.col("idx").isin(sorted({r["idx"] for r in seeds.select("idx").collect()})))
 
 
+def _canonical(tracks: DataFrame) -> Column:
+    """The canonical title, by the stored key where tracks have it."""
+    return without_variants("title_key") if "title_key" in tracks.columns else canonical_title("track_name")
+
+
 def without_duplicates(candidates: DataFrame, seeds: DataFrame) -> DataFrame:
     """Without tracks that have a seed's canonical title and share an artist with it (or either names none)."""
-    keys = seeds.select(canonical_title("track_name").alias("seed_title"), F.col("artists").alias("seed_artists"))
-    rows = candidates.withColumn("__title", canonical_title("track_name"))
+    keys = seeds.select(_canonical(seeds).alias("seed_title"), F.col("artists").alias("seed_artists"))
+    rows = candidates.withColumn("__title", _canonical(candidates))
     same = (F.col("__title") == F.col("seed_title")) & (F.col("__title") != "")
     meet = (F.size("artists") == 0) | (F.size("seed_artists") == 0) | F.coalesce(F.arrays_overlap("artists", "seed_artists"), F.lit(False))
     return rows.join(F.broadcast(keys), same & meet, "left_anti").drop("__title")
@@ -204,7 +209,8 @@ def candidates(tracks: DataFrame, seeds: DataFrame, w: Weights, options: Options
     keep = keep_of(options, len(set(own)))
     reach = max(2 * keep, keep + 1000) if options.overfetch == "index" else keep
     # rankings carry only what filters need; vectors and names join what is left of them
-    rows = with_similarities(with_affinity(tracks, seeds), seeds, options).select("idx", "count", "artists", "track_name", "recent", "whole", "affinity", "popularity")
+    rows = with_similarities(with_affinity(tracks, seeds), seeds, options)
+    rows = rows.select("idx", "count", "artists", "title_key" if "title_key" in tracks.columns else "track_name", "recent", "whole", "affinity", "popularity")
 
     often = F.col("count") >= options.min_count
     near = without_seeds(nearest(rows, "recent", reach).unionByName(nearest(rows, "whole", reach)), seeds)

@@ -431,12 +431,12 @@ def _entries(spark, sf):
     return coverage.entries(rows.withColumn("raw", F.when(F.col("artist") == "", F.col("title")).otherwise(F.concat_ws(" - ", "artist", "title"))))
 
 
-def _found(spark, sf):
-    return coverage.candidates(b.covered_occurrences(spark, sf), _entries(spark, sf), b.ORDER)
+def _found(spark, sf, examples=True):
+    return coverage.candidates(b.covered_occurrences(spark, sf), _entries(spark, sf), b.ORDER, examples)
 
 
 def _matches(spark, sf):
-    return coverage.choose_matches(_entries(spark, sf), _found(spark, sf))
+    return coverage.choose_matches(_entries(spark, sf), _found(spark, sf, examples=False))
 
 
 @query

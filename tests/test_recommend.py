@@ -41,3 +41,14 @@ def test_unknown_seeds_and_bad_options(spark, tracks):
 def test_plans_do_not_shuffle_the_catalogue(spark, tracks):
     plan = recommend.without_duplicates(tracks, recommend.known_seeds(tracks, b.seeds(spark)))._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "LeftAnti" in plan
+
+
+def test_a_seed_of_other_letters_is_a_duplicate(spark):
+    """Composed and decomposed accents and ligatures are one title, by stored keys and without them."""
+    from segue.operators import catalog, recommend
+
+    rows = [(0, "Cafe\u0301 (Live)", "A"), (1, "Café", "A & B"), (2, "\ufb01re", "A"), (3, "Fire - Remastered", "A"), (4, "Fire", "C"), (5, "caf", "")]
+    tracks = catalog.with_keys(spark.createDataFrame(rows, "idx long, track_name string, artist_name string"))
+    for own in (tracks, tracks.drop("title_key")):
+        left = recommend.without_duplicates(own, own.where("idx IN (0, 2)"))
+        assert sorted(r["idx"] for r in left.collect()) == [4]

@@ -299,3 +299,18 @@ def test_stream_counts_go_on(spark, sf_dir, tmp_path):
     closed = batch.where(F.col("window_start").cast("double") + 3600 <= last - 3600)
     key = lambda df: sorted(map(tuple, df.select("window_start", "event_type", "n").collect()))
     assert key(told) == key(closed) and closed.count() > 0
+
+
+def test_a_title_of_many_tracks_and_many_wants(spark):
+    """Ten thousand tracks and as many wants of one title meet by artists, not all with all: a hundred million pairs."""
+    found = spark.range(10_000).select(F.lit("t").alias("title_key"), F.concat(F.lit("u"), "id").alias("track_uri"), F.lit("T").alias("track_name"), F.col("id").cast("string").alias("artist_name"), (F.col("id") % 7).alias("occurrences"), F.struct(F.lit(0).alias("f"), F.col("id").alias("p"), F.lit(0).alias("i")).alias("first"))
+    found = found.withColumn("artist_tokens", F.array(F.concat(F.lit("a"), F.col("artist_name"))))
+    wanted = spark.range(10_000).select(F.col("id").alias("ord"), F.lit("raw").alias("raw"), F.lit("x").alias("artist"), F.lit("t").alias("title_key"), F.lit(False).alias("has_cyrillic"))
+    token = lambda n: F.concat(F.lit("a"), n.cast("string"))
+    wanted = wanted.withColumn("artist_tokens", F.when(F.col("ord") < 5000, F.array(token(F.col("ord")))).when(F.col("ord") < 8000, F.array(token(F.col("ord")), token(F.col("ord") + 1))).otherwise(F.array(F.lit("nobody"))))
+    rows = {r["ord"]: r for r in coverage.choose_matches(wanted, found).collect()}
+    assert len(rows) == 10_000 and all(r["candidate_count"] == 10_000 for r in rows.values())
+    assert all(rows[i]["track_uri"] == f"u{i}" and rows[i]["method"] == "exact_title_same_artist_set" for i in range(5000))
+    best = lambda i: i if i % 7 > (i + 1) % 7 else i + 1
+    assert all(rows[i]["track_uri"] == f"u{best(i)}" and rows[i]["confidence"] == 0.92 for i in range(5000, 8000))
+    assert all(rows[i]["track_uri"] is None and rows[i]["method"] == "ambiguous_title" for i in range(8000, 10_000))

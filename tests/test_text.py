@@ -42,6 +42,11 @@ def test_keys_compose_accents(spark):
     assert row["k"] == fx.folded("Café") == "caf" and row["a"] == ["fire", "sigur r s"] and row["c"] == "0.123"
 
 
+def test_canonical_titles_of_any_letters(spark):
+    df = spark.createDataFrame([("\ufb01re (Live)", "fire"), ("Cafe\u0301 - Remix", "caf"), ("Café", "caf"), ("\uff11\uff12\uff13 Demo", "123"), ("½ Moon (Radio Edit)", "1 2 moon")], "t string, want string")
+    assert [r["c"] for r in df.select(fx.canonical_title("t").alias("c")).collect()] == [r["want"] for r in df.collect()]
+
+
 def test_canonical_titles_lines_and_formats(spark):
     df = spark.createDataFrame([("Song (Live) - Remastered Version", "a - b - c", 3723), ("Live", "only title", 61), (None, "x - ", 5)], "t string, line string, s int")
     artist, title = fx.split_line("line")
