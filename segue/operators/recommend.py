@@ -13,10 +13,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from segue.functions.text import canonical_title, explanation, without_variants
 from segue.functions.vectors import FLOOR, dot, mean_vector, normalized
 from segue.operators.ranking import with_rank
+from segue.operators.vector_index import Index, Request, ranked
 
 # Most seeds of a request, and seeds whose similarities are averaged.
 MOST_SEEDS, SUPPORT_SEEDS = 5000, 5
@@ -99,20 +101,38 @@ def loaded(tracks: DataFrame | None) -> DataFrame:
     return tracks
 
 
+SEED_COLUMNS = ("idx", "track_uri", "track_name", "artists", "embedding")
+
+
+def _known_rows(tracks: DataFrame, seeds: DataFrame) -> tuple[pa.Table, list[dict]]:
+    """The tracks of seeds (ord, track_uri) in order, as a table and as rows with their canonical titles.
+
+    A request has MOST_SEEDS seeds at most, which is looked at before anything is sent to tasks; the catalogue is
+    asked for their uris, which its files filter by.
+    """
+    asked = sorted(seeds.select("ord", "track_uri").limit(MOST_SEEDS + 1).collect())
+    if len(asked) > MOST_SEEDS:
+        raise ValueError(f"more than {MOST_SEEDS} seeds")
+    columns = [*SEED_COLUMNS, *[c for c in ("title_key",) if c in tracks.columns]]
+    found = tracks.where(F.col("track_uri").isin(sorted({r["track_uri"] for r in asked if r["track_uri"]}))).select(*columns, _canonical(tracks).alias("__canonical")).toArrow()
+    place: dict[str, list[int]] = {}
+    for i, uri in enumerate(found.column("track_uri").to_pylist()):
+        place.setdefault(uri, []).append(i)
+    order = [(r["ord"], i) for r in asked for i in place.get(r["track_uri"], ())]
+    table = found.take(pa.array([i for _, i in order], pa.int64()))
+    table = table.add_column(0, "ord", pa.array([o for o, _ in order], pa.int64() if isinstance(seeds.schema["ord"].dataType, LongType) else pa.int32()))
+    return table, table.to_pylist()
+
+
 def known_seeds(tracks: DataFrame, seeds: DataFrame) -> DataFrame:
     """The tracks of seeds (ord, track_uri) in order; repeats stay, unknown uris go.
 
-    A request has MOST_SEEDS seeds at most, which is looked at before they are sent to every task. Their tracks are a
-    table of the driver, so that what is made of them alone needs no job.
+    They are a table of the driver, so that what is made of them alone needs no job.
     """
-    asked = seeds.limit(MOST_SEEDS + 1).toArrow()
-    if asked.num_rows > MOST_SEEDS:
-        raise ValueError(f"more than {MOST_SEEDS} seeds")
-    spark = tracks.sparkSession
-    wanted = spark.createDataFrame(asked) if asked.num_rows else seeds
-    found = tracks.join(F.broadcast(wanted), "track_uri").select("ord", "idx", "track_uri", "track_name", "artists", "embedding", *[c for c in ("title_key",) if c in tracks.columns])
-    rows = found.toArrow()
-    return spark.createDataFrame(rows.sort_by("ord")) if rows.num_rows else found.limit(0)
+    rows = _known_rows(tracks, seeds)[0].drop_columns(["__canonical"])
+    if rows.num_rows:
+        return tracks.sparkSession.createDataFrame(rows)
+    return seeds.select("ord").crossJoin(tracks.select(*[c for c in rows.column_names if c != "ord"])).limit(0)
 
 
 def recent(seeds: DataFrame, k: int, side: str = "first") -> DataFrame:
@@ -126,11 +146,16 @@ def playlist_vector(seeds: DataFrame) -> DataFrame:
     return mean_vector(seeds).select(normalized(F.col("mean")).alias("mean"))
 
 
-def _query_vector(rows: list, k: int = 0, side: str = "first") -> Column:
-    """The mean vector of the first or last k of the seeds' rows (all, if k is 0), scaled to length one, as a constant."""
+def _mean_query(rows: list, k: int = 0, side: str = "first") -> np.ndarray:
+    """The mean vector of the first or last k of the seeds' rows (all, if k is 0), scaled to length one."""
     rows = sorted(rows, key=lambda r: r["ord"], reverse=side == "last")
     mean = np.mean([r["embedding"] for r in (rows[:k] if k > 0 else rows)], axis=0)
-    return F.expr("array(" + ", ".join(f"{float(x)!r}D" for x in mean / max(float(np.linalg.norm(mean)), FLOOR)) + ")")
+    return mean / max(float(np.linalg.norm(mean)), FLOOR)
+
+
+def _query_vector(rows: list, k: int = 0, side: str = "first") -> Column:
+    """_mean_query as a constant."""
+    return F.expr("array(" + ", ".join(f"{float(x)!r}D" for x in _mean_query(rows, k, side)) + ")")
 
 
 def _one_row(df: DataFrame, **columns) -> DataFrame:
@@ -139,9 +164,10 @@ def _one_row(df: DataFrame, **columns) -> DataFrame:
     return df.sparkSession.createDataFrame(pa.Table.from_arrays(arrays, names=list(columns)))
 
 
-def artist_weights(seeds: DataFrame) -> dict[str, float]:
-    """Of every artist the seeds that name it, over the most of any artist."""
-    counted = Counter(a for r in seeds.select("artists").collect() for a in r["artists"])
+def artist_weights(seeds: DataFrame | list) -> dict[str, float]:
+    """Of every artist the seeds that name it, over the most of any artist. seeds are a table or rows."""
+    rows = seeds if isinstance(seeds, list) else seeds.select("artists").collect()
+    counted = Counter(a for r in rows for a in r["artists"])
     most = max(counted.values(), default=1)
     return {a: n / most for a, n in counted.items()}
 
@@ -201,34 +227,51 @@ def keep_of(options: Options, distinct_seeds: int) -> int:
     return max(options.pool, options.top_n + distinct_seeds + 100)
 
 
+def _request(rows: list, w: Weights, options: Options, favorites: dict[str, float]) -> Request:
+    """What a pass over the catalogue needs to know of the seeds, MOST_SEEDS at most."""
+    own = {r["idx"] for r in rows}
+    keep = keep_of(options, len(own))
+    titles: dict[str, list[frozenset[str]]] = {}
+    for r in rows if options.duplicates else ():
+        if r["__canonical"]:
+            titles.setdefault(r["__canonical"], []).append(frozenset(r["artists"]))
+    return Request(
+        recent=_mean_query(rows, options.recent_k, options.side),
+        whole=_mean_query(rows),
+        seeds=np.array([r["embedding"] for r in rows], np.float64),
+        support=SUPPORT_SEEDS,
+        own=np.array(sorted(own), np.int64),
+        artists=favorites,
+        titles=titles,
+        reach=max(2 * keep, keep + 1000) if options.overfetch == "index" else keep,
+        pool=max(options.pool, options.top_n + 100) if w.favorite > 0 else 0,
+        min_count=options.min_count,
+    )
+
+
 def candidates(tracks: DataFrame, seeds: DataFrame, w: Weights, options: Options) -> DataFrame:
-    """Distinct candidates from the rankings by recent, whole and favourite artists, with popularity and affinity."""
-    own = [r["idx"] for r in seeds.select("idx").collect()]  # MOST_SEEDS at most
-    if not own:
+    """Distinct candidates from the rankings by recent, whole and favourite artists, with their components.
+
+    The catalogue is read once. seeds are those of known_seeds.
+    """
+    return _candidates(tracks, seeds.withColumn("__canonical", _canonical(seeds)).collect(), w, options)
+
+
+def _candidates(tracks: DataFrame, rows: list, w: Weights, options: Options) -> DataFrame:
+    if not rows:
         raise NoSeeds("no seed is in the catalogue")
-    keep = keep_of(options, len(set(own)))
-    reach = max(2 * keep, keep + 1000) if options.overfetch == "index" else keep
-    # rankings carry only what filters need; vectors and names join what is left of them
-    rows = with_similarities(with_affinity(tracks, seeds), seeds, options)
-    rows = rows.select("idx", "count", "artists", "title_key" if "title_key" in tracks.columns else "track_name", "recent", "whole", "affinity", "popularity")
-
-    often = F.col("count") >= options.min_count
-    near = without_seeds(nearest(rows, "recent", reach).unionByName(nearest(rows, "whole", reach)), seeds)
-    near = near.where(often | (F.col("affinity") > 0)) if w.favorite > 0 else near.where(often)
-    found = without_duplicates(near, seeds) if options.duplicates else near
-    if w.favorite > 0:
-        pool = without_seeds(rows.where("affinity > 0"), seeds)
-        found = found.unionByName(favorite_pool(without_duplicates(pool, seeds) if options.duplicates else pool, max(options.pool, options.top_n + 100)))
-    parts = ["recent", "whole", "affinity", "popularity"]
-    found = found.groupBy("idx").agg(*[F.max(c).alias(c) for c in parts])
-    rest = [c for c in tracks.columns if c not in ("idx", *parts)]
-    return tracks.select("idx", *rest).join(found, "idx")
-
-
-def hybrid(tracks: DataFrame, seeds: DataFrame, w: Weights = Weights(), options: Options = Options()) -> DataFrame:
-    """The top_n candidates with rank, score, components and explanation. tracks need popularity; seeds are (ord, track_uri)."""
-    own = known_seeds(tracks, seeds)
-    rows = with_support(candidates(tracks, own, w, options), own)
+    request = _request(rows, w, options, artist_weights(rows))
+    return ranked(tracks.withColumn("__canonical", _canonical(tracks)), request, "__canonical")
+
+
+def hybrid(tracks: DataFrame, seeds: DataFrame, w: Weights = Weights(), options: Options = Options(), index: Index | None = None) -> DataFrame:
+    """The top_n candidates with rank, score, components and explanation. tracks need popularity; seeds are (ord, track_uri).
+
+    With an index that is not ready, rankings are read no further than they are kept.
+    """
+    if index is not None and options.overfetch != index.overfetch:
+        options = replace(options, overfetch=index.overfetch)
+    rows = _candidates(tracks, _known_rows(tracks, seeds)[1], w, options)
     score: Column = w.recent * F.col("recent") + w.whole * F.col("whole") + w.support * F.col("support") + w.popularity * F.col("popularity") + w.favorite * F.col("affinity")
     rows = rows.withColumn("score", score)
     best = with_rank(rows.orderBy(F.desc("score"), "idx").limit(options.top_n), [F.desc("score"), F.col("idx")])
@@ -238,8 +281,8 @@ def hybrid(tracks: DataFrame, seeds: DataFrame, w: Weights = Weights(), options:
 
 def simple(tracks: DataFrame, seeds: DataFrame, top_n: int = 20) -> DataFrame:
     """The top_n tracks nearest to the mean of all seeds, without the seeds."""
-    own = known_seeds(tracks, seeds)
-    if own.isEmpty():
+    own = _known_rows(tracks, seeds)[1]
+    if not own:
         raise NoSeeds("no seed is in the catalogue")
-    rows = without_seeds(tracks, own).withColumn("score", dot(F.col("embedding"), _query_vector(own.select("ord", "embedding").collect())))
+    rows = tracks.where(~F.col("idx").isin(sorted({r["idx"] for r in own}))).withColumn("score", dot(F.col("embedding"), _query_vector(own)))
     return with_rank(rows.orderBy(F.desc("score"), "idx").limit(top_n), [F.desc("score"), F.col("idx")])
