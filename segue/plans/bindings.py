@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from segue.operators.catalog import with_keys
 from segue.operators.corpus import popularity
+from segue.operators.search_index import index_rows
 from segue.sources.stored import kept
 
 #: Seeds of the registered recommendations: (ord, part); one twice, one unknown.
@@ -69,6 +70,11 @@ def all_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept(spark, ("all-tracks", sf_dir), lambda: _catalogue(spark, sf_dir, dealt), "catalogue")
 
 
+def word_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored search index of all_tracks."""
+    return kept(spark, ("words", sf_dir), lambda: index_rows(all_tracks(spark, sf_dir)), "word-index")
+
+
 def covered_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """named_occurrences in which every eleventh part has a title of its own."""
     own = F.when(F.col("part") % 11 == 0, F.concat_ws(" ", "track_name", "part")).otherwise(F.col("track_name"))

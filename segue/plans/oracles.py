@@ -148,6 +148,16 @@ metrics AS (SELECT query, coalesce(found, 0) / total AS recall, coalesce(found,
 ALL_TRACKS = TRACKS.replace("JOIN embeddings ON vec_id = part", "JOIN embeddings ON vec_id = part % (SELECT max(vec_id) + 1 FROM embeddings)")
 
 
+def indexed_search(query: str, limit: int, offset: int) -> str:
+    """A page ranked among the tracks with a word that begins with one of the query's, or among all if those are too few."""
+    most = min(max(offset + limit + 1, 500), 5101)
+    begins = " OR ".join(f"starts_with(t, '{w}')" for w in query.split())
+    return f"""WITH {ALL_TRACKS}, s AS (SELECT idx, track_name, count, {_ladder(query)} AS score, len(list_filter(string_split(artist_key || ' ' || title_key, ' '), lambda t: {begins})) > 0 AS held FROM tracks),
+        enough AS (SELECT count(*) FILTER (held AND score > 0) >= {most} AS yes FROM s),
+        ranked AS (SELECT idx, track_name, score, s.count, row_number() OVER (ORDER BY score DESC, s.count DESC, idx) - 1 AS place FROM s, enough WHERE score > 0 AND (held OR NOT yes))
+        SELECT place, idx, track_name, score, count, (SELECT count(*) FROM ranked) > {offset + limit} AS has_more FROM ranked WHERE place >= {offset} AND place < {offset + limit}"""
+
+
 ORACLES: dict[str, str] = {
     "normalize_text": f"SELECT doc_id, md5({norm('coalesce(text, chr(32))')}) AS normalized FROM documents",
     "split_artists": "SELECT p_partkey, array_to_string(" + artists("p_brand || ' feat. ' || p_type || ' & ' || p_name") + ", ',') AS artists FROM part",
@@ -265,6 +275,11 @@ ORACLES: dict[str, str] = {
     "first_score": f"""WITH {rows_with("ord < 2")}, t AS (SELECT idx, recent, whole, popularity, (album_name IN (SELECT album_name FROM own))::INT::DOUBLE AS tag FROM rows)
         SELECT idx, round(0.35 * recent + 0.25 * whole + 0.20 * tag + 0.10 * (1 - popularity) + 0.10 * recent * whole, 6) AS score, round(0.5 * recent + 0.3 * tag + 0.2 * tag, 6) AS plain_score FROM t""",
     "cross_catalogue": f"""WITH {TRACKS} SELECT x.idx AS left_id, y.idx + 1000000 AS right_id FROM tracks x JOIN tracks y USING (title_key, artist_key) WHERE abs(x.idx * 1000 - (y.idx * 1000 + y.idx % 6 * 1000)) <= 3000""",
+    "search_words": f"""WITH {ALL_TRACKS}, t AS (SELECT idx, unnest(string_split(artist_key || ' ' || title_key, ' ')) AS token FROM tracks)
+        SELECT DISTINCT idx FROM t WHERE starts_with(token, 'sm') OR starts_with(token, 'econ')""",
+    "search_indexed": indexed_search("brand 2", 20, 10),
+    "search_indexed_words": indexed_search("small econ", 30, 460),
+    "search_fallback": indexed_search("mall rin", 20, 0),
     "search_has_more": f"WITH {TRACKS}, s AS (SELECT count(*) FILTER ({_ladder('brand 2')} > 0) AS n FROM tracks) SELECT o AS \"offset\", z AS size, n > o + z AS has_more FROM s, (VALUES (0, 20), (40, 100), (5000, 100)) p(o, z)",
     "token_postings": f"WITH {TRACKS} SELECT DISTINCT unnest(string_split(artist_key || ' ' || title_key, ' ')) AS token, idx FROM tracks",
     "artist_postings": f"WITH {TRACKS} SELECT unnest(artists) AS artist, idx FROM tracks",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from segue.functions import text as fx
 from segue.functions.vectors import dot
-from segue.operators import analytics, catalog, corpus, coverage, match, pairs, playlist, recommend, search, train
+from segue.operators import analytics, catalog, corpus, coverage, match, pairs, playlist, recommend, search, search_index, train
 from segue.plans import bindings as b
 from segue.plans.oracles import ORACLES
 
@@ -268,9 +268,27 @@ def search_page(spark, sf):
 def search_has_more(spark, sf):
     """Whether there is a page behind one, for three pages of one search."""
     tracks = b.tracks(spark, sf)
-    found = search.scored(tracks, "Brand 2").agg(F.count("*").alias("n"))
-    pages = spark.createDataFrame([(0, 20), (40, 100), (5000, 100)], "offset long, size long")
-    return pages.crossJoin(F.broadcast(found)).select("offset", "size", (F.col("n") > F.col("offset") + F.col("size")).alias("has_more"))
+    rows = [(offset, size, search.has_more(tracks, "Brand 2", size, offset)) for offset, size in ((0, 20), (40, 100), (5000, 100))]
+    return spark.createDataFrame(rows, "offset long, size long, has_more boolean")
+
+
+@query
+def search_words(spark, sf):
+    """The tracks of every part that the words of a query find, however far they are from the top."""
+    return search_index.found_by_words(b.word_index(spark, sf), "sm econ").select("idx")
+
+
+def _searched(query: str, limit: int, offset: int):
+    def run(spark, sf):
+        page = search_index.search(b.all_tracks(spark, sf), b.word_index(spark, sf), query, limit, offset)
+        return search_index.with_tracks(page, b.all_tracks(spark, sf)).select("place", "idx", "track_name", "score", "count", F.lit(page.has_more).alias("has_more"))
+
+    return run
+
+
+QUERIES["search_indexed"] = _searched("Brand 2", 20, 10)
+QUERIES["search_indexed_words"] = _searched("small econ", 30, 460)
+QUERIES["search_fallback"] = _searched("mall rin", 20, 0)
 
 
 # -- matching ----------------------------------------------------------------------------------------------------
