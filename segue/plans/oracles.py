@@ -148,6 +148,10 @@ metrics AS (SELECT query, coalesce(found, 0) / total AS recall, coalesce(found,
 ALL_TRACKS = TRACKS.replace("JOIN embeddings ON vec_id = part", "JOIN embeddings ON vec_id = part % (SELECT max(vec_id) + 1 FROM embeddings)")
 
 
+MISSPELT = f"""{ALL_TRACKS}, spelt AS (SELECT p_partkey AS ord, {norm("substr(p_name, 1, (p_partkey % 5 + 1)::INT) || substr(p_name, (p_partkey % 5 + 3)::INT) || CASE WHEN p_partkey % 3 = 0 THEN right(p_name, 2) ELSE '' END")} AS title_key,
+    {artists("CASE WHEN p_partkey % 4 = 0 THEN 'someone' ELSE p_brand END")} AS artists FROM part), wanted AS (SELECT *, {grams("title_key")} AS g FROM spelt)"""
+
+
 def indexed_search(query: str, limit: int, offset: int) -> str:
     """A page ranked among the tracks with a word that begins with one of the query's, or among all if those are too few."""
     most = min(max(offset + limit + 1, 500), 5101)
@@ -294,6 +298,13 @@ ORACLES: dict[str, str] = {
         f AS (SELECT query, fold, count(*) AS found, sum(1 / log2(rank + 1)) AS dcg, sum(hits / rank) AS ps, min(rank) AS first FROM h GROUP BY 1, 2)
         SELECT query, fold, round(coalesce(found, 0) / total, 6) AS recall, round(coalesce(found, 0) / 10, 6) AS precision, round(coalesce(dcg, 0) / list_sum(list_transform(range(1, least(10, total) + 1), lambda i: 1 / log2(i + 1))), 6) AS ndcg,
         round(coalesce(ps, 0) / least(10, total), 6) AS ap, round(coalesce(1 / first, 0), 6) AS rr, (coalesce(found, 0) > 0)::INT AS hit FROM tot LEFT JOIN f USING (query, fold)""",
+    "fuzzy_join": f"""WITH {MISSPELT} SELECT l.title_key AS left_title, r.title_key AS right_title, round(len(list_intersect(l.g, r.g)) / len(list_distinct(l.g || r.g)), 6) AS similarity
+        FROM (SELECT DISTINCT title_key, g FROM wanted) l, (SELECT DISTINCT title_key, {grams("title_key")} AS g FROM tracks) r WHERE len(list_intersect(l.g, r.g)) / len(list_distinct(l.g || r.g)) >= 0.45""",
+    "fuzzy_match": f"""WITH {MISSPELT}, titles AS (SELECT DISTINCT title_key, {grams("title_key")} AS g FROM tracks),
+        near AS (SELECT l.title_key AS l, r.title_key AS r, len(list_intersect(l.g, r.g)) / len(list_distinct(l.g || r.g)) AS p FROM (SELECT DISTINCT title_key, g FROM wanted) l, titles r),
+        best AS (SELECT ord, idx, round(p, 6) AS similarity, list_has_any(t.artists, w.artists) AS artist_meets, row_number() OVER (PARTITION BY ord ORDER BY p DESC, NOT list_has_any(t.artists, w.artists), t.count DESC, idx) AS n
+            FROM wanted w JOIN near ON l = w.title_key AND p >= 0.45 JOIN tracks t ON t.title_key = r)
+        SELECT ord, idx, similarity, artist_meets FROM best WHERE n = 1""",
     "fuzzy_titles": f"""WITH {TRACKS}, g AS (SELECT idx, {grams("title_key")} AS a, {grams("'smal rings'")} AS b FROM tracks),
         s AS (SELECT idx, len(list_intersect(a, b)) / len(list_distinct(a || b)) AS p FROM g) SELECT idx, round(p, 6) AS similarity FROM s WHERE p >= 0.3""",
 }

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from segue.functions import text as fx
 from segue.functions.vectors import dot
-from segue.operators import analytics, catalog, corpus, coverage, match, pairs, playlist, recommend, search, search_index, train
+from segue.operators import analytics, catalog, corpus, coverage, fuzzy, match, pairs, playlist, recommend, search, search_index, train
 from segue.plans import bindings as b
 from segue.plans.oracles import ORACLES
 
@@ -712,6 +712,27 @@ def fuzzy_titles(spark, sf):
     return analytics.fuzzy_titles(b.tracks(spark, sf), "smal rings").select("idx", F.round("similarity", 6).alias("similarity"))
 
 
+def _misspelt(spark, sf):
+    """Every part as a wanted song with a letter left out and two at the end doubled."""
+    k = F.col("p_partkey")
+    title = F.concat(F.expr("substr(p_name, 1, p_partkey % 5 + 1)"), F.expr("substr(p_name, p_partkey % 5 + 3)"), F.when(k % 3 == 0, F.expr("right(p_name, 2)")).otherwise(""))
+    rows = b.table(spark, sf, "part").select(k.alias("ord"), title.alias("title"), F.when(k % 4 == 0, "someone").otherwise(F.col("p_brand")).alias("artist"))
+    return rows.select("ord", fx.text_key("title").alias("title_key"), fx.artists_key("artist").alias("artists"))
+
+
+@query
+def fuzzy_join(spark, sf):
+    """All pairs of misspelt and known titles that are alike."""
+    found = fuzzy.similar_titles(_misspelt(spark, sf), b.all_tracks(spark, sf), 0.45)
+    return found.select("left_title", "right_title", F.round("similarity", 6).alias("similarity"))
+
+
+@query
+def fuzzy_match(spark, sf):
+    found = fuzzy.fuzzy_match(_misspelt(spark, sf), b.all_tracks(spark, sf), 0.45)
+    return found.select("ord", "idx", F.round("similarity", 6).alias("similarity"), "artist_meets")
+
+
 @query
 def item_clusters(spark, sf):
     return analytics.clusters(b.tracks(spark, sf))
