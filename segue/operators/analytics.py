@@ -2,11 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import partial
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -21,65 +16,6 @@ def similar(tracks: DataFrame, idx: int, n: int = 10) -> DataFrame:
     return rows.orderBy(F.desc("similarity"), "idx").limit(n)
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
-
-
-def _block_best(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    """Rows (left block, right block, side, idx, vector) come by blocks and side; the best n of side 1 for each of side 0."""
-    held: list[pa.RecordBatch] = []
-    key = None
-
-    def done() -> Iterator[pa.RecordBatch]:
-        rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-        side, ids = rows.column(2).to_numpy(), rows.column(3).to_numpy()
-        matrix = _matrix(rows.column(4))
-        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        if not left.size or not right.size:
-            return
-        right = right[np.argsort(ids[right])]
-        for at in range(0, left.size, 512):
-            part = left[at : at + 512]
-            products = matrix[part] @ matrix[right].T
-            products[ids[part][:, None] == ids[right][None, :]] = -np.inf
-            best = np.argsort(-products, axis=1, kind="stable")[:, :n]  # ties by idx
-            values = np.take_along_axis(products, best, 1)
-            own, found = np.repeat(ids[part], best.shape[1]), ids[right][best].ravel()
-            keep = np.isfinite(values.ravel())
-            yield pa.RecordBatch.from_arrays([pa.array(own[keep]), pa.array(found[keep]), pa.array(values.ravel()[keep])], names=["idx", "neighbor", "similarity"])
-
-    for batch in batches:
-        blocks = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()], axis=1)
-        cuts = [0, *(np.flatnonzero((blocks[1:] != blocks[:-1]).any(axis=1)) + 1).tolist(), len(blocks)]
-        for lo, hi in zip(cuts, cuts[1:]):
-            if hi > lo:
-                if held and key != tuple(blocks[lo]):
-                    yield from done()
-                    held = []
-                key = tuple(blocks[lo])
-                held.append(batch.slice(lo, hi - lo))
-    if held:
-        yield from done()
-
-
-def neighbor_table(tracks: DataFrame, n: int = 10, block: int = 4096) -> DataFrame:
-    """(idx, rank, neighbor, similarity): the n nearest of every track.
-
-    All pairs are work that grows with the square of the catalogue, so it is dealt out: vectors are cut into blocks by
-    a hash, a task multiplies two blocks as matrices and keeps the best n of every row, and those meet by row. A task
-    holds two blocks, whatever the catalogue's size.
-    """
-    blocks = -(-tracks.count() // block) or 1
-    rows = tracks.select("idx", F.col("embedding").cast("array<double>").alias("v")).withColumn("b", F.pmod(F.xxhash64("idx"), F.lit(blocks)).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = rows.select(F.col("b").alias("l"), other.alias("r"), F.lit(0).alias("side"), "idx", "v")
-    right = rows.select(other.alias("l"), F.col("b").alias("r"), F.lit(1).alias("side"), "idx", "v")
-    dealt = left.union(right).repartition("l", "r").sortWithinPartitions("l", "r")
-    best = dealt.mapInArrow(partial(_block_best, n=n), "idx long, neighbor long, similarity double")
-    rank = F.row_number().over(Window.partitionBy("idx").orderBy(F.desc("similarity"), "neighbor"))
-    return best.withColumn("rank", rank).where(F.col("rank") <= n).select("idx", "rank", "neighbor", "similarity")
-
-
 def _sums(members: DataFrame) -> DataFrame:
     """(pid, n, s, q): how many vectors each playlist has, their sum, and the sum of their squared lengths, added up before the shuffle."""
     first = members.select(F.size("embedding").alias("d")).first()

@@ -256,7 +256,9 @@ ORACLES: dict[str, str] = {
     "playlist_pending": f"WITH {AFTER} SELECT ord, track_name FROM after_matching WHERE status = 'unverified'",
     "similar_items": f"WITH {TRACKS} SELECT t.idx, round(list_inner_product(t.v, o.v), 6) AS similarity FROM tracks t, tracks o WHERE o.idx = 42 AND t.idx <> 42 ORDER BY list_inner_product(t.v, o.v) DESC, t.idx LIMIT 10",
     "neighbor_table": f"""WITH {TRACKS}, s AS (SELECT t.idx, o.idx AS neighbor, list_inner_product(t.v, o.v) AS p FROM tracks t JOIN tracks o ON t.idx <> o.idx),
-        k AS (SELECT *, row_number() OVER (PARTITION BY idx ORDER BY p DESC, neighbor) AS rank FROM s) SELECT idx, rank, neighbor, round(p, 6) AS similarity FROM k WHERE rank <= 5""",
+        k AS (SELECT *, row_number() OVER (PARTITION BY idx ORDER BY p DESC, neighbor) AS rank FROM s) SELECT idx, rank, neighbor, round(p, 6) AS similarity, 'embedding' AS source FROM k WHERE rank <= 5""",
+    "neighbor_update": f"""WITH {TRACKS}, s AS (SELECT t.idx, o.idx AS neighbor, list_inner_product(t.v, o.v) AS p FROM tracks t JOIN tracks o ON t.idx <> o.idx),
+        k AS (SELECT *, row_number() OVER (PARTITION BY idx ORDER BY p DESC, neighbor) AS rank FROM s) SELECT idx, rank, neighbor, round(p, 6) AS similarity, 'embedding' AS source FROM k WHERE rank <= 5""",
     "cohesion": f"""WITH {MEMBERS} SELECT x.pid, round(avg(list_inner_product(x.v, y.v)), 6) AS cohesion, round(1 - avg(list_inner_product(x.v, y.v)), 6) + 0.0 AS diversity
         FROM members x JOIN members y ON x.pid = y.pid AND x.pos < y.pos GROUP BY 1""",
     "centrality_outliers": f"""WITH {MEMBERS} SELECT x.pid, x.pos, round(avg(list_inner_product(x.v, y.v)), 6) AS centrality, round(1 - avg(list_inner_product(x.v, y.v)), 6) + 0.0 AS outlier

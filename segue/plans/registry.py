@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from segue.functions import text as fx
 from segue.functions.vectors import dot
-from segue.operators import analytics, catalog, corpus, coverage, fuzzy, match, pairs, playlist, recommend, search, search_index, train
+from segue.operators import analytics, catalog, corpus, coverage, fuzzy, match, neighbors, pairs, playlist, recommend, search, search_index, train
 from segue.plans import bindings as b
 from segue.plans.oracles import ORACLES
 
@@ -574,7 +574,15 @@ def similar_items(spark, sf):
 
 @query
 def neighbor_table(spark, sf):
-    return analytics.neighbor_table(b.tracks(spark, sf), 5).select("idx", "rank", "neighbor", F.round("similarity", 6).alias("similarity"))
+    return neighbors.neighbor_table(b.tracks(spark, sf), 5).withColumn("similarity", F.round("similarity", 6))
+
+
+@query
+def neighbor_update(spark, sf):
+    """The table of two thirds of the tracks, brought up to date with the last third."""
+    tracks = b.tracks(spark, sf).select("idx", "embedding")
+    old, added = tracks.where("idx % 3 <> 0"), tracks.where("idx % 3 = 0")
+    return neighbors.with_added(neighbors.neighbor_table(old, 5), old, added, 5).withColumn("similarity", F.round("similarity", 6))
 
 
 @query
