@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import io
 import json
-from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from segue.functions.vectors import normalized
 from segue.schemas import MODEL, VOCABULARY
+from segue.sources.npy import read_matrix
+
+__all__ = ["catalogue", "export", "read_description", "read_matrix", "read_vectors", "read_vocabulary", "write_description", "write_vectors", "write_vocabulary"]
 
 
 def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
@@ -28,21 +27,6 @@ def write_vocabulary(vocab: DataFrame, path: str) -> None:
     rows.orderBy("idx").write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
-def _matrix_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        for content in frame["content"]:
-            matrix = np.load(io.BytesIO(content), allow_pickle=False)
-            for at in range(0, len(matrix), 10_000):
-                part = matrix[at : at + 10_000]
-                yield pd.DataFrame({"idx": np.arange(at, at + len(part)), "embedding": list(part.astype(np.float64))})
-
-
-def read_matrix(spark: SparkSession, path: str) -> DataFrame:
-    """(idx, embedding) of a .npy matrix, to be written as Parquet once."""
-    files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInPandas(_matrix_rows, "idx long, embedding array<double>")
-
-
 def write_vectors(vectors: DataFrame, path: str) -> None:
     """Vectors and their scaled form, as Parquet."""
     vectors.select("idx", F.col("embedding").cast("array<float>").alias("embedding"), normalized(F.col("embedding")).cast("array<float>").alias("embedding_norm")).write.mode("overwrite").parquet(path)
