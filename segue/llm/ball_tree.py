@@ -46,7 +46,7 @@ ITEM_TERMS = 1 << 18
 PIVOTS, SUBTREE, LEAF = 32, 1024, 32
 #: Numbers in the matrix of a subtree, one document's at least.
 CELLS = 1 << 23
-#: Documents whose vectors the pivots are fitted to; they shape the tree, not the results.
+#: Documents, about, whose vectors the pivots are fitted to; they shape the tree, not the results.
 SAMPLE = 2048
 #: Bytes of text whose words a task holds.
 HELD = 4_000_000
@@ -380,8 +380,8 @@ def search_block(docs: DataFrame, items: Items, k: int, id_col: str, text_col: s
     corpus = statistics(rows, items.hashes.size)
     if not corpus.terms or not items.terms.size:
         return None
-    # by a hash, so that the sample is the same whenever it is drawn
-    drawn = rows.where("size(terms) > 0").orderBy(F.xxhash64("terms", "n"), "id").limit(SAMPLE).select("n", "terms", "times").collect()
+    # by a hash of the row, so that copies do not come together; about SAMPLE rows, however many tasks there are
+    drawn = rows.where(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(max(corpus.docs, SAMPLE))) < SAMPLE).where("size(terms) > 0").select("n", "terms", "times").collect()
     sample = [(np.array(r["terms"]), corpus.parts(np.full(len(r["terms"]), r["n"]), np.array(r["times"], np.int64))) for r in drawn]
     layout = Layout(sample, items.hashes.size, PIVOTS)
     subtrees = index(rows, context.broadcast(corpus), context.broadcast(layout))
