@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from segue.functions.text import or_empty
-from segue.operators.ranking import with_index
+from segue.operators.ranking import nth_smallest, with_index
 
 #: Where an occurrence stands in the scan of the corpus.
 ORDINAL = ("file_ord", "playlist_ord", "pos")
@@ -30,13 +30,19 @@ def metadata_defaults(df: DataFrame) -> DataFrame:
 def capped(playlists: DataFrame, most: int | None) -> DataFrame:
     """The first playlists of the scan, before any is dropped for its length.
 
-    Only places are ordered, to find the last of them; the playlists themselves are filtered where they are.
+    The file in which the cap falls is found by counts of files, then the place in it by counts of places; the rest is a
+    filter, so nothing is sorted or limited as a whole. Places in a file are distinct.
     """
     if most is None:
         return playlists
-    place = F.struct("file_ord", "playlist_ord")
-    last = playlists.select(place.alias("p")).orderBy("p").limit(most).agg(F.max("p").alias("__last"))
-    return playlists.crossJoin(F.broadcast(last)).where(place <= F.col("__last")).drop("__last")
+    if most <= 0:
+        return playlists.where("false")
+    file = nth_smallest(playlists, "file_ord", most)
+    if file is None:
+        return playlists
+    left = most - playlists.where(F.col("file_ord") < file).count()
+    place = nth_smallest(playlists.where(F.col("file_ord") == file), "playlist_ord", left)
+    return playlists.where((F.col("file_ord") < file) | (F.col("file_ord") == file) & (F.col("playlist_ord") <= place))
 
 
 def sentences(playlists: DataFrame, least: int = 2) -> DataFrame:

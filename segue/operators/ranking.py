@@ -48,3 +48,22 @@ def first_per(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     rest = [c for c in df.columns if c not in keys]
     least = F.min_by(F.struct(*rest), F.struct(*order))
     return df.groupBy(*keys).agg(least.alias("__row")).select(*keys, *[F.col(f"__row.{c}").alias(c) for c in rest])
+
+
+def nth_smallest(df: DataFrame, column: str, n: int, parts: int = 1024) -> int | None:
+    """The n-th smallest value (from 1) of a whole-number column, the largest if there are fewer; None without rows.
+
+    The range of values is cut into parts and counted, then the part that holds the n-th is: a few aggregations of
+    bounded size, no sort.
+    """
+    low, high = df.agg(F.min(column), F.max(column)).first()
+    before = 0
+    while low is not None and low < high:
+        width = -(-(high - low + 1) // parts)
+        own = df.where(F.col(column).between(low, high)).select(F.expr(f"(`{column}` - {low}) div {width}").alias("part"))
+        for part, count in sorted(map(tuple, own.groupBy("part").count().collect())):
+            if before + count >= n:
+                break
+            before += count
+        low, high = low + part * width, min(high, low + (part + 1) * width - 1)
+    return low

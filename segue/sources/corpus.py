@@ -9,35 +9,46 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from segue.schemas import SLICE
+from segue.sources.slices import SPLIT_BYTES, objects
 
 PATTERN = "mpd.slice.*.json"
 
 
+def _slices(spark: SparkSession, folder: str, max_files: int | None) -> list[tuple[str, int]]:
+    """(path, bytes) of the slice files of a folder in order of their names (as text), the first max_files of them."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = sorted((s.getPath().getName(), s.getPath().toString(), s.getLen()) for s in store.listStatus(path) if fnmatch(s.getPath().getName(), PATTERN))
+    if not found:
+        raise FileNotFoundError(f"no {PATTERN} in {folder}")
+    return [(full, size) for _, full, size in found[:max_files]]
+
+
 def list_slices(spark: SparkSession, folder: str, max_files: int | None = None) -> list[str]:
     """The slice files of a folder in order of their names (as text), the first max_files of them.
 
     The folder is listed through Hadoop, so it can be in any store that Spark reads.
     """
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(folder)
-    store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    names = sorted((s.getPath().getName(), s.getPath().toString()) for s in store.listStatus(path) if fnmatch(s.getPath().getName(), PATTERN))
-    if not names:
-        raise FileNotFoundError(f"no {PATTERN} in {folder}")
-    return [full for _, full in names[:max_files]]
+    return [path for path, _ in _slices(spark, folder, max_files)]
 
 
-def read_playlists(spark: SparkSession, folder: str, max_files: int | None = None, max_playlists: int | None = None) -> DataFrame:
+def read_playlists(spark: SparkSession, folder: str, max_files: int | None = None, max_playlists: int | None = None, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """(file_ord, playlist_ord, pid, tracks) of a folder's slices; the cap counts playlists in scan order.
 
-    A slice is one JSON document, so one task reads each; write the result as Parquet once for further passes.
+    A slice is one JSON document. Spark reads small ones whole, a task each; where one is larger than split_bytes, all
+    are cut at their playlists into ranges of that size, a task each. Both give the same rows.
     """
     from segue.operators.corpus import capped
 
-    paths = list_slices(spark, folder, max_files)
-    ords = spark.createDataFrame([(p.rsplit("/", 1)[-1], i) for i, p in enumerate(paths)], "file string, file_ord int")
-    raw = spark.read.option("multiLine", True).schema(SLICE).json(paths).select(F.col("_metadata.file_name").alias("file"), F.posexplode("playlists").alias("playlist_ord", "p"))
-    rows = raw.join(F.broadcast(ords), "file").select("file_ord", "playlist_ord", "p.pid", F.coalesce("p.tracks", F.array().cast(SLICE["playlists"].dataType.elementType["tracks"].dataType)).alias("tracks"))
+    found = _slices(spark, folder, max_files)
+    of_playlist = SLICE["playlists"].dataType.elementType
+    if max(size for _, size in found) > split_bytes:
+        raw = objects(spark, [(i, path, size) for i, (path, size) in enumerate(found)], "playlists", split_bytes).select("file_ord", "playlist_ord", F.from_json("value", of_playlist).alias("p"))
+    else:
+        ords = spark.createDataFrame([(p.rsplit("/", 1)[-1], i) for i, (p, _) in enumerate(found)], "file string, file_ord int")
+        raw = spark.read.option("multiLine", True).schema(SLICE).json([p for p, _ in found]).select(F.col("_metadata.file_name").alias("file"), F.posexplode("playlists").alias("playlist_ord", "p")).join(F.broadcast(ords), "file")
+    rows = raw.select("file_ord", "playlist_ord", "p.pid", F.coalesce("p.tracks", F.array().cast(of_playlist["tracks"].dataType)).alias("tracks"))
     return capped(rows, max_playlists)
 
 
