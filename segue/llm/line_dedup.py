@@ -1,20 +1,23 @@
 """Removal of repeated multi-line chunks, in DataFrame expressions only.
 
-A rolling hash over the hashes of two neighbouring lines slides over every text. Chunk boundaries lie where this hash
-begins or stops to be one that occurs more than once in all texts, so they depend on the lines around them only and
-move along with them: a repeated passage of two or more lines is one chunk, whatever surrounds it. A chunk's lines are
-removed everywhere but at their first place (by id, then place in the text), after their bytes have been compared, two
-lines at a time. A run of empty lines counts as one line; two neighbouring lines that are blank are no chunk. A line
-that belongs to the first place of one pair and to a later place of another goes, as it stands at the other's first
-place. Empty lines at the edge of a passage stay where their number differs. This is `without_passages`.
+A rolling hash over the hashes of two neighbouring lines slides over every text. A window that occurs more than once
+in all texts (by its bytes, once the hash has picked it) has a first place, by id, then place in the text. Chunk
+boundaries lie where windows begin or stop to be repeated, and where their first places stop to follow each other. They
+depend on the lines around them only and move along with them, so a chunk is a passage of two or more lines, as long as
+possible, that stands elsewhere line for line, whatever surrounds it.
+
+Chunks go everywhere but at their first place. Lines of a window that is first where it stands stay, also where a chunk
+ends in them: so the first place of every chunk is left whole, and whatever goes stands somewhere in full. A run of empty
+lines counts as one line; two neighbouring lines that are blank are no window. Empty lines at the edge of a passage stay
+where their number differs. This is `without_passages`.
 
 `without_repeats` is the classic cut, where the same rolling hash is divisible by MODULUS. Its boundaries need no
 table of hashes, but a passage's first and last lines fall into chunks that are mixed with other lines, and a passage
 of few lines may have no chunk of its own.
 
 Defined results: a null text stays null, an empty one empty. Null ids come first. Rows with the same id and text are
-one document; texts of one id come in the order of a hash. Other columns are kept as they are. An empty table gives no
-rows.
+one document; texts of one id come in the order of the start of their MD5. Other columns are kept as they are. An empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -43,6 +46,11 @@ def chunks_of(text_col: str) -> Column:
     return F.expr(f"if(`{text_col}` is null, null, {_let('lines', f'split(`{text_col}`, chr(10), -1)', _let('h', hashes, body))})")
 
 
+def text_order(text_col: str) -> Column:
+    """A number by which texts of one id are ordered, the first 60 bits of the MD5."""
+    return F.expr(f"cast(conv(substr(md5(`{text_col}`), 1, 15), 16, 10) as bigint)")
+
+
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text_hash, gone array<int>): the places of the chunks to remove, of texts that have any."""
     parts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.explode(chunks_of(text_col)).alias("c")).select("id", "text_hash", "c.place", "c.lines", "c.chunk")
@@ -75,32 +83,36 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 UNITS = r"split(`{}`, '(?<!\\n)\\n|\\n(?!\\n)', -1)"
 
 
-def _pairs(docs: DataFrame, id_col: str, text_col: str, chunks: bool) -> DataFrame:
-    """(id, text_hash, place, hash) and, if asked for, chunk of every two neighbouring lines that are not all blank."""
+def _windows(docs: DataFrame, id_col: str, text_col: str, chunks: bool) -> DataFrame:
+    """(id, text_hash, place, hash) and, if asked for, chunk of every two neighbouring lines that are not all blank; hash rolls over the hashes of lines."""
     chunk = ", concat(u[i], chr(10), u[i + 1]) AS chunk" if chunks else ""
-    pair = f"transform(sequence(0, size(u) - 2), i -> struct(i AS place, xxhash64(u[i], u[i + 1]) AS hash, u[i] rlike '\\\\S' OR u[i + 1] rlike '\\\\S' AS told{chunk}))"
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.expr(UNITS.format(text_col)).alias("u")).where("size(u) > 1")
-    return rows.select("id", "text_hash", F.explode(F.expr(pair)).alias("c")).where("c.told").select("id", "text_hash", "c.place", "c.hash", *["c.chunk"] * chunks)
+    window = f"transform(sequence(0, size(u) - 2), i -> struct(i AS place, xxhash64(h[i] * 31 + h[i + 1]) AS hash, u[i] rlike '\\\\S' OR u[i + 1] rlike '\\\\S' AS told{chunk}))"
+    rows = docs.select(F.col(id_col).alias("id"), text_order(text_col).alias("text_hash"), F.expr(UNITS.format(text_col)).alias("u")).where("size(u) > 1")
+    rows = rows.withColumn("h", F.transform("u", lambda line: F.xxhash64(line).bitwiseAND(F.lit((1 << 58) - 1))))
+    return rows.select("id", "text_hash", F.explode(F.expr(window)).alias("c")).where("c.told").select("id", "text_hash", "c.place", "c.hash", *["c.chunk"] * chunks)
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text_hash, gone array<int>): the places of the lines to remove, of texts that have any."""
-    often = written(_pairs(docs, id_col, text_col, False).groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "repeated-hashes")
+    often = written(_windows(docs, id_col, text_col, False).groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "repeated-hashes")
     # as in repeated: a bounded filter first, then what is exact
-    found = written(may_be_held(_pairs(docs, id_col, text_col, True), "hash", filter_words(often, "hash")), "repeated-pairs")
-    first = written(found.groupBy("hash", "chunk").agg(F.min(F.struct("id", "text_hash", "place")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "first-pairs")
-    place, own = F.struct("id", "text_hash", "place"), F.struct("id", "text_hash").eqNullSafe(F.struct("first.id", "first.text_hash"))
-    later = found.join(first, ["hash", "chunk"]).where(~place.eqNullSafe(F.col("first")))
-    overlaps = own & (F.col("place") == F.col("first.place") + 1)  # equal lines in a row: the pair at the first place stays
-    both = F.when(overlaps, F.array(F.col("place") + 1)).otherwise(F.array(F.col("place"), F.col("place") + 1))
-    return later.select("id", "text_hash", F.explode(both).alias("line")).groupBy("id", "text_hash").agg(F.collect_set("line").alias("gone"))
+    found = written(may_be_held(_windows(docs, id_col, text_col, True), "hash", filter_words(often, "hash")), "repeated-windows")
+    place = F.struct("id", "text_hash", "place")
+    both = found.groupBy("hash", "chunk").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    first = written(both.where(~F.col("first").eqNullSafe(F.col("last"))).drop("last"), "first-windows")
+    own = F.struct("id", "text_hash", "place").eqNullSafe(F.col("first"))
+    told = found.join(first, ["hash", "chunk"]).select("id", "text_hash", "place", own.alias("own"))
+    lines = told.select("id", "text_hash", "own", F.explode(F.array(F.col("place"), F.col("place") + 1)).alias("line"))
+    of = lambda test: F.collect_set(F.when(test, F.col("line")))
+    gone = lines.groupBy("id", "text_hash").agg(F.array_except(of(~F.col("own")), of(F.col("own"))).alias("gone"))
+    return gone.where("size(gone) > 0")
 
 
 def without_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", removed_col: str | None = None) -> DataFrame:
     """The rows of docs without the lines of repeated passages; removed_col counts the lines that went."""
     p = spare_prefix(docs)
     gone = repeated_lines(docs, id_col, text_col).select(F.col("id").alias(f"{p}id"), F.col("text_hash").alias(f"{p}text_hash"), F.col("gone").alias(f"{p}gone"))
-    both = docs.withColumn(f"{p}hash", F.xxhash64(text_col)).join(gone, F.col(id_col).eqNullSafe(F.col(f"{p}id")) & (F.col(f"{p}hash") == F.col(f"{p}text_hash")), "left")
+    both = docs.withColumn(f"{p}hash", text_order(text_col)).join(gone, F.col(id_col).eqNullSafe(F.col(f"{p}id")) & (F.col(f"{p}hash") == F.col(f"{p}text_hash")), "left")
     kept = F.expr(_let("u", UNITS.format(text_col), f"array_join(transform(array_except(sequence(0, size(u) - 1), `{p}gone`), i -> u[i]), '\\n')"))
     text = F.when(F.col(f"{p}gone").isNull(), F.col(text_col)).otherwise(kept).alias(text_col)
     columns = [text if c == text_col else docs[c] for c in docs.columns]
@@ -118,13 +130,14 @@ WITH lines AS (
 ), units AS MATERIALIZED (
     SELECT r, doc_id, text, list_transform(range(1, len(e) + 1), lambda k: array_to_string(l[(CASE WHEN k > 1 THEN e[k - 1] ELSE 0 END) + 1 : e[k]], chr(10))) AS u FROM ends
 ), pairs AS (
-    SELECT r, doc_id, md5(text) AS t, i AS place, u[i] AS a, u[i + 1] AS b FROM units, unnest(range(1, len(u))) AS p(i) WHERE regexp_matches(u[i], '\S') OR regexp_matches(u[i + 1], '\S')
+    SELECT r, doc_id, ('0x' || substr(md5(text), 1, 15))::BIGINT AS t, i AS place, u[i] AS a, u[i + 1] AS b FROM units, unnest(range(1, len(u))) AS p(i) WHERE regexp_matches(u[i], '\S') OR regexp_matches(u[i + 1], '\S')
 ), firsts AS (
-    SELECT a, b, min((coalesce(doc_id, -9223372036854775808), t, place)) AS first FROM pairs GROUP BY a, b HAVING count(*) > 1
-), later AS (
-    SELECT r, place, (coalesce(doc_id, -9223372036854775808), t, place - 1) = first AS shared FROM pairs JOIN firsts USING (a, b) WHERE (coalesce(doc_id, -9223372036854775808), t, place) <> first
+    SELECT a, b, min((coalesce(doc_id, -9223372036854775808), t, place)) AS first FROM pairs GROUP BY a, b
+    HAVING min((coalesce(doc_id, -9223372036854775808), t, place)) <> max((coalesce(doc_id, -9223372036854775808), t, place))
+), told AS (
+    SELECT r, unnest([place, place + 1]) AS line, (coalesce(doc_id, -9223372036854775808), t, place) = first AS own FROM pairs JOIN firsts USING (a, b)
 ), gone AS (
-    SELECT r, list(DISTINCT line) AS gone FROM (SELECT r, place + 1 AS line FROM later UNION ALL SELECT r, place FROM later WHERE NOT shared) GROUP BY r
+    SELECT r, list(line) AS gone FROM (SELECT r, line FROM told GROUP BY r, line HAVING NOT bool_or(own)) GROUP BY r
 )
 SELECT doc_id, array_to_string(list_transform(list_filter(range(1, len(u) + 1), lambda i: NOT list_contains(coalesce(gone, []), i)), lambda i: u[i]), chr(10)) AS text, len(coalesce(gone, [])) AS lines_removed
 FROM units LEFT JOIN gone USING (r)

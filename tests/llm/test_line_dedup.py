@@ -3,7 +3,7 @@ from __future__ import annotations
 import random
 
 from compare import rows_of
-from texts import prose
+from texts import prose, without_later_windows
 
 from segue.llm import line_dedup as ld
 
@@ -65,16 +65,46 @@ def test_no_line_of_a_repeated_passage_escapes(spark):
     assert any(len(r["text"]) > len(keep[r["doc_id"]]) for r in ld.without_repeats(docs).collect())  # as chunks do
 
 
+def test_what_goes_stands_somewhere_whole(spark):
+    """Every run of lines that is removed is left line for line in some text."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(150):
+        lines = []
+        while len(lines) < 12:
+            at = rng.randrange(60)
+            lines += [f"line {n}" for n in range(at, at + rng.randrange(1, 6))] if rng.random() < 0.7 else [f"own {rng.random()}"]
+        rows.append((i, "\n".join(lines)))
+    rows += [(200, "X\nA"), (201, "X\nA\nB"), (202, "A\nB")]
+    left = {r["doc_id"]: r["text"] for r in ld.without_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert (left[200], left[201], left[202]) == ("X\nA", "A\nB", "")
+    kept = ["\n" + t + "\n" for t in left.values()]
+    runs = 0
+    for i, text in rows:
+        lines, rest = text.split("\n"), left[i].split("\n")
+        pairs = set(zip(rest, rest[1:]))
+        for pair in zip(lines, lines[1:]):
+            if pair not in pairs:
+                runs += 1
+                assert any(f"\n{pair[0]}\n{pair[1]}\n" in k for k in kept) or sum(f"\n{pair[0]}\n{pair[1]}\n" in f"\n{t}\n" for _, t in rows) == 1
+    assert runs > 300
+
+
+def test_texts_of_one_id_are_ordered_alike(spark):
+    import duckdb
+    import pandas as pd
+
+    rows = [(1, f"c{i}\nsame a\nsame b\nd{i}") for i in range(8)]
+    got = ld.without_passages(spark.createDataFrame(rows, "doc_id long, text string"), removed_col="lines_removed").toPandas()
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(rows, columns=["doc_id", "text"]))
+    assert rows_of(got) == rows_of(con.execute(ld.ORACLE).fetch_df()) and (got["lines_removed"] == 0).sum() == 1
+
+
 def test_passages_by_brute_force(spark):
     rng = random.Random(4)
     texts = ["\n".join(rng.choice(["a", "b", "c", "d", "e", "f", " "]) for _ in range(rng.randrange(1, 7))) for _ in range(40)] + ["t\nt\nt\nt", "\n\n\n", "x\n"]
-    seen, want = {}, {}
-    for i, text in enumerate(texts):
-        lines, gone = text.split("\n"), set()
-        for k, pair in enumerate(zip(lines, lines[1:])):
-            if any(x.strip() for x in pair) and seen.setdefault(pair, (i, k)) != (i, k):
-                gone |= {k + 1} if seen[pair] == (i, k - 1) else {k, k + 1}
-        want[i] = ("\n".join(x for k, x in enumerate(lines) if k not in gone), len(gone))
+    want = {i: found for (i, _), found in without_later_windows(list(enumerate(texts))).items()}
     got = ld.without_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), removed_col="n").collect()
     assert {r["doc_id"]: (r["text"], r["n"]) for r in got} == want
     import duckdb

@@ -44,7 +44,7 @@ def test_stages_are_brute_force(spark):
     import public_tokenizers
     import tiktoken
     from test_minhash import brute
-    from texts import prose
+    from texts import prose, without_later_windows
 
     from segue.llm import bpe, mixing
 
@@ -64,17 +64,8 @@ def test_stages_are_brute_force(spark):
 
     lines = written(cp.lines(spark, docs, ""), "test-lines")
     after = {(r["doc_id"], r["n_chars"]): r["text"] for r in lines.collect()}
-    seen, want = {}, {}
-    for i, text, *_ in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
-        if text is None:
-            want[(i, None)] = None
-            continue
-        parts, gone = text.split("\n"), set()
-        for k, pair in enumerate(zip(parts, parts[1:])):
-            if any(x.strip() for x in pair) and seen.setdefault(pair, (i, text, k)) != (i, text, k):
-                gone |= {k, k + 1}
-        left = "\n".join(x for k, x in enumerate(parts) if k not in gone)
-        want[(i, len(left))] = left
+    left = without_later_windows([r[:2] for r in rows])
+    want = {(i, None): None for i, text, *_ in rows if text is None} | {(i, len(found)): found for (i, _), (found, _) in left.items()}
     assert after == want
 
     kept = written(cp.near_duplicates(spark, lines, ""), "test-near")
