@@ -54,10 +54,14 @@ def _catalogue(spark: SparkSession, sf_dir: str, vector_of) -> DataFrame:
     return popularity(with_keys(rows.withColumn("track_uri", F.concat(F.lit("track:"), "part")).withColumnRenamed("part", "idx")))
 
 
+def _sources(sf_dir: str) -> tuple[str, ...]:
+    return tuple(f"{sf_dir}/{t}.parquet" for t in ("part", "lineitem", "embeddings"))
+
+
 def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The canonical track table: parts whose key a vector has. Written once and read by every query, as a catalogue is."""
     own = lambda rows, vectors: rows.withColumn("vec_id", F.col("part"))
-    return kept(spark, ("tracks", sf_dir), lambda: _catalogue(spark, sf_dir, own), "catalogue")
+    return kept(spark, ("tracks", sf_dir), lambda: _catalogue(spark, sf_dir, own), "catalogue", _sources(sf_dir))
 
 
 def all_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,12 +71,12 @@ def all_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
         size = vectors.agg((F.max("vec_id") + 1).alias("size"))
         return rows.crossJoin(F.broadcast(size)).withColumn("vec_id", F.col("part") % F.col("size")).drop("size")
 
-    return kept(spark, ("all-tracks", sf_dir), lambda: _catalogue(spark, sf_dir, dealt), "catalogue")
+    return kept(spark, ("all-tracks", sf_dir), lambda: _catalogue(spark, sf_dir, dealt), "catalogue", _sources(sf_dir))
 
 
 def word_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored search index of all_tracks."""
-    return kept(spark, ("words", sf_dir), lambda: index_rows(all_tracks(spark, sf_dir)), "word-index")
+    return kept(spark, ("words", sf_dir), lambda: index_rows(all_tracks(spark, sf_dir)), "word-index", _sources(sf_dir))
 
 
 def covered_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,14 +40,34 @@ def remove(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
-_KEPT: dict[tuple, str] = {}
+def fingerprint(spark: SparkSession, *paths: str) -> tuple:
+    """What tells whether tables are still the same: names, sizes and times of their files."""
+    jvm, found = spark.sparkContext._jvm, []
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if store.exists(path):
+            found += [(s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in store.listStatus(path)]
+    return tuple(sorted(found))
 
 
-def kept(spark: SparkSession, key: tuple, make, name: str) -> DataFrame:
-    """The table that make() gives, written once in an application for a key, as a service stores its catalogue when it starts."""
-    own = (spark.sparkContext.applicationId, *key)
-    if own not in _KEPT:
-        path = new_path(spark, name)
-        make().write.parquet(path)
-        _KEPT[own] = path
-    return spark.read.parquet(_KEPT[own])
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
+_KEPT: dict[tuple, tuple[str, StructType]] = {}
+
+
+def kept(spark: SparkSession, key: tuple, make, name: str, sources: tuple[str, ...] = ()) -> DataFrame:
+    """The table that make() gives, written once in an application for a key, as a service stores its catalogue when it starts.
+
+    It is made anew if the files of its sources have changed, or if it is gone.
+    """
+    own = (spark.sparkContext.applicationId, *key, fingerprint(spark, *sources))
+    if own not in _KEPT or not _exists(spark, _KEPT[own][0]):
+        path, made = new_path(spark, name), make()
+        made.write.parquet(path)
+        _KEPT[own] = (path, made.schema)
+    path, schema = _KEPT[own]
+    return spark.read.schema(schema).parquet(path)

@@ -314,3 +314,41 @@ def test_a_title_of_many_tracks_and_many_wants(spark):
     best = lambda i: i if i % 7 > (i + 1) % 7 else i + 1
     assert all(rows[i]["track_uri"] == f"u{best(i)}" and rows[i]["confidence"] == 0.92 for i in range(5000, 8000))
     assert all(rows[i]["track_uri"] is None and rows[i]["method"] == "ambiguous_title" for i in range(8000, 10_000))
+
+
+def test_a_kept_table_follows_its_sources(spark, tmp_path):
+    import shutil
+
+    from segue.sources import stored
+
+    made = []
+
+    def make():
+        made.append(1)
+        return spark.read.parquet(f"{tmp_path}/t").selectExpr("id + 1 AS id")
+
+    def kept():
+        return sorted(r["id"] for r in stored.kept(spark, ("test", str(tmp_path)), make, "kept-test", (f"{tmp_path}/t",)).collect())
+
+    spark.range(3).write.parquet(f"{tmp_path}/t")
+    assert kept() == kept() == [1, 2, 3] and len(made) == 1
+    spark.range(5).write.mode("overwrite").parquet(f"{tmp_path}/t")
+    assert kept() == [1, 2, 3, 4, 5] and len(made) == 2
+    for path, _ in list(stored._KEPT.values()):
+        if "kept-test" in path:
+            shutil.rmtree(path.removeprefix("file:"))
+    assert kept() == [1, 2, 3, 4, 5] and len(made) == 3
+
+
+def test_factors_tell_groups_apart(spark):
+    """Items of lists that never meet: a pid's own group scores above the other, also items that it does not hold."""
+    from segue.operators import analytics
+
+    rng = np.random.default_rng(6)
+    held = {(p, (p % 2) * 12 + int(i)) for p in range(60) for i in rng.choice(12, 7, replace=False)}
+    fitted = analytics.als(spark.createDataFrame([(p, i, 1.0) for p, i in sorted(held)], "pid int, item int, rating double"), rank=4)
+    every = spark.createDataFrame([(p, i) for p in range(60) for i in range(24)], "pid int, item int")
+    scores = {(r["pid"], r["item"]): r["prediction"] for r in fitted.transform(every).collect()}
+    new = [scores[p, i] for p, i in scores if i // 12 == p % 2 and (p, i) not in held]
+    other = [scores[p, i] for p, i in scores if i // 12 != p % 2]
+    assert len(new) == 300 and np.mean(new) > np.mean(other) + 0.4 and np.quantile(new, 0.05) > np.quantile(other, 0.95)
