@@ -22,12 +22,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from segue.llm.common import spare_prefix, written
 
 UNKNOWN = "und"
 #: Places of a profile; share of a language's n-grams below which an n-gram is none of its most frequent.
-PROFILE, LEAST_SHARE = 400, 1e-5
+PROFILE = 400
 #: Distance, as a share of the largest possible, beyond which a text of at least LEAST_GRAMS n-grams is rejected where
 #: no limits are learned, and no learned limit lies.
 FARTHEST, LEAST_GRAMS = 0.97, 300
@@ -106,16 +107,16 @@ def _batches(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
 def profiles(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", places: int = PROFILE) -> dict[str, list[int]]:
     """The ranking of each language's most frequent n-grams, learned from all rows with a text and a language.
 
-    The driver gets n-grams with at least LEAST_SHARE of their language's, so at most 1 / LEAST_SHARE a language.
+    N-grams are ranked in Spark, ties by their hash; the driver gets `places` of each language.
     """
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(text_col, lang_col)
     counts = written(rows.mapInArrow(_counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "gram-counts")
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    kept = counts.join(totals, "lang").where(F.col("n") >= F.col("total") * LEAST_SHARE).select("lang", "gram", "n")
+    order = [F.desc("n"), F.col("gram") < 0, F.col("gram")]  # hashes are unsigned
+    first = counts.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= places)
     found: dict[str, list[tuple[int, int]]] = defaultdict(list)
-    for lang, gram, n in kept.collect():
-        found[lang].append((-n, gram & (1 << 64) - 1))
-    return {lang: [g for _, g in sorted(rows)[:places]] for lang, rows in sorted(found.items())}
+    for lang, gram, rank in first.select("lang", "gram", "rank").collect():
+        found[lang].append((rank, gram & (1 << 64) - 1))
+    return {lang: [g for _, g in sorted(rows)] for lang, rows in sorted(found.items())}
 
 
 class Classifier:

@@ -161,12 +161,19 @@ def mix(docs: DataFrame, keys: list[str] | None = None, source_col: str = "sourc
     return found.select(*[F.col(o).alias(k) for o, k in zip(own, keys)], "size", "source_size", "target", (F.col("sure") + F.col("extra")).alias("copies"))
 
 
+def _row_hash(columns: list[str]) -> Column:
+    """A hash of all columns, which tells nulls from values and from each other."""
+    return F.xxhash64(*columns, F.concat(*[F.col(c).isNull().cast("string") for c in columns]))
+
+
 def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """The rows of docs, each as often as the mix takes it. Repeated rows share their copies evenly, rounded up."""
+    """The rows of docs, each as often as the mix takes it. Rows that are equal in all columns take what is taken of them together."""
     p = spare_prefix(docs)
-    keyed = docs.withColumn(f"{p}hash", F.xxhash64(text_col))
+    keyed = docs.withColumn(f"{p}hash", _row_hash(docs.columns))
     decided = mix(keyed, [id_col, f"{p}hash"], source_col, text_col).select(F.col(id_col).alias("i"), F.col(f"{p}hash").alias("h"), "copies")
-    copies = F.ceil(F.sum("copies") / F.count("*")).cast("int")
-    taken = decided.groupBy("i", "h").agg(copies.alias("c")).where("c > 0").toDF(*(f"{p}{n}" for n in ("i", "h", "c")))
-    both = keyed.join(taken, F.col(id_col).eqNullSafe(F.col(f"{p}i")) & (F.col(f"{p}hash") == F.col(f"{p}h")))
-    return both.withColumn(f"{p}n", F.explode(F.sequence(F.lit(1), F.col(f"{p}c")))).select(*[keyed[c] for c in docs.columns])
+    taken = written(decided.groupBy("i", "h").agg(F.sum("copies").cast("int").alias("c"), F.count("*").alias("n")).where("c > 0").toDF(*(f"{p}{n}" for n in ("i", "h", "c", "n"))), "taken")
+    met = lambda keys: keyed.join(keys, F.col(id_col).eqNullSafe(F.col(f"{p}i")) & (F.col(f"{p}hash") == F.col(f"{p}h")))
+    both, again = met(taken.where(F.col(f"{p}n") == 1)), taken.where(F.col(f"{p}n") > 1)
+    if not again.isEmpty():  # equal rows are one row, which is taken as often as all of them
+        both = both.union(met(again).dropDuplicates([f"{p}i", f"{p}h"]))
+    return both.withColumn(f"{p}k", F.explode(F.sequence(F.lit(1), F.col(f"{p}c")))).select(*docs.columns)

@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 from collections import Counter
 
+import numpy as np
 from texts import prose
 
 from segue.llm import language_id as li
@@ -55,10 +56,8 @@ def number(gram):
     return code | (0, 0, int(li.PAIR), int(li.TRIPLE))[len(gram)]
 
 
-def plain_ranks(grams, places, least=0.0):
-    counts = Counter(grams)
-    kept = {g: n for g, n in counts.items() if n >= least * sum(counts.values())}
-    return [g for g, _ in sorted(kept.items(), key=lambda x: (-x[1], number(x[0])))[:places]]
+def plain_ranks(grams, places):
+    return [g for g, _ in sorted(Counter(grams).items(), key=lambda x: (-x[1], number(x[0])))[:places]]
 
 
 def test_predictions_by_brute_force(spark):
@@ -70,7 +69,7 @@ def test_predictions_by_brute_force(spark):
     rows += [(100, "Efgh efgh! ÀÉ", None), (101, "", "aa"), (102, None, "bb"), (103, "12 ?", "cc"), (104, prose(rng, 50), None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     learned = li.profiles(docs, places=40)
-    profiles = {lang: plain_ranks([g for _, t, own in rows if own == lang and t for g in plain_grams(t)], 40, li.LEAST_SHARE) for lang in letters}
+    profiles = {lang: plain_ranks([g for _, t, own in rows if own == lang and t for g in plain_grams(t)], 40) for lang in letters}
     assert {k: [number(g) for g in v] for k, v in profiles.items()} == learned
     got = {r["doc_id"]: r for r in li.predict(docs, learned, ["doc_id"], places=40).collect()}
     for i, text, _ in rows:
@@ -83,3 +82,12 @@ def test_predictions_by_brute_force(spark):
         assert got[i]["lang_pred"] == best and abs(got[i]["distance"] - away[best]) < 1e-12
         others = min(d for lang, d in away.items() if lang != best)
         assert abs(got[i]["score"] - max(0.0, 1 - away[best] / others)) < 1e-9
+
+
+def test_a_language_with_few_n_grams_has_all_of_them(spark):
+    """However rare an n-gram is, and ranked as the counts say, ties by hash."""
+    rows = [("ab", "xx"), ("ab ab ac", "yy"), ("z" + "q" * 300_000, "zz")]
+    found = li.profiles(spark.createDataFrame(rows, "text string, lang string"))
+    for text, lang in rows:
+        grams, n = np.unique(li.grams(text), return_counts=True)
+        assert found[lang] == [int(g) for _, g in sorted(zip((-n).tolist(), grams.tolist()))][: li.PROFILE]

@@ -74,3 +74,19 @@ def test_rows_are_taken_as_often_as_said(spark):
         counted[r["doc_id"]] += 1
     total = sum(copies.values())
     assert set(counted.values()) <= {1, 2} and abs(sum(counted.values()) - total) <= 60
+
+
+def test_repeated_rows_are_taken_no_more_often_than_said(spark):
+    """Three and forty equal rows: what is taken of all words comes near the target, whatever repeats."""
+    text = lambda n, w: " ".join([w] * n)
+    rows = [(1, text(20, "a"), "s", None)] * 3 + [(2, text(9, "b"), "s", "x")] * 40 + [(2, text(9, "b"), "s", None)] + [(3 + i, text(7, "c"), "s", "x") for i in range(50)] + [(500 + i, text(30, "d"), "t", None) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, note string")
+    goals = {r["doc_id"]: r["target"] for r in mixing.mix(docs).collect()}
+    counted, notes = defaultdict(int), set()
+    for r in mixing.mixed(docs).collect():
+        counted[r["doc_id"]] += 1
+        notes.add((r["doc_id"], r["note"]))
+    words, source = {r[0]: len(r[1].split()) for r in rows}, {r[0]: r[2] for r in rows}
+    for s in "st":
+        assert abs(sum(n * words[i] for i, n in counted.items() if source[i] == s) - goals[1 if s == "s" else 500]) <= 30
+    assert notes <= {(r[0], r[3]) for r in rows}
