@@ -198,7 +198,7 @@ def _on_grid(pairs_of: Callable[[int], DataFrame], vocab: DataFrame, config: Con
     losses, schema = [], "kind int, idx long, v array<double>"
     for epoch in range(config.epochs):
         own = pairs_of(epoch).select("at", "idx", "other", block("idx").alias("task"), F.pmod(block("other") - block("idx"), F.lit(blocks)).alias("turn"))
-        dealt_path = new_path(spark, "pairs")
+        dealt_path = new_path(spark, "turns")
         own.repartition("turn", "task").write.partitionBy("turn").parquet(dealt_path)
         pairs = spark.read.schema(own.schema).parquet(dealt_path)
         about = written(shares.join(pairs.groupBy("idx").agg(F.count("*").alias("n")), "idx", "left").select("idx", "p", F.coalesce("n", F.lit(0)).alias("n")), "items")

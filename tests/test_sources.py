@@ -192,7 +192,7 @@ def test_a_grid_trains_as_well_as_one_cell(spark):
     # only the last table of vectors is left of each training, and no pairs by turn
     folder = re.sub("^file:", "", os.path.dirname(vectors.inputFiles()[0]).rsplit("/", 1)[0])
     left = {f.rsplit("/", 2)[-2] for f in vectors.inputFiles()}
-    assert len(left) == 1 and not [x for x in os.listdir(folder) if x.startswith("pairs-")]
+    assert len(left) == 1 and not [x for x in os.listdir(folder) if x.startswith("turns-")]
 
 
 def test_a_step_of_one_hot_item_stays_bounded():
