@@ -35,7 +35,7 @@ def tables():
     return rows, items
 
 
-@pytest.mark.parametrize("item_terms", [1 << 18, 40])
+@pytest.mark.parametrize("item_terms", [1 << 18, 250])
 def test_equal_to_its_sql(spark, tables, monkeypatch, item_terms):
     rows, items = tables
     got = bt.ranked(spark.createDataFrame(rows, DOCS), spark.createDataFrame(items, ITEMS), 7, item_terms=item_terms).toPandas()
