@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from segue.llm.common import written
+from segue.llm.common import filter_words, may_be_held, written
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -42,12 +42,14 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def popular_hubs(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The rows (node, key) of keys with several nodes; (key, hub, members): of each key (node, key) with several nodes, the node whose keys have the most members.
+    """The rows (node, key) of keys with several rows, each once; (key, hub, members): of each such key, the node whose keys have the most members.
 
-    The text that others were copied from shares more keys with its copies than they do with each other.
+    The text that others were copied from shares more keys with its copies than they do with each other. Most keys have
+    one row: only counts of these are shuffled, then a filter of bounded size keeps them out; the join is exact.
     """
     sizes = written(keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), "key-sizes")
-    members = written(keyed.join(sizes, "key"), "key-members")
+    likely = may_be_held(keyed.withColumn("h", F.xxhash64("key")), "h", filter_words(sizes.select(F.xxhash64("key").alias("h")), "h")).drop("h")
+    members = written(likely.join(sizes, "key").distinct(), "key-members")
     fame = members.groupBy("node").agg(F.sum("members").alias("fame"))
     return members, members.join(fame, "node").groupBy("key").agg(F.max(F.struct("fame", (-F.col("node")).alias("minus"))).alias("best"), F.max("members").alias("members")).select("key", (-F.col("best.minus")).alias("hub"), "members")
 
@@ -80,7 +82,7 @@ def _blocks(count: str, size: int) -> Column:
 
 
 def bucket_classes(banded: DataFrame, every_node: DataFrame, payload_of: Callable[[DataFrame], DataFrame], compared: Callable, known_links: DataFrame | None = None) -> DataFrame:
-    """(node, component) of every node: components of the links that compared finds among nodes (node, bands array<long>) that share a band's key.
+    """(node, component) of every node: components of the links that compared finds among nodes (node, bands: an array of integers) that share a band's key.
 
     In each bucket the node whose buckets have most members, the hub, is compared with all others. Buckets whose nodes
     are then not in one class are compared in blocks: every pair of nodes of different classes, so that no link is
@@ -89,7 +91,7 @@ def bucket_classes(banded: DataFrame, every_node: DataFrame, payload_of: Callabl
 
     payload_of gives (node, z binary) of nodes (node); compared maps Arrow batches of ROW to links (a, b).
     """
-    keyed = banded.select("node", F.posexplode("bands").alias("band", "k")).select("node", F.struct("band", "k").alias("key")).distinct()
+    keyed = banded.select("node", F.posexplode("bands").alias("band", "k")).select("node", F.struct("band", "k").alias("key"))
     members, hubs = popular_hubs(keyed)
     hubs = written(hubs, "hubs")
     wide = members.select("node", "key").join(hubs, "key")

@@ -145,16 +145,36 @@ def likeness(left: str, right: str) -> Column:
     return same / F.lit(float(LANES))
 
 
-def band_keys(fingerprint: str) -> Column:
-    """A hash for each band of its sampled lanes."""
-    return F.array(*[F.xxhash64(*[F.expr(f"substr({fingerprint}, {lane + 1}, 1)") for lane in lanes]) for lanes in _tables()[4]])
-
-
 def _lanes_of(packed: list[bytes]) -> np.ndarray:
     both = np.frombuffer(b"".join(packed), np.uint8).reshape(-1, LANES // 2)
     return np.stack([both >> 4, both & 15], axis=2).reshape(-1, LANES)
 
 
+def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The 32 bits of each band's lanes, for the bytes of a fingerprint."""
+    for batch in batches:
+        lanes = _lanes_of(batch.column(1).to_pylist()).astype(np.uint32)
+        keys = np.zeros((batch.num_rows, BANDS), np.uint32)
+        for band, chosen in enumerate(_tables()[4]):
+            for lane in chosen:
+                keys[:, band] = keys[:, band] << 4 | lanes[:, lane]
+        ends = pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, pa.array(keys.ravel().view(np.int32)))], names=["node", "bands"])
+
+
+#: Columns of edit_probe that hold hexadecimal digits.
+DIGITS = ("edited_sha256", "fingerprint", "edited_fingerprint")
+
+
+def _as_bytes(prints: DataFrame) -> DataFrame:
+    """Digits as bytes, which take half the room."""
+    return prints.withColumns({c: F.unhex(c) for c in DIGITS})
+
+
+def _as_digits(coded: DataFrame) -> DataFrame:
+    return coded.withColumns({c: F.lower(F.hex(c)) for c in DIGITS})
+
+
 def _alike(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
     """Links of fingerprints that agree in threshold of all lanes; rows as components.ROW has them."""
     task, held, index = None, [], None
@@ -178,13 +198,24 @@ def _alike(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.R
             left, right = [], []
 
 
+def _coded_classes(coded: DataFrame, threshold: float, id_col: str) -> DataFrame:
+    """(z, class_id), a row for the bytes of every fingerprint of a row with an id; written."""
+    nodes = written(coded.where(F.col(id_col).isNotNull()).groupBy(F.col("fingerprint").alias("z")).agg(F.min(F.col(id_col).cast("long")).alias("node")), "fingerprint-nodes")
+    payload = nodes.select("node", "z")
+    banded = payload.mapInArrow(_banded, "node long, bands array<int>")
+    found = bucket_classes(banded, nodes.select("node").distinct(), lambda wanted: payload.join(wanted, "node", "left_semi"), partial(_alike, threshold=threshold))
+    return written(nodes.join(found, "node").select("z", F.col("component").alias("class_id")), "fingerprint-classes")
+
+
+def _classed(coded: DataFrame, threshold: float, id_col: str) -> DataFrame:
+    p = spare_prefix(coded)
+    named = _coded_classes(coded, threshold, id_col).select(F.col("z").alias(f"{p}z"), "class_id")
+    return coded.join(named, F.col("fingerprint") == F.col(f"{p}z"), "left").select(*coded.columns, "class_id")
+
+
 def print_classes(prints: DataFrame, threshold: float = 0.8, id_col: str = "doc_id") -> DataFrame:
     """(fingerprint, class_id), a row for every fingerprint of a row with an id; written."""
-    nodes = written(prints.where(F.col(id_col).isNotNull()).groupBy("fingerprint").agg(F.min(F.col(id_col).cast("long")).alias("node")), "fingerprint-nodes")
-    banded = nodes.select("node", band_keys("fingerprint").alias("bands"))
-    payload = nodes.select("node", F.unhex("fingerprint").alias("z"))
-    found = bucket_classes(banded, nodes.select("node").distinct(), lambda wanted: payload.join(wanted, "node", "left_semi"), partial(_alike, threshold=threshold))
-    return written(nodes.join(found, "node").select("fingerprint", F.col("component").alias("class_id")), "fingerprint-classes")
+    return _coded_classes(prints.withColumn("fingerprint", F.unhex("fingerprint")), threshold, id_col).select(F.lower(F.hex("z")).alias("fingerprint"), "class_id")
 
 
 def classes(prints: DataFrame, threshold: float = 0.8, id_col: str = "doc_id") -> DataFrame:
@@ -195,14 +226,14 @@ def classes(prints: DataFrame, threshold: float = 0.8, id_col: str = "doc_id") -
     Texts so short that they have no character have equal fingerprints. Nodes are linked as `components.bucket_classes`
     says: no pair that shares a band is left out.
     """
-    p = spare_prefix(prints)
-    named = print_classes(prints, threshold, id_col).select(F.col("fingerprint").alias(f"{p}fingerprint"), "class_id")
-    return prints.join(named, F.col("fingerprint") == F.col(f"{p}fingerprint"), "left").select(*prints.columns, "class_id")
+    coded = prints.withColumn("fingerprint", F.unhex("fingerprint"))
+    return _classed(coded, threshold, id_col).withColumn("fingerprint", F.lower(F.hex("fingerprint")))
 
 
 def edit_classes(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """edit_probe, and the class of every document by its fingerprint."""
-    return classes(written(edit_probe(docs, id_col, text_col), "fingerprints"), threshold, id_col)
+    coded = written(_as_bytes(edit_probe(docs, id_col, text_col)), "fingerprints")
+    return _as_digits(_classed(coded, threshold, id_col))
 
 
 def _part(ids: pa.Array, bounds: np.ndarray) -> pa.Array:
@@ -290,8 +321,8 @@ def edit_probe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     # a row for each range, MOST_RANGES at most
     firsts = sorted(ids.mapInArrow(partial(_ranged, bounds=bounds), "p int, k long").groupBy("p").agg(F.max("k").alias("first")).collect())
     before = [(r["p"], firsts[i - 1]["p"], r["first"]) for i, r in enumerate(firsts)]
-    own = docs.select(F.col(id_col), text_of(text_col).alias("t"), F.sha1(text_of(text_col)).alias("h"))
-    packed = own.mapInArrow(partial(_packed, bounds=bounds), f"p int, `{id_col}` {kind}, z binary, h string")
+    own = docs.select(F.col(id_col), text_of(text_col).alias("t"), F.unhex(F.sha1(text_of(text_col))).alias("h"))
+    packed = own.mapInArrow(partial(_packed, bounds=bounds), f"p int, `{id_col}` {kind}, z binary, h binary")
     table = spark.createDataFrame(before, "p int, q int, first long")
     stays = F.struct(F.col("p").alias("p"), F.lit(0).alias("extra"))
     copies = F.when(F.col(id_col).cast("long").eqNullSafe(F.col("first")), F.array(stays, F.struct(F.col("q").alias("p"), F.lit(1).alias("extra")))).otherwise(F.array(stays))

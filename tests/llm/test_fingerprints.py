@@ -109,3 +109,25 @@ def test_classes_are_brute_force(spark, monkeypatch):
                 parent[hi] = lo
     got = {r["doc_id"]: r["class_id"] for r in fp.classes(spark.createDataFrame(prints), 0.6).collect()}
     assert got == {i: root(i) for i in lanes} and 6 <= len(set(got.values())) < 72
+
+
+def test_digits_are_kept_as_bytes_and_keys_are_shuffled_once(spark, monkeypatch, capsys):
+    from segue.llm import components as cc
+
+    plans, written = {}, cc.written
+
+    def seen(df, name):
+        plans.setdefault(name, df)
+        return written(df, name)
+
+    monkeypatch.setattr(fp, "written", seen)
+    monkeypatch.setattr(cc, "written", seen)
+    rng = random.Random(8)
+    docs = spark.createDataFrame([(i % 5, prose(rng, 20)) for i in range(9)], "doc_id long, text string")
+    found = fp.edit_classes(docs).collect()
+    assert all(len(r["fingerprint"]) == len(r["edited_fingerprint"]) == 128 and len(r["edited_sha256"]) == 64 for r in found)
+    kept = [f.dataType.simpleString() for name in ("fingerprints", "fingerprint-nodes", "fingerprint-classes") for f in plans[name].schema]
+    assert "binary" in kept and "string" not in kept
+    capsys.readouterr()
+    plans["key-sizes"].explain()
+    assert capsys.readouterr().out.count("Exchange hashpartitioning") == 1
