@@ -41,22 +41,30 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return nodes.select("node").join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
-def popular_hubs(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The rows (node, key) of keys with several rows, each once; (key, hub, members): of each such key, the node whose keys have the most members.
+def key_sizes(keyed: DataFrame) -> DataFrame:
+    """(key, members), written: the keys that several rows (node, key) have. Most keys have one row; only counts of these are shuffled."""
+    return written(keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), "key-sizes")
 
-    The text that others were copied from shares more keys with its copies than they do with each other. Most keys have
-    one row: only counts of these are shuffled, then a filter of bounded size keeps them out; the join is exact.
-    """
-    sizes = written(keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), "key-sizes")
+
+def of_keys(keyed: DataFrame, sizes: DataFrame) -> DataFrame:
+    """The rows of keyed with the keys of sizes, and members. A filter of bounded size keeps others out of the shuffle; the join is exact."""
     likely = may_be_held(keyed.withColumn("h", F.xxhash64("key")), "h", filter_words(sizes.select(F.xxhash64("key").alias("h")), "h")).drop("h")
-    members = written(likely.join(sizes, "key").distinct(), "key-members")
+    return likely.join(sizes, "key")
+
+
+def popular_hubs(keyed: DataFrame, sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows (node, key) of the keys of sizes, each once; (key, hub, members): of each such key, the node whose keys have the most members.
+
+    The text that others were copied from shares more keys with its copies than they do with each other.
+    """
+    members = written(of_keys(keyed, sizes).distinct(), "key-members")
     fame = members.groupBy("node").agg(F.sum("members").alias("fame"))
     return members, members.join(fame, "node").groupBy("key").agg(F.max(F.struct("fame", (-F.col("node")).alias("minus"))).alias("best"), F.max("members").alias("members")).select("key", (-F.col("best.minus")).alias("hub"), "members")
 
 
 #: Nodes of a bucket that one task holds, and that it compares them with; nodes that a task compares with a hub.
 HELD_BLOCK, READ_BLOCK, HUB_BLOCK = 128, 512, 64
-#: What tasks get: rows by task and side (0 is held, side 1 compared with it), with the node's class and bands and what is compared.
+#: What tasks get: rows by task and side (0 is held, side 1 compared with it), with the node's class and bands (if these are sent) and what is compared.
 ROW = ("task", "band", "side", "node", "class", "bands", "z")
 
 
@@ -81,7 +89,7 @@ def _blocks(count: str, size: int) -> Column:
     return F.ceil(F.col(count) / size).cast("int")
 
 
-def bucket_classes(banded: DataFrame, every_node: DataFrame, payload_of: Callable[[DataFrame], DataFrame], compared: Callable, known_links: DataFrame | None = None) -> DataFrame:
+def bucket_classes(banded: DataFrame, every_node: DataFrame, payload_of: Callable[[DataFrame], DataFrame], compared: Callable, known_links: DataFrame | None = None, in_place: Callable | None = None) -> DataFrame:
     """(node, component) of every node: components of the links that compared finds among nodes (node, bands: an array of integers) that share a band's key.
 
     In each bucket the node whose buckets have most members, the hub, is compared with all others. Buckets whose nodes
@@ -90,9 +98,24 @@ def bucket_classes(banded: DataFrame, every_node: DataFrame, payload_of: Callabl
     a whole bucket. In a bucket of m nodes of which r are not in its largest class the work is r times m.
 
     payload_of gives (node, z binary) of nodes (node); compared maps Arrow batches of ROW to links (a, b).
+
+    in_place is for a z that is short and tells the bands: banded has it too, no bands are sent, and all pairs of a
+    bucket of HELD_BLOCK nodes at most are compared where it is gathered. It maps Arrow batches (band, rows), a bucket's
+    rows being a list of (node, z), to links (a, b) of the pairs that share no earlier band. The rows of such buckets,
+    many of which meet by chance and grow with the square of the nodes, are shuffled by the join and, as lists, to be
+    gathered, and by nothing after that.
     """
-    keyed = banded.select("node", F.posexplode("bands").alias("band", "k")).select("node", F.struct("band", "k").alias("key"))
-    members, hubs = popular_hubs(keyed)
+    held_z = ["z"] if in_place else []
+    keyed = banded.select("node", *held_z, F.posexplode("bands").alias("band", "k")).select("node", *held_z, F.struct("band", "k").alias("key"))
+    sizes = key_sizes(keyed)
+    if in_place:
+        gathered = of_keys(keyed, sizes.where(F.col("members") <= HELD_BLOCK)).groupBy("key").agg(F.collect_list(F.struct("node", "z")).alias("rows"))
+        near = written(gathered.select("key.band", "rows").mapInArrow(in_place, "a long, b long"), "bucket-links")
+        known_links = near if known_links is None else near.union(known_links)
+        sizes = sizes.where(F.col("members") > HELD_BLOCK)
+        if sizes.isEmpty():
+            return written(components(every_node, known_links), "classes")
+    members, hubs = popular_hubs(keyed.select("node", "key"), sizes)
     hubs = written(hubs, "hubs")
     wide = members.select("node", "key").join(hubs, "key")
     pairs = written(wide.where("node <> hub").groupBy("hub", "node").agg(F.max("members").alias("members")), "pairs")
@@ -113,7 +136,9 @@ def bucket_classes(banded: DataFrame, every_node: DataFrame, payload_of: Callabl
     mixed = written(sizes.groupBy("key").agg(F.max(F.struct("n", "class")).alias("main"), F.sum("n").alias("members"), F.count("*").alias("classes")).where("classes > 1").select("key", F.col("main.class").alias("main"), "members", (F.col("members") - F.col("main.n")).alias("others")), "mixed-buckets")
     if mixed.isEmpty():
         return classes
-    open_rows = written(rest.join(mixed, "key").join(banded.groupBy("node").agg(F.max("bands").alias("bands")), "node"), "mixed-members")
+    open_rows = rest.join(mixed, "key")
+    open_rows = open_rows.withColumn("bands", plain[1]) if in_place else open_rows.join(banded.groupBy("node").agg(F.max("bands").alias("bands")), "node")
+    open_rows = written(open_rows, "mixed-members")
     i, j = F.pmod(F.xxhash64("node"), _blocks("others", HELD_BLOCK)), F.pmod(F.xxhash64("node", F.lit(1)), _blocks("members", READ_BLOCK))
     every = lambda count, size: F.explode(F.sequence(F.lit(0), _blocks(count, size) - 1))
     named = F.struct(F.lit(0).cast("long").alias("hub"), F.col("i").cast("long").alias("i"), F.col("j").cast("int").alias("j"), F.col("key.band").alias("band"), F.col("key.k").alias("k")).alias("task")

@@ -150,16 +150,20 @@ def _lanes_of(packed: list[bytes]) -> np.ndarray:
     return np.stack([both >> 4, both & 15], axis=2).reshape(-1, LANES)
 
 
+def _bands_of(lanes: np.ndarray) -> np.ndarray:
+    """The 32 bits of each band's lanes, a row for every fingerprint."""
+    keys = np.zeros((len(lanes), BANDS), np.uint32)
+    for band, chosen in enumerate(_tables()[4]):
+        for lane in chosen:
+            keys[:, band] = keys[:, band] << 4 | lanes[:, lane]
+    return keys.view(np.int32)
+
+
 def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The 32 bits of each band's lanes, for the bytes of a fingerprint."""
     for batch in batches:
-        lanes = _lanes_of(batch.column(1).to_pylist()).astype(np.uint32)
-        keys = np.zeros((batch.num_rows, BANDS), np.uint32)
-        for band, chosen in enumerate(_tables()[4]):
-            for lane in chosen:
-                keys[:, band] = keys[:, band] << 4 | lanes[:, lane]
+        keys = _bands_of(_lanes_of(batch.column(1).to_pylist()))
         ends = pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, pa.array(keys.ravel().view(np.int32)))], names=["node", "bands"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(ends, pa.array(keys.ravel()))], names=["node", "z", "bands"])
 
 
 #: Columns of edit_probe that hold hexadecimal digits.
@@ -181,15 +185,16 @@ def _alike(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.R
     left, right = [], []
     for batch in batches:
         lanes = _lanes_of(batch.column(6).to_pylist())
-        for row, (now, band, side, node, own, bands) in enumerate(zip(*(c.to_pylist() for c in batch.columns[:6]))):
+        keys = _bands_of(lanes)
+        for row, (now, band, side, node, own) in enumerate(zip(*(c.to_pylist() for c in batch.columns[:5]))):
             if now != task:
                 task, held, index = now, [], None
             if side == 0:
-                held.append((node, own, bands, lanes[row]))
+                held.append((node, own, keys[row], lanes[row]))
             elif held:
-                index = index or (np.array([h[0] for h in held]), np.array([h[1] for h in held]), np.array([h[2] for h in held], np.int64), np.stack([h[3] for h in held]))
+                index = index or (np.array([h[0] for h in held]), np.array([h[1] for h in held]), np.stack([h[2] for h in held]), np.stack([h[3] for h in held]))
                 nodes, classes, their, known = index
-                near = (classes != own) & first_shared(their, bands, band)
+                near = (classes != own) & first_shared(their, keys[row], band)
                 near[near] = (known[near] == lanes[row]).mean(axis=1) >= threshold - 1e-9
                 left += nodes[near].tolist()
                 right += [node] * int(near.sum())
@@ -198,12 +203,41 @@ def _alike(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.R
             left, right = [], []
 
 
+#: Buckets whose pairs are compared at once.
+BUCKETS = 1_000
+
+
+def _alike_in_buckets(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """Links of fingerprints in one bucket that agree in threshold of all lanes and share no earlier band; rows (band, list of (node, z))."""
+    equal = np.array([(x >> 4 == 0) + (x & 15 == 0) for x in range(256)], np.uint8)  # equal lanes by the xor of two bytes
+    for batch in batches:
+        for at in range(0, batch.num_rows, BUCKETS):
+            part = batch.slice(at, BUCKETS)
+            rows = part.column(1).flatten()
+            many = part.column(1).value_lengths().to_numpy()
+            ends, bands = np.repeat(np.cumsum(many), many), np.repeat(part.column(0).to_numpy(), many)
+            nodes, packed = rows.field("node").to_numpy(), rows.field("z").to_pylist()
+            bytes_of = np.frombuffer(b"".join(packed), np.uint8).reshape(-1, LANES // 2)
+            first, left, right = np.arange(nodes.size), [], []
+            for step in range(1, int(many.max())):
+                first = first[first + step < ends[first]]
+                same = equal[bytes_of[first] ^ bytes_of[first + step]].sum(axis=1)
+                near = first[same / LANES >= threshold - 1e-9]
+                left.append(near)
+                right.append(near + step)
+            a, b = np.concatenate(left), np.concatenate(right)
+            keys = [_bands_of(_lanes_of([packed[i] for i in x.tolist()])) for x in (a, b)]
+            news = (keys[0] == keys[1]).argmax(axis=1) == bands[a]
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[a[news]]), pa.array(nodes[b[news]])], names=["a", "b"])
+
+
 def _coded_classes(coded: DataFrame, threshold: float, id_col: str) -> DataFrame:
     """(z, class_id), a row for the bytes of every fingerprint of a row with an id; written."""
     nodes = written(coded.where(F.col(id_col).isNotNull()).groupBy(F.col("fingerprint").alias("z")).agg(F.min(F.col(id_col).cast("long")).alias("node")), "fingerprint-nodes")
     payload = nodes.select("node", "z")
-    banded = payload.mapInArrow(_banded, "node long, bands array<int>")
-    found = bucket_classes(banded, nodes.select("node").distinct(), lambda wanted: payload.join(wanted, "node", "left_semi"), partial(_alike, threshold=threshold))
+    banded = payload.mapInArrow(_banded, "node long, z binary, bands array<int>")
+    payload_of = lambda wanted: payload.join(wanted, "node", "left_semi")
+    found = bucket_classes(banded, nodes.select("node").distinct(), payload_of, partial(_alike, threshold=threshold), in_place=partial(_alike_in_buckets, threshold=threshold))
     return written(nodes.join(found, "node").select("z", F.col("component").alias("class_id")), "fingerprint-classes")
 
 

@@ -131,3 +131,53 @@ def test_digits_are_kept_as_bytes_and_keys_are_shuffled_once(spark, monkeypatch,
     capsys.readouterr()
     plans["key-sizes"].explain()
     assert capsys.readouterr().out.count("Exchange hashpartitioning") == 1
+
+
+def all_pairs(rows, threshold):
+    """Links of rows (node, z) by all pairs: those that share a band and agree in threshold of all lanes."""
+    lanes = [fp._lanes_of([z])[0] for _, z in rows]
+    like = lambda a, b: (a == b).mean() >= threshold and any((a[x] == b[x]).all() for x in fp._tables()[4])
+    return {(rows[i][0], rows[j][0]) for i in range(len(rows)) for j in range(i + 1, len(rows)) if like(lanes[i], lanes[j])}
+
+
+def near_rows(rng, many):
+    """Fingerprints of which many are alike in more than 0.8 of their lanes, others in less."""
+    base, rows = rng.integers(0, 16, fp.LANES), []
+    for node in range(many):
+        lanes = np.where(rng.random(fp.LANES) < rng.choice([0.02, 0.15, 0.3]), rng.integers(0, 16, fp.LANES), base).astype(np.uint8)
+        rows.append((node, (lanes[0::2] << 4 | lanes[1::2]).tobytes()))
+    return rows
+
+
+def test_pairs_in_buckets_are_all_pairs(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(fp, "BUCKETS", 7)
+    rows = near_rows(np.random.default_rng(9), 40)
+    bands = fp._bands_of(fp._lanes_of([z for _, z in rows]))
+    buckets = {}
+    for row, keys in zip(rows, bands.tolist()):
+        for band, k in enumerate(keys):
+            buckets.setdefault((band, k), []).append({"node": row[0], "z": row[1]})
+    several = [(band, held) for (band, _), held in buckets.items() if len(held) > 1]
+    batch = pa.RecordBatch.from_arrays([pa.array([b for b, _ in several], pa.int32()), pa.array([h for _, h in several], pa.list_(pa.struct([("node", pa.int64()), ("z", pa.binary())])))], names=["band", "rows"])
+    found = [(x["a"], x["b"]) for out in fp._alike_in_buckets(iter([batch.slice(0, 3), batch.slice(3)]), 0.8) for x in out.to_pylist()]
+    assert len(found) == len(set(found)) and set(found) == all_pairs(rows, 0.8) and 20 < len(found) < 780
+
+
+def test_small_buckets_are_compared_where_they_are_gathered(spark, monkeypatch):
+    """Hubs are only sought in buckets of more than HELD_BLOCK nodes; chance fills the others."""
+    from segue.llm import components as cc
+
+    rows = near_rows(np.random.default_rng(10), 30)
+    parent = list(range(30))
+    for a, b in sorted(all_pairs(rows, 0.8)):
+        lo, hi = sorted((parent[a], parent[b]))
+        parent = [lo if p == hi else p for p in parent]
+    prints = spark.createDataFrame([(i, z.hex()) for i, z in rows], "doc_id long, fingerprint string")
+    classes = lambda: {r["doc_id"]: r["class_id"] for r in fp.classes(prints).collect()}
+    sought, hubs = [], cc.popular_hubs
+    monkeypatch.setattr(cc, "popular_hubs", lambda *rest: sought.append(1) or hubs(*rest))
+    assert classes() == dict(enumerate(parent)) and not sought and 1 < len(set(parent)) < 30
+    monkeypatch.setattr(cc, "HELD_BLOCK", 3)
+    assert classes() == dict(enumerate(parent)) and sought
