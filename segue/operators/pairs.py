@@ -46,14 +46,19 @@ def uniform(seed: int, *columns: str) -> str:
     return f"(pmod(xxhash64({seed}L, {', '.join(columns)}), 9007199254740992L) / 9007199254740992D)"
 
 
-def shrinking_pairs(lists: DataFrame, window: int = 5, seed: int = 42, epoch: int = 0, playlist: str = "pid") -> DataFrame:
-    """Pairs of an epoch from lists (playlist, ids, keep): occurrences are kept with their own probability, those kept
-    close up, and every center draws how far its window reaches, from 1 to `window` places."""
+def drawn_windows(lists: DataFrame, window: int = 5, seed: int = 42, epoch: int = 0, playlist: str = "pid") -> DataFrame:
+    """(playlist, ids, reach) of an epoch from lists (playlist, ids, keep): occurrences are kept with their own probability,
+    those kept close up, and each draws how far its window reaches, from 1 to `window` places."""
     kept = lists.select(playlist, F.expr(f"filter(transform(ids, (x, i) -> struct(x AS x, {uniform(seed, str(epoch), f'`{playlist}`', 'i')} < keep[i] AS k)), e -> e.k)").alias("e")).where("size(e) > 1")
-    rows = kept.select(playlist, F.expr("transform(e, x -> x.x)").alias("ids")).select(playlist, "ids", F.posexplode("ids").alias("pos", "center"))
-    reach = F.expr(f"1 + int({window} * {uniform(seed + 1, str(epoch), f'`{playlist}`', 'pos')})")
-    near = F.expr("explode(transform(sequence(greatest(0, pos - reach), least(size(ids) - 1, pos + reach)), j -> named_struct('p', j, 'context', ids[j])))")
-    met = rows.withColumn("reach", reach).select(playlist, F.col("pos").alias("center_pos"), "center", near.alias("e")).where("e.p <> center_pos")
+    reach = F.expr(f"transform(e, (x, pos) -> 1 + int({window} * {uniform(seed + 1, str(epoch), f'`{playlist}`', 'pos')}))")
+    return kept.select(playlist, F.expr("transform(e, x -> x.x)").alias("ids"), reach.alias("reach"))
+
+
+def shrinking_pairs(lists: DataFrame, window: int = 5, seed: int = 42, epoch: int = 0, playlist: str = "pid") -> DataFrame:
+    """Pairs of an epoch from lists (playlist, ids, keep), by drawn_windows."""
+    rows = drawn_windows(lists, window, seed, epoch, playlist).select(playlist, "ids", "reach", F.posexplode("ids").alias("pos", "center"))
+    near = F.expr("explode(transform(sequence(greatest(0, pos - reach[pos]), least(size(ids) - 1, pos + reach[pos])), j -> named_struct('p', j, 'context', ids[j])))")
+    met = rows.select(playlist, F.col("pos").alias("center_pos"), "center", near.alias("e")).where("e.p <> center_pos")
     return met.select(playlist, "center_pos", F.col("e.p").alias("context_pos"), "center", F.col("e.context").alias("context"))
 
 

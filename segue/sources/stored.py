@@ -33,6 +33,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def read_folder(path: str, *columns: str):
+    """Columns of the Parquet files in a folder as an Arrow table, read by a task itself; None if there is no such folder."""
+    import pyarrow.dataset as ds
+    from pyarrow import fs
+
+    store, place = fs.FileSystem.from_uri(path if "://" in path else f"file://{path.removeprefix('file:')}")
+    if store.get_file_info(place).type == fs.FileType.NotFound:
+        return None
+    return ds.dataset(place, filesystem=store, format="parquet").to_table(columns=list(columns)).combine_chunks()
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a table that this job has written and needs no more, in whatever store it is."""
     jvm = spark.sparkContext._jvm
