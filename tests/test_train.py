@@ -71,6 +71,19 @@ def test_a_turn_is_one_job(spark, lists, vocab):
     assert vectors.count() == 40 and losses[-1] < losses[0] and jobs < 2 * 24
 
 
+def test_epochs_drawn_anew_are_dealt_and_trained_in_few_jobs(spark, lists, vocab):
+    """Each of 24 turns took more than four jobs, and every epoch a join; reruns have the same losses."""
+    sc, drawn = spark.sparkContext, lists.withColumn("keep", F.transform("ids", lambda x: F.lit(0.9)))
+    sc.setJobGroup("epochs", "epochs")
+    try:
+        vectors, losses = train.skipgram(drawn, vocab, train.Config(vector_size=4, epochs=4), partitions=6)
+        jobs = len(sc.statusTracker().getJobIdsForGroup("epochs"))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert vectors.count() == 40 and losses[-1] < losses[0] and jobs < 3 * 24
+    assert train.skipgram(drawn, vocab, train.Config(vector_size=4, epochs=1), partitions=3)[1] == train.skipgram(drawn.repartition(7), vocab, train.Config(vector_size=4, epochs=1), partitions=3)[1]
+
+
 def test_items_without_pairs_and_empty_blocks_keep_their_vectors(spark):
     lists = spark.createDataFrame([(0, [1, 2])], "pid long, ids array<long>")
     vocab = spark.createDataFrame([(1, 2), (2, 2), (3, 2)], "idx long, count long")
