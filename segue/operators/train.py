@@ -1,4 +1,4 @@
-"""Item embeddings: MLlib's skip-gram, and skip-gram with negative sampling over a grid of blocks of items.
+"""Item embeddings: skip-gram with negative sampling over a grid of blocks of items, and MLlib's skip-gram.
 
 The grid: items are dealt into blocks by a hash. A cell is a block of centers with a block of contexts; a task trains
 one cell, with the vectors of both blocks and the pairs between them. A turn trains a diagonal of cells, another
@@ -27,8 +27,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from segue.functions.vectors import learning_rate, normalized
-from segue.operators.corpus import sampling_distribution
+from segue.operators.corpus import occurrence_counts, sampling_distribution
 from segue.operators.pairs import drawn_windows, sampled_pairs
+from segue.operators.ranking import with_index
 from segue.sources.stored import new_path, read_folder, remove, written
 
 #: Pairs of a gradient step; items of a block at most; pairs of a cell at most, and at least where cores are to spare.
@@ -53,12 +54,12 @@ class Config:
     max_pairs: int = 2000
     sample: float = 1e-3
     seed: int = 42
-    #: Tasks of the MLlib trainer; None: as many as the cluster runs at once.
+    #: Tasks of the MLlib trainer and blocks of word2vec_vectors; None: by the cluster's cores and, of blocks, by items and pairs.
     partitions: int | None = None
 
 
 def word2vec(lists: DataFrame, config: Config = Config(), column: str = "uris"):
-    """A fitted MLlib model over lists of uris, the distributed trainer."""
+    """A fitted MLlib model over lists of uris, whose vocabulary and vectors the driver holds; word2vec_vectors has no such bound."""
     from pyspark.ml.feature import Word2Vec
 
     longest = lists.agg(F.max(F.size(column))).first()[0] or 1  # MLlib would cut a longer list
@@ -67,14 +68,6 @@ def word2vec(lists: DataFrame, config: Config = Config(), column: str = "uris"):
     return trainer.fit(lists)
 
 
-def word2vec_vectors(lists: DataFrame, config: Config = Config(), column: str = "uris") -> DataFrame:
-    """(track_uri, embedding, embedding_norm)."""
-    from pyspark.ml.functions import vector_to_array
-
-    found = word2vec(lists, config, column).getVectors().select(F.col("word").alias("track_uri"), vector_to_array("vector").alias("embedding"))
-    return found.withColumn("embedding_norm", normalized(F.col("embedding")))
-
-
 def _summed(target: np.ndarray, rows: np.ndarray, change: np.ndarray) -> None:
     """Adds a change to rows of target. Rows that repeat add up, to as much as STEPS of them at most, as steps taken one
     after another would turn back."""
@@ -387,3 +380,19 @@ def skipgram(lists: DataFrame, vocab: DataFrame, config: Config = Config(), part
     rates = lambda epoch, turn: config.learning_rate - (config.learning_rate - LAST_RATE) * (epoch + turn / blocks) / config.epochs
     drawn = lambda epoch: [drawn_windows(lists, config.window, config.seed, epoch).select(F.col("ids").cast("array<long>").alias("ids"), "reach")]
     return _on_grid(drawn, True, vocab, config, blocks, rates)
+
+
+def word2vec_vectors(lists: DataFrame, config: Config = Config(), column: str = "uris") -> DataFrame:
+    """(track_uri, embedding, embedding_norm) of all uris with min_count occurrences in lists.
+
+    Windows, rates and occurrences (all, none is left out) are those of MLlib's trainer. That holds the model on the
+    driver, several times, so vectors are trained on the grid, against negatives, as the original trainer does, where MLlib
+    has a tree of all words.
+    """
+    numbered = "pid" if "pid" in lists.columns else F.monotonically_increasing_id().alias("pid")
+    lists = written(lists.select(numbered, column), "numbered-lists")
+    rows = lists.select("pid", F.posexplode(column).alias("pos", "track_uri"))
+    vocab = with_index(occurrence_counts(rows).where(F.col("count") >= config.min_count), [F.desc("count"), F.col("track_uri")])
+    vectors, _ = skipgram(kept_lists(rows, vocab, 0.0), vocab.select("idx", "count"), config, config.partitions)
+    found = vectors.join(vocab, "idx").select("track_uri", "embedding")
+    return found.withColumn("embedding_norm", normalized(F.col("embedding")))

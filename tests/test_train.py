@@ -84,6 +84,19 @@ def test_epochs_drawn_anew_are_dealt_and_trained_in_few_jobs(spark, lists, vocab
     assert train.skipgram(drawn, vocab, train.Config(vector_size=4, epochs=1), partitions=3)[1] == train.skipgram(drawn.repartition(7), vocab, train.Config(vector_size=4, epochs=1), partitions=3)[1]
 
 
+def test_word2vec_vectors_need_no_model_on_the_driver(spark, monkeypatch):
+    """All uris that are frequent enough get vectors, of lists with ids or without, and no MLlib model is fitted."""
+    from pyspark.ml.feature import Word2Vec
+
+    monkeypatch.setattr(Word2Vec, "fit", lambda *a: pytest.fail("a model on the driver"))
+    lists = spark.createDataFrame([([f"u{p % 5}", f"u{p % 3 + 5}", f"once{p}"],) for p in range(30)], "uris array<string>")
+    config = train.Config(vector_size=4, epochs=1, partitions=2)
+    for own in (lists, lists.withColumn("pid", F.monotonically_increasing_id())):
+        rows = train.word2vec_vectors(own, config).collect()
+        assert sorted(r["track_uri"] for r in rows) == [f"u{i}" for i in range(8)]
+        assert all(len(r["embedding"]) == 4 and abs(sum(x * x for x in r["embedding_norm"]) - 1) < 1e-9 for r in rows)
+
+
 def test_items_without_pairs_and_empty_blocks_keep_their_vectors(spark):
     lists = spark.createDataFrame([(0, [1, 2])], "pid long, ids array<long>")
     vocab = spark.createDataFrame([(1, 2), (2, 2), (3, 2)], "idx long, count long")
