@@ -167,11 +167,21 @@ def clusters(tracks: DataFrame, k: int = 10, seed: int = 42):
     return KMeans(k=k, seed=seed, featuresCol="features").fit(rows).transform(rows).select("idx", F.col("prediction").alias("cluster"))
 
 
+#: Ratings of a block of users or items, which one task holds with the factors that they meet; blocks at least.
+BLOCK_RATINGS, BLOCKS_LEAST = 1_000_000, 10
+
+
 def als(ratings: DataFrame, rank: int = 16, iterations: int = 5, seed: int = 42):
-    """A fitted implicit-feedback factorisation of (pid, item, rating)."""
+    """A fitted implicit-feedback factorisation of (pid, item, rating), a table that is read more than once.
+
+    Blocks follow the ratings, as a task holds its block whole. Factors are checkpointed in every iteration, where a folder
+    for that is set, so that the shuffles before it can go.
+    """
     from pyspark.ml.recommendation import ALS
 
-    return ALS(rank=rank, maxIter=iterations, seed=seed, implicitPrefs=True, userCol="pid", itemCol="item", ratingCol="rating").fit(ratings)
+    blocks = max(BLOCKS_LEAST, -(-ratings.count() // BLOCK_RATINGS))
+    trainer = ALS(rank=rank, maxIter=iterations, seed=seed, implicitPrefs=True, userCol="pid", itemCol="item", ratingCol="rating", numUserBlocks=blocks, numItemBlocks=blocks, checkpointInterval=1)
+    return trainer.fit(ratings)
 
 
 def cross_match(left: DataFrame, right: DataFrame, tolerance_ms: int = 3000) -> DataFrame:

@@ -10,6 +10,7 @@ from segue.functions.vectors import dot
 from segue.operators import analytics, catalog, corpus, coverage, fuzzy, match, neighbors, pairs, playlist, recommend, search, search_index, train
 from segue.plans import bindings as b
 from segue.plans.oracles import ORACLES
+from segue.sources.stored import written
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -698,6 +699,7 @@ def cross_catalogue(spark, sf):
 def als_scores(spark, sf):
     """How a factorisation of orders and parts scores each line it was fitted to."""
     ratings = _items(spark, sf).groupBy(F.col("pid").cast("int").alias("pid"), F.col("item").cast("int").alias("item")).agg(F.count("*").cast("float").alias("rating"))
+    ratings = written(ratings, "ratings")
     return analytics.als(ratings).transform(ratings).select("pid", "item", F.col("prediction").cast("double").alias("score"))
 
 

@@ -75,3 +75,21 @@ def test_every_order_is_foretold_once(spark, sf_dir):
     """The folds read all orders, each once."""
     folds = QUERIES["recall_ndcg_folds"](spark, sf_dir).groupBy("fold").count().collect()
     assert sorted(r["fold"] for r in folds) == [0, 1, 2, 3, 4]
+
+
+def test_blocks_of_the_factorisation_follow_its_ratings(spark, monkeypatch):
+    """A task holds a block whole; with ten blocks at any size a large table did not fit its memory."""
+    from pyspark.ml.recommendation import ALS
+
+    from segue.operators import analytics
+
+    seen, fit = [], ALS.fit
+    monkeypatch.setattr(ALS, "fit", lambda self, rows: (seen.append((self.getNumUserBlocks(), self.getNumItemBlocks())), fit(self, rows))[1])
+    monkeypatch.setattr(analytics, "BLOCK_RATINGS", 50)
+    ratings = spark.range(1000).selectExpr("int(id div 5) pid", "int(id % 5 + id div 500 * 5) item", "float(1) rating")
+    scored = analytics.als(ratings).transform(ratings)
+    other = spark.range(1000).selectExpr("int(id div 5) pid", "int(id % 5 + (1 - id div 500) * 5) item", "float(1) rating")
+    assert seen == [(20, 20)] and scored.agg(F.min("prediction")).first()[0] > 0.5
+    assert analytics.als(ratings).transform(other).agg(F.max("prediction")).first()[0] < 0.5
+    analytics.als(ratings.limit(300))
+    assert seen[-1] == (10, 10)
