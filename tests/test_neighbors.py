@@ -46,3 +46,48 @@ def test_small_and_empty_tables(spark, tracks):
     assert sorted((r["idx"], r["neighbor"], r["source"]) for r in few) == [(0, 7, "tags"), (7, 0, "tags")]
     assert nb.neighbor_table(tracks.where("false"), 4).count() == 0
     assert nb.neighbor_table(tracks.where("idx = 0"), 4).count() == 0
+
+
+def _block(nb, vectors, ids, least=None):
+    block = nb._Block.__new__(nb._Block)
+    block.ids, block.vectors = ids, vectors
+    block.least = np.full(ids.size, -np.inf) if least is None else least
+    block.lengths = np.sqrt((vectors**2).sum(axis=1))
+    block.longest, block.plain, block.single = float(block.lengths.max()), True, vectors.astype(np.float32)
+    return block
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e-4, 3e6])
+def test_products_in_single_precision_miss_nothing(scale):
+    """The same rows as by all exact products, with equal and nearly equal vectors, and few of them made exactly."""
+    rng = np.random.default_rng(5)
+    vectors = rng.normal(size=(500, 16)) * scale
+    vectors[100:120] = vectors[0]
+    vectors[120:140] = vectors[0] * (1 + 1e-9 * np.arange(20))[:, None]
+    ids = rng.permutation(5000)[:500].astype(np.int64)
+    ids.sort()
+    mix = rng.permutation(500)
+    one, two = (_block(nb, vectors[mix][at], ids[at]) for at in (slice(0, 300), slice(300, 500)))
+    for block in (one, two):
+        a, b = nb._Best(6), nb._Best(6)
+        nb._all_products(block, block, a, None)
+        nb._near_products(block, block, b, None)
+        assert all(np.array_equal(x, y) for x, y in zip(a.all()[:2], b.all()[:2]))
+        block.least = a.all()[2].reshape(-1, 6)[:, -1]
+    a, b, c, d = (nb._Best(6) for _ in range(4))
+    nb._all_products(one, two, a, b)
+    nb._near_products(one, two, c, d)
+    for every, near, block in ((a, c, one), (b, d, two)):
+        found = {(r, o) for r, o, _ in zip(*near.all())}
+        assert {(r, o) for r, o, v in zip(*every.all()) if v >= block.least[np.searchsorted(block.ids, r)]} <= found and len(found) < len(every.all()[0])
+    rows, _ = nb._reaching((one.single @ two.single.T), one.least - one.loses(two), two.least - two.loses(one))
+    assert len(rows) < 300 * 200 / 4
+
+
+def test_vectors_that_single_precision_cannot_hold(spark, monkeypatch):
+    monkeypatch.setattr(nb, "BLOCK_LEAST", 100)
+    rng = np.random.default_rng(6)
+    rows = [(i, (rng.normal(size=4) * (1e30 if i % 50 == 0 else 1)).tolist()) for i in range(400)]
+    tracks = spark.createDataFrame(rows, "idx long, embedding array<double>")
+    got = {(r["idx"], r["rank"]): r["neighbor"] for r in nb.neighbor_table(tracks, 3).collect()}
+    assert got == brute(tracks, 3)
