@@ -91,3 +91,20 @@ def test_vectors_that_single_precision_cannot_hold(spark, monkeypatch):
     tracks = spark.createDataFrame(rows, "idx long, embedding array<double>")
     got = {(r["idx"], r["rank"]): r["neighbor"] for r in nb.neighbor_table(tracks, 3).collect()}
     assert got == brute(tracks, 3)
+
+
+@pytest.mark.parametrize("known", [2, 4, 7])
+def test_an_update_meets_only_what_may_be_nearer(tracks, monkeypatch, known):
+    """From tables of fewer, as many or more neighbours than are asked for; where enough are known, few products are made exactly."""
+    monkeypatch.setattr(nb, "BLOCK_LEAST", 100)
+    old, added = tracks.where("idx % 5 < 3"), tracks.where("idx % 5 >= 3")
+    table = nb.neighbor_table(old, known)
+    got = {(r["idx"], r["rank"]): r["neighbor"] for r in nb.with_added(table, old, added, 4).collect()}
+    want = brute(tracks, 4)
+    if known >= 4:
+        assert got == want
+        path, best = nb.write_blocks(old), nb._stored(table.select("idx", "neighbor", "similarity", nb._block_of(4).alias("b")))[1]
+        assert path[1] == 4 and all(np.isfinite(nb._Block(path[0], b, best, 4).least).all() for b in range(4))
+    else:  # what a table has never had cannot be told; rows of added tracks are whole
+        new = {r["idx"] for r in added.collect()}
+        assert {k: v for k, v in got.items() if k[0] in new} == {k: v for k, v in want.items() if k[0] in new}
